@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import find_copies
+from .language_id import predict_languages
 from .mixing import mix
+from .toxicity import toxicity
 from .url_filter import judge_urls
+from .warc import archive_pages
 
 #: The rules of op7, (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -70,5 +73,27 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {"op7_url_filter": op7_url_filter, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * i}, 10))::ubigint >> {35 - 5 * k}) & 31)::int, 1)"
+                   for i in range(4) for k in range(8))
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS last FROM p)
+SELECT page_id, strlen(b)::bigint AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g
+"""
+
+QUERIES = {"op1_language_id": op1_language_id, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
+           "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+ORACLES = {"op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
