@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, ORDER = 1500, 60_000, 60_000, 4
 MIN_WORD, MIN_GRAM, GRAM_WEIGHT = 3, 5, 2.0
+CLIP = 4.0
 MEMO = 200_000
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -42,7 +43,9 @@ class Model:
     def _logs(self, table: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
         counts = np.array([[by.get(x, 0) for x in self.langs] for by in table.values()], dtype=np.float64).reshape(len(table), len(self.langs))
         total = counts.sum(axis=0) + 0.5 * max(1, len(table))
-        return {w: i for i, w in enumerate(table)}, np.log((counts + 0.5) / total)
+        logs = np.log((counts + 0.5) / total)
+        # no entry outweighs others by more than CLIP, so a passage in another language counts by its length
+        return {w: i for i, w in enumerate(table)}, np.maximum(logs - logs.max(axis=1, keepdims=True, initial=-np.inf), -CLIP)
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the positions of the longest known n-gram ending there."""

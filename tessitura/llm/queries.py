@@ -9,6 +9,8 @@ from .common import table
 from .exact_dedup import find_copies
 from .language_id import predict_languages
 from .mixing import mix
+from .piece_tokens import encode_texts
+from .top_products import contract_search
 from .toxicity import toxicity
 from .url_filter import judge_urls
 from .warc import archive_pages
@@ -94,6 +96,23 @@ SELECT page_id, strlen(b)::bigint AS payload_bytes, {_B32} AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
-           "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract_search(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::integer AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
+           "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
