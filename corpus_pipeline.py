@@ -1,8 +1,58 @@
-"""Corpus pipeline (in the making)."""
+"""Corpus pipeline: language ID, exact dedup, near-duplicate join, mixing to target weights, SentencePiece tokens.
 
-STAGES: list = []
+Each stage is a function of (spark, docs, sf_dir) that works on all rows its predecessor kept and returns the columns of
+documents (the last: doc_id, lang, source, ids, n_tokens, round_trip). Between stages the rows are written as Parquet
+to the shared folder and read again, so a lost executor repeats a stage's task and nothing before it.
+
+Defined cases are those of the operators; an empty table passes through every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessitura.llm import exact_dedup, jaccard_join, language_id, mixing, piece_tokens
+from tessitura.llm.common import settle, table
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without an identifiable language (null, empty or letterless texts); all others stay as they are."""
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model, docs.columns).filter(f"lang_pred <> '{language_id.UNKNOWN}'").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the smallest doc_id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by their copies in the mixture: none, one or two."""
+    return mixing.mixed_rows(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_tokens.encode_texts(docs, ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
+
+#: SQL can't express the last stage; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

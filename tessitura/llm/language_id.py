@@ -121,16 +121,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     """The ``keep`` columns with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
+    sent = [F.col(c) for c in keep] + ([] if text_col in keep else [F.col(text_col)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
         for batch in batches:
-            got = [score(t.as_py()) for t in batch.column("_text")]
+            got = [score(t.as_py()) for t in batch.column(text_col)]
             rest = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     out = schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, out)
+    return docs.select(*sent).mapInArrow(run, out)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

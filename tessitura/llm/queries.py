@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import find_copies
+from .jaccard_join import near_components
 from .language_id import predict_languages
 from .mixing import mix
 from .piece_tokens import encode_texts
@@ -109,10 +110,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
+QUERIES = {"op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
            "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op3_exact_topk": OP3_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
