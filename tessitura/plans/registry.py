@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import q_retrieval
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_retrieval.all_pairs(spark, sf_dir)
