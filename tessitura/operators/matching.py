@@ -82,3 +82,16 @@ def merge_registry(old: DataFrame, new: DataFrame, key: str, fields: list[str])
 def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """WIN-10: first row of each key in an explicit order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """SET-05: whether two id sets are equal; one flag per id and side is folded, no set is collected."""
+    both = a.select(key, F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(key, F.lit(0), F.lit(1)))
+    return both.groupBy(key).agg((F.max("x") == F.max("y")).alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("equal"))
+
+
+def same_sequence(a: DataFrame, b: DataFrame, position: str, value: str) -> DataFrame:
+    """SET-06: whether two columns hold the same values at the same positions."""
+    met = a.select(position, F.col(value).alias("_a"), F.lit(True).alias("_x")).join(b.select(position, F.col(value).alias("_b"), F.lit(True).alias("_y")), position, "full_outer")
+    ok = F.col("_a").eqNullSafe(F.col("_b")) & F.col("_x").eqNullSafe(F.col("_y"))
+    return met.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("in_sync"))
