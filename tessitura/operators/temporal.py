@@ -42,7 +42,7 @@ def longest_run(xs: Column) -> Column:
 def features(segments: Column) -> dict[str, Column]:
     """Temporal part of the pair vector from array<struct<q, r, shift>>, sorted here by q."""
     seg = F.array_sort(segments)
-    q, r, shift = (F.transform(seg, lambda s, k=k: s[k]) for k in ("q", "r", "shift"))
+    q, r, shift = seg["q"], seg["r"], seg["shift"]  # a field of an array of structs is the array of that field
     n = F.size(seg)
     dq, dr = _deltas(q), _deltas(r)
     ordered = F.size(F.filter(dr, lambda x: x >= 0)) / F.greatest(F.lit(1), n - 1)

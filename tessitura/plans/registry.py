@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_metrics, q_relational, q_retrieval
+from . import q_metrics, q_relational, q_retrieval, q_scalars, q_signal
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "q_metrics", "q_relational"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "q_metrics", "q_relational", "q_scalars", "q_signal"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
