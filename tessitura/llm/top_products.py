@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import row_key, settle
 
 HEAD, QUERY_BLOCK, CANDIDATE_BLOCK, STEP, SLACK = 2048, 1024, 8192, 1024, 1e-9
+TOP = 2**63 - 1
 _OUT = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -47,14 +48,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of whole-number rows."""
+    """Integer inner products of whole-number rows; those beyond a long become its largest or smallest value."""
     reach = np.sqrt((q * q).sum(axis=1).max(initial=0)) * np.sqrt((c * c).sum(axis=1).max(initial=0))
     if reach < 2.0**52:
         return (q @ c.T).astype(np.int64)
     rows = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c] for x in q]
-    if any(abs(s) >= 2**63 for r in rows for s in r):
-        raise OverflowError("an inner product doesn't fit a long")
-    return np.array(rows, dtype=np.int64).reshape(len(q), len(c))
+    return np.array([[max(-TOP, min(TOP, s)) for s in r] for r in rows], dtype=np.int64).reshape(len(q), len(c))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +105,8 @@ def search_cell(q_rows, q_ids, q, bound, c_ids, c, turn, k: int) -> Iterator[tup
                 bound[i] = max(bound[i], float(held[i][1][-1]))
     for i, (ids, scores) in enumerate(held):
         if len(ids):
+            if np.abs(scores).max() == TOP:
+                raise OverflowError("an inner product doesn't fit a long")
             yield np.full(len(ids), q_rows[i]), np.full(len(ids), q_ids[i]), ids, scores
 
 
