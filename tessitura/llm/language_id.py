@@ -1,6 +1,6 @@
 """Language identification by word-first backoff.
 
-A text's lower-cased words are scored by their log frequency in each language. A word the model doesn't know is scored by
+A text's lower-cased words (runs of letters; longer ones in pieces of ``WORD_LETTERS``) are scored by their log frequency in each language. A word the model doesn't know is scored by
 its character n-grams (edge marks included), at each position by the longest known one of four letters down to a single
 letter. The posterior over languages (equal priors) gives the prediction and its score.
 
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, ORDER = 1500, 60_000, 60_000, 4
 MIN_WORD, MIN_GRAM, GRAM_WEIGHT = 3, 5, 2.0
-CLIP = 4.0
+CLIP, WORD_LETTERS = 4.0, 64
 MEMO = 200_000
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
 
 
 class Model:
@@ -101,7 +101,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         return Model([], {}, {})
     share = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, min(1.0, docs_per_lang / c))])
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) < F.element_at(share, F.col(lang_col)) * (1 << 30)
-    words = rows.filter(drawn).select(F.col(lang_col).alias("lang"), F.explode(F.expr(rf"regexp_extract_all(lower({text_col}), '[\\p{{L}}]+', 0)")).alias("w"))
+    words = rows.filter(drawn).select(F.col(lang_col).alias("lang"), F.explode(F.expr(rf"regexp_extract_all(lower({text_col}), '[\\p{{L}}]{{1,{WORD_LETTERS}}}', 0)")).alias("w"))
     by_word = words.groupBy("w", "lang").agg(F.count("*").alias("n")).repartition("w").persist()
 
     def top(df: DataFrame, key: str, least: int, most: int) -> dict[str, dict[str, int]]:
