@@ -33,7 +33,7 @@ def greedy_windows(best: DataFrame, k: int = 3, gap: float = W) -> DataFrame:
     kept = best.groupBy("query_id", "track_id").agg(items.alias("items"))
     kept = kept.withColumn("kept", _fold(F.col("items"), lambda x, y: F.abs(x["q"] - y["q"]) >= gap, k, "struct<m:double,q:double,r:double>"))
     mean = -F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["m"]) / F.size("kept")
-    return kept.select("query_id", "track_id", F.round(mean, 6).alias("score"), F.transform("kept", lambda x: F.struct(x["q"].alias("q_off"), x["r"].alias("r_off"), (-x["m"]).alias("score"))).alias("segments"))
+    return kept.select("query_id", "track_id", F.round(mean, 8).alias("score"), F.transform("kept", lambda x: F.struct(x["q"].alias("q_off"), x["r"].alias("r_off"), (-x["m"]).alias("score"))).alias("segments"))
 
 
 def greedy_pairs(pairs: DataFrame, k: int = 3, gap: float = W) -> DataFrame:
@@ -41,7 +41,7 @@ def greedy_pairs(pairs: DataFrame, k: int = 3, gap: float = W) -> DataFrame:
     items = F.sort_array(F.collect_list(F.struct(F.col("score").alias("m"), F.col("q_off").alias("q"), F.col("r_off").alias("r"))), asc=False)
     kept = pairs.groupBy("query_id", "track_id").agg(items.alias("items"))
     kept = kept.withColumn("kept", _fold(F.col("items"), lambda x, y: (F.abs(x["q"] - y["q"]) >= gap) & (F.abs(x["r"] - y["r"]) >= gap), k, "struct<m:double,q:double,r:double>"))
-    return kept.select("query_id", "track_id", F.round(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["m"]) / F.size("kept"), 6).alias("score"), F.size("kept").cast("long").alias("n"))
+    return kept.select("query_id", "track_id", F.round(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["m"]) / F.size("kept"), 8).alias("score"), F.size("kept").cast("long").alias("n"))
 
 
 def _steps(df: DataFrame, key: str, off: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def continuity(pairs: DataFrame) -> DataFrame:
     nxt = lambda i: pairs.select("query_id", "track_id", F.col("q_off").alias(f"q{i}"), F.col("r_off").alias(f"r{i}"), F.col("score").alias(f"s{i}"))
     p = p.join(nxt(1), ["query_id", "track_id", "q1", "r1"], "left").join(nxt(2), ["query_id", "track_id", "q2", "r2"], "left")
     three, two = (F.col("score") + F.col("s1") + F.col("s2")) / 3, (F.col("score") + F.col("s1")) / 2
-    top = lambda ok, x: F.max(F.when(ok, F.struct(F.round(x, 6).alias("s"), (-F.col("q_off")).alias("q"), (-F.col("r_off")).alias("r"))))
+    top = lambda ok, x: F.max(F.when(ok, F.struct(F.round(x, 8).alias("s"), (-F.col("q_off")).alias("q"), (-F.col("r_off")).alias("r"))))
     g = p.groupBy("query_id", "track_id").agg(top(F.col("s2").isNotNull(), three).alias("t3"), top(F.col("s1").isNotNull(), two).alias("t2"), top(F.lit(True), F.col("score")).alias("t1"))
     n = F.when(F.col("t3").isNotNull(), 3).when(F.col("t2").isNotNull(), 2).otherwise(1).cast("long")
     best = F.coalesce("t3", "t2", "t1")

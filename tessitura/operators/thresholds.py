@@ -26,8 +26,8 @@ def search(df: DataFrame, positive: Column, score: Column, recall: float = 0.9,
 
 
 def select_model(rows: DataFrame, name: str, low: str, high: str) -> DataFrame:
-    """AGG-22: smallest ``low``, then largest ``high``, then the name."""
-    return rows.agg(F.min_by(name, F.struct(F.col(low), -F.col(high), F.col(name))).alias("selected"))
+    """AGG-22: smallest ``low``, then largest ``high``, then the name; candidates without both rates don't count."""
+    return rows.filter(F.col(low).isNotNull() & F.col(high).isNotNull()).agg(F.min_by(name, F.struct(F.col(low), -F.col(high), F.col(name))).alias("selected"))
 
 
 def sweep_weights(df: DataFrame, a: Column, b: Column, hit: Column, key: str, weights: list[float]) -> DataFrame:

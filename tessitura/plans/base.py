@@ -68,6 +68,6 @@ BEST_SQL = """, best AS (SELECT query_id, track_id, q_off, max(score) AS score,
 GREEDY_SQL = """, g1 AS (SELECT query_id, track_id, min((-score, q_off)) AS a FROM best GROUP BY ALL),
 g2 AS (SELECT g1.query_id, g1.track_id, any_value(a) AS a, min((-b.score, b.q_off)) FILTER (abs(b.q_off - a[2]) >= 10) AS b FROM g1 JOIN best b USING (query_id, track_id) GROUP BY ALL),
 g3 AS (SELECT g2.query_id, g2.track_id, any_value(a) AS a, any_value(g2.b) AS b, min((-t.score, t.q_off)) FILTER (abs(t.q_off - a[2]) >= 10 AND abs(t.q_off - g2.b[2]) >= 10) AS c FROM g2 JOIN best t USING (query_id, track_id) GROUP BY ALL),
-seg AS (SELECT query_id, track_id, round(-(a[1] + coalesce(b[1], 0) + coalesce(c[1], 0)) / (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int), 6) AS score FROM g3)"""
+seg AS (SELECT query_id, track_id, round(-(a[1] + coalesce(b[1], 0) + coalesce(c[1], 0)) / (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int), 8) AS score FROM g3)"""
 SCORED_SQL = """scored AS (SELECT doc_id, lang AS family, source AS group_id, quality = 1 AS positive, round((n_chars % 997) / 997.0::double, 4) AS score,
   round((doc_id * 37 % 101) / 101.0::double, 4) AS pair_score, toxic, n_chars FROM documents JOIN labels USING (doc_id))"""

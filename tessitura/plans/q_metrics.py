@@ -51,7 +51,7 @@ def auc(spark, d):
 
 
 @query("jn_15_pairwise_auc", S + """, p AS (SELECT a.family, CASE WHEN a.score > b.score THEN 1.0::double WHEN a.score = b.score THEN 0.5::double ELSE 0 END AS w FROM scored a JOIN scored b ON a.family = b.family AND a.positive AND NOT b.positive)
- SELECT family, round(avg(w), 6) AS auc FROM p GROUP BY family""")
+ SELECT f.family, round(avg(w), 6) AS auc FROM (SELECT DISTINCT family FROM scored) f LEFT JOIN p USING (family) GROUP BY f.family""")
 def pairwise_auc(spark, d):
     return metrics.auc(scored(spark, d), positive_(), F.col("score"), "family")
 
@@ -142,7 +142,7 @@ def operating_curve(spark, d):
     return thresholds.operating_curve(scored(spark, d), positive_(), F.col("score")).withColumns({"recall": F.round("recall", 6), "fpr": F.round("fpr", 6)})
 
 
-@query("agg_22_model_selection", S + f", g AS (SELECT family, avg((score >= 0.5)::int::double) FILTER (NOT positive) AS fpr, avg((pair_score >= 0.5)::int::double) FILTER (positive) AS hr FROM scored GROUP BY family) SELECT arg_min(family, (round(fpr, 6), -round(hr, 6), family)) AS selected FROM g")
+@query("agg_22_model_selection", S + f", g AS (SELECT family, avg((score >= 0.5)::int::double) FILTER (NOT positive) AS fpr, avg((pair_score >= 0.5)::int::double) FILTER (positive) AS hr FROM scored GROUP BY family) SELECT arg_min(family, (round(fpr, 6), -round(hr, 6), family)) AS selected FROM g WHERE fpr IS NOT NULL AND hr IS NOT NULL")
 def model_selection(spark, d):
     s = scored(spark, d)
     g = s.groupBy("family").agg(metrics.share(F.when(~positive_(), F.col("score") >= 0.5)).alias("fpr"), metrics.share(F.when(positive_(), F.col("pair_score") >= 0.5)).alias("hr"))

@@ -70,7 +70,7 @@ def greedy(spark, d):
 g2 AS (SELECT g1.query_id, g1.track_id, any_value(a) AS a, max((p.score, p.q_off, p.r_off)) FILTER (abs(p.q_off - a[2]) >= 10 AND abs(p.r_off - a[3]) >= 10) AS b FROM g1 JOIN pairs p USING (query_id, track_id) GROUP BY ALL),
 g3 AS (SELECT g2.query_id, g2.track_id, any_value(a) AS a, any_value(b) AS b, max((p.score, p.q_off, p.r_off)) FILTER (abs(p.q_off - a[2]) >= 10 AND abs(p.r_off - a[3]) >= 10 AND abs(p.q_off - b[2]) >= 10 AND abs(p.r_off - b[3]) >= 10) AS c
   FROM g2 JOIN pairs p USING (query_id, track_id) GROUP BY ALL)
-SELECT query_id, track_id, round((a[1] + coalesce(b[1], 0) + coalesce(c[1], 0)) / (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int), 6) AS score,
+SELECT query_id, track_id, round((a[1] + coalesce(b[1], 0) + coalesce(c[1], 0)) / (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int), 8) AS score,
  (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int)::bigint AS n FROM g3""")
 def greedy_two_axes(spark, d):
     return retrieval.greedy_pairs(pairs(spark, d))
@@ -81,8 +81,8 @@ rs AS (SELECT track_id, r_off, lead(r_off, 1) OVER w AS r1, lead(r_off, 2) OVER
 c AS (SELECT p.*, a.score AS s1, CASE WHEN abs(q2 - q1 - 5) <= 0.51 AND abs(r2 - r1 - 5) <= 0.51 THEN b.score END AS s2 FROM pairs p JOIN qs USING (query_id, q_off) JOIN rs USING (track_id, r_off)
  LEFT JOIN pairs a ON a.query_id = p.query_id AND a.track_id = p.track_id AND a.q_off = q1 AND a.r_off = r1 AND abs(q1 - p.q_off - 5) <= 0.51 AND abs(r1 - p.r_off - 5) <= 0.51
  LEFT JOIN pairs b ON a.score IS NOT NULL AND b.query_id = p.query_id AND b.track_id = p.track_id AND b.q_off = q2 AND b.r_off = r2),
-t AS (SELECT query_id, track_id, min((-round((score + s1 + s2) / 3, 6), q_off, r_off)) FILTER (s1 IS NOT NULL AND s2 IS NOT NULL) AS t3, min((-round((score + s1) / 2, 6), q_off, r_off)) FILTER (s1 IS NOT NULL) AS t2,
-  min((-round(score, 6), q_off, r_off)) AS t1 FROM c GROUP BY ALL),
+t AS (SELECT query_id, track_id, min((-round((score + s1 + s2) / 3, 8), q_off, r_off)) FILTER (s1 IS NOT NULL AND s2 IS NOT NULL) AS t3, min((-round((score + s1) / 2, 8), q_off, r_off)) FILTER (s1 IS NOT NULL) AS t2,
+  min((-round(score, 8), q_off, r_off)) AS t1 FROM c GROUP BY ALL),
 cont AS (SELECT query_id, track_id, -coalesce(t3, t2, t1)[1] AS continuity_score, (CASE WHEN t3 IS NOT NULL THEN 3 WHEN t2 IS NOT NULL THEN 2 ELSE 1 END)::bigint AS windows,
   10 + 5.0::double * (CASE WHEN t3 IS NOT NULL THEN 2 WHEN t2 IS NOT NULL THEN 1 ELSE 0 END) AS continuous_s, coalesce(t3, t2, t1)[2] AS q_off, coalesce(t3, t2, t1)[3] AS r_off FROM t)"""
 
