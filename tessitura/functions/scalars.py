@@ -151,3 +151,14 @@ def hms_seconds(text: Column) -> Column:
     """SRC-09: seconds from ``Duration: H:M:S``; null without it."""
     part = lambda i: F.nullif(F.regexp_extract(text, r"Duration:\s*(\d+):(\d+):(\d+(?:\.\d+)?)", i), F.lit("")).cast("double")
     return part(1) * 3600 + part(2) * 60 + part(3)
+
+
+def edit_manifest(case: Column, seed: Column) -> Column:
+    """SCL-28: the parameters of an edit as JSON; the filters themselves need an audio tool that isn't here.
+
+    section_edit: block length and order; tempo_pitch_eq: ratio and gain at 1200 Hz; remix_fx: tempo, bass gain and echo.
+    """
+    section = F.struct(F.lit("reorder_repeat").alias("edit"), F.lit(24).alias("section_seconds"), F.array((seed % 3).cast("int"), F.lit(0), F.lit(1)).alias("section_order"))
+    tempo = F.struct((1 + (seed % 5) / 100.0).alias("speed_and_pitch_ratio"), ((seed % 7) / 2.0 - 1.5).alias("eq_1200hz_db"))
+    remix = F.struct((1 - (seed % 4) / 100.0).alias("tempo_rate"), ((seed % 5) / 2.0).alias("bass_eq_db"), F.lit("0.8:0.5:40:0.2").alias("echo"))
+    return F.when(case == "section_edit", F.to_json(section)).when(case == "tempo_pitch_eq", F.to_json(tempo)).when(case == "remix_fx", F.to_json(remix))

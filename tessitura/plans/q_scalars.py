@@ -228,3 +228,11 @@ def container_durations(spark, d):
     c = lambda x: x.cast("string")
     text = F.concat(F.lit("Input #0\n  Duration: "), c(F.col("doc_id") % 3), F.lit(":"), c(F.col("n_chars") % 60), F.lit(":"), c(F.col("doc_id") % 60), F.lit(".25, start: 0"))
     return read(spark, d, "documents").select("doc_id", fn.hms_seconds(F.when(F.col("doc_id") % 5 > 0, text).otherwise("Duration: N/A")).alias("seconds"))
+
+
+@query("scl_28_edit_manifest", "SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN round(1 + (p_partkey % 5) / 100.0::double, 4) END AS ratio, CASE p_partkey % 3 WHEN 2 THEN round(1 - (p_partkey % 4) / 100.0::double, 4) END AS tempo, CASE p_partkey % 3 WHEN 0 THEN 24 END AS section FROM part")
+def edit_manifest(spark, d):
+    k = F.col("p_partkey")
+    case = F.when(k % 3 == 0, "section_edit").when(k % 3 == 1, "tempo_pitch_eq").otherwise("remix_fx")
+    j = read(spark, d, "part").select("p_partkey", F.from_json(fn.edit_manifest(case, k), "speed_and_pitch_ratio double, tempo_rate double, section_seconds int").alias("j"))
+    return j.select("p_partkey", F.round("j.speed_and_pitch_ratio", 4).alias("ratio"), F.round("j.tempo_rate", 4).alias("tempo"), F.col("j.section_seconds").alias("section"))

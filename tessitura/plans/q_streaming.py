@@ -134,3 +134,40 @@ def latest_jobs(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
     last = readers.latest_jobs(e).select("job_id", "state")
     return last.join(e.groupBy("job_id").agg(F.max("seq").alias("seq")), "job_id").select("job_id", "seq", "state")
+
+
+@query("src_01_file_listing")
+def file_listing(spark, d):
+    return readers.audio_files(spark, d, [".parquet", ".PARQUET"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
+@query("src_02_flat_listing")
+def flat_listing(spark, d):
+    return readers.audio_files(spark, f"{d}/nation.parquet", [".parquet"], recursive=False).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
+@query("snk_02_json_summary", S + " SELECT count(*) FILTER (positive AND score >= 0.5) AS tp, count(*) FILTER (NOT positive AND score >= 0.5) AS fp FROM scored")
+def json_summary(spark, d):
+    base = scratch(spark, "summary")
+    hit = F.col("score") >= 0.5
+    sinks.json_summary(scored(spark, d).agg(F.count_if(F.col("positive") & hit).alias("tp"), F.count_if(~F.col("positive") & hit).alias("fp")), base)
+    return spark.read.schema("tp long, fp long").json(base)
+
+
+@query("snk_06_append_manifest", "SELECT n_name AS name, n_nationkey AS pos FROM nation")
+def append_manifest(spark, d):
+    base = scratch(spark, "manifest")
+    n = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
+    for part in range(2):
+        sinks.csv_report(n.filter(F.col("pos") % 2 == part), base, "append")
+    return readers.csv_table(spark, base, "name string, pos int")
+
+
+@query("snk_08_model_table", S + " SELECT doc_id, round(1 / (1 + exp(-(-0.4::double + (score - 0.5) / 0.25 * 1.2))), 6) AS probability FROM scored")
+def model_table(spark, d):
+    from ..functions.scalars import linear_score
+
+    base = scratch(spark, "model")
+    sinks.save_model(spark, {"mean": [0.5], "std": [0.25], "weights": [1.2], "bias": -0.4}, base)
+    m = sinks.load_model(spark, base)
+    return scored(spark, d).select("doc_id", F.round(linear_score(F.array("score"), m["mean"], m["std"], m["weights"], m["bias"]), 6).alias("probability"))
