@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK, WORDS, BATCH, MEMO, MAX_MODEL, THREADS = 400_000, 200_000, 4 << 20, 800_000, 64 << 20, 2
+CHUNK, WORDS, BATCH, MEMO, MAX_MODEL, THREADS = 400_000, 200_000, 4 << 20, 500_000, 64 << 20, 2
 MARK = "▁"
 _WORD = re.compile(" *[^ ]+| +")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -146,9 +146,9 @@ class Codec:
         self.by_word = m.cuttable() and not m.squeeze and not m.charsmap
         self.library = m.tokenizer(bare=self.by_word)
         self.table = m.surface()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.begin, self.end, self.good = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int64, bool))
         self.pool, self.used = np.zeros(1 << 18, dtype=np.int32), 0
@@ -190,7 +190,7 @@ class Codec:
         at = list(map(self.memo.get, words))
         if None in at:
             if len(self.memo) > MEMO:
-                self._forget()
+                self.forget()
                 at = [None] * len(words)
             gaps = [k for k, x in enumerate(at) if x is None]
             self._learn(list({words[k]: None for k in gaps}))
@@ -273,13 +273,17 @@ def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         gc.disable()  # lists of ids hold no cycles
-        for batch in batches:
-            start, size = 0, 0
-            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist()):
-                size += n
-                if size >= BATCH or i == batch.num_rows - 1:
-                    yield part(c, batch.slice(start, i + 1 - start))
-                    start, size = i + 1, 0
+        try:
+            for batch in batches:
+                start, size = 0, 0
+                for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist()):
+                    size += n
+                    if size >= BATCH or i == batch.num_rows - 1:
+                        yield part(c, batch.slice(start, i + 1 - start))
+                        start, size = i + 1, 0
+        finally:
+            c.forget()  # workers are reused; the words of one task would stay in memory beside the next stage
+            gc.enable()
 
     def part(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, n, same = c.encode(batch.column("_text").to_pylist())
