@@ -7,9 +7,14 @@ driver and executors share, so a lost executor costs a reread and not a recomput
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +69,34 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+#: Arrow batches between the JVM and Python: rows and bytes at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger: whole texts travel in them,
+    and both sides hold a batch for each running task."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def tidy(run):
+    """A batch function that gives free memory back to the system when its task ends: workers are reused by later stages."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most ``rows`` rows, else df as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle
+from .common import SPACE, settle, tidy
 
 SLOTS, KICKS, LOAD = 4, 200, 0.9
 
@@ -173,8 +173,8 @@ def live_groups(inserted: DataFrame, deleted: DataFrame | None = None) -> DataFr
     ops = inserted.select("id", "digest", "n_bytes", F.lit(1).alias("op"))
     if deleted is not None:
         ops = ops.unionByName(deleted.select("id", "digest", "n_bytes", F.lit(-1).alias("op")))
-    folded = ops.mapInArrow(_fold, _KEY).withColumn("_shard", F.substring("digest", 1, 4))
-    return folded.repartition("_shard").drop("_shard").mapInArrow(_index, "digest binary, keep_id long, group_size long, n_bytes long")
+    folded = ops.mapInArrow(tidy(_fold), _KEY).withColumn("_shard", F.substring("digest", 1, 4))
+    return folded.repartition("_shard").drop("_shard").mapInArrow(tidy(_index), "digest binary, keep_id long, group_size long, n_bytes long")
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, tidy
+
 DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, ORDER = 1500, 60_000, 60_000, 4
 MIN_WORD, MIN_GRAM, GRAM_WEIGHT = 3, 5, 2.0
 CLIP, WORD_LETTERS = 4.0, 64
@@ -131,7 +133,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
             yield pa.RecordBatch.from_arrays([*rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     out = schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*sent).mapInArrow(run, out)
+    lean(docs.sparkSession)
+    return docs.select(*sent).mapInArrow(tidy(run), out)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, tidy
+
 CHUNK, WORDS, BATCH, MEMO, MAX_MODEL, THREADS = 400_000, 200_000, 4 << 20, 500_000, 64 << 20, 2
 MARK = "▁"
 _WORD = re.compile(" *[^ ]+| +")
@@ -268,6 +270,7 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """``keep`` columns, ids array<int>, n_tokens long and round_trip boolean (decoding gives the text again)."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +295,7 @@ def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", model
         return pa.RecordBatch.from_arrays(cols, [*keep, "ids", "n_tokens", "round_trip"])
 
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
@@ -305,4 +308,4 @@ def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", model_path:
             texts = [c.decode(x.as_py()) for x in batch.column("_ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    return df.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(run, df.select(*keep).schema.add("text", "string"))
+    return df.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(tidy(run), df.select(*keep).schema.add("text", "string"))

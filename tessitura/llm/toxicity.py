@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, settle, tidy
 from .language_id import in_fold
 
 ROWS_PER_CLASS, MAX_LEXICON, MIN_ODDS, MIN_SHARE, MIN_ROWS = 8000, 5000, 3.0, 0.015, 3
@@ -199,7 +199,8 @@ def _features(rows: DataFrame, g: Grammar, keep: str) -> DataFrame:
             f = pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), f], [*names, "f"])
 
-    return rows.mapInArrow(run, f"{keep}, f array<double>")
+    lean(rows.sparkSession)
+    return rows.mapInArrow(tidy(run), f"{keep}, f array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: tuple[Grammar, np.ndarray]) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, scratch_path, settle, small
+from .common import row_key, scratch_path, settle, small, tidy
 
 CRLF = "\r\n"
 RECORDS_PER_FILE = 6000
@@ -162,7 +162,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         if rows:
             yield pack()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(parse), _SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
