@@ -11,16 +11,18 @@ Steps (two texts link when 100 * |A & B| >= 80 * |A | B| over their sets of five
    are small and come last.
 3. In a block, classes are points of an R-tree: ``GROUPS`` group counts and the size. A node bounds the overlap with a
    query by the sum of coordinate minima against its largest counts; only pairs whose bound reaches the threshold leave.
-   Blocks of up to ``ALL_PAIRS`` classes give all such pairs, larger ones first the pairs with one pivot.
+   Blocks of up to ``ALL_PAIRS`` classes give all such pairs, larger ones first the pairs with one pivot (same bound).
 4. Surviving pairs are verified on the sets themselves, and links give components by label propagation.
 5. Larger blocks whose classes aren't in one component by then give their remaining cross-component pairs through the
-   R-tree, which are verified too. A block inside one component has no more to tell.
+   R-trees, which are verified too; a block of more than ``PART`` classes is dealt in pairs of parts, so no task holds it
+   whole. A block inside one component has no more to tell.
 
 A single R-tree over all texts was not kept: unrelated texts of one size are all about equally far apart in count space,
 so its nodes prune nothing and the work is quadratic (see the README); the filing of step 2 deals texts to trees.
 
 Scale: keys travel packed, one row per task and shard, and never as rows of their own; a class with a third of all rows
-is filed once per task; hubs are folded by min() before shuffles. Texts are read three times and never shuffled: the few
+is filed once per task, and a key that ``LOCAL`` classes of one flush share sends one unit for them, while its members
+go elsewhere as a block of their own, so no task gathers a hot key; hubs are folded by min() before shuffles. Texts are read three times and never shuffled: the few
 sets needed for verification are found by a bit map of fixed size (``BITS``) before their texts are split.
 
 Defined cases: null or blank text has an empty set, no links and itself as component; a null id never names a component
@@ -38,10 +40,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, settle, tidy
 from .shingles import U, mix, shingle_sets
 
-GROUPS, ALL_PAIRS, LEAF, BITS, FLUSH = 64, 8, 16, 1 << 25, 1_000_000
+GROUPS, ALL_PAIRS, LOCAL, PART, LEAF, BITS, FLUSH = 64, 8, 32, 512, 16, 1 << 25, 1_000_000
 NO_ID = -(1 << 63)
 _BAND, _GROUP, _SIZE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 KEY_BYTES, SET_BYTES = 7, 6
@@ -154,24 +156,46 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<u8").ravel(), named[pos]
 
 
-def _blocks(keys: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(fingerprint of the members, members) of each distinct member list with two classes or more."""
+def _names(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprint of the members of each stretch of values."""
+    total = np.r_[U(0), np.cumsum(mix(values.view(U)), dtype=U)]
+    return mix(total[end] - total[begin]).view(np.int64)
+
+
+def fold_local(keys: np.ndarray, classes: np.ndarray, least: int = LOCAL) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """A flush's keys that ``least`` classes or more share become units: (keys and classes that stay single, units as rows
+    of key, name and pivot, members by name). What a key sends to its shard then follows the flushes, not its members."""
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    end = np.r_[begin[1:], len(keys)].astype(np.int64)
+    many = end - begin >= least
+    single = np.repeat(~many, end - begin)
+    begin, end = begin[many], end[many]
+    names = _names(classes, begin, end)
+    units = np.stack([keys[begin].view(np.int64), names, classes[begin]], axis=1) if len(begin) else np.zeros((0, 3), dtype=np.int64)
+    return keys[single], classes[single], units, {int(n): classes[a:b] for n, a, b in zip(names, begin, end, strict=True)}
+
+
+def _blocks(keys: np.ndarray, classes: np.ndarray, units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(name, members, unit of each member or 0) of each distinct member list with two members or more; a unit's member is
+    its pivot."""
+    keys = np.r_[keys, units[:, 0].view(U)]
+    tag = np.r_[np.zeros(len(classes), dtype=np.int64), units[:, 1]]
+    classes = np.r_[classes, units[:, 2]]
+    order = np.lexsort((tag, classes, keys))
+    keys, classes, tag = keys[order], classes[order], tag[order]
     fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
-    keys, classes = keys[fresh], classes[fresh]
+    fresh[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]) | (tag[1:] != tag[:-1])
+    keys, classes, tag = keys[fresh], classes[fresh], tag[fresh]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-    end = np.r_[begin[1:], len(keys)]
+    end = np.r_[begin[1:], len(keys)].astype(np.int64)
     many = end - begin > 1
     begin, end = begin[many], end[many]
-    if not len(begin):
-        return
-    total = np.r_[U(0), np.cumsum(mix(classes.view(U)), dtype=U)]
-    named = mix(total[end] - total[begin]).view(np.int64)
+    named = _names(classes ^ mix(tag.view(U)).view(np.int64), begin, end)
     _, first = np.unique(named, return_index=True)
     for i in first.tolist():
-        yield int(named[i]), classes[begin[i] : end[i]]
+        yield int(named[i]), classes[begin[i] : end[i]], tag[begin[i] : end[i]]
 
 
 # --- step 3: R-trees --------------------------------------------------------------------------------------------------
@@ -206,39 +230,63 @@ class CountTree:
         return self.order[at]
 
 
-def block_pairs(cls: np.ndarray, n: np.ndarray, vectors: np.ndarray, comp: np.ndarray | None, all_pairs: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one block to verify. comp None: all pairs of a small block, pairs with the pivot of a larger one; else the
-    pairs of different components. Saturated vectors (65535) are not bounded."""
+def block_pairs(cls: np.ndarray, n: np.ndarray, vectors: np.ndarray, comp: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller class first) of different components whose bound reaches the threshold: all of one part, or, given
+    two parts, those across them. Saturated counts (65535) are not bounded."""
     v = vectors.astype(np.int64)
     v[v == 65535] = 1 << 40
-    order = np.argsort(cls)
-    cls, n, v = cls[order], n[order], v[order]
-    comp = comp[order] if comp is not None else None
-    tree = CountTree(v, n)
-    asks = range(len(cls)) if comp is not None or len(cls) <= all_pairs else range(1)
-    left, right = [], []
-    for i in asks:
-        hits = tree.reaching(v[i], int(n[i]))
-        hits = hits[hits > i] if comp is None else hits[(hits > i) & (comp[hits] != comp[i])]
+    low = part == part.min()
+    here, there = (np.flatnonzero(low), np.flatnonzero(~low)) if not low.all() else (np.arange(len(cls)),) * 2
+    tree = CountTree(v[there], n[there])
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in here.tolist():
+        hits = there[tree.reaching(v[i], int(n[i]))]
+        hits = hits[(comp[hits] != comp[i]) & ((cls[hits] > cls[i]) | (not low.all()))]
         left.append(np.full(len(hits), cls[i]))
         right.append(cls[hits])
-    return np.concatenate(left), np.concatenate(right)
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def _pairs(blocks: DataFrame, points: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a < b) of all blocks. blocks: block, cls, members; points: cls, n, vec; comps: cls, comp."""
-    met = blocks.join(points, "cls")
-    if comps is not None:
-        met = met.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+def _tree_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of all blocks through R-trees. blocks: block, cls, comp, members; points: cls, n, vec.
 
-    cross = comps is not None
+    A block of more than PART members is dealt in parts whose pairs of parts are cells, so no task holds a whole block.
+    """
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    met = blocks.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = met.select("block", "cls", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(points, "cls")
 
     def run(t: pa.Table) -> pa.Table:
-        vec = np.frombuffer(b"".join(t["vec"].to_pylist()), dtype="<u2").reshape(-1, GROUPS)
-        a, b = block_pairs(t["cls"].to_numpy(), t["n"].to_numpy(), vec, t["comp"].to_numpy() if cross else None)
+        part = t["part"].to_numpy()
+        a = b = np.zeros(0, dtype=np.int64)
+        if t["i"][0] == t["j"][0] or part.min() < part.max():
+            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), dtype="<u2").reshape(-1, GROUPS)
+            a, b = block_pairs(t["cls"].to_numpy(), t["n"].to_numpy(), vec, t["comp"].to_numpy(), part)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("block").applyInArrow(run, "a long, b long").distinct()
+    return met.groupBy("block", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _pivot_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
+    """Distinct pairs of a block's pivot (its smallest class) with its members, where summed minima reach the threshold."""
+    pairs = blocks.filter("pivot < cls").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    side = lambda k: points.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("vec").alias(f"v{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                va, vb = (np.frombuffer(b"".join(part[c].to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
+                na, nb = part["na"].to_numpy(), part["nb"].to_numpy()
+                free = ((va == 65535) | (vb == 65535)).any(axis=1)
+                bound = np.where(free, np.minimum(na, nb), np.minimum(va, vb).sum(axis=1))
+                ok = pa.array((180 * np.minimum(bound, np.minimum(na, nb)) >= 80 * (na + nb)))
+                yield pa.RecordBatch.from_arrays([part["a"].filter(ok), part["b"].filter(ok)], ["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(tidy(run), "a long, b long")
 
 
 # --- steps 4 and 5 ----------------------------------------------------------------------------------------------------
@@ -279,7 +327,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cls", "n", "elements"])
 
-    found = marked.select("at", "text").mapInArrow(run, "cls long, n long, elements binary")
+    found = marked.select("at", "text").mapInArrow(tidy(run), "cls long, n long, elements binary")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -307,7 +355,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(links(na, nb, int((x[1:] == x[:-1]).sum()), percent))
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,11 +372,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("cls", "comp")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def _open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    """(block, cls, comp, members) of the blocks whose classes aren't in one component yet, units replaced by their
+    members; blocks that have given all their pairs before are left out."""
+    label = settle(blocks.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "labelled")
+    apart = label.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
+    inside = label.filter("unit <> 0").join(apart.withColumnRenamed("block", "unit"), "unit", "left_semi").select("block")
+    wanted = apart.union(inside).distinct()
+    told = label.groupBy("block").agg(F.max("members").alias("m"), F.max(F.when(F.col("unit") != 0, 1).otherwise(0)).alias("u")).filter((F.col("m") > ALL_PAIRS) | (F.col("u") > 0))
+    rows = label.join(wanted.join(told.select("block"), "block", "left_semi"), "block", "left_semi").select("block", "cls", "comp", "unit")
+    members = label.filter("unit = 0").select(F.col("block").alias("unit"), "cls", "comp")  # a unit is a block of its own
+    whole = rows.filter("unit = 0").drop("unit").union(rows.filter("unit <> 0").select("block", "unit").join(members, "unit").select("block", "cls", "comp")).distinct()
+    return settle(whole.join(whole.groupBy("block").agg(F.count("*").alias("members")), "block"), "open")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, local: int = LOCAL) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, and the row's class cls (null for an empty set)."""
     if percent != 80:
         raise ValueError("filing and size bands are worked out for a similarity of 0.8")
     spark = docs.sparkSession
+    lean(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
@@ -341,15 +404,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 vec = count_vectors(flat, offsets).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(class_ids(flat, offsets), mask=n == 0), pa.array([v.tobytes() for v in vec], pa.binary())], ["doc_id", "n", "cls", "vec"])
 
-    known = settle(rows.mapInArrow(classify, "doc_id long, n long, cls long, vec binary"), "classes")
+    known = settle(rows.mapInArrow(tidy(classify), "doc_id long, n long, cls long, vec binary"), "classes")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, classes, held, named = set(), [], [], 0, 0
+        seen, told, keys, classes, held, named = set(), set(), [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                packed = list(_pack(np.concatenate(keys), np.concatenate(classes), shards))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())], ["shard", "blob"])
+            if not held:
+                return
+            k, c, units, inside = fold_local(np.concatenate(keys), np.concatenate(classes), local)
+            out = [(s, "blob", b) for s, b in _pack(k, c, shards)]
+            of = (units[:, 0].view(U) % U(shards)).astype(np.int64)
+            out += [(int(s), "units", np.ascontiguousarray(units[of == s]).astype("<i8").tobytes()) for s in np.unique(of)]
+            out += [(n % shards, "local", m.astype("<i8").tobytes()) for n, m in inside.items() if n not in told]  # dealt by name, not by key
+            told.update(inside)
+            for a in range(0, len(out), 256):
+                part = out[a : a + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), *(pa.array([x[2] if x[1] == kind else None for x in part], pa.binary()) for kind in ("blob", "units", "local"))],
+                                                 ["shard", "blob", "units", "local"])
 
         for batch in batches:
             for part in _slices(batch, "text"):
@@ -368,27 +440,39 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [_unpack(x.as_buffer()) for batch in batches for x in batch["blob"]]
-        if not blobs:
-            return
-        for name, members in _blocks(*(np.concatenate([b[i] for b in blobs]) for i in range(2))):
-            for s in range(0, len(members), 50_000):
-                part = members[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(part), pa.array(np.full(len(part), len(members)))], ["block", "cls", "members"])
+        blobs, units = [], [np.zeros((0, 3), dtype=np.int64)]
 
-    filed = docs.select("text").mapInArrow(file, "shard int, blob binary").repartitionById(shards, F.col("shard"))
-    blocks = settle(filed.mapInArrow(gather, "block long, cls long, members long").distinct(), "blocks")
+        def rows(name: int, members: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(members), 50_000):
+                part, unit = members[a : a + 50_000], tag[a : a + 50_000]
+                same = [pa.array(np.full(len(part), x)) for x in (name, len(members), members[0])]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(part), pa.array(unit), *same[1:]], ["block", "cls", "unit", "members", "pivot"])
+
+        for batch in batches:
+            blobs += [_unpack(x.as_buffer()) for x in batch["blob"] if x.is_valid]
+            units += [np.frombuffer(x.as_buffer(), dtype="<i8").reshape(-1, 3) for x in batch["units"] if x.is_valid]
+            for x in batch["local"]:
+                if x.is_valid:  # a block of its own, passed on as it comes
+                    members = np.frombuffer(x.as_buffer(), dtype="<i8")
+                    name = int(_names(members, np.array([0]), np.array([len(members)]))[0])
+                    yield from rows(name, members, np.zeros(len(members), dtype=np.int64))
+        none = (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
+        for name, members, tag in _blocks(*(np.concatenate([none[i], *(b[i] for b in blobs)]) for i in range(2)), np.concatenate(units)):
+            yield from rows(name, members, tag)
+
+    filed = docs.select("text").mapInArrow(tidy(file), "shard int, blob binary, units binary, local binary").repartitionById(shards, F.col("shard"))
+    blocks = settle(filed.mapInArrow(tidy(gather), "block long, cls long, unit long, members long, pivot long").distinct(), "blocks")
 
     points = known.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     points = settle(points.join(blocks.select("cls").distinct(), "cls", "left_semi"), "points")  # only classes that met another
     sets = settle(_sets_of(docs, points.select("id", "cls"), width), "sets")
-    first = settle(_pairs(blocks, points.select("cls", "n", "vec"), None), "pairs")
+    vectors = points.select("cls", "n", "vec")
+    large = blocks.filter(F.col("members") > ALL_PAIRS)
+    few = blocks.filter(F.col("members") <= ALL_PAIRS).withColumn("comp", F.col("cls"))
+    first = settle(_tree_pairs(few, vectors).union(_pivot_pairs(large, vectors)).distinct(), "pairs")
     edges = settle(_verify(first, sets, percent), "links")
     comps = components(edges)
-    large = blocks.filter(F.col("members") > ALL_PAIRS)
-    label = large.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    apart = label.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
-    rest = settle(_pairs(large.join(apart, "block", "left_semi"), points.select("cls", "n", "vec"), comps).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = settle(_tree_pairs(_open_blocks(blocks, comps), vectors).join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         edges = settle(edges.union(_verify(rest, sets, percent)), "links")
         comps = components(edges)

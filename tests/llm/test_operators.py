@@ -114,13 +114,13 @@ def brute_components(texts, ids):
     return [(ids[i], len(sets[i]), min(low[find(i)])) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("seed", "all_pairs", "part"), [(1, 8, 1000), (2, 2, 1000), (3, 2, 3)])
-def test_components(spark, monkeypatch, seed, all_pairs, part):
+@pytest.mark.parametrize(("seed", "all_pairs", "part", "local"), [(1, 8, 1000, 1000), (2, 2, 3, 1000), (3, 2, 3, 2)])
+def test_components(spark, monkeypatch, seed, all_pairs, part, local):
     monkeypatch.setattr(jaccard_join, "ALL_PAIRS", all_pairs)
     monkeypatch.setattr(jaccard_join, "PART", part)
     texts = near_copies(seed) + ODD[:10] + ["a b c d", "A  b c D"]
     ids = random.Random(seed).sample(range(10_000), len(texts))
-    got = jaccard_join.near_components(clashing(docs(spark, texts, ids)).repartition(3))
+    got = jaccard_join.near_components(clashing(docs(spark, texts, ids)).repartition(3), local=local)
     assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(brute_components(texts, ids))
 
 
@@ -157,6 +157,16 @@ def test_tree_bound_loses_nothing():
         assert want <= set(tree.reaching(v[i], int(n[i])).tolist()) <= want | {j for j in range(300)}
 
 
+def test_folding_keeps_every_meeting():
+    rng = np.random.default_rng(2)
+    keys, cls = rng.integers(0, 40, 3000, dtype=np.uint64), rng.integers(-500, 500, 3000)
+    k, c, units, local = jaccard_join.fold_local(keys, cls, 32)
+    assert sorted(zip(k.tolist(), c.tolist(), strict=True)) + sorted((int(u), int(m)) for u, n, _ in units for m in local[int(n)]) and len(k) + sum(len(local[int(n)]) for _, n, _ in units) == 3000
+    assert all(min(local[int(n)]) == p for _, n, p in units)
+    got = {name: (m.tolist(), t.tolist()) for name, m, t in jaccard_join._blocks(k, c, np.r_[units, [[7, 99, 5]]])}
+    assert any(99 in t for _, t in got.values())
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     keys, cls = rng.integers(0, 1 << 56, 5000, dtype=np.uint64), rng.integers(-(1 << 62), 1 << 62, 40)[rng.integers(0, 40, 5000)]
