@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import link_quotes
 from .common import table
 from .exact_dedup import find_copies
 from .jaccard_join import near_components
@@ -130,6 +131,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op2_quote_links": op2_quote_links, "op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
            "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op3_exact_topk": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
