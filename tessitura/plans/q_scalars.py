@@ -16,16 +16,16 @@ def exploded(df, *keys):
     return df.select(*keys, F.posexplode("v").alias("p", "x")).select(*keys, (F.col("p") + 1).cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query("scl_01_l2_normalise", "WITH " + WIN_SQL + f", n AS (SELECT vec_id, list_transform(v, lambda x: 3 * x / greatest(sqrt(9 * list_inner_product(v, v)), 1e-12)) AS v FROM win WHERE vec_id < 50), o AS (SELECT vec_id, {_LONG} FROM n) SELECT vec_id, dim, round(x, 6) AS x FROM o")
+@query("scl_01_l2_normalise", "WITH " + WIN_SQL + f", n AS (SELECT vec_id, list_transform(v, lambda x: 3 * x / greatest(sqrt(9 * list_inner_product(v, v)), 1e-12)) AS v FROM win), o AS (SELECT vec_id, {_LONG} FROM n) SELECT vec_id, dim, round(x, 6) AS x FROM o")
 def l2_normalise(spark, d):
-    w = windows(spark, d).filter("vec_id < 50").withColumn("v", F.transform("v", lambda x: 3 * x))
+    w = windows(spark, d).withColumn("v", F.transform("v", lambda x: 3 * x))
     return exploded(w.withColumn("v", vectors.normalise(F.col("v"))), "vec_id")
 
 
-@query("scl_02_centre_normalise", "WITH " + WIN_SQL + MEAN_SQL + f", o AS (SELECT track_id, role, offset_s, {_LONG} FROM cen WHERE offset_s < 20) SELECT track_id, role, offset_s, dim, round(x, 6) AS x FROM o")
+@query("scl_02_centre_normalise", "WITH " + WIN_SQL + MEAN_SQL + f", o AS (SELECT track_id, role, offset_s, {_LONG} FROM cen) SELECT track_id, role, offset_s, dim, round(x, 6) AS x FROM o")
 def centre_normalise(spark, d):
     w = windows(spark, d)
-    return exploded(vectors.centred(w, w.filter("role = 'reference'")).filter("offset_s < 20"), "track_id", "role", "offset_s")
+    return exploded(vectors.centred(w, w.filter("role = 'reference'")), "track_id", "role", "offset_s")
 
 
 _DUR = "d AS (SELECT doc_id, (n_chars % 400) / 10.0::double AS dur FROM documents)"
@@ -55,9 +55,9 @@ def even_starts(spark, d):
     return durations(spark, d).select("doc_id", F.explode(fn.even_starts(F.col("dur"), 5)).alias("start"))
 
 
-@query("scl_05_full_windows", "SELECT doc_id, unnest(range(0, n_chars - 480 + 1, 240)) AS start FROM documents WHERE n_chars >= 480 AND n_chars < 3000")
+@query("scl_05_full_windows", "SELECT doc_id, unnest(range(0, n_chars - 480 + 1, 240)) AS start FROM documents WHERE n_chars >= 480")
 def full_windows(spark, d):
-    return read(spark, d, "documents").filter("n_chars < 3000").select("doc_id", F.explode(fn.full_windows(F.col("n_chars"), 480, 240)).alias("start"))
+    return read(spark, d, "documents").select("doc_id", F.explode(fn.full_windows(F.col("n_chars"), 480, 240)).alias("start"))
 
 
 @query("scl_10_pitch_class", "SELECT event_id, ((round_even(69 + 12 * log2((value + 20) / 440.0::double), 0)::bigint % 12) + 12) % 12 AS pc FROM events")
@@ -192,14 +192,14 @@ def hashes(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), hash48(F.col("text")).alias("prefix48"))
 
 
-@query("scl_26_peak_normalise", "WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings WHERE vec_id < 50), n AS (SELECT vec_id, list_transform(v, lambda x: x * 0.98 / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM w) SELECT vec_id, dim, round(x, 6) AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1)::bigint AS dim FROM n)")
+@query("scl_26_peak_normalise", "WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x * 0.98 / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM w) SELECT vec_id, dim, round(x, 6) AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1)::bigint AS dim FROM n)")
 def peak_normalise(spark, d):
-    return exploded(windows(spark, d).filter("vec_id < 50").withColumn("v", fn.peak_normalise(F.col("v"))), "vec_id")
+    return exploded(windows(spark, d).withColumn("v", fn.peak_normalise(F.col("v"))), "vec_id")
 
 
-@query("scl_27_reorder_blocks", "WITH w AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id < 50), o AS (SELECT vec_id, list_concat(v[21:40], v[1:20], v[41:60], v[21:40]) AS v FROM w) SELECT vec_id, dim, round(x::double, 6) AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1)::bigint AS dim FROM o)")
+@query("scl_27_reorder_blocks", "WITH w AS (SELECT vec_id, embedding AS v FROM embeddings), o AS (SELECT vec_id, list_concat(v[21:40], v[1:20], v[41:60], v[21:40]) AS v FROM w) SELECT vec_id, dim, round(x::double, 6) AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1)::bigint AS dim FROM o)")
 def reorder_blocks(spark, d):
-    return exploded(windows(spark, d).filter("vec_id < 50").withColumn("v", fn.reorder_blocks(F.col("v"), 20, [1, 0, 2, 3, 1])), "vec_id")
+    return exploded(windows(spark, d).withColumn("v", fn.reorder_blocks(F.col("v"), 20, [1, 0, 2, 3, 1])), "vec_id")
 
 
 @query("scl_30_excerpts", "WITH " + _DUR + " SELECT doc_id, round(unnest([0.15, 0.5, 0.8]::double[]) * greatest(0, dur - 12), 3) AS start FROM d")
@@ -207,9 +207,9 @@ def excerpts(spark, d):
     return durations(spark, d).select("doc_id", F.explode(fn.excerpt_starts(F.col("dur"), 12.0)).alias("start"))
 
 
-@query("scl_31_half_even_rounding", "SELECT event_id, round_even(event_id / 8.0::double, 2) AS rounded FROM events WHERE event_id < 1000")
+@query("scl_31_half_even_rounding", "SELECT event_id, round_even(event_id / 8.0::double, 2) AS rounded FROM events")
 def half_even(spark, d):
-    return read(spark, d, "events").filter("event_id < 1000").select("event_id", F.bround(F.col("event_id") / 8.0, 2).alias("rounded"))
+    return read(spark, d, "events").select("event_id", F.bround(F.col("event_id") / 8.0, 2).alias("rounded"))
 
 
 @query("str_05_content_hash", "SELECT page_id, sha256(coalesce(html, '')) AS audio_hash FROM pages")

@@ -46,9 +46,7 @@ def aligned(spark, d):
 @query("scl_16_compare_chroma")
 def compare(spark, d):
     long = lambda v: signal._unit(np.tile(_frames(v), (60, 1)))
-    few = frames(spark, d).filter("vec_id < 60")
-    out = signal.apply_kernel(few, ["vec_id"], ["embedding", "other"], lambda a, b: signal.compare_chroma(long(a), long(b)), "double")
-    return out.select("vec_id", F.round("value", 6).alias("score"), "error")
+    return kernel(spark, d, lambda a, b: signal.compare_chroma(long(a), long(b))).select("vec_id", F.round("value", 6).alias("score"), "error")
 
 
 @query("scl_06_chroma_windows")
