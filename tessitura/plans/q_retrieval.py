@@ -19,9 +19,9 @@ def segments(spark, d, centred=False):
     return retrieval.greedy_windows(retrieval.best_per_window(pairs(spark, d, centred=centred)))
 
 
-@query("jn_01_all_pairs", PAIRS_SQL + " SELECT query_id, q_off, track_id, r_off, score FROM pairs WHERE score >= 0.2")
+@query("jn_01_all_pairs", PAIRS_SQL + " SELECT query_id, q_off, track_id, r_off, score FROM pairs")
 def all_pairs(spark, d):
-    return pairs(spark, d).filter("score >= 0.2")
+    return pairs(spark, d)
 
 
 @query("agg_01_best_pair", PAIRS_SQL + """ SELECT query_id, track_id, max(score) AS score, arg_min(q_off, (-score, q_off, r_off)) AS q_off, arg_min(r_off, (-score, q_off, r_off)) AS r_off

@@ -57,3 +57,15 @@ def test_chroma_of_every_pair(spark):
     long = lambda v: signal._unit(np.tile(q_signal._frames(v), (60, 1)))
     for i in sorted(pairs)[-5:]:
         assert abs(got[i]["score"] - signal.compare_chroma(long(pairs[i][0]), long(pairs[i][1]))) < 2e-6
+
+
+def test_every_pair_of_windows(spark):
+    e = sorted(table("embeddings"), key=lambda r: r["vec_id"])
+    at, rows = {}, []
+    for r in e:
+        k = (r["label"], r["vec_id"] % 5 == 0)
+        rows.append((k[1], r["label"], 5.0 * at.get(k, 0), np.array(r["embedding"], dtype=np.float64)))
+        at[k] = at.get(k, 0) + 1
+    want = {(a, i, b, j): x @ y for q, a, i, x in rows if q for p, b, j, y in rows if not p}
+    got = {(r["query_id"], r["q_off"], r["track_id"], r["r_off"]): r["score"] for r in run(spark, "jn_01_all_pairs")}
+    assert got.keys() == want.keys() and min(got.values()) < 0 and all(abs(got[k] - want[k]) < 2e-6 for k in want)
