@@ -41,11 +41,11 @@ def score_pairs(rows: DataFrame, model: dict, features: str = "v") -> DataFrame:
     return rows.withColumn("probability", linear_score(F.col(features), model["mean"], model["std"], model["weights"], model["bias"]))
 
 
-def classifiers(trees: int = 100, depth: int = 5, seed: int = 42) -> dict:
+def classifiers(trees: int = 500, depth: int = 5, seed: int = 42, rounds: int = 250) -> dict:
     """UDF-03/04. There is no extra-trees class in Spark ML: a forest without bootstrap on random feature thirds stands for it."""
     common = {"featuresCol": "x", "labelCol": "y", "seed": seed}
     return {"logistic": LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01), "forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, **common),
-            "extra": RandomForestClassifier(numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="onethird", **common), "boosted": GBTClassifier(maxIter=20, maxDepth=min(depth, 4), **common)}
+            "extra": RandomForestClassifier(numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="onethird", **common), "boosted": GBTClassifier(maxIter=rounds, maxDepth=min(depth, 4), **common)}
 
 
 def as_vectors(df: DataFrame, features: str = "v") -> DataFrame:
@@ -63,7 +63,7 @@ def fit_all(train: DataFrame, test: DataFrame, features: str = "v", **how) -> Da
     return out
 
 
-def leave_one_family_out(rows: DataFrame, family: str, features: str = "v", steps: int = 1500) -> DataFrame:
+def leave_one_family_out(rows: DataFrame, family: str, features: str = "v", steps: int = 6000) -> DataFrame:
     """UDF-06: each family scored by a pair verifier fitted on the others. Families are few (one fit each)."""
     out = None
     for (name,) in rows.select(family).distinct().orderBy(family).collect():

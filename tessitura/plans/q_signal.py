@@ -123,13 +123,13 @@ def labelled(spark, d):
 @query("udf_02_pair_verifier")
 def pair_verifier(spark, d):
     rows = labelled(spark, d).cache()
-    return models.score_pairs(rows, models.fit_pair_verifier(rows, steps=1500)).select("user_id", "y", F.round("probability", 4).alias("probability"))
+    return models.score_pairs(rows, models.fit_pair_verifier(rows)).select("user_id", "y", F.round("probability", 4).alias("probability"))
 
 
 @query("udf_03_pair_classifiers")
 def pair_classifiers(spark, d):
     rows = labelled(spark, d)
-    out = models.fit_all(rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 1"), trees=20)
+    out = models.fit_all(rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 1"), trees=500)
     return out.select("model", "user_id", "y", F.round("probability", 4).alias("probability"))
 
 
@@ -139,7 +139,7 @@ def query_classifiers(spark, d):
 
     g = labelled(spark, d).groupBy(F.floor(F.col("user_id") / 3).alias("query_id")).agg(F.collect_list("v").alias("vs"), F.max("y").alias("y"))
     rows = g.withColumn("v", temporal.query_vector(F.col("vs"))).filter("v IS NOT NULL").drop("vs")
-    out = models.fit_all(rows, rows, trees=20, depth=5)
+    out = models.fit_all(rows, rows, trees=800, depth=5)
     return out.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 4).alias("mean_probability"))
 
 
@@ -153,7 +153,7 @@ def predict(spark, d):
 
 @query("udf_06_leave_one_family_out")
 def lofo(spark, d):
-    return models.leave_one_family_out(labelled(spark, d).cache(), "family", steps=300).select("family", "user_id", "y", F.round("probability", 4).alias("probability"))
+    return models.leave_one_family_out(labelled(spark, d).cache(), "family").select("family", "user_id", "y", F.round("probability", 4).alias("probability"))
 
 
 @query("udf_08_hybrid_policy", D + """, p AS (SELECT *, unnest(CASE WHEN family = 'en' THEN ['all', 'ai'] ELSE ['all', 'premusic'] END) AS part FROM dec)
