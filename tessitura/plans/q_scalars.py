@@ -86,7 +86,7 @@ def best_roll(spark, d):
 
 
 _SEG = """seg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, round(value % 60, 3) AS q, round((value * 7) % 60, 3) AS r, event_id % 3 AS shift FROM events),
- s5 AS (SELECT *, row_number() OVER w AS k, q - lag(q) OVER w AS dq, r - lag(r) OVER w AS dr FROM seg WHERE i <= 6 WINDOW w AS (PARTITION BY user_id ORDER BY q, r, shift)),
+ s5 AS (SELECT *, row_number() OVER w AS k, q - lag(q) OVER w AS dq, r - lag(r) OVER w AS dr FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY q, r, shift)),
  isl AS (SELECT *, sum(CASE WHEN dr >= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS isl FROM s5),
  runs AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, isl, count(*) AS n FROM isl GROUP BY ALL) GROUP BY user_id),
  md AS (SELECT user_id, max(n) AS m FROM (SELECT user_id, shift, count(*) AS n FROM s5 GROUP BY ALL) GROUP BY user_id),
@@ -96,11 +96,8 @@ _SEG = """seg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER
 
 
 def segment_lists(spark, d):
-    from pyspark.sql import Window
-
-    e = read(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("i <= 6")
     seg = F.struct(F.round(F.col("value") % 60, 3).alias("q"), F.round((F.col("value") * 7) % 60, 3).alias("r"), (F.col("event_id") % 3).alias("shift"))
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+    return read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
 
 
 @query("scl_17_temporal_evidence", "WITH " + _SEG + " SELECT user_id, round(ordered, 6) AS ordered, round(shift_consistency, 6) AS shift_consistency, round(tempo_consistency, 4) AS tempo_consistency, longest, round(coverage, 6) AS coverage FROM tf")

@@ -110,3 +110,21 @@ def test_classifiers_have_all_trees(spark, monkeypatch, name, trees):
     with pytest.raises(InterruptedError):
         registry.QUERIES[name](spark, FOLDER)
     assert (made[0]["forest"].getNumTrees(), made[0]["extra"].getNumTrees(), made[0]["boosted"].getMaxIter()) == (trees, trees, 250)
+
+
+def test_features_of_every_event(spark):
+    by = {}
+    for r in table("events"):
+        by.setdefault(r["user_id"], []).append((round(r["value"] % 60, 3), round((r["value"] * 7) % 60, 3), r["event_id"] % 3))
+    assert max(map(len, by.values())) > 6
+    got = {r["user_id"]: r for r in run(spark, "scl_17_temporal_evidence")}
+    assert got.keys() == by.keys()
+    for user, segments in by.items():
+        q, r, shift = zip(*sorted(segments), strict=True)
+        n, up = len(q), [b >= a for a, b in zip(r, r[1:], strict=False)]
+        best = length = 1
+        for x in up:
+            length = length + 1 if x else 1
+            best = max(best, length)
+        assert got[user]["longest"] == best and abs(got[user]["ordered"] - sum(up) / max(1, n - 1)) < 2e-6
+        assert abs(got[user]["shift_consistency"] - max(map(shift.count, shift)) / n) < 2e-6 and abs(got[user]["coverage"] - min(1, 10 * best / max(10, max(q) + 10))) < 2e-6
