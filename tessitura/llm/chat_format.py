@@ -1,32 +1,143 @@
 """Chat formatting by quotation linking.
 
-Lines that begin with ``>`` marks are quotes; the marks give their level. Quoted lines are normalised (case, white space)
-and hashed, and joined to the own lines of earlier messages of the conversation; a message replies to the one that most of
-its quoted lines come from (ties: the latest), else to the message before it. Own lines stay, without quotes.
+Lines that begin with ``>`` marks are quotes; the marks give their level. Consecutive lines of one level are a passage (an
+empty line ends it); case, white space and line ends are normal, so a rewrapped quote is the same passage. A passage of
+level n comes from the latest earlier message of the conversation that holds it, as a run of words, in a passage of level
+n - 1: level 1 quotes own words, a deeper level what the message found had quoted. Level 1 is resolved first: a message
+replies to the one that most passages of its lowest level found come from (ties: the latest); where none is found, to the
+message of the turn before. So replies are a forest, and messages come out in its order: each after the one that it
+replies to, answers by turn, an answer's own answers before the next one.
 
-Defined cases: null text has no lines; null conv_id or turn rows link to nothing; an empty table gives an empty result.
+Passages are looked up by the hash of their first words (a power of two, ANCHOR at most) and then compared as text.
+
+Defined cases: null text has no lines; null conv_id or turn rows link to nothing and have no position; an empty table
+gives an empty result; of several messages of a turn the first stands for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
+#: Words of the longest run that is hashed.
+ANCHOR = 16
+_MARKS = re.compile(r"((?:\s*>)*)", re.ASCII)
+_PASSAGES = pa.list_(pa.struct([("level", pa.int64()), ("words", pa.string())]))
+
+
+def parse(text: str | None) -> tuple[int, int, str, list[tuple[int, str]]]:
+    """max_level, n_quoted, own lines, passages as (level, normal words)."""
+    own, passages, words, last, most, quoted = [], [], [], -1, 0, 0
+    for line in re.split(r"\r?\n", text or ""):
+        marks = _MARKS.match(line)[0]
+        level = marks.count(">")
+        most, quoted = max(most, level), quoted + (level > 0)
+        if not level:
+            own.append(line)
+        said = line[len(marks) :].lower().split() if level else line.lower().split()
+        if words and (level != last or not said):
+            passages.append((last, " ".join(words)))
+            words = []
+        words += said
+        last = level
+    if words:
+        passages.append((last, " ".join(words)))
+    return most, quoted, "\n".join(own).strip(" "), passages
+
+
+def reply_order(turns: list[tuple[int, int, int | None]]) -> list[tuple[int, int | None, int, int]]:
+    """(turn, id, quoted turn) of one conversation to (id, reply_to, position, depth), in reply order."""
+    rows = sorted(turns, key=lambda r: r[:2])
+    first: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        first.setdefault(r[0], i)
+    known, reply, below = list(first), [], [[] for _ in rows]
+    roots = []
+    for i, (turn, _, quoted) in enumerate(rows):
+        at = bisect_left(known, turn)
+        to = quoted if quoted is not None else known[at - 1] if at else None
+        reply.append(to)
+        (roots if to is None else below[first[to]]).append(i)
+    out, stack = [], [(i, 0) for i in reversed(roots)]
+    while stack:
+        i, depth = stack.pop()
+        out.append((rows[i][1], reply[i], len(out), depth))
+        stack += [(k, depth + 1) for k in reversed(below[i])]
+    return out
+
+
+def _parse_batches(batches):
+    for b in batches:
+        got = [parse(t) for t in b.column("text").to_pylist()]
+        cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        cols.append(pa.array([[{"level": n, "words": w} for n, w in g[3]] for g in got], _PASSAGES))
+        keep = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *cols], names=[*keep, "max_level", "n_quoted", "content", "passages"])
+
+
+def _order_batches(batches):
+    for b in batches:
+        got = [x for rows in b.column("rows").to_pylist() for x in reply_order([(r["turn"], r["_m"], r["quoted"]) for r in rows])]
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], names=["_m", "reply_to", "position", "depth"])
+
+
+def _anchor(words: Column) -> Column:
+    """Number of words of a passage's anchor."""
+    n, size = F.size(F.split(words, " ")), F.lit(1)
+    for k in (2**i for i in range(1, ANCHOR.bit_length())):
+        size = F.when(n >= k, k).otherwise(size)
+    return size
+
+
+def _hash(words: Column, start, size) -> Column:
+    return F.xxhash64(F.array_join(F.slice(words, start, size), " "))
+
+
+def _runs(words: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
+    return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), _hash(words, i, size).alias("h")))
+
+
+def _linked(parsed: DataFrame) -> DataFrame | None:
+    """_m and the turn that it quotes; None where nothing is quoted."""
+    said = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("_m", "conv_id", "turn", F.explode("passages").alias("x")).select("_m", "conv_id", "turn", "x.*")
+    asked = said.filter("level > 0")
+    keyed = asked.select("conv_id", "level", "words", _anchor(F.col("words")).alias("size")).distinct()
+    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())
+    if not sizes:
+        return None
+    split = F.split("words", " ")
+    runs = [_runs(split, k) for k in sizes]
+    held = F.array_distinct(F.concat(*runs))
+    source = said.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("source"), (F.col("level") + 1).alias("level"), F.col("words").alias("text"), F.explode(held).alias("r"))
+    source = source.select("conv_id", "source", "level", "text", "r.*")
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    keyed = keyed.withColumn("h", _hash(split, F.lit(1), F.col("size")))
+    found = keyed.join(source, ["conv_id", "level", "size", "h"]).filter(F.contains(pad(F.col("text")), pad(F.col("words")))).select("conv_id", "level", "words", "source").distinct()
+    both = asked.select("conv_id", "level", "words", "turn", "_m", F.lit(None).cast("long").alias("source")).unionByName(
+        found.select("conv_id", "level", "words", F.col("source").alias("turn"), F.lit(None).cast("long").alias("_m"), F.col("source").cast("long").alias("source")))
+    earlier = Window.partitionBy("conv_id", "level", "words").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    hit = both.withColumn("source", F.max("source").over(earlier)).filter("_m IS NOT NULL AND source IS NOT NULL")
+    votes = hit.groupBy("_m", "level", "source").agg(F.count("*").alias("n"))
+    return votes.groupBy("_m").agg(F.max(F.struct((-F.col("level")).alias("up"), "n", "source"))["source"].alias("quoted"))
+
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, max_level, n_quoted, content."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
-    marks = lambda x: F.regexp_extract(x, r"^((?:\s*>)*)", 1)
-    body = lambda x: F.regexp_replace(x, r"^(?:\s*>)+\s?", "")
-    parsed = F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(marks(x), r"\s", "")).alias("level"), body(x).alias("body")))
-    m = messages.select("conv_id", "turn", "role", parsed.alias("l")).withColumn("_m", F.monotonically_increasing_id())
-    norm = F.xxhash64(F.lower(F.trim(F.regexp_replace("x.body", r"\s+", " "))))
-    flat = m.select("_m", "conv_id", "turn", F.explode("l").alias("x")).filter(F.trim("x.body") != "").select("_m", "conv_id", "turn", F.col("x.level").alias("level"), norm.alias("h"))
-    own = flat.filter("level = 0").groupBy("conv_id", "h").agg(F.collect_set("turn").alias("turns"))
-    hit = flat.filter("level > 0").join(own, ["conv_id", "h"]).withColumn("t", F.array_max(F.filter("turns", lambda t: t < F.col("turn")))).filter("t IS NOT NULL")
-    best = hit.groupBy("_m", "t").agg(F.count("*").alias("n")).groupBy("_m").agg(F.max(F.struct("n", "t"))["t"].alias("quoted"))
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn", "_m"))
-    out = m.withColumn("_before", before).join(best, "_m", "left")
-    kept = F.array_join(F.transform(F.filter("l", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
-    return out.select("conv_id", "turn", "role", F.coalesce("quoted", "_before").alias("reply_to"), F.array_max(F.transform("l", lambda x: x["level"])).cast("long").alias("max_level"),
-                      F.size(F.filter("l", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), F.trim(kept).alias("content"))
+    """conv_id, turn, role, reply_to, max_level, n_quoted, content, position, depth; conversations in reply order."""
+    m = messages.select("conv_id", "turn", "role", "text").withColumn("_m", F.monotonically_increasing_id())
+    m = settle(m, "messages")  # numbered once: a second evaluation may deal rows otherwise
+    kind = m.drop("text").schema.simpleString()[7:-1] + ",max_level:bigint,n_quoted:bigint,content:string,passages:array<struct<level:bigint,words:string>>"
+    parsed = m.mapInArrow(_parse_batches, f"struct<{kind}>")
+    quoted = _linked(parsed)
+    at = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("_m", "conv_id", F.col("turn").cast("long").alias("turn"))
+    at = at.withColumn("quoted", F.lit(None).cast("long")) if quoted is None else at.join(quoted, "_m", "left")
+    grouped = at.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "_m", "quoted")).alias("rows")).select("rows")
+    order = grouped.mapInArrow(_order_batches, "_m long, reply_to long, position long, depth long")
+    out = parsed.drop("passages").join(order, "_m", "left")
+    return out.orderBy("conv_id", "position", "turn", "_m").select("conv_id", "turn", "role", "reply_to", "max_level", "n_quoted", "content", "position", "depth")
