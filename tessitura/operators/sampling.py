@@ -82,6 +82,13 @@ def ordered_slice(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """SRT-03: n keys without replacement from the sorted distinct keys (MAX_GROUPS at most)."""
-    keys = sorted(r[0] for r in df.select(key).distinct().limit(MAX_GROUPS).collect())
-    return df.sparkSession.createDataFrame([(k,) for k in random.Random(seed).sample(keys, min(n, len(keys)))], df.select(key).schema)
+    """SRT-03: n keys without replacement from the sorted distinct keys.
+
+    Positions are drawn from their number and only the keys there are fetched, so the driver holds n keys at most.
+    """
+    s = numbered(df.select(key).distinct(), F.asc(key))
+    total = s.count()
+    drawn = random.Random(seed).sample(range(1, total + 1), min(n, total))
+    at = df.sparkSession.createDataFrame([(p,) for p in drawn], "_pos long")
+    got = {r["_pos"]: r[key] for r in s.join(at, "_pos").select("_pos", key).collect()}
+    return df.sparkSession.createDataFrame([(got[p],) for p in drawn], df.select(key).schema)

@@ -194,3 +194,15 @@ def test_conflicts(spark):
     known = spark.createDataFrame([("k", "p"), ("n", None)], "request_key string, payload string")
     req = spark.createDataFrame([("k", "p"), ("k2", "p"), ("n", None), ("n", "q")], "request_key string, payload string")
     assert sorted(r["admission"] for r in policy.admit(req, known).collect()) == ["EXISTING", "EXISTING", "NEW", "REQUEST_ID_CONFLICT"]
+
+
+def test_seeded_sample_draws_from_all_keys(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(sampling, "MAX_GROUPS", 10)
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    want = random.Random(7).sample(range(0, 3000, 3), 40)
+    for parts in (1, 7):
+        assert [r[0] for r in sampling.seeded_sample(df.union(df).repartition(parts), "k", 7, 40).collect()] == want
+    assert sorted(r[0] for r in sampling.seeded_sample(df.limit(5), "k", 7, 9).collect()) == [0, 3, 6, 9, 12]
+    assert sampling.seeded_sample(df.limit(0), "k", 7, 9).count() == 0
