@@ -3,7 +3,7 @@
 Lines that begin with ``>`` marks are quotes; the marks give their level. Consecutive lines of one level are a passage (an
 empty line ends it); case, white space and line ends are normal, so a rewrapped quote is the same passage. A passage of
 level n comes from the latest earlier message of the conversation that holds it, as a run of words, in a passage of level
-n - 1: level 1 quotes own words, a deeper level what the message found had quoted. Level 1 is resolved first: a message
+n - 1: level 1 quotes own words, a deeper level what an earlier message had quoted. Level 1 is resolved first: a message
 replies to the one that most passages of its lowest level found come from (ties: the latest); where none is found, to the
 message of the turn before. So replies are a forest, and messages come out in its order: each after the one that it
 replies to, answers by turn, an answer's own answers before the next one.
