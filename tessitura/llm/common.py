@@ -32,9 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where the setting is unset (tests)."""
+    """The shared folder of the session; a folder of our own only where the setting is unset and the master is local
+    (tests). On a cluster without the setting each executor would write to its own disk, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         base = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -102,6 +106,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = 1000, least: int = 100_000) -> DataFrame:
+    """left joined with right, which has one row for each key. Keys that hold more than ``least`` rows of left, and more
+    than its ``most``-th part, meet right's rows by broadcast (``most`` rows at the utmost), so no task gathers such a
+    key. left is read three times: settle it first."""
+    heavy = max(least, left.count() // most)
+    hot = settle(left.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > heavy) & F.col(key).isNotNull()).select(key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    warm = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return left.join(hot, key, "left_anti").join(right, key, how).unionByName(warm)
+
+
 def row_key(df: DataFrame, name: str) -> DataFrame:
     """Number the rows by file split and position: stable when a lost task reads its split again."""
     return df.withColumn(name, F.monotonically_increasing_id())

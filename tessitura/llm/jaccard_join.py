@@ -9,21 +9,26 @@ Steps (two texts link when 100 * |A & B| >= 80 * |A | B| over their sets of five
    block. m follows size bands that double; a class near the lower edge of the next band is filed there too. This is
    exact for every pair, has no cap, and keeps shared passages from filling blocks, as groups that hold only a passage
    are small and come last.
-3. In a block, classes are points of an R-tree: ``GROUPS`` group counts and the size. A node bounds the overlap with a
-   query by the sum of coordinate minima against its largest counts; only pairs whose bound reaches the threshold leave.
-   Blocks of up to ``ALL_PAIRS`` classes give all such pairs, larger ones first the pairs with one pivot (same bound).
-4. Surviving pairs are verified on the sets themselves, and links give components by label propagation.
-5. Larger blocks whose classes aren't in one component by then give their remaining cross-component pairs through the
-   R-trees, which are verified too; a block of more than ``PART`` classes is dealt in pairs of parts, so no task holds it
-   whole. A block inside one component has no more to tell.
+3. In a block, classes are points of an R-tree over group counts (``count_tree``). A node bounds the overlap with a query
+   by the sum of coordinate minima; pairs whose bound reaches the threshold make the block's candidate components, whose
+   edges to their first class leave: fewer than the block has members, however many pairs there are.
+4. Families are the components of all these edges. Every link lies inside a family. A family's sets meet in a task, where
+   the R-tree gives its pairs again, best bound first; a pair is verified on the sets themselves unless both are joined
+   already, and again only edges to a component's first class leave.
+5. Components of the verified edges are the answer.
 
 A single R-tree over all texts was not kept: unrelated texts of one size are all about equally far apart in count space,
-so its nodes prune nothing and the work is quadratic (see the README); the filing of step 2 deals texts to trees.
-
-Scale: keys travel packed, one row per task and shard, and never as rows of their own; a class with a third of all rows
-is filed once per task, and a key that ``LOCAL`` classes of one flush share sends one unit for them, while its members
-go elsewhere as a block of their own, so no task gathers a hot key; hubs are folded by min() before shuffles. Texts are read three times and never shuffled: the few
-sets needed for verification are found by a bit map of fixed size (``BITS``) before their texts are split.
+so its nodes prune nothing and the work is quadratic (see the README); the filing of step 2 deals texts to trees. Inside a
+block or family of k texts the bounds are still taken of up to k * k pairs where sizes and nodes don't prune.
+
+Scale: keys travel packed, one row per task and shard, and never as rows of their own; shards follow the number of keys.
+A class with a third of all rows is filed once per task, and a key that ``LOCAL`` classes of one flush share sends one
+unit for them, while its members go elsewhere as a block of their own, so no task gathers a hot key. Keys that more than
+``HOT`` classes hold (a passage of a third of all texts) are found in a first filing; a second one files them last, so
+that only texts made of little else file them at all, and units of a block whose classes aren't one family yet are
+unfolded. Large blocks and families are dealt in parts, whose pairs are cells, so no task holds one whole. Hot classes
+and components are joined by ``skew_join``. Texts are read four times and never shuffled: the few vectors and sets needed
+are found by a bit map of fixed size (``BITS``) before their texts are split.
 
 Defined cases: null or blank text has an empty set, no links and itself as component; a null id never names a component
 unless all ids of it are null; repeated ids are separate rows; an empty table gives an empty result; other columns are
@@ -40,10 +45,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, settle, tidy
+from .common import lean, settle, skew_join, tidy
+from .count_tree import count_vectors, reaching_pairs, roots
 from .shingles import U, mix, shingle_sets
 
-GROUPS, ALL_PAIRS, LOCAL, PART, LEAF, BITS, FLUSH = 64, 8, 32, 512, 16, 1 << 25, 1_000_000
+LOCAL, SMALL, LEAST_PART, BITS, FLUSH = 32, 64, 128, 1 << 25, 1_000_000
+#: Keys held by more than HOT classes are filed last; so many such keys (8 bytes each) are known to every task at most.
+HOT, HOT_KEYS, KEYS_PER_SHARD = 20_000, 1_000_000, 4_000_000
 NO_ID = -(1 << 63)
 _BAND, _GROUP, _SIZE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 KEY_BYTES, SET_BYTES = 7, 6
@@ -77,14 +85,6 @@ def class_ids(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(_reduce(mix(flat ^ _SIZE), offsets) + n * _SIZE).view(np.int64)
 
 
-def count_vectors(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Shingles of each set per group of a hash, saturating at 65535."""
-    k = len(offsets) - 1
-    owner = np.repeat(np.arange(k), np.diff(offsets))
-    at = owner * GROUPS + (flat >> U(40)).astype(np.int64) % GROUPS
-    return np.minimum(np.bincount(at, minlength=k * GROUPS), 65535).astype(np.uint16).reshape(k, GROUPS)
-
-
 # --- step 2: filing ---------------------------------------------------------------------------------------------------
 
 
@@ -98,8 +98,9 @@ def groups_of(band: int) -> int:
     return -(-5 * top // 16) + 2
 
 
-def _file_band(flat, offsets, which, band: int, prefix) -> tuple[np.ndarray, np.ndarray]:
-    """(56-bit keys, index into ``which``) of the sets ``which`` in one band; prefix: keys wanted of each."""
+def _file_band(flat, offsets, which, band: int, prefix, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(56-bit keys, index into ``which``) of the sets ``which`` in one band; prefix: keys wanted of each; late: sorted
+    keys that come last."""
     m = groups_of(band)
     size = offsets[which + 1] - offsets[which]
     take = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[which], size)
@@ -109,12 +110,15 @@ def _file_band(flat, offsets, which, band: int, prefix) -> tuple[np.ndarray, np.
     sums = np.zeros(len(which) * m, dtype=U)
     np.add.at(sums, at, mix(h ^ _GROUP))
     key = mix(sums.reshape(len(which), m) + np.arange(1, m + 1, dtype=U) * _GROUP + np.full(1, band + 1, dtype=U) * _BAND) >> U(8)
-    order = np.sort((U(255) - np.minimum(held, 255).astype(U)) << U(56) | key, axis=1)  # fullest groups first, then by key
+    rank = U(254) - np.minimum(held, 254).astype(U)  # fullest groups first, then by key
+    if len(late):
+        rank[late[np.minimum(np.searchsorted(late, key), len(late) - 1)] == key] = 255
+    order = np.sort(rank << U(56) | key, axis=1)
     first = np.arange(m)[None, :] < prefix[:, None]
     return order[first] & U((1 << 56) - 1), np.repeat(np.arange(len(which)), np.minimum(prefix, m))
 
 
-def file_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def file_sets(flat: np.ndarray, offsets: np.ndarray, late: np.ndarray = np.zeros(0, dtype=U)) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
     """(keys, index of the set) over all sets: what step 2 files."""
     n = np.diff(offsets)
     band = band_of(n)
@@ -129,7 +133,7 @@ def file_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             partner = 5 * n[which] // 4 if target > b else np.minimum(5 * n[which] // 4, top)
             width = max(1, (4 << 20) // (8 * groups_of(target)))  # sets at a time, for memory
             for s in range(0, len(which), width):
-                k, i = _file_band(flat, offsets, which[s : s + width], target, (n[which[s : s + width]] + partner[s : s + width]) // 9 + 1)
+                k, i = _file_band(flat, offsets, which[s : s + width], target, (n[which[s : s + width]] + partner[s : s + width]) // 9 + 1, late)
                 keys.append(k)
                 sets.append(which[s : s + width][i])
     return np.concatenate(keys), np.concatenate(sets)
@@ -164,7 +168,7 @@ def _names(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def fold_local(keys: np.ndarray, classes: np.ndarray, least: int = LOCAL) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """A flush's keys that ``least`` classes or more share become units: (keys and classes that stay single, units as rows
-    of key, name and pivot, members by name). What a key sends to its shard then follows the flushes, not its members."""
+    of key, name, pivot and number of members, members by name). What a key sends to its shard then follows the flushes, not its members."""
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
@@ -173,10 +177,17 @@ def fold_local(keys: np.ndarray, classes: np.ndarray, least: int = LOCAL) -> tup
     single = np.repeat(~many, end - begin)
     begin, end = begin[many], end[many]
     names = _names(classes, begin, end)
-    units = np.stack([keys[begin].view(np.int64), names, classes[begin]], axis=1) if len(begin) else np.zeros((0, 3), dtype=np.int64)
+    units = np.stack([keys[begin].view(np.int64), names, classes[begin], end - begin], axis=1) if len(begin) else np.zeros((0, 4), dtype=np.int64)
     return keys[single], classes[single], units, {int(n): classes[a:b] for n, a, b in zip(names, begin, end, strict=True)}
 
 
+def common_keys(keys: np.ndarray, units: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that more than ``most`` classes hold, and how many; a unit counts by its members."""
+    named, at = np.unique(np.r_[keys, units[:, 0].view(U)], return_inverse=True)
+    times = np.bincount(at, weights=np.r_[np.ones(len(keys)), units[:, 3]], minlength=len(named))
+    return named[times > most].view(np.int64), times[times > most].astype(np.int64)
+
+
 def _blocks(keys: np.ndarray, classes: np.ndarray, units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(name, members, unit of each member or 0) of each distinct member list with two members or more; a unit's member is
     its pivot."""
@@ -198,98 +209,50 @@ def _blocks(keys: np.ndarray, classes: np.ndarray, units: np.ndarray) -> Iterato
         yield int(named[i]), classes[begin[i] : end[i]], tag[begin[i] : end[i]]
 
 
-# --- step 3: R-trees --------------------------------------------------------------------------------------------------
-
-
-class CountTree:
-    """R-tree over count vectors, bulk loaded by size and then the widest coordinate; nodes keep the largest counts."""
-
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        widest = vectors[:, int(np.argmax(vectors.astype(np.int64).max(axis=0) - vectors.astype(np.int64).min(axis=0)))]
-        self.order = np.lexsort((widest, sizes))
-        v, n = vectors[self.order].astype(np.int64), sizes[self.order].astype(np.int64)
-        self.levels = [(v, n, n)]  # points, then leaves, then nodes of leaves: (largest counts, smallest size, largest size)
-        while True:
-            top, low, high = self.levels[-1]
-            starts = np.arange(0, len(low), LEAF)
-            self.levels.append((np.maximum.reduceat(top, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
-            if len(starts) == 1:
-                break
-
-    def reaching(self, q: np.ndarray, n: int, percent: int = 80) -> np.ndarray:
-        """Positions (of the input) whose overlap with q, bounded by summed minima, may reach the threshold."""
-        at = np.zeros(1, dtype=np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            top, low, high = self.levels[depth]
-            bound = np.minimum(np.minimum(top[at], q).sum(axis=1), np.minimum(high[at], n))
-            at = at[(100 + percent) * bound >= percent * (n + low[at])]
-            if not len(at) or depth == 0:
-                break
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
-
-
-def block_pairs(cls: np.ndarray, n: np.ndarray, vectors: np.ndarray, comp: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller class first) of different components whose bound reaches the threshold: all of one part, or, given
-    two parts, those across them. Saturated counts (65535) are not bounded."""
-    v = vectors.astype(np.int64)
-    v[v == 65535] = 1 << 40
-    low = part == part.min()
-    here, there = (np.flatnonzero(low), np.flatnonzero(~low)) if not low.all() else (np.arange(len(cls)),) * 2
-    tree = CountTree(v[there], n[there])
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i in here.tolist():
-        hits = there[tree.reaching(v[i], int(n[i]))]
-        hits = hits[(comp[hits] != comp[i]) & ((cls[hits] > cls[i]) | (not low.all()))]
-        left.append(np.full(len(hits), cls[i]))
-        right.append(cls[hits])
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _tree_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of all blocks through R-trees. blocks: block, cls, comp, members; points: cls, n, vec.
-
-    A block of more than PART members is dealt in parts whose pairs of parts are cells, so no task holds a whole block.
+# --- step 3: candidates through R-trees ----------------------------------------------------------------------------------
+
+
+def _cells(rows: DataFrame, block: str, total: int, shards: int) -> DataFrame:
+    """rows (block, members, cls, ...) dealt in cells (home, i, j) with each row's part of its block.
+
+    Blocks up to SMALL members share a cell with others; larger ones are dealt in parts, whose pairs are cells. A part is
+    as large as a task's fair share of the rows, within bounds.
     """
-    parts = F.ceil(F.col("members") / PART).cast("int")
+    part = int(min(2048, max(LEAST_PART, total // (2 * shards))))
+    parts = F.ceil(F.col("members") / part).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    met = blocks.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    met = met.select("block", "cls", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(points, "cls")
+    small = rows.filter(F.col("members") <= SMALL)
+    small = small.withColumns({"home": F.pmod(F.xxhash64(block), F.lit(max(1, total // (2 * part)))), "i": F.lit(-1), "j": F.lit(-1), "part": F.lit(0)})
+    large = rows.filter(F.col("members") > SMALL).withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    large = large.withColumns({"home": F.col(block), "i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+    return small.unionByName(large).drop("members")
 
-    def run(t: pa.Table) -> pa.Table:
-        part = t["part"].to_numpy()
-        a = b = np.zeros(0, dtype=np.int64)
-        if t["i"][0] == t["j"][0] or part.min() < part.max():
-            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), dtype="<u2").reshape(-1, GROUPS)
-            a, b = block_pairs(t["cls"].to_numpy(), t["n"].to_numpy(), vec, t["comp"].to_numpy(), part)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("block", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def _sorted(t: pa.Table, block: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The table by block and class, with number of the block, classes, sizes and parts."""
+    t = t.take(pa.array(np.lexsort((t["cls"].to_numpy(), t[block].to_numpy()))))
+    label = np.unique(t[block].to_numpy(), return_inverse=True)[1]
+    return t, label, t["cls"].to_numpy(), t["n"].to_numpy(), t["part"].to_numpy()
 
 
-def _pivot_pairs(blocks: DataFrame, points: DataFrame) -> DataFrame:
-    """Distinct pairs of a block's pivot (its smallest class) with its members, where summed minima reach the threshold."""
-    pairs = blocks.filter("pivot < cls").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    side = lambda k: points.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("vec").alias(f"v{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _stars(cls: np.ndarray, label: np.ndarray) -> pa.Table:
+    """Each class but a component's first, with that first."""
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"a": pa.array(cls[label[far]], pa.int64()), "b": pa.array(cls[far], pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                part = batch.slice(s, 4096)
-                va, vb = (np.frombuffer(b"".join(part[c].to_pylist()), dtype="<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
-                na, nb = part["na"].to_numpy(), part["nb"].to_numpy()
-                free = ((va == 65535) | (vb == 65535)).any(axis=1)
-                bound = np.where(free, np.minimum(na, nb), np.minimum(va, vb).sum(axis=1))
-                ok = pa.array((180 * np.minimum(bound, np.minimum(na, nb)) >= 80 * (na + nb)))
-                yield pa.RecordBatch.from_arrays([part["a"].filter(ok), part["b"].filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(tidy(run), "a long, b long")
+def candidates(blocks: DataFrame, vectors: DataFrame, shards: int) -> DataFrame:
+    """Edges (a, b) that join what the count vectors can't tell apart in any block: in each cell the pairs whose summed
+    minima reach the threshold give components, of which the edges to the first class leave. blocks: block, cls,
+    members; vectors: cls, n, vec."""
+    met = blocks.select("block", "cls", "members").join(vectors, "cls")
 
+    def run(t: pa.Table) -> pa.Table:
+        t, label, cls, n, part = _sorted(t, "block")
+        a, b, _ = reaching_pairs(t["vec"].to_pylist(), n, label, part)
+        return _stars(cls, roots(len(cls), a, b))
 
-# --- steps 4 and 5 ----------------------------------------------------------------------------------------------------
+    return _cells(met, "block", blocks.count(), shards).groupBy("home", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _bitmap(df: DataFrame, col: str, bits: int) -> bytes:
@@ -302,10 +265,10 @@ def _bitmap(df: DataFrame, col: str, bits: int) -> bytes:
     return out.tobytes()
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, n, elements) of the wanted (id, cls): the bit map spares splitting other texts."""
-    bits = 1 << 16
-    count = wanted.count()
+def _again(docs: DataFrame, wanted: DataFrame, width: int, whole: bool) -> DataFrame:
+    """(cls, n, vec) of the wanted (id, cls), with the sets' elements for vec if whole. A bit map of fixed size spares
+    splitting most other texts."""
+    bits, count = 1 << 16, wanted.count()
     while bits < BITS and bits < 64 * count:
         bits *= 2
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "id", bits))
@@ -318,44 +281,72 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             batch = batch.filter(pa.array(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
             for part in _slices(batch, "text"):
                 flat, offsets = shingle_sets(part["text"], width)
-                cls, rows = class_ids(flat, offsets), []
-                raw = np.ascontiguousarray(flat.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
-                for i in np.flatnonzero(np.diff(offsets)).tolist():
-                    if int(cls[i]) not in seen:
-                        seen.add(int(cls[i]))
-                        rows.append((int(cls[i]), int(offsets[i + 1] - offsets[i]), raw[offsets[i] : offsets[i + 1]].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cls", "n", "elements"])
-
-    found = marked.select("at", "text").mapInArrow(tidy(run), "cls long, n long, elements binary")
+                cls, n = class_ids(flat, offsets), np.diff(offsets)
+                if whole:
+                    raw = np.ascontiguousarray(flat.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
+                    vec = [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                else:
+                    vec = count_vectors(flat, offsets)
+                new = [i for i in np.flatnonzero(n).tolist() if int(cls[i]) not in seen and not seen.add(int(cls[i]))]
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array(n[new]), pa.array([vec[i] for i in new], pa.binary())], ["cls", "n", "vec"])
+
+    found = marked.select("at", "text").mapInArrow(tidy(run), "cls long, n long, vec binary")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
+# --- steps 4 and 5: verification and components ---------------------------------------------------------------------------
+
+
 def _elements(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // SET_BYTES, 8), dtype=np.uint8)
     out[:, :SET_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, SET_BYTES)
-    return out.view("<u8").ravel()
+    out = out.view("<u8").ravel()
+    out.sort()
+    return out
+
+
+def link_sets(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, part: np.ndarray, percent: int = 80) -> np.ndarray:
+    """Component (its first position) of each set by links inside a cell. Pairs come in order of their bound; one whose
+    sets are joined already is not verified, for it can't change a component."""
+    flat = np.concatenate([np.zeros(0, dtype=U), *sets])
+    a, b, score = reaching_pairs(count_vectors(flat, np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)), n, label, part, percent)
+    order = np.argsort(-score, kind="stable")
+    a, b = a[order], b[order]
+    root = np.arange(len(sets))
+    for s in range(0, len(a), 1024):
+        x, y = a[s : s + 1024], b[s : s + 1024]
+        apart = root[x] != root[y]
+        joined: dict[int, int] = {}  # roots joined within this stretch
+
+        def find(v: int, joined=joined, root=root) -> int:
+            v = int(root[v])
+            while v in joined:
+                v = joined[v]
+            return v
+
+        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            p, q = find(i), find(j)
+            if p == q:
+                continue
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort(kind="stable")
+            if links(int(n[i]), int(n[j]), int((both[1:] == both[:-1]).sum()), percent):
+                joined[max(p, q)] = min(p, q)
+        if joined:
+            root = roots(len(sets), np.array(list(joined)), np.array(list(joined.values())), root)
+    return root
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by the overlap of their whole sets (elements are 48 bits of the hash)."""
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea")), "a")
-    both = one.join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb")), "b")
+def verified(families: DataFrame, sets: DataFrame, shards: int, percent: int) -> DataFrame:
+    """Edges (a, b) that give the components of links. families: fam, cls, members. Sets travel once for each cell."""
+    met = families.join(sets, "cls")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, nb, ea, eb in zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), batch["ea"], batch["eb"], strict=True):
-                small, large = sorted((na, nb))
-                if not links(small, large, small, percent):
-                    keep.append(False)
-                    continue
-                x = np.concatenate([_elements(ea.as_buffer()), _elements(eb.as_buffer())])
-                x.sort()
-                keep.append(links(na, nb, int((x[1:] == x[:-1]).sum()), percent))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+    def run(t: pa.Table) -> pa.Table:
+        t, label, cls, n, part = _sorted(t, "fam")
+        return _stars(cls, link_sets([_elements(v.as_buffer()) for v in t["vec"]], n, label, part, percent))
 
-    return both.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
+    return _cells(met, "fam", families.count(), shards).groupBy("home", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -363,48 +354,32 @@ def components(edges: DataFrame) -> DataFrame:
     both = settle(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
     labels = settle(both.groupBy(F.col("u").alias("cls")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both["v"] == labels["cls"]).groupBy(F.col("u").alias("k")).agg(F.min("comp").alias("low"))
+        near = skew_join(both, labels.withColumnRenamed("cls", "v"), "v", "inner").groupBy(F.col("u").alias("k")).agg(F.min("comp").alias("low"))
         low = labels.join(near, labels["cls"] == near["k"]).select("cls", "comp", F.least("comp", "low").alias("low"))
-        jump = labels.select(F.col("cls").alias("t"), F.col("comp").alias("far"))
-        new = settle(low.join(jump, low["low"] == jump["t"], "left").select("cls", F.col("comp").alias("was"), F.least("low", F.coalesce("far", "low")).alias("comp")), "labels")
+        jump = labels.select(F.col("cls").alias("low"), F.col("comp").alias("far"))
+        new = settle(skew_join(settle(low, "low"), jump, "low").select("cls", F.col("comp").alias("was"), F.least("low", F.coalesce("far", "low")).alias("comp")), "labels")
         if new.filter("was <> comp").isEmpty():
             return new.select("cls", "comp")
         labels = new.select("cls", "comp")
 
 
-def _open_blocks(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """(block, cls, comp, members) of the blocks whose classes aren't in one component yet, units replaced by their
-    members; blocks that have given all their pairs before are left out."""
+def _unfolded(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    """(block, cls, members) of the blocks that hold a unit and whose classes, those of their units too, aren't in one
+    family yet, with units replaced by their members."""
     label = settle(blocks.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "labelled")
     apart = label.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
     inside = label.filter("unit <> 0").join(apart.withColumnRenamed("block", "unit"), "unit", "left_semi").select("block")
-    wanted = apart.union(inside).distinct()
-    told = label.groupBy("block").agg(F.max("members").alias("m"), F.max(F.when(F.col("unit") != 0, 1).otherwise(0)).alias("u")).filter((F.col("m") > ALL_PAIRS) | (F.col("u") > 0))
-    rows = label.join(wanted.join(told.select("block"), "block", "left_semi"), "block", "left_semi").select("block", "cls", "comp", "unit")
-    members = label.filter("unit = 0").select(F.col("block").alias("unit"), "cls", "comp")  # a unit is a block of its own
-    whole = rows.filter("unit = 0").drop("unit").union(rows.filter("unit <> 0").select("block", "unit").join(members, "unit").select("block", "cls", "comp")).distinct()
-    return settle(whole.join(whole.groupBy("block").agg(F.count("*").alias("members")), "block"), "open")
-
-
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, local: int = LOCAL) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, and the row's class cls (null for an empty set)."""
-    if percent != 80:
-        raise ValueError("filing and size bands are worked out for a similarity of 0.8")
-    spark = docs.sparkSession
-    lean(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    folded = label.filter("unit <> 0").select("block").distinct()
+    rows = label.join(folded.join(apart.union(inside).distinct(), "block", "left_semi"), "block", "left_semi").select("block", "cls", "unit")
+    members = label.filter("unit = 0").select(F.col("block").alias("unit"), "cls")  # a unit is a block of its own
+    whole = rows.filter("unit = 0").drop("unit").union(rows.filter("unit <> 0").select("block", "unit").join(members, "unit").select("block", "cls")).distinct()
+    return settle(whole.join(whole.groupBy("block").agg(F.count("*").alias("members")), "block"), "unfolded")
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, "text"):
-                flat, offsets = shingle_sets(part["text"], width)
-                n = np.diff(offsets)
-                vec = count_vectors(flat, offsets).astype("<u2")
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(class_ids(flat, offsets), mask=n == 0), pa.array([v.tobytes() for v in vec], pa.binary())], ["doc_id", "n", "cls", "vec"])
 
-    known = settle(rows.mapInArrow(tidy(classify), "doc_id long, n long, cls long, vec binary"), "classes")
+def _filed(docs: DataFrame, width: int, shards: int, local: int, hot: int, late: np.ndarray) -> DataFrame:
+    """Step 2: (block, cls, unit, members) of every block, and (key, null, null, members) of every key that more than ``hot``
+    classes hold; late: sorted keys to file last."""
+    last = docs.sparkSession.sparkContext.broadcast(late)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, told, keys, classes, held, named = set(), set(), [], [], 0, 0
@@ -430,7 +405,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 new = np.array([int(c) not in seen and not seen.add(int(c)) for c in cls], dtype=bool)
                 size = np.diff(offsets)
                 keep = np.repeat(new, size)
-                k, i = file_sets(flat[keep], np.r_[0, np.cumsum(size[new])])
+                k, i = file_sets(flat[keep], np.r_[0, np.cumsum(size[new])], last.value)
                 if named + len(cls) > 65_535 or held + len(k) > FLUSH:
                     yield from flush()
                     keys, classes, held, named = [], [], 0, 0
@@ -440,48 +415,79 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, units = [], [np.zeros((0, 3), dtype=np.int64)]
+        blobs, units = [], [np.zeros((0, 4), dtype=np.int64)]
 
         def rows(name: int, members: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(members), 50_000):
                 part, unit = members[a : a + 50_000], tag[a : a + 50_000]
-                same = [pa.array(np.full(len(part), x)) for x in (name, len(members), members[0])]
-                yield pa.RecordBatch.from_arrays([same[0], pa.array(part), pa.array(unit), *same[1:]], ["block", "cls", "unit", "members", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(part), pa.array(unit), pa.array(np.full(len(part), len(members)))], ["block", "cls", "unit", "members"])
 
         for batch in batches:
             blobs += [_unpack(x.as_buffer()) for x in batch["blob"] if x.is_valid]
-            units += [np.frombuffer(x.as_buffer(), dtype="<i8").reshape(-1, 3) for x in batch["units"] if x.is_valid]
+            units += [np.frombuffer(x.as_buffer(), dtype="<i8").reshape(-1, 4) for x in batch["units"] if x.is_valid]
             for x in batch["local"]:
                 if x.is_valid:  # a block of its own, passed on as it comes
                     members = np.frombuffer(x.as_buffer(), dtype="<i8")
                     name = int(_names(members, np.array([0]), np.array([len(members)]))[0])
                     yield from rows(name, members, np.zeros(len(members), dtype=np.int64))
         none = (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
-        for name, members, tag in _blocks(*(np.concatenate([none[i], *(b[i] for b in blobs)]) for i in range(2)), np.concatenate(units)):
+        keys, classes = (np.concatenate([none[i], *(b[i] for b in blobs)]) for i in range(2))
+        blobs.clear()
+        units = np.concatenate(units)
+        named, times = common_keys(keys, units, hot)
+        if len(named):
+            yield pa.RecordBatch.from_arrays([pa.array(named), *[pa.nulls(len(named), pa.int64())] * 2, pa.array(times)], ["block", "cls", "unit", "members"])
+        for name, members, tag in _blocks(keys, classes, units):
             yield from rows(name, members, tag)
 
     filed = docs.select("text").mapInArrow(tidy(file), "shard int, blob binary, units binary, local binary").repartitionById(shards, F.col("shard"))
-    blocks = settle(filed.mapInArrow(tidy(gather), "block long, cls long, unit long, members long, pivot long").distinct(), "blocks")
-
-    points = known.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
-    points = settle(points.join(blocks.select("cls").distinct(), "cls", "left_semi"), "points")  # only classes that met another
-    sets = settle(_sets_of(docs, points.select("id", "cls"), width), "sets")
-    vectors = points.select("cls", "n", "vec")
-    large = blocks.filter(F.col("members") > ALL_PAIRS)
-    few = blocks.filter(F.col("members") <= ALL_PAIRS).withColumn("comp", F.col("cls"))
-    first = settle(_tree_pairs(few, vectors).union(_pivot_pairs(large, vectors)).distinct(), "pairs")
-    edges = settle(_verify(first, sets, percent), "links")
-    comps = components(edges)
-    rest = settle(_tree_pairs(_open_blocks(blocks, comps), vectors).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        edges = settle(edges.union(_verify(rest, sets, percent)), "links")
-        comps = components(edges)
+    return settle(filed.mapInArrow(tidy(gather), "block long, cls long, unit long, members long").distinct(), "blocks")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, local: int = LOCAL, hot: int = HOT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, and the row's class cls (null for an empty set)."""
+    if percent != 80:
+        raise ValueError("filing and size bands are worked out for a similarity of 0.8")
+    spark = docs.sparkSession
+    lean(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                flat, offsets = shingle_sets(part["text"], width)
+                n = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(class_ids(flat, offsets), mask=n == 0)], ["doc_id", "n", "cls"])
+
+    known = settle(rows.mapInArrow(tidy(classify), "doc_id long, n long, cls long"), "classes")
+    points = known.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
+    keys = known.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0  # about what is filed
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS_PER_SHARD)
+
+    filed = _filed(docs, width, shards, local, hot, np.zeros(0, dtype=U))
+    most = filed.filter(F.col("cls").isNull()).orderBy(F.desc("members"), "block").limit(HOT_KEYS)
+    late = np.array([r["block"] for r in most.select("block").collect()], dtype=np.int64).view(U)
+    if len(late):  # keys that very many share are filed last, if at all
+        filed = _filed(docs, width, shards, local, hot, np.sort(late))
+    blocks = filed.filter(F.col("cls").isNotNull())
+    met = settle(points.join(blocks.select("cls").distinct(), "cls", "left_semi"), "points")  # only classes that met another
+    vectors = settle(_again(docs, met, width, whole=False), "vectors")
+    edges = settle(candidates(blocks, vectors, shards), "candidates")
+    families = components(edges)
+    if not blocks.filter("unit <> 0").isEmpty():
+        edges = edges.union(settle(candidates(_unfolded(blocks, families), vectors, shards), "candidates"))
+        families = components(edges)
+    families = skew_join(families, families.groupBy("comp").agg(F.count("*").alias("members")), "comp", "inner").withColumnRenamed("comp", "fam")
+    families = settle(families, "families")
+    sets = settle(_again(docs, met.join(families.select("cls"), "cls", "left_semi"), width, whole=True), "sets")
+    comps = components(settle(verified(families, sets, shards, percent), "links"))
+
     ids = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(comps, "cls", "left")
     ids = settle(ids.withColumn("comp", F.coalesce("comp", "cls")), "ids")
-    named = ids.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of = settle(ids.join(named, "comp").select("cls", "component_id"), "members")
-    out = known.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+    of = settle(skew_join(ids, ids.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cls", "component_id"), "members")
+    out = skew_join(known.filter("cls is not null"), of, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls")
+    return out.unionByName(known.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

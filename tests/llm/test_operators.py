@@ -9,30 +9,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from conftest import DATA
+from fixtures import DOC, FOLDER, clashing, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, rows_of, rows_of_sql
-from pyspark.sql import functions as F
-
-from tessitura.llm import exact_dedup, jaccard_join, language_id, mixing, piece_tokens, queries, shingles, top_products, toxicity, url_filter, warc
-
-FOLDER = f"{DATA}/sf0.001"
-DOC = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = "cls string, size string, comp string, id string, score string, digest string, _row string, target string"
-
-
-def docs(spark, texts, ids=None, lang="en", source="s"):
-    rows = [(i if ids is None else ids[i], t, lang, source, len(t or "")) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOC)
-
-
-def clashing(df):
-    """More columns, some named like those the operators use."""
-    return df.select("*", *[F.lit("x").alias(c.split()[0]) for c in CLASH.split(", ") if c.split()[0] not in df.columns])
-
+from tessitura.llm import exact_dedup, language_id, mixing, piece_tokens, queries, top_products, toxicity, url_filter, warc
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_contract_matches_sql(spark, name):
@@ -42,138 +25,6 @@ def test_contract_matches_sql(spark, name):
     assert rows_of(df) == want
 
 
-# --- words and shingles ---------------------------------------------------------------------------
-
-ODD = ["", None, " ", "a", "a b c d", "a b c d e", "A B C D e f", " a\tb\x0bc d e", "x" * 300_000, " ".join(f"w{i % 7}" for i in range(90_000)), "\xa0a b", "é É e f g h", "😀 a b c d 😀", "a b c d e a b c d e"]
-
-
-def word_list(t):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    return re.findall(r"[^\x20\x09-\x0D]+", low)
-
-
-def shingle_set(t, k=5):
-    w = word_list(t)
-    return set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-
-
-@pytest.mark.parametrize("piece", [64, 1 << 20])
-def test_shingles(piece, monkeypatch):
-    monkeypatch.setattr(shingles, "PIECE", piece)
-    flat, offsets = shingles.shingle_sets(pa.array(ODD))
-    for i, a in enumerate(ODD):
-        assert offsets[i + 1] - offsets[i] == len(shingle_set(a))
-        for j in range(i):
-            common = np.intersect1d(flat[offsets[i] : offsets[i + 1]], flat[offsets[j] : offsets[j + 1]])
-            assert len(common) == len(shingle_set(a) & shingle_set(ODD[j]))
-
-
-def test_shingles_of_a_slice():
-    whole = pa.array(["p q r s t u", *ODD])
-    a, b = shingles.shingle_sets(whole.slice(1)), shingles.shingle_sets(pa.array(ODD))
-    assert all((x == y).all() for x, y in zip(a, b, strict=True))
-
-
-# --- 5: Jaccard join --------------------------------------------------------------------------------
-
-
-def near_copies(seed, groups=12, copies=6):
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
-    passage = " ".join(word() for _ in range(60))
-    out = []
-    for _ in range(groups):
-        base = [word() for _ in range(rng.choice((4, 6, 9, 20, 60, 150, 400)))]
-        for _ in range(copies):
-            w = list(base)
-            for _ in range(rng.randrange(0, 1 + len(w) // 60 + 1)):
-                w[rng.randrange(len(w))] = word()
-            if rng.random() < 0.3:
-                w += [word() for _ in range(rng.randrange(1, 1 + max(1, len(w) // 5)))]
-            out.append(" ".join(w) + (" " + passage if rng.random() < 0.15 else ""))
-    rng.shuffle(out)
-    return out
-
-
-def brute_components(texts, ids):
-    sets = [shingle_set(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
-                root[find(i)] = find(j)
-    low = defaultdict(list)
-    for i in range(len(texts)):
-        low[find(i)].append(ids[i])
-    return [(ids[i], len(sets[i]), min(low[find(i)])) for i in range(len(texts))]
-
-
-@pytest.mark.parametrize(("seed", "all_pairs", "part", "local"), [(1, 8, 1000, 1000), (2, 2, 3, 1000), (3, 2, 3, 2)])
-def test_components(spark, monkeypatch, seed, all_pairs, part, local):
-    monkeypatch.setattr(jaccard_join, "ALL_PAIRS", all_pairs)
-    monkeypatch.setattr(jaccard_join, "PART", part)
-    texts = near_copies(seed) + ODD[:10] + ["a b c d", "A  b c D"]
-    ids = random.Random(seed).sample(range(10_000), len(texts))
-    got = jaccard_join.near_components(clashing(docs(spark, texts, ids)).repartition(3), local=local)
-    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(brute_components(texts, ids))
-
-
-def test_join_edges(spark):
-    assert jaccard_join.near_components(docs(spark, ["a"]).limit(0)).count() == 0
-    got = sorted(tuple(r)[:3] for r in jaccard_join.near_components(docs(spark, ["a b", "a b", None], [3, 3, 5])).collect())
-    assert got == [(3, 1, 3), (3, 1, 3), (5, 0, 5)]
-    nulls = spark.createDataFrame([(None, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1)], DOC)
-    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_components(nulls).collect()} == {(None, 7), (7, 7)}
-
-
-@given(st.integers(4, 120), st.integers(0, 30), st.integers(0, 30), st.integers(0, 10_000))
-@settings(max_examples=120, deadline=None)
-def test_linking_pairs_are_filed_together(n, cut, add, seed):
-    rng = np.random.default_rng(seed)
-    pool = np.unique(rng.integers(1, 1 << 63, n + add + 5, dtype=np.uint64))
-    a, b = pool[:n], np.r_[pool[min(cut, n - 1) : n], pool[n : n + add]]
-    common = len(np.intersect1d(a, b))
-    if not jaccard_join.links(len(a), len(b), common) or np.array_equal(np.sort(a), np.sort(b)):
-        return
-    keys, sets = jaccard_join.file_sets(np.r_[np.sort(a), np.sort(b)], np.array([0, len(a), len(a) + len(b)]))
-    assert len(np.intersect1d(keys[sets == 0], keys[sets == 1]))
-
-
-def test_tree_bound_loses_nothing():
-    rng = np.random.default_rng(5)
-    v = rng.poisson(4, (300, jaccard_join.GROUPS))
-    v[150:] = np.maximum(0, v[:150] + rng.integers(-1, 2, (150, jaccard_join.GROUPS)) * (rng.random((150, jaccard_join.GROUPS)) < 0.1))
-    n = v.sum(axis=1)
-    tree = jaccard_join.CountTree(v, n)
-    for i in range(300):
-        bound = np.minimum(v, v[i]).sum(axis=1)
-        want = {j for j in range(300) if 180 * bound[j] >= 80 * (n[i] + n[j])}
-        assert want <= set(tree.reaching(v[i], int(n[i])).tolist()) <= want | {j for j in range(300)}
-
-
-def test_folding_keeps_every_meeting():
-    rng = np.random.default_rng(2)
-    keys, cls = rng.integers(0, 40, 3000, dtype=np.uint64), rng.integers(-500, 500, 3000)
-    k, c, units, local = jaccard_join.fold_local(keys, cls, 32)
-    assert sorted(zip(k.tolist(), c.tolist(), strict=True)) + sorted((int(u), int(m)) for u, n, _ in units for m in local[int(n)]) and len(k) + sum(len(local[int(n)]) for _, n, _ in units) == 3000
-    assert all(min(local[int(n)]) == p for _, n, p in units)
-    got = {name: (m.tolist(), t.tolist()) for name, m, t in jaccard_join._blocks(k, c, np.r_[units, [[7, 99, 5]]])}
-    assert any(99 in t for _, t in got.values())
-
-
-def test_packing():
-    rng = np.random.default_rng(0)
-    keys, cls = rng.integers(0, 1 << 56, 5000, dtype=np.uint64), rng.integers(-(1 << 62), 1 << 62, 40)[rng.integers(0, 40, 5000)]
-    got = [jaccard_join._unpack(b) for _, b in jaccard_join._pack(keys, cls, 7)]
-    assert sorted(zip(np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist(), strict=True)) == sorted(zip(keys.tolist(), cls.tolist(), strict=True))
-
-
 # --- 10: exact dedup --------------------------------------------------------------------------------
 
 

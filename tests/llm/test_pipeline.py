@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import sentencepiece
 from conftest import DATA
-from test_operators import DOC, brute_components
+from fixtures import DOC, brute_components
 
 import corpus_pipeline
 
