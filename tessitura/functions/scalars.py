@@ -123,8 +123,10 @@ def stem(path: Column) -> Column:
 
 
 def safe_name(path: Column, most: int = 180) -> Column:
-    """SCL-24: basename without control or reserved characters, trimmed of spaces and dots, at most ``most`` letters."""
-    return F.substring(F.regexp_replace(F.regexp_replace(basename(path), r'[<>:"/\\|?*\x00-\x1F]', "_"), r"^[ .]+|[ .]+$", ""), 1, most)
+    """SCL-24: basename without control or reserved characters, trimmed of spaces and dots, at most ``most`` letters;
+    ``upload`` where nothing is left or the name is null."""
+    clean = F.regexp_replace(F.regexp_replace(basename(path), r'[<>:"/\\|?*\x00-\x1F]', "_"), r"^[ .]+|[ .]+$", "")
+    return F.coalesce(F.nullif(F.substring(clean, 1, most), F.lit("")), F.lit("upload"))
 
 
 def reorder_blocks(samples: Column, block: int, order: list[int]) -> Column:
@@ -134,10 +136,23 @@ def reorder_blocks(samples: Column, block: int, order: list[int]) -> Column:
     return F.flatten(F.filter(F.array(*picked), lambda x: x.isNotNull()))
 
 
-def excerpt_starts(duration: Column, length: float) -> Column:
-    """SCL-30: 15, 50 and 80 % of the last possible start."""
+def drawn(seed: Column, name: str) -> Column:
+    """A number in [0, 1) that follows from the seed and a name: 48 bits of a SHA-256."""
+    h = F.sha2(F.concat_ws(":", seed.cast("string"), F.lit(name)), 256)
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def shuffled(items: Column, seed: Column) -> Column:
+    """A seeded permutation: items by the SHA-256 of seed and position."""
+    keyed = F.transform(items, lambda x, i: F.struct(F.sha2(F.concat_ws(":", seed.cast("string"), i.cast("string")), 256).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+def excerpt_starts(duration: Column, length: float, seed: Column | None = None) -> Column:
+    """SCL-30: 15, 50 and 80 % of the last possible start, in a seeded order if there is a seed."""
     last = F.greatest(F.lit(0.0), duration - length)
-    return F.transform(F.array(F.lit(0.15), F.lit(0.5), F.lit(0.8)), lambda p: F.round(p * last, 3))
+    starts = F.transform(F.array(F.lit(0.15), F.lit(0.5), F.lit(0.8)), lambda p: F.round(p * last, 3))
+    return starts if seed is None else shuffled(starts, seed)
 
 
 def peak_normalise(samples: Column, peak: float = 0.98) -> Column:
@@ -153,12 +168,28 @@ def hms_seconds(text: Column) -> Column:
     return part(1) * 3600 + part(2) * 60 + part(3)
 
 
-def edit_manifest(case: Column, seed: Column) -> Column:
-    """SCL-28: the parameters of an edit as JSON; the filters themselves need an audio tool that isn't here.
+# Fixed values of the edits: block length in seconds, ranges of ratio, tempo and gains in dB, and the filter chains.
+SECTION_SECONDS, SAMPLE_RATE = 24, 22_050
+RATIO, EQ_DB, TEMPO, BASS_DB = (1.03, 1.12), (-3.0, 3.0), (0.94, 0.98), (-2.0, 2.0)
+TEMPO_FILTERS = f"asetrate={SAMPLE_RATE}*%s,aresample={SAMPLE_RATE},equalizer=f=1200:t=q:w=1:g=%s"
+REMIX_FILTERS = "atempo=%s,equalizer=f=180:t=q:w=1:g=%s,aecho=0.8:0.75:70:0.12"
+
+
+def edit_manifest(case: Column, seed: Column, sections: Column) -> tuple[Column, Column]:
+    """SCL-28: (parameters as JSON, filter chain or null) of an edit, drawn from the seed; running the filters needs an audio
+    tool that isn't here.
 
-    section_edit: block length and order; tempo_pitch_eq: ratio and gain at 1200 Hz; remix_fx: tempo, bass gain and echo.
+    section_edit: the blocks' order, shuffled, with one block repeated somewhere; tempo_pitch_eq: ratio and gain at
+    1200 Hz; remix_fx: tempo and bass gain under a mild echo.
     """
-    section = F.struct(F.lit("reorder_repeat").alias("edit"), F.lit(24).alias("section_seconds"), F.array((seed % 3).cast("int"), F.lit(0), F.lit(1)).alias("section_order"))
-    tempo = F.struct((1 + (seed % 5) / 100.0).alias("speed_and_pitch_ratio"), ((seed % 7) / 2.0 - 1.5).alias("eq_1200hz_db"))
-    remix = F.struct((1 - (seed % 4) / 100.0).alias("tempo_rate"), ((seed % 5) / 2.0).alias("bass_eq_db"), F.lit("0.8:0.5:40:0.2").alias("echo"))
-    return F.when(case == "section_edit", F.to_json(section)).when(case == "tempo_pitch_eq", F.to_json(tempo)).when(case == "remix_fx", F.to_json(remix))
+    within = lambda name, span, digits: F.round(span[0] + drawn(seed, name) * (span[1] - span[0]), digits)
+    order = shuffled(F.sequence(F.lit(0), sections - 1), seed)
+    pick = lambda name, n: F.floor(drawn(seed, name) * n).cast("int")
+    order = F.array_insert(order, pick("place", sections + 1) + 1, F.element_at(order, pick("repeat", sections) + 1))
+    ratio, eq, tempo, bass = within("ratio", RATIO, 4), within("eq", EQ_DB, 1), within("tempo", TEMPO, 4), within("bass", BASS_DB, 1)
+    made = {"section_edit": F.struct(F.lit("reorder_and_repeat_sections").alias("edit"), F.lit(SECTION_SECONDS).alias("section_seconds"), order.alias("section_order")),
+            "tempo_pitch_eq": F.struct(ratio.alias("speed_and_pitch_ratio"), eq.alias("eq_1200hz_db")),
+            "remix_fx": F.struct(tempo.alias("tempo_rate"), bass.alias("bass_eq_db"), F.lit("mild").alias("echo"))}
+    parameters = F.coalesce(*[F.when(case == k, F.to_json(v)) for k, v in made.items()])
+    text = lambda c: c.cast("string")
+    return parameters, F.when(case == "tempo_pitch_eq", F.format_string(TEMPO_FILTERS, text(ratio), text(eq))).when(case == "remix_fx", F.format_string(REMIX_FILTERS, text(tempo), text(bass)))

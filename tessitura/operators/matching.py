@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settle
+
 
 def contains_run(hay: Column, needle: Column) -> Column:
     """Whether the array needle occurs contiguously in hay; an empty needle doesn't."""
@@ -23,23 +25,23 @@ def contained(needles: DataFrame, hays: DataFrame, gram: int = 8) -> DataFrame:
     """JN-02: (needle_id, hay_id) with needle contiguously inside hay. needles: needle_id, needle; hays: hay_id, hay.
 
     Each needle is looked up by its rarest gram (document frequency over the hays that hold any needle's gram), so a
-    frequent run makes no bucket of candidates; survivors are verified. Needles shorter than ``gram`` use their own length.
+    frequent run makes no bucket of candidates. Only ids and grams move until the candidates are known; sequences then join
+    them once, and survivors are verified. Needles shorter than ``gram`` use their own length. Ids must be distinct.
     """
     short = needles.filter(F.size("needle").between(1, gram - 1))
-    long = needles.filter(F.size("needle") >= gram)
 
-    def side(ask: DataFrame, k: Column | int) -> DataFrame:
-        own = ask.select("needle_id", "needle", F.explode(F.array_distinct(_grams(F.col("needle"), k))).alias("g"))
-        wanted = own.select("g").distinct()
-        hits = hays.select("hay_id", "hay", F.explode(F.array_distinct(_grams(F.col("hay"), k))).alias("g")).join(wanted, "g", "left_semi")
-        freq = hits.groupBy("g").agg(F.count("*").alias("df"))
-        rarest = own.join(freq, "g").groupBy("needle_id").agg(F.min(F.struct("df", "g"))["g"].alias("g"), F.first("needle").alias("needle"))
-        return rarest.join(hits, "g").filter(contains_run(F.col("hay"), F.col("needle"))).select("needle_id", "hay_id")
+    def candidates(ask: DataFrame, k: int) -> DataFrame:
+        own = ask.select("needle_id", F.explode(F.array_distinct(_grams(F.col("needle"), k))).alias("g"))
+        held = hays.select("hay_id", F.explode(F.array_distinct(_grams(F.col("hay"), k))).alias("g"))
+        hits = settle(held.join(own.select("g").distinct(), "g", "left_semi"), "hits")
+        rarest = own.join(hits.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("needle_id").agg(F.min(F.struct("df", "g"))["g"].alias("g"))
+        return rarest.join(hits, "g").select("needle_id", "hay_id")
 
-    out = side(long, gram)
+    met = candidates(needles.filter(F.size("needle") >= gram), gram)
     for k in [r[0] for r in short.select(F.size("needle")).distinct().collect()]:  # at most gram - 1 lengths
-        out = out.union(side(short.filter(F.size("needle") == k), k))
-    return out.distinct()
+        met = met.union(candidates(short.filter(F.size("needle") == k), k))
+    both = met.join(needles.select("needle_id", "needle"), "needle_id").join(hays.select("hay_id", "hay"), "hay_id")
+    return both.filter(contains_run(F.col("hay"), F.col("needle"))).select("needle_id", "hay_id")
 
 
 def first_match(matches: DataFrame, position: DataFrame) -> DataFrame:

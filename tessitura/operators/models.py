@@ -9,32 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
+from .vectors import dot, normalise
 
 #: Training matrices up to this number of rows are fitted on the driver.
 FIT_ROWS = 200_000
 
 
-def fit_pair_verifier(rows: DataFrame, features: str = "v", label: str = "y", steps: int = 6000, l2: float = 0.002) -> dict:
-    """UDF-02: class-weighted logistic regression by gradient descent with a decaying rate from zero weights.
+# Fixed values of the pair verifier's descent: first learning rate, steps after which it has halved, ridge penalty.
+RATE, HALVED, RIDGE = 0.08, 2000, 0.002
 
-    The matrix is 12 numbers a row; beyond FIT_ROWS rows a hash-drawn sample of that size is fitted.
+
+def fit_pair_verifier(rows: DataFrame, features: str = "v", label: str = "y", steps: int = 6000, l2: float = RIDGE) -> dict:
+    """UDF-02: logistic regression in which both classes weigh the same unless positives prevail, from zero coefficients by
+    gradient descent at a decaying rate.
+
+    Means and deviations are aggregated over all rows. The descent needs every row in every step, so it runs on the
+    driver: the matrix is 12 numbers a row, and beyond FIT_ROWS rows a hash-drawn sample of that size is fitted.
     """
-    n = rows.count()
-    if n > FIT_ROWS:
-        rows = rows.filter(F.pmod(F.xxhash64(features), F.lit(1 << 30)) < F.lit(int(FIT_ROWS / n * (1 << 30))))
-    got = rows.select(features, label).toPandas()
-    x, y = np.array(got[features].tolist(), dtype=np.float64), got[label].to_numpy(dtype=np.float64)
-    mean, std = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = (x - mean) / std
-    weight = np.where(y > 0, max(1.0, (y == 0).sum() / max(1, (y > 0).sum())), 1.0)
-    weight /= weight.sum()
-    w, b = np.zeros(x.shape[1]), 0.0
-    for step in range(steps):
-        e = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y) * weight
-        rate = 0.08 / (1 + step / 2000)
-        w -= rate * (z.T @ e + l2 * w)
-        b -= rate * e.sum()
-    return {"mean": mean.tolist(), "std": std.tolist(), "weights": w.tolist(), "bias": float(b)}
+    at = [F.element_at(features, k + 1) for k in range(rows.select(F.max(F.size(features))).first()[0])]
+    whole = rows.agg(F.count("*").alias("n"), F.array(*map(F.avg, at)).alias("mean"), F.array(*map(F.stddev_pop, at)).alias("std")).first()
+    if whole["n"] > FIT_ROWS:
+        rows = rows.filter(F.pmod(F.xxhash64(features), F.lit(1 << 30)) < F.lit(int(FIT_ROWS / whole["n"] * (1 << 30))))
+    mean, std = np.array(whole["mean"]), np.maximum(np.array(whole["std"]), 1e-6)
+    table = rows.select(features, label).toPandas()
+    positive = table[label].to_numpy() > 0
+    # the intercept is one more column, of ones, that no penalty shrinks
+    design = np.column_stack([(np.stack(table[features].to_numpy()) - mean) / std, np.ones(len(table))])
+    share = np.where(positive, max(1.0, (~positive).sum() / max(1, positive.sum())), 1.0)
+    share, penalty = share / share.sum(), np.r_[np.full(len(mean), l2), 0.0]
+    target, theta = design.T @ (share * positive), np.zeros(len(mean) + 1)
+    for rate in RATE / (1 + np.arange(steps) / HALVED):
+        expected = design.T @ (share / (1 + np.exp(-np.clip(design @ theta, -30, 30))))
+        theta = theta - rate * (expected - target + penalty * theta)
+    return {"mean": mean.tolist(), "std": std.tolist(), "weights": theta[:-1].tolist(), "bias": float(theta[-1])}
 
 
 def score_pairs(rows: DataFrame, model: dict, features: str = "v") -> DataFrame:
@@ -82,6 +89,18 @@ def training_pairs(queries: DataFrame, controls: DataFrame) -> DataFrame:
     return p.unionByName(controls.select("query_id", F.explode("top3").alias("c")).select("query_id", "c.*", F.lit(0).cast("long").alias("label")))
 
 
+def contrastive_loss(rows: DataFrame, batch: str, key: str, label: str, vector: str = "v", temperature: float = 0.07) -> DataFrame:
+    """UDF-07: supervised contrastive loss of each batch: over the anchors that share their label with another row, the mean
+    of log(sum of exp of all similarities) less the mean similarity to rows of the same label. Batches are small (each row
+    meets its batch), similarities are of unit vectors, so their exponentials stay finite."""
+    unit = rows.select(batch, key, label, normalise(F.col(vector)).alias("v"))
+    other = unit.select(batch, F.col(key).alias("_k"), F.col(label).alias("_l"), F.col("v").alias("_v"))
+    x = dot(F.col("v"), F.col("_v")) / temperature
+    met = unit.join(other, batch).filter(F.col(key) != F.col("_k")).select(batch, key, (F.col(label) == F.col("_l")).alias("same"), x.alias("x"))
+    anchor = met.groupBy(batch, key).agg((F.log(F.sum(F.exp("x"))) - F.avg(F.when(F.col("same"), F.col("x")))).alias("loss"))
+    return anchor.groupBy(batch).agg(F.count("loss").alias("anchors"), F.avg("loss").alias("loss"))
+
+
 def hybrid_report(rows: DataFrame, parts: str = "parts") -> DataFrame:
     """UDF-08: counts and rates of decisions in every part a row belongs to."""
     flagged, hold = F.col("decision").isin("WARN", "HOLD", "BLOCK"), F.col("decision").isin("HOLD", "BLOCK")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The accepted suffixes and the upload limits.
-SUFFIXES = [".mp3", ".wav", ".flac", ".m4a", ".ogg", ".aac"]
+SUFFIXES = [".mp3", ".wav", ".webm", ".flac", ".m4a", ".aac", ".ogg", ".wma"]
 MAX_BYTES, MIN_SECONDS, MAX_SECONDS = 250 * 1024 * 1024, 10.0, 1800.0
 
 
@@ -26,8 +26,10 @@ def decide(duplicate: Column, query_score: Column, pair_score: Column, warn: flo
 
 
 def registration(decision: Column) -> Column:
-    """FLT-09: what may be registered after a decision."""
-    return F.when(decision == "PASS", "REGISTER").when(decision == "WARN", "REGISTER_WITH_NOTICE").when(decision == "HOLD", "MANUAL_REVIEW").otherwise("REJECT")
+    """FLT-09: struct of three flags: whether a signature is issued, whether registering and minting is allowed (both unless
+    blocked), and whether it is registered on hold."""
+    free = decision != "BLOCK"
+    return F.struct(free.alias("issue_signature"), free.alias("allow_register"), (decision == "HOLD").alias("is_hold"))
 
 
 def admit(requests: DataFrame, known: DataFrame, key: str = "request_key", payload: str = "payload") -> DataFrame:

@@ -37,33 +37,44 @@ def greedy_windows(best: DataFrame, k: int = 3, gap: float = W) -> DataFrame:
 
 
 def greedy_pairs(pairs: DataFrame, k: int = 3, gap: float = W) -> DataFrame:
-    """AGG-06: the same over window pairs, apart on both axes; order (score, query, reference) descending."""
-    items = F.sort_array(F.collect_list(F.struct(F.col("score").alias("m"), F.col("q_off").alias("q"), F.col("r_off").alias("r"))), asc=False)
-    kept = pairs.groupBy("query_id", "track_id").agg(items.alias("items"))
-    kept = kept.withColumn("kept", _fold(F.col("items"), lambda x, y: (F.abs(x["q"] - y["q"]) >= gap) & (F.abs(x["r"] - y["r"]) >= gap), k, "struct<m:double,q:double,r:double>"))
-    return kept.select("query_id", "track_id", F.round(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x["m"]) / F.size("kept"), 8).alias("score"), F.size("kept").cast("long").alias("n"))
+    """AGG-06: the same over window pairs, apart on both axes; order (score, query, reference) descending.
+
+    The k pairs are found one after another by max() of what lies apart from those taken, so no array holds all pairs
+    of a track. pairs is read k times: settle it where it is dear.
+    """
+    keys, taken = ["query_id", "track_id"], None
+    item = F.struct("score", F.col("q_off").alias("q"), F.col("r_off").alias("r"))
+    for _ in range(k):
+        left = pairs if taken is None else pairs.join(taken, keys).filter(F.forall("taken", lambda t: (F.abs(F.col("q_off") - t["q"]) >= gap) & (F.abs(F.col("r_off") - t["r"]) >= gap)))
+        found = left.groupBy(*keys).agg(F.max(item).alias("next"))
+        if taken is None:
+            taken = found.select(*keys, F.array("next").alias("taken"))
+        else:
+            taken = taken.join(found, keys, "left").select(*keys, F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("next"))).alias("taken"))
+    return taken.select(*keys, F.round(F.aggregate("taken", F.lit(0.0), lambda s, x: s + x["score"]) / F.size("taken"), 8).alias("score"), F.size("taken").cast("long").alias("n"))
 
 
 def _steps(df: DataFrame, key: str, off: str, name: str) -> DataFrame:
-    """Distinct windows of a side with the offsets one and two windows on, null where a step isn't regular."""
+    """Distinct windows of a side with their number and whether the next one, and the next two, follow by regular steps."""
     w = Window.partitionBy(key).orderBy(off)
-    d = df.select(key, off).distinct().withColumns({"_1": F.lead(off, 1).over(w), "_2": F.lead(off, 2).over(w)})
-    ok1 = F.abs(F.col("_1") - F.col(off) - STEP) <= TOLERANCE
-    ok2 = ok1 & (F.abs(F.col("_2") - F.col("_1") - STEP) <= TOLERANCE)
-    return d.select(key, off, F.when(ok1, F.col("_1")).alias(f"{name}1"), F.when(ok2, F.col("_2")).alias(f"{name}2"))
+    ok = F.coalesce(F.abs(F.lead(off).over(w) - F.col(off) - STEP) <= TOLERANCE, F.lit(False))
+    d = df.select(key, off).distinct().withColumns({f"{name}n": F.row_number().over(w), f"{name}1": ok})
+    return d.withColumn(f"{name}2", F.col(f"{name}1") & F.coalesce(F.lead(f"{name}1").over(w), F.lit(False)))
 
 
 def continuity(pairs: DataFrame) -> DataFrame:
     """AGG-07 / JN-16: best mean of three, else two, else one time-aligned windows advancing together by about 5 s.
 
-    Ties: lowest query, then reference offset. continuous_s = 10 + 5 (windows - 1).
+    Ties: lowest query, then reference offset. continuous_s = 10 + 5 (windows - 1). Windows that advance together lie on one
+    diagonal of window numbers, so one window function finds the next two pairs, without a join of pairs to pairs.
     """
     p = pairs.join(_steps(pairs, "query_id", "q_off", "q"), ["query_id", "q_off"]).join(_steps(pairs, "track_id", "r_off", "r"), ["track_id", "r_off"])
-    nxt = lambda i: pairs.select("query_id", "track_id", F.col("q_off").alias(f"q{i}"), F.col("r_off").alias(f"r{i}"), F.col("score").alias(f"s{i}"))
-    p = p.join(nxt(1), ["query_id", "track_id", "q1", "r1"], "left").join(nxt(2), ["query_id", "track_id", "q2", "r2"], "left")
+    w = Window.partitionBy("query_id", "track_id", F.col("qn") - F.col("rn")).orderBy("qn")
+    then = lambda i: F.when(F.col(f"q{i}") & F.col(f"r{i}") & (F.lead("qn", i).over(w) == F.col("qn") + i), F.lead("score", i).over(w))
+    p = p.withColumns({"s1": then(1), "s2": then(2)})
     three, two = (F.col("score") + F.col("s1") + F.col("s2")) / 3, (F.col("score") + F.col("s1")) / 2
     top = lambda ok, x: F.max(F.when(ok, F.struct(F.round(x, 8).alias("s"), (-F.col("q_off")).alias("q"), (-F.col("r_off")).alias("r"))))
-    g = p.groupBy("query_id", "track_id").agg(top(F.col("s2").isNotNull(), three).alias("t3"), top(F.col("s1").isNotNull(), two).alias("t2"), top(F.lit(True), F.col("score")).alias("t1"))
+    g = p.groupBy("query_id", "track_id").agg(top(F.col("s1").isNotNull() & F.col("s2").isNotNull(), three).alias("t3"), top(F.col("s1").isNotNull(), two).alias("t2"), top(F.lit(True), F.col("score")).alias("t1"))
     n = F.when(F.col("t3").isNotNull(), 3).when(F.col("t2").isNotNull(), 2).otherwise(1).cast("long")
     best = F.coalesce("t3", "t2", "t1")
     return g.select("query_id", "track_id", best["s"].alias("continuity_score"), n.alias("windows"), (W + STEP * (n - 1)).alias("continuous_s"), (-best["q"]).alias("q_off"), (-best["r"]).alias("r_off"))

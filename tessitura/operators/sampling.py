@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settle
+
 #: Groups of a seeded shuffle are put in order on the driver; there may be at most so many.
 MAX_GROUPS = 1_000_000
 
@@ -19,11 +21,11 @@ def hash48(text: Column) -> Column:
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """df with _pos from 1 in a global order: a range sort, then offsets of its partitions, so no task sees all rows.
 
-    The sorted rows are cached while the partition counts (one row for each partition) are taken.
+    The sorted rows are written to the shared scratch folder, numbered as they are written.
     """
-    s = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    s = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
-    counts = s.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    counts = s.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # one row for each partition of the sort
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = s.withColumn("_p", part).join(F.broadcast(before.select("_p", "_before")), "_p")
     return out.withColumn("_pos", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_p", "_before", "_id")

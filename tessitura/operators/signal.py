@@ -66,6 +66,16 @@ def decode_wav(data: bytes, rate: int = 22_050) -> np.ndarray:
     return x
 
 
+def decode(data: bytes, rate: int = 22_050, other: Callable[[bytes, int], np.ndarray] | None = None) -> np.ndarray:
+    """SRC-08: WAV is read here; any other container goes to ``other`` (bytes, rate) -> mono PCM, say one that pipes it through
+    an audio tool on the executors, and is an error without it."""
+    if data[:4] == b"RIFF":
+        return decode_wav(data, rate)
+    if other is None:
+        raise ValueError("not a WAV file, and no other decoder is given")
+    return np.asarray(other(data, rate), dtype=np.float64)
+
+
 def tone(hz: float, seconds: float, rate: int, level: float = 0.5) -> np.ndarray:
     """SCL-29: a note with three partials and a soft attack and end."""
     t = np.arange(int(seconds * rate)) / rate
@@ -115,8 +125,12 @@ def chroma(x: np.ndarray, rate: int = 22_050, size: int = 4096, hop: int = 2048,
 
 
 def evidence(x: np.ndarray, rate: int = 22_050, size: int = 2048, hop: int = 512, low: float = 80.0, high: float = 4000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SCL-09: (histogram of the strongest pitch class of each frame, mean chroma, onset strength), from frames without padding."""
-    spec = np.abs(np.fft.rfft(_frames(np.asarray(x, dtype=np.float64), size, hop, False) * np.hanning(size), axis=1))
+    """SCL-09: (histogram of the strongest pitch class of each frame, mean chroma, onset strength), from frames without
+    padding. The onset strength is the positive flux of the band's spectrum, each frame taken as shares of its sum."""
+    x = np.asarray(x, dtype=np.float64)
+    if len(x) < size:
+        raise ValueError(f"{len(x)} samples are too short for a spectrum of {size}")
+    spec = np.abs(np.fft.rfft(_frames(x, size, hop, False) * np.hanning(size), axis=1))
     hz = np.fft.rfftfreq(size, 1 / rate)
     use = (hz >= low) & (hz <= high)
     part = spec[:, use]
@@ -124,7 +138,8 @@ def evidence(x: np.ndarray, rate: int = 22_050, size: int = 2048, hop: int = 512
     top = part.argmax(axis=1)
     pitch = np.bincount(pc[top], weights=part[np.arange(len(part)), top], minlength=12)
     mean = np.array([part[:, pc == k].sum() for k in range(12)])
-    onset = np.r_[0.0, np.maximum(np.diff(np.log1p(spec), axis=0), 0).sum(axis=1)]
+    share = part / np.maximum(part.sum(axis=1, keepdims=True), 1e-8)
+    onset = np.r_[0.0, np.clip(share[1:] - share[:-1], 0, None).sum(axis=1)]
     return _unit(pitch), _unit(mean), onset
 
 
@@ -148,11 +163,14 @@ def rhythm_score(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, float(np.dot(p, q) / d)) if d > 1e-12 else 0.0
 
 
-def bins(frames: np.ndarray, per: int = 11, width: int = 10, step: int = 5) -> list[np.ndarray]:
-    """SCL-07: means of ``per`` frames, unit length, in windows of ``width`` bins every ``step``; the incomplete last bin drops out."""
-    n = len(frames) // per
-    b = _unit(frames[: n * per].reshape(n, per, -1).mean(axis=1)) if n else np.zeros((0, 12))
-    return [b[s : s + width] for s in range(0, max(1, n - width + 1), step)] if n else []
+def bins(frames: np.ndarray, per: int = 11, width: int = 10, step: int = 5) -> list[tuple[int, np.ndarray]]:
+    """SCL-07: means of ``per`` frames (of what is left in the last bin), unit length, as (first bin, window of ``width``
+    bins) every ``step`` bins and once more at the end; fewer bins than a window are padded with zeros."""
+    if not len(frames):
+        raise ValueError("no chroma frames")
+    starts = np.arange(0, len(frames), per)
+    means = np.add.reduceat(frames, starts, axis=0) / np.diff(np.r_[starts, len(frames)])[:, None]
+    return chroma_windows(_unit(means), width, step)
 
 
 def chroma_windows(frames: np.ndarray, width: int = 108, step: int = 54) -> list[tuple[int, np.ndarray]]:
@@ -160,9 +178,7 @@ def chroma_windows(frames: np.ndarray, width: int = 108, step: int = 54) -> list
     n = len(frames)
     if n < width:
         return [(0, np.vstack([frames, np.zeros((width - n, frames.shape[1]))]))] if n else []
-    starts = list(range(0, n - width + 1, step))
-    if starts[-1] != n - width:
-        starts.append(n - width)
+    starts = sorted({*range(0, n - width + 1, step), n - width})
     return [(s, frames[s : s + width]) for s in starts]
 
 
@@ -173,44 +189,77 @@ def aligned_score(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return scores[s], s
 
 
-def compare_chroma(a: np.ndarray, b: np.ndarray, frames_apart: int = 108, k: int = 3) -> float:
-    """SCL-16: mean of the k best window pairs that lie apart on both sides; pairs in order (score, a, b) descending."""
-    pairs = sorted(((aligned_score(x, y)[0], i, j) for i, x in chroma_windows(a) for j, y in chroma_windows(b)), reverse=True)
-    kept: list[tuple[float, int, int]] = []
-    for p in pairs:
-        if len(kept) < k and all(abs(p[1] - q[1]) >= frames_apart and abs(p[2] - q[2]) >= frames_apart for q in kept):
+#: SCL-16's result.
+COMPARED = ("top3_mean double, best_segment double, best_query_s double, best_candidate_s double, query_segments int, candidate_segments int, "
+            "selected array<struct<score: double, query_s: double, candidate_s: double>>")
+
+
+def compare_chroma(a: np.ndarray, b: np.ndarray, frame_s: float = 2048 / 22_050, apart_s: float = 10.0, k: int = 3) -> dict:
+    """SCL-16: the best window pair (ties: the earliest), and of the k best that lie ``apart_s`` apart on both sides, taken in
+    order (score, query, candidate) descending, the pairs and their mean."""
+    wa, wb = chroma_windows(a), chroma_windows(b)
+    if not wa or not wb:
+        raise ValueError("no chroma windows")
+    scores = np.array([[aligned_score(x, y)[0] for _, y in wb] for _, x in wa])
+    at_a, at_b = (np.array([s for s, _ in w]) * frame_s for w in (wa, wb))
+    i, j = (x.ravel() for x in np.indices(scores.shape))
+    kept: list[tuple[int, int]] = []
+    for at in np.lexsort((j, i, scores.ravel()))[::-1]:
+        p = (int(i[at]), int(j[at]))
+        if all(abs(at_a[p[0]] - at_a[q]) >= apart_s and abs(at_b[p[1]] - at_b[r]) >= apart_s for q, r in kept):
             kept.append(p)
-    return float(np.mean([p[0] for p in kept])) if kept else 0.0
+            if len(kept) == k:
+                break
+    best = np.unravel_index(int(scores.argmax()), scores.shape)
+    return {"top3_mean": float(np.mean([scores[p] for p in kept])), "best_segment": float(scores[best]), "best_query_s": float(at_a[best[0]]), "best_candidate_s": float(at_b[best[1]]),
+            "query_segments": len(wa), "candidate_segments": len(wb),
+            "selected": [{"score": float(scores[p]), "query_s": float(at_a[p[0]]), "candidate_s": float(at_b[p[1]])} for p in kept]}
 
 
-def dtw_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """SCL-14: transposed to the best shift of the mean chroma, then 1 - cost of the cheapest monotone path / max length."""
+def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
+    """SCL-14: (1 - cost of the cheapest monotone path / max length, shift) after transposing b to the best shift of the mean
+    chroma; 0 if either side is empty. Cells are filled by antidiagonals."""
     if not len(a) or not len(b):
-        return 0.0
-    _, s = rolled_cosine(a.mean(axis=0), b.mean(axis=0))
-    cost = 1 - np.clip(_unit(a) @ _unit(np.roll(b, s, axis=1)).T, 0, 1)
-    acc = np.full((len(a) + 1, len(b) + 1), np.inf)
+        return 0.0, 0
+    means = a.mean(axis=0), b.mean(axis=0)
+    shift = int(np.argmax(np.round([means[0] @ np.roll(means[1], -s) for s in range(12)], 12)))
+    cost = 1 - np.clip(a @ np.roll(b, -shift, axis=1).T, 0, 1)
+    n, m = cost.shape
+    acc = np.full((n + 1, m + 1), np.inf)
     acc[0, 0] = 0
-    for i in range(1, len(a) + 1):
-        best = np.minimum(acc[i - 1, 1:], acc[i - 1, :-1])
-        for j in range(1, len(b) + 1):
-            acc[i, j] = cost[i - 1, j - 1] + min(best[j - 1], acc[i, j - 1])
-    return max(0.0, 1 - float(acc[-1, -1]) / max(len(a), len(b)))
-
-
-def aligned_dtw(a: np.ndarray, b: np.ndarray, seconds: float = 5.0, tolerance: float = 0.6) -> float:
-    """SCL-15: coarse window matrix by rolled cosine of means; the best run of three, else two, else one aligned windows,
-    scored by the mean DTW similarity of its window pairs."""
-    wa, wb = bins(a), bins(b)
-    if not wa or not wb:
-        return 0.0
-    m = np.array([[rolled_cosine(x.mean(axis=0), y.mean(axis=0))[0] for y in wb] for x in wa])
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        acc[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(acc[i - 1, j], acc[i, j - 1]), acc[i - 1, j - 1])
+    return max(0.0, 1 - float(acc[n, m]) / max(n, m)), shift
+
+
+#: SCL-15's result.
+ALIGNED = ("dtw_score double, coarse_score double, windows int, match_s double, query_s double, candidate_s double, shifts array<int>, "
+           "query_windows int, candidate_windows int")
+
+
+def aligned_dtw(a: np.ndarray, b: np.ndarray, frame_s: float = 2048 / 22_050, window_s: float = 10.0, step_s: float = 5.0, tolerance: float = 0.6) -> dict:
+    """SCL-15: windows of 1 s bins are compared by the best rolled product of their means; the best run of three, else two
+    windows that both advance by ``step_s`` (less than ``tolerance`` off), else the best single pair, is scored by the mean
+    DTW similarity of its window pairs."""
+    per = max(1, round(1 / frame_s))
+    wa, wb = bins(a, per), bins(b, per)
+    ma, mb = (np.array([w.mean(axis=0) for _, w in x]) for x in (wa, wb))
+    coarse = np.maximum(0, np.max([ma @ np.roll(mb, s, axis=1).T for s in range(12)], axis=0))
+    at_a, at_b = (np.array([s for s, _ in w]) * per * frame_s for w in (wa, wb))
     for run in (3, 2, 1):
-        if min(m.shape) >= run:
-            s = sum(m[k : m.shape[0] - run + 1 + k, k : m.shape[1] - run + 1 + k] for k in range(run)) / run
-            i, j = np.unravel_index(int(np.argmax(np.round(s, 12))), s.shape)
-            return float(np.mean([dtw_similarity(wa[i + k], wb[j + k]) for k in range(run)]))
-    return 0.0
+        n, m = len(wa) - run + 1, len(wb) - run + 1
+        if min(n, m) < 1:
+            continue
+        even = [np.all([np.abs(at[k + 1 : k + 1 + c] - at[k : k + c] - step_s) < tolerance for k in range(run - 1)], axis=0) if run > 1 else np.ones(c, dtype=bool) for at, c in ((at_a, n), (at_b, m))]
+        score = np.where(np.outer(*even), np.mean([coarse[k : k + n, k : k + m] for k in range(run)], axis=0), -np.inf)
+        i, j = (int(x) for x in np.unravel_index(int(np.argmax(np.round(score, 12))), score.shape))
+        if np.isfinite(score[i, j]):
+            found = [dtw(wa[i + k][1], wb[j + k][1]) for k in range(run)]
+            return {"dtw_score": float(np.mean([f[0] for f in found])), "coarse_score": float(score[i, j]), "windows": run, "match_s": window_s + (run - 1) * step_s, "query_s": float(at_a[i]), "candidate_s": float(at_b[j]),
+                    "shifts": [f[1] for f in found], "query_windows": len(wa), "candidate_windows": len(wb)}
+    raise AssertionError("single windows always match")
 
 
 def embed(x: np.ndarray, rate: int, dim: int = 64) -> np.ndarray:
@@ -225,8 +274,3 @@ def embed(x: np.ndarray, rate: int, dim: int = 64) -> np.ndarray:
 def embed_windows(df: DataFrame, keep: list[str], pcm: str, rate: int, model: Callable = embed) -> DataFrame:
     """UDF-01: one unit vector for each PCM row; ``model`` is sent to the workers once with the task."""
     return apply_kernel(df, keep, [pcm], lambda x: [float(v) for v in model(np.array(x), rate)], "array<double>")
-
-
-def error_counts(df: DataFrame) -> DataFrame:
-    """FLT-14: rows per error type; fine rows count as null."""
-    return df.groupBy(F.split("error", ":")[0].alias("error")).agg(F.count("*").alias("n"))

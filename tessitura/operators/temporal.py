@@ -40,19 +40,47 @@ def longest_run(xs: Column) -> Column:
 
 
 def features(segments: Column) -> dict[str, Column]:
-    """Temporal part of the pair vector from array<struct<q, r, shift>>, sorted here by q."""
+    """Temporal part of the pair vector from array<struct<q, r, shift>>, sorted here by q. Without segments the longest
+    chain still counts one window, so coverage is 1 and all else 0."""
     seg = F.array_sort(segments)
     q, r, shift = seg["q"], seg["r"], seg["shift"]  # a field of an array of structs is the array of that field
     n = F.size(seg)
     dq, dr = _deltas(q), _deltas(r)
     ordered = F.size(F.filter(dr, lambda x: x >= 0)) / F.greatest(F.lit(1), n - 1)
     mode = F.array_max(F.transform(F.array_distinct(shift), lambda v: F.size(F.filter(shift, lambda x: x == v))))
-    ratios = F.transform(F.filter(F.arrays_zip(dq.alias("q"), dr.alias("r")), lambda z: (z["q"] > 0) & (z["r"] > 0)), lambda z: F.log(z["r"] / z["q"]))
+    ratios = F.transform(_advancing(dq, dr), lambda z: F.log(z["r"] / z["q"]))
     tempo = F.when(F.size(ratios) > 1, F.exp(-std0(ratios))).when(F.size(ratios) == 1, 1.0).otherwise(0.0)
-    run = longest_run(r)
-    coverage = F.least(F.lit(1.0), 10.0 * run / F.greatest(F.lit(10.0), F.array_max(q) + 10))
+    run = F.greatest(F.lit(1), longest_run(r))
+    coverage = F.least(F.lit(1.0), 10.0 * run / F.greatest(F.lit(10.0), F.coalesce(F.array_max(q), F.lit(0.0)) + 10))
     return {"ordered": F.coalesce(ordered, F.lit(0.0)), "shift_consistency": F.coalesce(mode, F.lit(0)) / F.greatest(F.lit(1), n), "tempo_consistency": tempo,
-            "longest": run.cast("long"), "coverage": F.coalesce(coverage, F.lit(0.0)), "segments": n / 3.0}
+            "longest": run.cast("long"), "coverage": coverage, "segments": n / 3.0}
+
+
+def _advancing(dq: Column, dr: Column) -> Column:
+    """The steps that advance on both sides."""
+    return F.filter(F.arrays_zip(dq.alias("q"), dr.alias("r")), lambda z: (z["q"] > 0) & (z["r"] > 0))
+
+
+def _median(xs: Column) -> Column:
+    z, n = F.array_sort(xs), F.size(xs)
+    return (F.get(z, F.floor((n - 1) / 2).cast("int")) + F.get(z, F.floor(n / 2).cast("int"))) / 2
+
+
+def evidence_record(segments: Column, query_seconds: Column, window: float = 10.0) -> Column:
+    """SCL-17: what a candidate's matched segments, array<struct<q, r, shift, pitch, rhythm, chroma>>, say together: their
+    number, order, pitch shift, tempo, longest ordered chain, coverage of both sides and mean scores; null without segments."""
+    seg = F.array_sort(segments)
+    f = features(F.transform(seg, lambda x: F.struct(x["q"].alias("q"), x["r"].alias("r"), x["shift"].alias("shift"))))
+    n, dr = F.size(seg), _deltas(seg["r"])
+    ratios = F.transform(_advancing(_deltas(seg["q"]), dr), lambda z: z["q"] / z["r"])
+    matched = F.least(window * n, query_seconds)
+    mean = lambda k: _mean(seg[k])
+    record = F.struct(n.cast("long").alias("matched"), f["ordered"].alias("ordered_fraction"), F.forall(dr, lambda x: x >= 0).alias("ordered"), f["shift_consistency"].alias("shift_consistency"),
+                      F.when(F.size(ratios) > 0, _median(ratios)).otherwise(1.0).alias("tempo_median"), f["tempo_consistency"].alias("tempo_consistency"),
+                      F.least(window * f["longest"], query_seconds).alias("chain_s"), (matched / F.greatest(query_seconds, F.lit(1e-8))).alias("query_coverage"),
+                      F.least(F.lit(1.0), matched / F.greatest(F.get(seg["r"], n - 1) + window, F.lit(1e-8))).alias("reference_coverage"),
+                      mean("pitch").alias("pitch"), mean("rhythm").alias("rhythm"), mean("chroma").alias("chroma"))
+    return F.when(n > 0, record)
 
 
 def pair_vector(score: Column, pitch: Column, rhythm: Column, chroma: Column, segments: Column) -> Column:

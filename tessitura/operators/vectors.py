@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query windows up to this number are broadcast as one matrix; beyond it both sides are dealt in blocks.
 QUERY_ROWS, QUERY_BLOCK, REF_BLOCK = 20_000, 4096, 16_384
+#: Pairs of one matrix product.
+PAIRS = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,17 +42,38 @@ def centred(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).withColumn("v", centre(F.col("v"), F.col("mean"))).drop("mean")
 
 
-def _scores(q: pa.Table, r: pa.Table) -> pa.Table:
-    """All pairs of two blocks as a table; the product is one matrix multiplication."""
-    matrix = lambda t: np.array(t["v"].to_pylist(), dtype=np.float64).reshape(len(t), -1)
-    s = matrix(r) @ matrix(q).T if len(q) and len(r) else np.zeros((len(r), len(q)))
-    ri, qi = np.repeat(np.arange(len(r)), len(q)), np.tile(np.arange(len(q)), len(r))
-    return pa.table({"query_id": q["query_id"].take(pa.array(qi)), "q_off": q["q_off"].take(pa.array(qi)), "track_id": r["track_id"].take(pa.array(ri)),
-                     "r_off": r["r_off"].take(pa.array(ri)), "score": pa.array(s.ravel())})
+def _matrix(t: pa.Table) -> np.ndarray:
+    flat = t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"]
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(t), -1)
 
 
-def pair_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
-    """JN-01: dot product of every query window (query_id, q_off, v) with every reference window (track_id, r_off, v)."""
+def _table(q: pa.Table, r: pa.Table, qi: np.ndarray, ri: np.ndarray, scores: np.ndarray) -> pa.Table:
+    qi, ri = pa.array(qi), pa.array(ri)
+    return pa.table({"query_id": q["query_id"].take(qi), "q_off": q["q_off"].take(qi), "track_id": r["track_id"].take(ri), "r_off": r["r_off"].take(ri), "score": pa.array(scores)})
+
+
+def _all(q: pa.Table, r: pa.Table, digits: int) -> pa.Table:
+    """All pairs of two blocks as a table; the product is one matrix multiplication."""
+    s = _matrix(r) @ _matrix(q).T if len(q) and len(r) else np.zeros((len(r), len(q)))
+    return _table(q, r, np.tile(np.arange(len(q)), len(r)), np.repeat(np.arange(len(r)), len(q)), s.ravel())
+
+
+def _best(q: pa.Table, r: pa.Table, digits: int) -> pa.Table:
+    """Of each query window and track the best reference window of the block (ties of rounded scores: lowest offset)."""
+    if not len(q) or not len(r):
+        return _all(q, r, digits)
+    r = r.sort_by([("track_id", "ascending"), ("r_off", "ascending")])
+    track = r["track_id"].combine_chunks().dictionary_encode()
+    code = (track.combine_chunks() if isinstance(track, pa.ChunkedArray) else track).indices.to_numpy(zero_copy_only=False)
+    begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    s = np.round(_matrix(r) @ _matrix(q).T, digits)
+    at = np.stack([a + s[a:b].argmax(axis=0) for a, b in zip(begin, np.r_[begin[1:], len(r)], strict=True)])
+    qi = np.tile(np.arange(len(q)), len(begin))
+    return _table(q, r, qi, at.ravel(), s[at.ravel(), qi])
+
+
+def _blocks(queries: DataFrame, refs: DataFrame, kernel, digits: int) -> DataFrame:
+    """kernel over blocks that together hold every pair of a query window with a reference window once."""
     q, r = queries.select("query_id", "q_off", "v"), refs.select("track_id", "r_off", "v")
     kinds = {**dict(q.dtypes), **dict(r.dtypes)}
     schema = f"query_id {kinds['query_id']}, q_off double, track_id {kinds['track_id']}, r_off double, score double"
@@ -59,17 +82,29 @@ def pair_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFra
         shared = q.sparkSession.sparkContext.broadcast(q.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, 400_000 // max(1, len(shared.value)))
+            step = max(1, PAIRS // max(1, len(shared.value)))
             for batch in batches:
                 for a in range(0, batch.num_rows, step):
-                    yield from _scores(shared.value, pa.Table.from_batches([batch.slice(a, step)])).combine_chunks().to_batches()
+                    yield from kernel(shared.value, pa.Table.from_batches([batch.slice(a, step)]), digits).combine_chunks().to_batches()
 
         out = r.repartition(r.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
     else:
         cells = lambda df, size: max(1, -(-df.count() // size))
         nq, nr = cells(q, QUERY_BLOCK), cells(r, REF_BLOCK)
         deal = lambda k: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(k))
-        left = q.withColumn("qi", deal(nq)).withColumn("ri", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).cast("long"))
-        right = r.withColumn("ri", deal(nr)).withColumn("qi", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
-        out = left.groupBy("qi", "ri").cogroup(right.groupBy("qi", "ri")).applyInArrow(_scores, schema)
+        every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+        left = q.withColumn("qi", deal(nq)).withColumn("ri", every(nr))
+        right = r.withColumn("ri", deal(nr)).withColumn("qi", every(nq))
+        out = left.groupBy("qi", "ri").cogroup(right.groupBy("qi", "ri")).applyInArrow(lambda a, b: kernel(a, b, digits), schema)
     return out.withColumn("score", F.round("score", digits))
+
+
+def pair_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
+    """JN-01: dot product of every query window (query_id, q_off, v) with every reference window (track_id, r_off, v)."""
+    return _blocks(queries, refs, _all, digits)
+
+
+def best_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
+    """The rows of ``pair_scores`` that a block can't rule out as best of their query window and track, so that what moves
+    follows windows times tracks and not pairs of windows."""
+    return _blocks(queries, refs, _best, digits)

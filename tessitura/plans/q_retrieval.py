@@ -8,15 +8,16 @@ from ..operators import metrics, retrieval, vectors
 from .base import BEST_SQL, CPAIRS_SQL, GREEDY_SQL, MEAN_SQL, PAIRS_GAPS_SQL, PAIRS_SQL, WIN_SQL, queries_of, query, read, references_of, windows
 
 
-def pairs(spark, d, irregular=False, centred=False):
+def pairs(spark, d, irregular=False, centred=False, best=False):
+    """Every pair of windows, or (best) those that may be the best of a query window and track."""
     w = windows(spark, d, irregular)
     if centred:
         w = vectors.centred(w, w.filter("role = 'reference'"))
-    return vectors.pair_scores(queries_of(w), references_of(w))
+    return (vectors.best_scores if best else vectors.pair_scores)(queries_of(w), references_of(w))
 
 
 def segments(spark, d, centred=False):
-    return retrieval.greedy_windows(retrieval.best_per_window(pairs(spark, d, centred=centred)))
+    return retrieval.greedy_windows(retrieval.best_per_window(pairs(spark, d, centred=centred, best=True)))
 
 
 @query("jn_01_all_pairs", PAIRS_SQL + " SELECT query_id, q_off, track_id, r_off, score FROM pairs")
@@ -27,12 +28,12 @@ def all_pairs(spark, d):
 @query("agg_01_best_pair", PAIRS_SQL + """ SELECT query_id, track_id, max(score) AS score, arg_min(q_off, (-score, q_off, r_off)) AS q_off, arg_min(r_off, (-score, q_off, r_off)) AS r_off
  FROM pairs GROUP BY query_id, track_id""")
 def best_pair(spark, d):
-    return retrieval.best_pair(pairs(spark, d))
+    return retrieval.best_pair(pairs(spark, d, best=True))
 
 
 @query("agg_02_best_per_window", PAIRS_SQL + BEST_SQL + " SELECT * FROM best")
 def best_window(spark, d):
-    return retrieval.best_per_window(pairs(spark, d))
+    return retrieval.best_per_window(pairs(spark, d, best=True))
 
 
 _MEANS = """, d1 AS (SELECT track_id, role, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM {w}), m0 AS (SELECT track_id, role, dim, avg(x) AS x FROM d1 GROUP BY ALL),
@@ -107,7 +108,7 @@ def mode_scores(spark, d, mode):
     if kind == "mean_emb":
         return mean_embeddings(spark, d, centred)
     if kind == "max":
-        return pairs(spark, d, centred=centred).groupBy("query_id", "track_id").agg(F.max("score").alias("score"))
+        return pairs(spark, d, centred=centred, best=True).groupBy("query_id", "track_id").agg(F.max("score").alias("score"))
     return segments(spark, d, centred).select("query_id", "track_id", "score")
 
 

@@ -85,7 +85,8 @@ def best_roll(spark, d):
     return chroma(spark, d).select("vec_id", top.alias("score"), shift.alias("shift"))
 
 
-_SEG = """seg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, round(value % 60, 3) AS q, round((value * 7) % 60, 3) AS r, event_id % 3 AS shift FROM events),
+_SEG = """seg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, round(value % 60, 3) AS q, round((value * 7) % 60, 3) AS r, event_id % 3 AS shift,
+   round((event_id % 7) / 7.0::double, 4) AS pitch, round((event_id % 5) / 5.0::double, 4) AS rhythm, round((event_id % 11) / 11.0::double, 4) AS chroma FROM events),
  s5 AS (SELECT *, row_number() OVER w AS k, q - lag(q) OVER w AS dq, r - lag(r) OVER w AS dr FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY q, r, shift)),
  isl AS (SELECT *, sum(CASE WHEN dr >= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS isl FROM s5),
  runs AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, isl, count(*) AS n FROM isl GROUP BY ALL) GROUP BY user_id),
@@ -95,17 +96,22 @@ _SEG = """seg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER
  tf AS (SELECT user_id, n, ordered, m / greatest(1, n)::double AS shift_consistency, tempo AS tempo_consistency, longest, least(1, 10.0::double * longest / greatest(10, mq + 10)) AS coverage FROM f JOIN runs USING (user_id) JOIN md USING (user_id))"""
 
 
-def segment_lists(spark, d):
-    seg = F.struct(F.round(F.col("value") % 60, 3).alias("q"), F.round((F.col("value") * 7) % 60, 3).alias("r"), (F.col("event_id") % 3).alias("shift"))
+def segment_lists(spark, d, *more):
+    seg = F.struct(F.round(F.col("value") % 60, 3).alias("q"), F.round((F.col("value") * 7) % 60, 3).alias("r"), (F.col("event_id") % 3).alias("shift"), *more)
     return read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
 
 
-@query("scl_17_temporal_evidence", "WITH " + _SEG + " SELECT user_id, round(ordered, 6) AS ordered, round(shift_consistency, 6) AS shift_consistency, round(tempo_consistency, 4) AS tempo_consistency, longest, round(coverage, 6) AS coverage FROM tf")
+@query("scl_17_temporal_evidence", "WITH " + _SEG + """, ev AS (SELECT user_id, count(*) AS matched, avg(pitch) AS pitch, avg(rhythm) AS rhythm, avg(chroma) AS chroma, median(dq / dr) FILTER (dq > 0 AND dr > 0) AS tempo_median,
+   bool_and(coalesce(dr >= 0, true)) AS in_order, arg_max(r, k) AS last_r, 30.0::double + user_id % 50 AS secs FROM s5 GROUP BY user_id)
+ SELECT user_id, matched, round(ordered, 6) AS ordered_fraction, in_order AS ordered, round(shift_consistency, 6) AS shift_consistency, round(coalesce(tempo_median, 1), 4) AS tempo_median, round(tempo_consistency, 4) AS tempo_consistency,
+   least(10.0::double * longest, secs) AS chain_s, round(least(10.0::double * matched, secs) / secs, 6) AS query_coverage, round(least(1, least(10.0::double * matched, secs) / (last_r + 10)), 6) AS reference_coverage,
+   round(pitch, 6) AS pitch, round(rhythm, 6) AS rhythm, round(chroma, 6) AS chroma FROM tf JOIN ev USING (user_id)""")
 def temporal_evidence(spark, d):
-    s = segment_lists(spark, d)
-    f = temporal.features(F.col("segments"))
-    digits = {"tempo_consistency": 4}
-    return s.select("user_id", *[(F.round(c, digits.get(k, 6)) if k != "longest" else c).alias(k) for k, c in f.items() if k != "segments"])
+    part = lambda k, name: F.round((F.col("event_id") % k) / float(k), 4).alias(name)
+    s = segment_lists(spark, d, part(7, "pitch"), part(5, "rhythm"), part(11, "chroma"))
+    e = s.select("user_id", temporal.evidence_record(F.col("segments"), 30.0 + F.col("user_id") % 50).alias("e")).select("user_id", "e.*")
+    digits = {"tempo_consistency": 4, "tempo_median": 4}
+    return e.select("user_id", *[F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in e.drop("user_id").dtypes])
 
 
 _PV = """, pv AS (SELECT user_id, round((user_id % 11) / 11.0::double, 4) AS sc, round((user_id % 7) / 7.0::double, 4) AS p, round((user_id % 5) / 5.0::double, 4) AS rh, round((user_id % 3) / 3.0::double, 4) AS c, tf.* EXCLUDE (user_id) FROM tf),
@@ -177,9 +183,12 @@ def paths(spark, d):
     return read(spark, d, "part").select("p_partkey", fn.basename(path).alias("base"), fn.stem(path).alias("stem"))
 
 
-@query("scl_24_safe_names", r"""SELECT p_partkey, substr(regexp_replace(regexp_replace(' .' || p_name || '?*' || p_partkey || '. ', '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 180) AS safe FROM part""")
+@query("scl_24_safe_names", r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN ' . ' WHEN 1 THEN NULL ELSE ' .' || p_name || '?*' || p_partkey || '. ' END AS n FROM part)
+ SELECT p_partkey, coalesce(nullif(substr(regexp_replace(regexp_replace(n, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 180), ''), 'upload') AS safe FROM p""")
 def safe_names(spark, d):
-    return read(spark, d, "part").select("p_partkey", fn.safe_name(F.concat(F.lit("/a/ ."), "p_name", F.lit("?*"), F.col("p_partkey").cast("string"), F.lit(". "))).alias("safe"))
+    k = F.col("p_partkey")
+    name = F.when(k % 10 == 0, "/a/ . ").when(k % 10 == 1, F.lit(None)).otherwise(F.concat(F.lit("/a/ ."), "p_name", F.lit("?*"), k.cast("string"), F.lit(". ")))
+    return read(spark, d, "part").select("p_partkey", fn.safe_name(name).alias("safe"))
 
 
 @query("scl_25_hashes", "SELECT doc_id, sha256(text) AS sha, ('0x' || substr(sha256(text), 1, 12))::bigint AS prefix48 FROM documents")
@@ -199,9 +208,11 @@ def reorder_blocks(spark, d):
     return exploded(windows(spark, d).withColumn("v", fn.reorder_blocks(F.col("v"), 20, [1, 0, 2, 3, 1])), "vec_id")
 
 
-@query("scl_30_excerpts", "WITH " + _DUR + " SELECT doc_id, round(unnest([0.15, 0.5, 0.8]::double[]) * greatest(0, dur - 12), 3) AS start FROM d")
+@query("scl_30_excerpts", "WITH " + _DUR + """, p AS (SELECT doc_id, unnest([0, 1, 2]) AS i, greatest(0, dur - 12) AS last FROM d)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sha256(doc_id || ':' || i))::integer AS variant, round(list_extract([0.15, 0.5, 0.8]::double[], i + 1) * last, 3) AS start FROM p""")
 def excerpts(spark, d):
-    return durations(spark, d).select("doc_id", F.explode(fn.excerpt_starts(F.col("dur"), 12.0)).alias("start"))
+    e = durations(spark, d).select("doc_id", F.posexplode(fn.excerpt_starts(F.col("dur"), 12.0, F.col("doc_id"))).alias("p", "start"))
+    return e.select("doc_id", (F.col("p") + 1).alias("variant"), "start")
 
 
 @query("scl_31_half_even_rounding", "SELECT event_id, round_even(event_id / 8.0::double, 2) AS rounded FROM events")
@@ -227,9 +238,23 @@ def container_durations(spark, d):
     return read(spark, d, "documents").select("doc_id", fn.hms_seconds(F.when(F.col("doc_id") % 5 > 0, text).otherwise("Duration: N/A")).alias("seconds"))
 
 
-@query("scl_28_edit_manifest", "SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN round(1 + (p_partkey % 5) / 100.0::double, 4) END AS ratio, CASE p_partkey % 3 WHEN 2 THEN round(1 - (p_partkey % 4) / 100.0::double, 4) END AS tempo, CASE p_partkey % 3 WHEN 0 THEN 24 END AS section FROM part")
+_DRAW = "(('0x' || substr(sha256(p_partkey || ':{}'), 1, 12))::bigint / 281474976710656.0::double)"
+
+
+def _within(name: str, span: tuple[float, float], digits: int) -> str:
+    return f"(round({span[0]}::double + {_DRAW.format(name)} * ({span[1]}::double - {span[0]}::double), {digits}) + 0.0::double)"
+
+
+@query("scl_28_edit_manifest", f"""WITH p AS (SELECT p_partkey, p_partkey % 3 AS c, 2 + p_size % 5 AS n FROM part),
+ o AS (SELECT *, list_transform(list_sort(list_transform(range(0, n), lambda i: struct_pack(h := sha256(p_partkey || ':' || i), i := i))), lambda k: k.i) AS o, floor({_DRAW.format("place")} * (n + 1))::bigint AS place, floor({_DRAW.format("repeat")} * n)::bigint AS rep FROM p),
+ m AS (SELECT p_partkey, c, list_concat(list_slice(o, 1, place), [list_extract(o, rep + 1)], list_slice(o, place + 1, n)) AS o, {_within("ratio", fn.RATIO, 4)} AS ratio, {_within("eq", fn.EQ_DB, 1)} AS eq, {_within("tempo", fn.TEMPO, 4)} AS tempo, {_within("bass", fn.BASS_DB, 1)} AS bass FROM o)
+ SELECT p_partkey, CASE c WHEN 0 THEN 24 END AS section_seconds, CASE c WHEN 0 THEN array_to_string(o, ',') END AS section_order, CASE c WHEN 1 THEN ratio END AS ratio, CASE c WHEN 1 THEN eq END AS eq, CASE c WHEN 2 THEN tempo END AS tempo, CASE c WHEN 2 THEN bass END AS bass,
+   CASE c WHEN 2 THEN 'mild' END AS echo, CASE c WHEN 1 THEN 'asetrate=22050*' || ratio || ',aresample=22050,equalizer=f=1200:t=q:w=1:g=' || eq WHEN 2 THEN 'atempo=' || tempo || ',equalizer=f=180:t=q:w=1:g=' || bass || ',aecho=0.8:0.75:70:0.12' END AS filters FROM m""")
 def edit_manifest(spark, d):
     k = F.col("p_partkey")
     case = F.when(k % 3 == 0, "section_edit").when(k % 3 == 1, "tempo_pitch_eq").otherwise("remix_fx")
-    j = read(spark, d, "part").select("p_partkey", F.from_json(fn.edit_manifest(case, k), "speed_and_pitch_ratio double, tempo_rate double, section_seconds int").alias("j"))
-    return j.select("p_partkey", F.round("j.speed_and_pitch_ratio", 4).alias("ratio"), F.round("j.tempo_rate", 4).alias("tempo"), F.col("j.section_seconds").alias("section"))
+    parameters, filters = fn.edit_manifest(case, k, 2 + F.col("p_size") % 5)
+    schema = "section_seconds int, section_order array<int>, speed_and_pitch_ratio double, eq_1200hz_db double, tempo_rate double, bass_eq_db double, echo string"
+    j = read(spark, d, "part").select("p_partkey", F.from_json(parameters, schema).alias("j"), filters.alias("filters"))
+    return j.select("p_partkey", "j.section_seconds", F.array_join(F.col("j.section_order").cast("array<string>"), ",").alias("section_order"), F.col("j.speed_and_pitch_ratio").alias("ratio"), F.col("j.eq_1200hz_db").alias("eq"),
+                    F.col("j.tempo_rate").alias("tempo"), F.col("j.bass_eq_db").alias("bass"), "j.echo", "filters")

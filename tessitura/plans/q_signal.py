@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import models, signal
+from ..operators import models, signal, vectors
+from ..scratch import settle
 from .base import SCORED_SQL, query, read, scored
 from .q_metrics import D, decided
 from .q_scalars import pair_vectors
@@ -16,13 +20,16 @@ RATE = 8000
 
 
 def _frames(v):
-    return np.abs(np.array(v[:60], dtype=np.float64)).reshape(5, 12)
+    return np.abs(np.pad(np.array(v, dtype=np.float64), (0, -len(v) % 12))).reshape(-1, 12)
 
 
-def frames(spark, d):
-    """12 x 5 chroma of each vector, and of its neighbour within the label."""
-    from pyspark.sql import Window
+def _struct(fields: str) -> str:
+    """name type, ... as the fields of a struct type."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2: ", fields)
 
+
+def frames(spark, d):
+    """Chroma frames of 12 made of each vector, padded with zeros, and of its neighbour within the label."""
     e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
     return e.withColumn("other", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("other IS NOT NULL")
 
@@ -33,32 +40,41 @@ def kernel(spark, d, f, kind="double"):
 
 @query("scl_14_dtw")
 def dtw(spark, d):
-    unit = lambda v: signal._unit(_frames(v))
-    return kernel(spark, d, lambda a, b: signal.dtw_similarity(unit(a), unit(b))).select("vec_id", F.round("value", 6).alias("similarity"), "error")
+    def run(a, b):
+        score, shift = signal.dtw(signal._unit(_frames(a)), signal._unit(_frames(b)))
+        return {"score": score, "shift": shift}
+
+    return kernel(spark, d, run, "struct<score: double, shift: int>").select("vec_id", F.round("value.score", 6).alias("similarity"), "value.shift", "error")
+
+
+def unpacked(df):
+    """vec_id, the fields of value with doubles rounded, error."""
+    flat = df.select("vec_id", "value.*", "error")
+    return flat.select(*[F.round(c, 6).alias(c) if t == "double" else F.to_json(c).alias(c) if t.startswith("array<struct") else F.col(c) for c, t in flat.dtypes])
 
 
 @query("scl_15_aligned_dtw")
 def aligned(spark, d):
     long = lambda v: signal._unit(np.tile(_frames(v), (40, 1)))
-    return kernel(spark, d, lambda a, b: signal.aligned_dtw(long(a), long(b))).select("vec_id", F.round("value", 6).alias("similarity"), "error")
+    return unpacked(kernel(spark, d, lambda a, b: signal.aligned_dtw(long(a), long(b)), f"struct<{_struct(signal.ALIGNED)}>"))
 
 
 @query("scl_16_compare_chroma")
 def compare(spark, d):
     long = lambda v: signal._unit(np.tile(_frames(v), (60, 1)))
-    return kernel(spark, d, lambda a, b: signal.compare_chroma(long(a), long(b))).select("vec_id", F.round("value", 6).alias("score"), "error")
+    return unpacked(kernel(spark, d, lambda a, b: signal.compare_chroma(long(a), long(b)), f"struct<{_struct(signal.COMPARED)}>"))
 
 
-@query("scl_06_chroma_windows")
+@query("scl_06_chroma_windows", "WITH e AS (SELECT vec_id, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS o FROM embeddings) SELECT vec_id, unnest([0, 54, 108, 162, 192]) AS start FROM e WHERE o IS NOT NULL")
 def chroma_windows(spark, d):
     starts = lambda a, b: [int(s) for s, _ in signal.chroma_windows(np.tile(_frames(a), (50, 1)))]
     return kernel(spark, d, starts, "array<int>").select("vec_id", F.explode("value").alias("start"))
 
 
-@query("scl_07_chroma_bins")
+@query("scl_07_chroma_bins", "WITH e AS (SELECT vec_id, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS o FROM embeddings) SELECT vec_id, unnest([0, 5, 10, 15, 18]) AS first_bin FROM e WHERE o IS NOT NULL")
 def chroma_bins(spark, d):
-    count = lambda a, b: len(signal.bins(np.tile(_frames(a), (50, 1))))
-    return kernel(spark, d, count, "int").select("vec_id", F.col("value").alias("windows"))
+    starts = lambda a, b: [int(s) for s, _ in signal.bins(np.tile(_frames(a), (50, 1)))]
+    return kernel(spark, d, starts, "array<int>").select("vec_id", F.explode("value").alias("first_bin"))
 
 
 def pcm(spark, d):
@@ -69,46 +85,55 @@ def pcm(spark, d):
     return signal.apply_kernel(read(spark, d, "nation"), ["n_nationkey"], ["n_nationkey"], make, "binary").select("n_nationkey", F.col("value").alias("content"))
 
 
-@query("src_08_decode_wav")
+_FINE = "FROM nation WHERE n_nationkey % 7 < 6"
+
+
+@query("src_08_decode_wav", "SELECT n_nationkey, CASE WHEN n_nationkey % 7 < 6 THEN 8000 END::bigint AS samples, CASE WHEN n_nationkey % 7 < 6 THEN true END AS audible, CASE WHEN n_nationkey % 7 = 6 THEN 'ValueError' END AS error FROM nation")
 def decode(spark, d):
-    out = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: [len(x := signal.decode_wav(c, RATE)), float(np.abs(x).max())], "array<double>")
-    return out.select("n_nationkey", F.col("value")[0].cast("long").alias("samples"), F.round(F.col("value")[1], 2).alias("peak"), F.split("error", ":")[0].alias("error"))
+    out = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: [len(x := signal.decode(c, RATE)), float(np.abs(x).max())], "array<double>")
+    return out.select("n_nationkey", F.col("value")[0].cast("long").alias("samples"), (F.col("value")[1] > 0.1).alias("audible"), F.split("error", ":")[0].alias("error"))
 
 
-@query("scl_08_stft_chroma")
+@query("scl_08_stft_chroma", f"SELECT n_nationkey, (n_nationkey + 9) % 12 AS pitch_class {_FINE}")
 def stft_chroma(spark, d):
-    out = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: int(signal.chroma(signal.decode_wav(c, RATE), RATE).mean(axis=0).argmax()), "int")
-    return out.filter("error IS NULL").select("n_nationkey", F.col("value").alias("pitch_class"), ((F.col("n_nationkey") + 9) % 12).cast("int").alias("expected"))
+    out = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: int(signal.chroma(signal.decode(c, RATE), RATE).mean(axis=0).argmax()), "int")
+    return out.filter("error IS NULL").select("n_nationkey", F.col("value").alias("pitch_class"))
 
 
-@query("scl_09_spectral_evidence")
+@query("scl_09_spectral_evidence", f"SELECT n_nationkey, (n_nationkey + 9) % 12 AS pitch_class, 1 AS onset_frames {_FINE}")
 def spectral(spark, d):
-    out = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: int(signal.evidence(signal.decode_wav(c, RATE), RATE)[0].argmax()), "int")
-    return out.filter("error IS NULL").select("n_nationkey", F.col("value").alias("pitch_class"))
+    """The strongest pitch class, and how many frames of a note after half a second of silence have a large onset."""
+    def found(c):
+        x = signal.decode(c, RATE)
+        onset = signal.evidence(np.r_[np.zeros(4096), x[2000:6000]], RATE)[2]
+        return [int(signal.evidence(x, RATE)[0].argmax()), int((onset > 0.5).sum())]
+
+    out = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], found, "array<int>")
+    return out.filter("error IS NULL").select("n_nationkey", F.col("value")[0].alias("pitch_class"), F.col("value")[1].alias("onset_frames"))
 
 
 @query("scl_13_rhythm")
 def rhythm(spark, d):
     def score(c):
-        x = signal.decode_wav(c, RATE)
+        x = signal.decode(c, RATE)
         beat = np.concatenate([x[:2000], np.zeros(2000)] * 8)
         return signal.rhythm_score(signal.evidence(beat, RATE)[2], signal.evidence(np.roll(beat, 512), RATE)[2])
 
     return signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], score, "double").filter("error IS NULL").select("n_nationkey", F.round("value", 4).alias("rhythm"))
 
 
-@query("scl_29_layered_mix")
+@query("scl_29_layered_mix", f"SELECT n_nationkey, 0.98::double AS peak {_FINE}")
 def layered(spark, d):
     def mixed(c):
-        x = signal.decode_wav(c, RATE)
+        x = signal.decode(c, RATE)
         return float(np.abs(signal.layer(x, signal.tone(220.0, 0.5, RATE))).max())
 
     return signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], mixed, "double").filter("error IS NULL").select("n_nationkey", F.round("value", 6).alias("peak"))
 
 
-@query("udf_01_embed")
+@query("udf_01_embed", f"SELECT n_nationkey, 64 AS dim, 1.0::double AS norm {_FINE}")
 def embedded(spark, d):
-    x = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: [float(v) for v in signal.decode_wav(c, RATE)], "array<double>").filter("error IS NULL")
+    x = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: [float(v) for v in signal.decode(c, RATE)], "array<double>").filter("error IS NULL")
     out = signal.embed_windows(x.select("n_nationkey", F.col("value").alias("pcm")), ["n_nationkey"], "pcm", RATE)
     return out.select("n_nationkey", F.size("value").alias("dim"), F.round(F.sqrt(F.aggregate("value", F.lit(0.0), lambda s, v: s + v * v)), 6).alias("norm"))
 
@@ -122,7 +147,7 @@ def labelled(spark, d):
 
 @query("udf_02_pair_verifier")
 def pair_verifier(spark, d):
-    rows = labelled(spark, d).cache()
+    rows = settle(labelled(spark, d), "pairs")
     return models.score_pairs(rows, models.fit_pair_verifier(rows)).select("user_id", "y", F.round("probability", 4).alias("probability"))
 
 
@@ -139,8 +164,8 @@ def query_classifiers(spark, d):
 
     g = labelled(spark, d).groupBy(F.floor(F.col("user_id") / 3).alias("query_id")).agg(F.collect_list("v").alias("vs"), F.max("y").alias("y"))
     rows = g.withColumn("v", temporal.query_vector(F.col("vs"))).filter("v IS NOT NULL").drop("vs")
-    out = models.fit_all(rows, rows, trees=800, depth=5)
-    return out.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 4).alias("mean_probability"))
+    out = models.fit_all(rows.filter("query_id % 5 < 3"), rows.filter("query_id % 5 >= 3"), trees=800, depth=5)
+    return out.select("model", "query_id", "y", F.round("probability", 4).alias("probability"))
 
 
 _COEF = ([0.5, 0.5], [0.25, 0.25], [1.2, 0.8], -0.4)
@@ -153,7 +178,16 @@ def predict(spark, d):
 
 @query("udf_06_leave_one_family_out")
 def lofo(spark, d):
-    return models.leave_one_family_out(labelled(spark, d).cache(), "family").select("family", "user_id", "y", F.round("probability", 4).alias("probability"))
+    return models.leave_one_family_out(settle(labelled(spark, d), "pairs"), "family").select("family", "user_id", "y", F.round("probability", 4).alias("probability"))
+
+
+@query("udf_07_contrastive_loss", """WITH v AS (SELECT vec_id, vec_id // 128 AS batch, label, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_inner_product(embedding::double[], embedding::double[])), 1e-12)) AS v FROM embeddings),
+ l AS (SELECT a.batch, a.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v) / 0.07::double AS x FROM v a JOIN v b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
+ p AS (SELECT batch, vec_id, ln(sum(exp(x))) - avg(x) FILTER (same) AS loss FROM l GROUP BY batch, vec_id)
+ SELECT batch, count(loss) AS anchors, round(avg(loss), 6) AS loss FROM p GROUP BY batch""")
+def contrastive(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 128).alias("batch"), F.col("embedding").cast("array<double>").alias("v"))
+    return models.contrastive_loss(e, "batch", "vec_id", "label").select("batch", "anchors", F.round("loss", 6).alias("loss"))
 
 
 @query("udf_08_hybrid_policy", D + """, p AS (SELECT *, unnest(CASE WHEN family = 'en' THEN ['all', 'ai'] ELSE ['all', 'premusic'] END) AS part FROM dec)
@@ -168,9 +202,9 @@ def hybrid(spark, d):
  SELECT query_id, track, score, CASE WHEN positive AND track % 4 = 0 THEN 1 ELSE 0 END::bigint AS label FROM t WHERE rk <= 3""")
 def training_pairs(spark, d):
     s = scored(spark, d)
-    item = F.struct((-F.col("score")).alias("m"), F.col("doc_id").alias("track"))
-    top = s.groupBy("positive", F.col("group_id").alias("query_id")).agg(F.slice(F.array_sort(F.collect_list(item)), 1, 3).alias("t"))
-    top = top.withColumn("top3", F.transform("t", lambda x: F.struct(x["track"].alias("track"), (-x["m"]).alias("score"))))
+    order = Window.partitionBy("positive", "group_id").orderBy(F.desc("score"), "doc_id")
+    best = s.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")
+    top = best.groupBy("positive", F.col("group_id").alias("query_id")).agg(F.collect_list(F.struct(F.col("doc_id").alias("track"), "score")).alias("top3"))
     # of each query one candidate at most is its source; here every candidate with an id divisible by four is, so each gets a row of its own
     one = top.filter("positive").select("query_id", F.explode("top3").alias("c")).select("query_id", F.when(F.col("c.track") % 4 == 0, F.col("c.track")).alias("expected"), F.array("c").alias("top3"))
     return models.training_pairs(one, top.filter("NOT positive").select("query_id", "top3"))

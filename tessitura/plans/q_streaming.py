@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path as scratch
 from ..sources import readers, sinks
 from ..streaming import gate
 from .base import SCORED_SQL, query, read, scored
@@ -13,17 +12,6 @@ from .base import SCORED_SQL, query, read, scored
 S = "WITH " + SCORED_SQL
 
 
-def scratch(spark, tag):
-    """A folder in the shared scratch space of the session."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessitura-{uuid.uuid4().hex}/{tag}"
-
-
 def uploads(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"), F.col("doc_id").alias("seq"))
 
@@ -45,7 +33,11 @@ def job_log(spark, d):
     return read(spark, d, "events").select(F.col("user_id").alias("job_id"), names.alias("state"), F.col("event_id").alias("seq"))
 
 
-@query("str_02_job_states")
+@query("str_02_job_states", """WITH RECURSIVE e AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id % 4 AS s FROM events),
+ r AS (SELECT DISTINCT job_id, 0::bigint AS i, -1::bigint AS s, 0::bigint AS ignored FROM e
+  UNION ALL SELECT r.job_id, e.i, CASE WHEN ok THEN e.s ELSE r.s END, r.ignored + CASE WHEN ok THEN 0 ELSE 1 END FROM r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1, LATERAL (SELECT (r.s, e.s) IN ((-1, 0), (0, 1), (0, 3), (1, 2), (1, 3)) AS ok)),
+ l AS (SELECT job_id, arg_max(s, i) AS s, arg_max(ignored, i) AS ignored FROM r GROUP BY job_id)
+ SELECT job_id, CASE WHEN s IN (0, 1, 3) THEN 'FAILED' WHEN s = 2 THEN 'SUCCEEDED' END AS state, ignored FROM l""")
 def job_states(spark, d):
     base = scratch(spark, "jobs")
     job_log(spark, d).coalesce(1).write.parquet(f"{base}/in")
@@ -59,7 +51,7 @@ def job_states(spark, d):
     return gate.restart(last.select("job_id", "l.*"))
 
 
-@query("str_07_resumable")
+@query("str_07_resumable", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def resumable(spark, d):
     base = scratch(spark, "resume")
     src = read(spark, d, "events").select("event_id", "user_id", "value")
@@ -86,14 +78,14 @@ def csv_round_trip(spark, d):
     return back.select("group_id", F.size("m").cast("long").alias("n"), F.round(F.array_max(F.transform("m", lambda x: x["score"])), 4).alias("top"))
 
 
-@query("src_04_snk_04_resumable_jsonl", "SELECT count(DISTINCT sha256(text)) AS n FROM documents")
+@query("src_04_snk_04_resumable_jsonl", "WITH h AS (SELECT sha256(text) AS sha, doc_id FROM documents WHERE text IS NOT NULL) SELECT sha, coalesce(min(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS doc_id FROM h GROUP BY sha")
 def resumable_jsonl(spark, d):
     base = scratch(spark, "jsonl")
-    rows = read(spark, d, "documents").select(F.sha2("text", 256).alias("sha"), "doc_id")
-    sinks.append_new(rows.filter("doc_id % 2 = 0"), base, "sha")
-    sinks.append_new(rows, base, "sha")
-    sinks.append_new(rows, base, "sha")
-    return readers.jsonl_table(spark, base, "sha string, doc_id long").agg(F.count("*").alias("n"))
+    rows = read(spark, d, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("sha"), "doc_id")
+    sinks.append_new(rows.filter("doc_id % 2 = 0"), base, "sha", "doc_id")
+    sinks.append_new(rows, base, "sha", "doc_id")
+    sinks.append_new(rows, base, "sha", "doc_id")
+    return readers.jsonl_table(spark, base, "sha string, doc_id long")
 
 
 @query("src_05_json_registry", "SELECT n_name AS track_id, n_nationkey::double AS duration FROM nation")
@@ -104,22 +96,22 @@ def json_registry(spark, d):
     return readers.json_registry(spark, base, "struct<duration:double>")
 
 
-@query("src_06_snk_05_catalog", "SELECT label::bigint AS track_id, count(*) AS n FROM embeddings GROUP BY label")
+@query("src_06_snk_05_catalog", "SELECT label::bigint AS track_id, vec_id FROM embeddings")
 def catalog(spark, d):
     base = scratch(spark, "catalog")
     e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("track_id"), "vec_id")
     sinks.replace_table(e.limit(5), base)
     sinks.replace_table(e, base)
-    return readers.catalog(spark, base, e.select("track_id").distinct()).groupBy("track_id").agg(F.count("*").alias("n"))
+    return readers.catalog(spark, sinks.current(spark, base), e.select("track_id").distinct())
 
 
-@query("snk_03_keyed_cache", "SELECT count(*) AS n FROM supplier")
+@query("snk_03_keyed_cache", "SELECT s_suppkey, s_suppkey * 2 AS feature FROM supplier")
 def keyed_cache(spark, d):
     base = scratch(spark, "cache")
     keys = read(spark, d, "supplier").select("s_suppkey", sinks.cache_key(F.col("s_name"), F.col("s_acctbal")).alias("cache_key"))
     work = lambda df: df.withColumn("feature", F.col("s_suppkey") * 2)
     sinks.cached(keys.filter("s_suppkey % 2 = 0"), base, work)
-    return sinks.cached(keys, base, work).agg(F.count("*").alias("n"))
+    return sinks.cached(keys.union(keys), base, work).select("s_suppkey", "feature")
 
 
 @query("src_10_fingerprint_checks", "SELECT CASE WHEN n_chars % 30 < 10 THEN 'TOO_SHORT' WHEN doc_id % 7 = 0 THEN 'NOT_UINT32' END AS reject, count(*) AS n FROM documents GROUP BY 1")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,8 @@ def cache_key(*parts: Column) -> Column:
 
 
 def cached(keys: DataFrame, path: str, compute, key: str = "cache_key") -> DataFrame:
-    """SNK-03: cached rows plus those computed for missing keys, which are appended."""
+    """SNK-03: cached rows plus those computed for missing keys, which are appended; a repeated key is computed once, from
+    its smallest row."""
     spark = keys.sparkSession
     try:
         held = spark.read.parquet(path)
@@ -38,35 +38,66 @@ def cached(keys: DataFrame, path: str, compute, key: str = "cache_key") -> DataF
         if "PATH_NOT_FOUND" not in str(e):
             raise
         missing = keys
-    compute(missing).write.mode("append").parquet(path)
+    compute(_one_each(missing, key)).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(keys.select(key).distinct(), key, "left_semi")
 
 
-def append_new(rows: DataFrame, path: str, key: str, process=lambda df: df) -> None:
-    """SNK-04: process and append the rows whose key isn't there yet; running it again adds nothing."""
+def _one_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key by the columns in order (by all, where none is named): folded by min(), not a window."""
+    rest = [c for c in rows.columns if c != key]
+    ranked = [*order, *[c for c in rest if c not in order]]
+    return rows.groupBy(key).agg(F.min(F.struct(*ranked)).alias("_r")).select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in rows.columns]) if rest else rows.distinct()
+
+
+def append_new(rows: DataFrame, path: str, key: str, order: str, process=lambda df: df) -> None:
+    """SNK-04: process and append the rows whose key isn't there yet, of each key the first by ``order``; running it again
+    adds nothing."""
     spark = rows.sparkSession
     try:
         rows = rows.join(spark.read.json(path).select(key).distinct(), key, "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    process(rows.dropDuplicates([key])).write.mode("append").json(path)
+    process(_one_each(rows, key, order)).write.mode("append").json(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The path's file system and a maker of paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, make = _files(spark, path)
+    found = fs.listStatus(make(path)) if fs.exists(make(path)) else []
+    return sorted(int(n.removeprefix("ready-")) for n in (str(f.getPath().getName()) for f in found) if n.startswith("ready-"))
+
 
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> int:
+    """SNK-05: write a new version beside the others, then make its marker file; ``current`` reads the newest marked version.
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """SNK-05: write beside, then swap by rename, so readers see the old table or the new one."""
+    Making one empty file is atomic in every store, so a reader finds the old table or the new one, never neither, and a
+    write that fails leaves no marker. The last ``keep`` versions stay for readers that have begun. Returns the version.
+    """
     spark = df.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(conf)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    if not fs.rename(p(fresh), p(path)):
-        fs.rename(p(old), p(path))
-        raise OSError(f"{path} couldn't be replaced")
-    fs.delete(p(old), True)
+    fs, make = _files(spark, path)
+    done = _versions(spark, path)
+    new = done[-1] + 1 if done else 1
+    df.write.mode("overwrite").parquet(f"{path}/v={new}")
+    if not fs.createNewFile(make(f"{path}/ready-{new}")):
+        raise OSError(f"version {new} of {path} was made by another writer")
+    for old in done[: max(0, len(done) + 1 - keep)]:
+        fs.delete(make(f"{path}/ready-{old}"), False)
+        fs.delete(make(f"{path}/v={old}"), True)
+    return new
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Path of the newest whole version of a table written by ``replace_table``."""
+    done = _versions(spark, path)
+    if not done:
+        raise FileNotFoundError(path)
+    return f"{path}/v={done[-1]}"
 
 
 def save_model(spark: SparkSession, model: dict, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,17 +46,15 @@ NEXT = {None: ["PENDING"], "PENDING": ["RUNNING", "FAILED"], "RUNNING": ["SUCCEE
 
 def job_states(events: DataFrame) -> DataFrame:
     """STR-02: replay (job_id, state, seq) per job; transitions that aren't allowed are ignored and counted."""
+    allowed = F.create_map(*[x for k, v in NEXT.items() for x in (F.lit(k or ""), F.array(*map(F.lit, v)).cast("array<string>"))])
+    zero = F.struct(F.lit("").alias("state"), F.lit(0).cast("long").alias("ignored"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, bad = None, 0
-        for s in pdf.sort_values("seq")["state"]:
-            if s in NEXT[state]:
-                state = s
-            else:
-                bad += 1
-        return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "state": [state], "ignored": [bad]})
+    def step(held, x):
+        ok = F.array_contains(F.element_at(allowed, held["state"]), x["state"])
+        return F.struct(F.when(ok, x["state"]).otherwise(held["state"]).alias("state"), (held["ignored"] + F.when(ok, 0).otherwise(1)).alias("ignored"))
 
-    return events.groupBy("job_id").applyInPandas(replay, "job_id long, state string, ignored long")
+    log = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "state"))).alias("log"))
+    return log.select("job_id", F.aggregate("log", zero, step).alias("r")).select("job_id", F.nullif("r.state", F.lit("")).alias("state"), "r.ignored")
 
 
 def stream_job_states(events: DataFrame) -> DataFrame:
@@ -90,14 +88,3 @@ def resume(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
     """STR-07: process what has arrived since the last run and stop; the checkpoint remembers what is done."""
     stream = spark.readStream.schema(schema).parquet(source)
     process(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def active_jobs(states: DataFrame) -> DataFrame:
-    """STR-03: how many jobs wait or run, and whether another may enter (fewer than eight)."""
-    n = F.count_if(F.col("state").isin("PENDING", "RUNNING"))
-    return states.agg(n.alias("active"), (n < 8).alias("admits"))
-
-
-def arrival(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Position of each row among those of its key."""
-    return df.withColumn("arrival", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -120,7 +120,7 @@ def test_temporal_features(spark, seg):
 def test_no_segments(spark):
     df = spark.createDataFrame([([],)], "s array<struct<q:double,r:double,shift:int>>")
     v = df.select(temporal.pair_vector(*[F.lit(0.5)] * 4, F.col("s")).alias("v")).first()["v"]
-    assert v[7:] == [0.0] * 5
+    assert v[7:] == [0.0, 0.0, 0.0, 1.0, 0.0]  # the longest chain counts one window even so
 
 
 @given(st.lists(st.integers(0, 30), min_size=3, max_size=60), st.integers(0, 5))
@@ -140,7 +140,8 @@ def test_numbered_is_a_global_order(spark):
 def test_rotated_chroma(s):
     rng = np.random.default_rng(s)
     a = signal._unit(np.abs(rng.normal(size=(10, 12))))
-    assert signal.dtw_similarity(a, np.roll(a, -s, axis=1)) == pytest.approx(1.0)
+    score, shift = signal.dtw(a, np.roll(a, s, axis=1))
+    assert score == pytest.approx(1.0) and shift == s
     v = signal._unit(np.abs(rng.normal(size=12)))
     score, shift = signal.rolled_cosine(v, np.roll(v, -s))
     assert score == pytest.approx(1.0) and shift == s
@@ -148,13 +149,92 @@ def test_rotated_chroma(s):
 
 def test_signal_edges():
     assert np.isfinite(signal.chroma(np.zeros(9000))).all() and signal.rhythm_score(np.zeros(5), np.zeros(5)) == 0.0
-    assert signal.dtw_similarity(np.zeros((0, 12)), np.ones((2, 12))) == 0.0 and signal.aligned_dtw(np.zeros((3, 12)), np.ones((3, 12))) == 0.0
+    assert signal.dtw(np.zeros((0, 12)), np.ones((2, 12))) == (0.0, 0)
+    silent = signal.aligned_dtw(np.zeros((3, 12)), np.ones((3, 12)))
+    assert silent["dtw_score"] == silent["coarse_score"] == 0.0 and silent["windows"] == silent["query_windows"] == 1
+    with pytest.raises(ValueError, match="too short"):
+        signal.evidence(np.zeros(2047))
+    for empty in (lambda: signal.bins(np.zeros((0, 12))), lambda: signal.compare_chroma(np.zeros((0, 12)), np.ones((9, 12)))):
+        with pytest.raises(ValueError, match="no chroma"):
+            empty()
     x = signal.tone(440, 0.5, 8000)
     assert np.abs(signal.decode_wav(signal.wav_bytes(x, 8000), 8000) - x).max() < 1e-3
     assert signal.chroma(x, 8000, low=200).mean(axis=0).argmax() == 9
     assert [s for s, _ in signal.chroma_windows(np.ones((200, 12)))] == [0, 54, 92]
 
 
+def test_bins_keep_the_rest_and_the_tail():
+    frames = signal._unit(np.abs(np.random.default_rng(0).normal(size=(11 * 17 + 4, 12))))
+    got = signal.bins(frames)
+    assert [s for s, _ in got] == [0, 5, 8] and np.allclose(got[-1][1][-1], signal._unit(frames[-4:].mean(axis=0)))
+    (start, window), = signal.bins(frames[:25])
+    assert start == 0 and window.shape == (10, 12) and not window[3:].any() and window[:3].any(axis=1).all()
+
+
+def plain_dtw(a, b):
+    """Cheapest monotone path by recursion over prefixes."""
+    from functools import cache
+
+    @cache
+    def cost(i, j):
+        if i < 0 or j < 0:
+            return 0.0 if i == j == -1 else np.inf
+        return 1 - min(1.0, max(0.0, float(a[i] @ b[j]))) + min(cost(i - 1, j), cost(i, j - 1), cost(i - 1, j - 1))
+
+    return max(0.0, 1 - cost(len(a) - 1, len(b) - 1) / max(len(a), len(b)))
+
+
+@given(st.integers(0, 10_000), st.integers(1, 9), st.integers(1, 9))
+@settings(max_examples=30, deadline=None)
+def test_dtw_is_the_cheapest_path(seed, n, m):
+    rng = np.random.default_rng(seed)
+    a, b = (signal._unit(np.abs(rng.normal(size=(k, 12)))) for k in (n, m))
+    score, shift = signal.dtw(a, b)
+    assert score == pytest.approx(plain_dtw(a, np.roll(b, -shift, axis=1)))
+    means = [float(a.mean(axis=0) @ np.roll(b.mean(axis=0), -s)) for s in range(12)]
+    assert means[shift] == pytest.approx(max(means))
+
+
+def test_aligned_windows_advance_together():
+    rng = np.random.default_rng(3)
+    frames = signal._unit(np.abs(rng.normal(size=(11 * 45, 12))))
+    got = signal.aligned_dtw(frames, np.roll(frames[110:], 4, axis=1))
+    assert got["windows"] == 3 and got["dtw_score"] > 0.99 and got["shifts"] == [4] * 3 and got["query_s"] - got["candidate_s"] == pytest.approx(110 * 2048 / 22_050)
+    assert (got["match_s"], got["query_windows"], got["candidate_windows"]) == (20.0, 8, 6)
+    # two windows whose step isn't about five seconds don't count as a pair
+    short = signal.aligned_dtw(frames[: 11 * 12], frames[: 11 * 12])
+    assert short["windows"] == 1 and short["match_s"] == 10.0
+
+
+def test_selected_chroma_windows_lie_apart():
+    rng = np.random.default_rng(4)
+    frames = signal._unit(np.abs(rng.normal(size=(700, 12))))
+    got = signal.compare_chroma(frames, frames)
+    at = [(x["query_s"], x["candidate_s"]) for x in got["selected"]]
+    assert len(at) == 3 and all(abs(p[k] - q[k]) >= 10 for i, p in enumerate(at) for q in at[:i] for k in (0, 1))
+    assert got["best_segment"] == pytest.approx(1.0) and got["top3_mean"] == pytest.approx(1.0) and got["query_segments"] == got["candidate_segments"] == 12
+
+
+def test_evidence_without_segments(spark):
+    kind = "array<struct<q:double,r:double,shift:int,pitch:double,rhythm:double,chroma:double>>"
+    df = spark.createDataFrame([(1, []), (2, [(20.0, 40.0, 1, 0.5, 0.25, 1.0), (5.0, 10.0, 1, 0.5, 0.75, 0.0)]), (3, [(0.0, 3.0, 2, 1.0, 1.0, 1.0)])], f"id int, s {kind}")
+    got = {r["id"]: r["e"] and r["e"].asDict() for r in df.select("id", temporal.evidence_record(F.col("s"), F.lit(16.0)).alias("e")).collect()}
+    assert got[1] is None and got[3]["tempo_median"] == 1.0 and got[3]["tempo_consistency"] == 0.0 and got[3]["ordered"] and got[3]["reference_coverage"] == pytest.approx(10 / 13)
+    assert got[2] == {"matched": 2, "ordered_fraction": 1.0, "ordered": True, "shift_consistency": 1.0, "tempo_median": 0.5, "tempo_consistency": 1.0, "chain_s": 16.0, "query_coverage": 1.0, "reference_coverage": 16 / 50,
+                      "pitch": 0.5, "rhythm": 0.5, "chroma": 0.5}
+
+
+@pytest.mark.parametrize(("decision", "flags"), [("PASS", (True, True, False)), ("WARN", (True, True, False)), ("HOLD", (True, True, True)), ("BLOCK", (False, False, False))])
+def test_registration_flags(spark, decision, flags):
+    assert tuple(one(spark, policy.registration(F.lit(decision)))[0]) == flags
+
+
+def test_accepted_suffixes(spark):
+    names = [f"a{s.upper()}" for s in (".mp3", ".wav", ".webm", ".flac", ".m4a", ".aac", ".ogg", ".wma")] + ["a.txt", "mp3"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [r[0] for r in df.select(policy.suffix(F.col("p")).isin(policy.SUFFIXES)).collect()] == [True] * 8 + [False] * 2
+
+
 def test_gate_within_one_batch(spark):
     reg = spark.createDataFrame([(1, "a", 1)], "id long, fingerprint string, seq long")
     new = spark.createDataFrame([(2, "a", 2), (3, "b", 3), (4, "b", 4), (5, "c", 5)], "id long, fingerprint string, seq long")
@@ -190,6 +270,63 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 1
 
 
+def test_replaced_tables_are_whole(spark, tmp_path):
+    base = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, base)
+    for n in (3, 5, 7):
+        sinks.replace_table(spark.range(n), base)
+        assert spark.read.parquet(sinks.current(spark, base)).count() == n
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["ready-2", "ready-3", "v=2", "v=3"]
+    spark.range(9).write.parquet(f"{base}/v=4")  # a writer that died before its marker
+    assert spark.read.parquet(sinks.current(spark, base)).count() == 7
+
+
+def test_missing_keys_are_computed_once(spark, tmp_path):
+    keys = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "cache_key string, x int")
+    out = sinks.cached(keys, str(tmp_path / "c"), lambda df: df.withColumn("y", F.col("x") * 10))
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 10), ("b", 2, 20)]
+    for _ in range(2):
+        sinks.append_new(keys, str(tmp_path / "l"), "cache_key", "x")
+    assert sorted((r["cache_key"], r["x"]) for r in spark.read.json(str(tmp_path / "l")).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessitura import scratch
+
+    held = {}
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d), set=held.__setitem__), sparkContext=SimpleNamespace(master="yarn"))
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        made.sparkContext.master = master
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch.scratch_dir(made)
+    made.sparkContext.master = "local[4]"
+    assert scratch.scratch_dir(made).startswith("file://") and held
+
+
+def test_other_containers_go_to_the_given_decoder():
+    assert signal.decode(b"OggS...", 8000, lambda data, rate: np.ones(rate)).sum() == 8000
+    with pytest.raises(ValueError, match="WAV"):
+        signal.decode(b"OggS...")
+
+
+def test_best_scores_reduce_pairs(spark, monkeypatch):
+    from tessitura.operators import vectors
+
+    rng = np.random.default_rng(2)
+    rows = lambda n, k: [(int(i % 3), float(5 * (i // 3)), [float(x) for x in rng.normal(size=4).round(1)]) for i in range(n)]
+    q, r = spark.createDataFrame(rows(20, 3), "query_id long, q_off double, v array<double>"), spark.createDataFrame(rows(50, 3), "track_id long, r_off double, v array<double>").repartition(3)
+    want = sorted(map(tuple, retrieval.best_per_window(vectors.pair_scores(q, r)).collect()))
+    for limit in (20_000, 5):
+        monkeypatch.setattr(vectors, "QUERY_ROWS", limit)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+        monkeypatch.setattr(vectors, "REF_BLOCK", 11)
+        best = vectors.best_scores(q, r)
+        assert best.count() < 20 * 50 and sorted(map(tuple, retrieval.best_per_window(best).collect())) == want
+
+
 def test_conflicts(spark):
     known = spark.createDataFrame([("k", "p"), ("n", None)], "request_key string, payload string")
     req = spark.createDataFrame([("k", "p"), ("k2", "p"), ("n", None), ("n", "q")], "request_key string, payload string")
