@@ -1,78 +1,30 @@
-"""Shared plumbing: the shared scratch folder, table reading, word splitting and a broadcast gate.
-
-Scratch tables cut lineage: they are written under the folder that ``spark.checkpoint.dir`` names, which
-driver and executors share, so a lost executor costs a reread and not a recomputation.
-"""
+"""Shared plumbing: table reading, word splitting, Arrow batches, a broadcast gate and joins with hot keys."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, settle
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "fresh", "lean", "row_key", "scratch_path", "settle", "skew_join", "small", "table", "tidy"]
+
 #: Words are maximal runs of anything but the space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A table that is broadcast has been counted first and has at most this many rows.
 BROADCAST_ROWS = 100_000
 
-_made: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where the setting is unset and the master is local
-    (tests). On a cluster without the setting each executor would write to its own disk, so that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
-        base = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{scratch_dir(spark)}/tessitura-{uuid.uuid4().hex}/{tag}"
-    _made.append((spark, path.rsplit("/", 1)[0]))
-    return path
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: evaluated once, lineage cut."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sweep() -> None:
-    """Delete every scratch folder this process made; runs at exit, and may be called between jobs."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
-
-
-atexit.register(sweep)
-
-
 #: Arrow batches between the JVM and Python: rows and bytes at most.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -109,14 +61,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = 1000, least: int = 100_000) -> DataFrame:
     """left joined with right, which has one row for each key. Keys that hold more than ``least`` rows of left, and more
     than its ``most``-th part, meet right's rows by broadcast (``most`` rows at the utmost), so no task gathers such a
-    key. left is read three times: settle it first."""
+    key; rows without a key don't move at all. left is read up to four times: settle it first."""
+    whole = [*left.columns, *[c for c in right.columns if c != key]]
+    out = []
+    if how == "left":
+        none = left.filter(F.col(key).isNull())
+        out.append(none.select("*", *[F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != key]))
+    left = left.filter(F.col(key).isNotNull())
     heavy = max(least, left.count() // most)
-    hot = settle(left.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > heavy) & F.col(key).isNotNull()).select(key), "hot")
+    hot = settle(left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy).select(key), "hot")
     if hot.isEmpty():
-        return left.join(right, key, how)
-    hot = F.broadcast(hot)
-    warm = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
-    return left.join(hot, key, "left_anti").join(right, key, how).unionByName(warm)
+        out.append(left.join(right, key, how))
+    else:
+        hot = F.broadcast(hot)
+        out.append(left.join(hot, key, "left_anti").join(right, key, how))
+        out.append(left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how))
+    met = out[0].select(*whole)
+    for more in out[1:]:
+        met = met.unionByName(more.select(*whole))
+    return met
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores added until no column (names compare without case) has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def row_key(df: DataFrame, name: str) -> DataFrame:

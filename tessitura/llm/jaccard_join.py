@@ -45,11 +45,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, settle, skew_join, tidy
+from ..operators.sampling import numbered
+from .common import lean, settle, skew_join, small, tidy
 from .count_tree import count_vectors, reaching_pairs, roots
 from .shingles import U, mix, shingle_sets
 
 LOCAL, SMALL, LEAST_PART, BITS, FLUSH = 32, 64, 128, 1 << 25, 1_000_000
+SLOT_ROWS, CELL_ROWS, PART_LOAD = 20_000, 1_000, 8_000_000
 #: Keys held by more than HOT classes are filed last; so many such keys (8 bytes each) are known to every task at most.
 HOT, HOT_KEYS, KEYS_PER_SHARD = 20_000, 1_000_000, 4_000_000
 NO_ID = -(1 << 63)
@@ -212,20 +214,59 @@ def _blocks(keys: np.ndarray, classes: np.ndarray, units: np.ndarray) -> Iterato
 # --- step 3: candidates through R-trees ----------------------------------------------------------------------------------
 
 
-def _cells(rows: DataFrame, block: str, total: int, shards: int) -> DataFrame:
-    """rows (block, members, cls, ...) dealt in cells (home, i, j) with each row's part of its block.
+def _slots(rows: int, shards: int) -> int:
+    """Tasks for so many rows."""
+    return max(shards, rows // SLOT_ROWS)
 
-    Blocks up to SMALL members share a cell with others; larger ones are dealt in parts, whose pairs are cells. A part is
-    as large as a task's fair share of the rows, within bounds.
+
+def _cells(rows: DataFrame, block: str, sizes: DataFrame, shards: int) -> DataFrame:
+    """rows (block, members, cls, ...) in cells (home, i, j), with each row's part of its block and the cell's slot.
+
+    Blocks up to SMALL members share a cell with others; larger ones are dealt in parts whose pairs are cells. A part is
+    two tasks' fair share of the rows, within bounds, and holds PART_LOAD shingles at most on average. Cells of large
+    blocks take slots in turn, largest first, so that no task gets many of them. sizes: cls, n.
     """
-    part = int(min(2048, max(LEAST_PART, total // (2 * shards))))
-    parts = F.ceil(F.col("members") / part).cast("int")
-    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    small = rows.filter(F.col("members") <= SMALL)
-    small = small.withColumns({"home": F.pmod(F.xxhash64(block), F.lit(max(1, total // (2 * part)))), "i": F.lit(-1), "j": F.lit(-1), "part": F.lit(0)})
-    large = rows.filter(F.col("members") > SMALL).withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.withColumns({"home": F.col(block), "i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
-    return small.unionByName(large).drop("members")
+    total = rows.count()
+    slots, most = _slots(total, shards), min(2048, max(LEAST_PART, 2 * total // shards))
+    own = rows.filter(F.col("members") <= SMALL)
+    own = own.withColumn("home", F.pmod(F.xxhash64(block), F.lit(max(slots, total // CELL_ROWS))))
+    own = own.withColumns({"i": F.lit(0), "j": F.lit(0), "part": F.lit(0), "slot": F.pmod("home", F.lit(slots)).cast("int")}).drop("members")
+    large = rows.filter(F.col("members") > SMALL)
+    if large.isEmpty():
+        return own
+    load = large.select(block, "cls", "members").join(sizes.select("cls", "n"), "cls").groupBy(block).agg(F.first("members").alias("m"), F.sum("n").alias("load"))
+    parts = settle(load.select(F.col(block).alias("home"), "m", F.ceil(F.greatest(F.col("m") / most, F.col("load") / PART_LOAD)).cast("int").alias("parts")), "parts")
+    cells = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("parts") - 1)))
+    share = F.col("m") / F.col("parts") * F.when(F.col("i") == F.col("j"), 1).otherwise(2)
+    slot = numbered(cells.withColumn("share", share), F.desc("share"), F.asc("home"), F.asc("i"), F.asc("j")).select("home", "i", "j", F.pmod("_pos", F.lit(slots)).cast("int").alias("slot"))
+    dealt = large.drop("members").withColumn("home", F.col(block)).join(small(parts.select("home", "parts")), "home").withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    return own.unionByName(dealt.join(small(slot), ["home", "i", "j"]).select(*own.columns))
+
+
+def _in_cells(cells: DataFrame, run, slots: int) -> DataFrame:
+    """run of each cell's rows, (a, b) edges, distinct. A task holds one cell at a time."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from run(pa.Table.from_batches(held)).to_batches()
+                held.clear()
+
+        last = None
+        for batch in batches:
+            key = np.stack([batch[c].to_numpy() for c in ("home", "i", "j")], axis=1) if batch.num_rows else np.zeros((0, 3))
+            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)] if len(key) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if last is not None and tuple(key[a]) != last:
+                    yield from flush()
+                held.append(batch.slice(a, b - a))
+                last = tuple(key[a])
+        yield from flush()
+
+    dealt = cells.repartitionById(slots, F.col("slot")).sortWithinPartitions("home", "i", "j").drop("slot")
+    return dealt.mapInArrow(tidy(stream), "a long, b long").distinct()
 
 
 def _sorted(t: pa.Table, block: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -245,14 +286,13 @@ def candidates(blocks: DataFrame, vectors: DataFrame, shards: int) -> DataFrame:
     """Edges (a, b) that join what the count vectors can't tell apart in any block: in each cell the pairs whose summed
     minima reach the threshold give components, of which the edges to the first class leave. blocks: block, cls,
     members; vectors: cls, n, vec."""
-    met = blocks.select("block", "cls", "members").join(vectors, "cls")
-
     def run(t: pa.Table) -> pa.Table:
         t, label, cls, n, part = _sorted(t, "block")
         a, b, _ = reaching_pairs(t["vec"].to_pylist(), n, label, part)
         return _stars(cls, roots(len(cls), a, b))
 
-    return _cells(met, "block", blocks.count(), shards).groupBy("home", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    cells = settle(_cells(blocks.select("block", "cls", "members"), "block", vectors, shards), "cells")
+    return _in_cells(cells.join(vectors, "cls"), run, _slots(cells.count(), shards))
 
 
 def _bitmap(df: DataFrame, col: str, bits: int) -> bytes:
@@ -340,13 +380,12 @@ def link_sets(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, part: np
 
 def verified(families: DataFrame, sets: DataFrame, shards: int, percent: int) -> DataFrame:
     """Edges (a, b) that give the components of links. families: fam, cls, members. Sets travel once for each cell."""
-    met = families.join(sets, "cls")
-
     def run(t: pa.Table) -> pa.Table:
         t, label, cls, n, part = _sorted(t, "fam")
         return _stars(cls, link_sets([_elements(v.as_buffer()) for v in t["vec"]], n, label, part, percent))
 
-    return _cells(met, "fam", families.count(), shards).groupBy("home", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    cells = settle(_cells(families, "fam", sets, shards), "cells")
+    return _in_cells(cells.join(sets, "cls"), run, _slots(cells.count(), shards))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -486,12 +525,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(comps, "cls", "left")
     ids = settle(ids.withColumn("comp", F.coalesce("comp", "cls")), "ids")
     of = settle(skew_join(ids, ids.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cls", "component_id"), "members")
-    out = skew_join(known.filter("cls is not null"), of, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls")
-    return out.unionByName(known.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls"))
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return skew_join(known, of, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "cls")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id; rows without words stay, and so do rows without an id."""
     comp = near_components(docs, id_col, text_col)
     gone = settle(comp.filter("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
