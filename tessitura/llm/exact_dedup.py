@@ -1,19 +1,22 @@
 """Exact deduplication on a sharded cuckoo-filter index with insertion and deletion of live digests.
 
 A text's key is the SHA-256 of its normal form (runs of white space become one space; null counts as empty). Keys are
-dealt over shards by their leading bits. A shard holds a cuckoo filter (two candidate buckets of four 16-bit tags for
-each key) and its bucketed content: for every live key the full digest, the byte length, the smallest id and the count.
-The filter answers first. A miss is new for certain and is inserted; a hit is verified against the bucketed content, so
-a false positive costs one comparison and never a row. When an insertion finds no place after ``KICKS`` moves the table
-is doubled and rebuilt from the stored keys. Deletion lowers the count and takes the tag out when the key has gone.
+dealt over shards by their leading bits. A shard's filter has buckets of four 16-bit tags, two candidate buckets for each
+key; beside each tag, in the same bucket, lies what it stands for: the full digest, the byte length, the smallest id and
+the count. The filter answers first: where neither bucket has the tag, the key is new for certain. A hit is verified
+against the content of its bucket, so a false positive costs one comparison and never a row. Content moves with its tag.
+When an insertion finds no place after ``KICKS`` moves the table is doubled and rebuilt from the stored keys. Deletion
+lowers the count and takes tag and content out when the key has gone.
 
 Scale: only (digest, length, id, count) move, folded per Arrow batch before the shuffle, so a text held by a third of
-all rows sends one row per batch, not per copy. A shard's memory follows its distinct keys; shards follow
-``spark.sql.shuffle.partitions``.
+all rows sends one row per batch to its shard, and meets its answer by broadcast (``skew_join``). A shard holds about
+``SHARD_KEYS`` keys at most: shards follow the number of rows, and aren't merged. Texts are read twice. Dropped rows are
+found by id and digest; up to 100,000 of them are broadcast, so no text moves, beyond that the join deals texts by both,
+so that copies of one text spread.
 
 Defined cases: null, empty and blank texts: null and '' are equal, blanks equal ' '; a null id never stays before a
 non-null id; equal ids on equal texts: all those rows stay (they cannot be told apart); an empty table gives an empty
-result; other columns are kept by ``drop_copies`` and ignored by the query.
+result; other columns are kept by ``drop_copies``, whatever their names, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -24,109 +27,109 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle, tidy
+from .common import SPACE, settle, skew_join, small, tidy
 
-SLOTS, KICKS, LOAD = 4, 200, 0.9
+SLOTS, KICKS, LOAD, SHARD_KEYS = 4, 200, 0.9, 500_000
 
 
-class CuckooFilter:
-    """Partial-key cuckoo filter over 128-bit prefixes of digests; ``insert`` returns False on overflow."""
+class LiveIndex:
+    """One shard. tags[b][s] is the tag in slot s of bucket b, held[b][s] its content: [digest, bytes, smallest id, count]."""
 
     def __init__(self, buckets: int = 64):
-        self.n = 1 << max(1, (buckets - 1).bit_length())
-        self.rows: list[list[int]] = [[] for _ in range(self.n)]
-        self.size = 0
-        self.victim: tuple[int, int] | None = None
-
-    def _places(self, key: bytes) -> tuple[int, int, int]:
-        tag = int.from_bytes(key[8:10], "big") | 1 << 16
-        first = int.from_bytes(key[:8], "big") & self.n - 1
-        return tag, first, self._other(first, tag)
-
-    def _other(self, row: int, tag: int) -> int:
-        return (row ^ tag * 0x5BD1E995) & self.n - 1
-
-    def __contains__(self, key: bytes) -> bool:
-        tag, a, b = self._places(key)
-        return tag in self.rows[a] or tag in self.rows[b] or self.victim in ((a, tag), (b, tag))
-
-    def insert(self, key: bytes) -> bool:
-        if self.victim is not None or self.size >= LOAD * SLOTS * self.n:
-            return False
-        tag, a, b = self._places(key)
-        self.size += 1
-        for row in (a, b):
-            if len(self.rows[row]) < SLOTS:
-                self.rows[row].append(tag)
-                return True
-        row = b
-        for turn in range(KICKS):
-            here = self.rows[row]
-            here[turn % SLOTS], tag = tag, here[turn % SLOTS]
-            row = self._other(row, tag)
-            if len(self.rows[row]) < SLOTS:
-                self.rows[row].append(tag)
-                return True
-        self.victim = (row, tag)  # still found; the next insertion resizes
-        return True
+        self.hits = self.false_hits = self.resizes = 0
+        self._clear(1 << max(1, (buckets - 1).bit_length()))
 
-    def delete(self, key: bytes) -> bool:
-        tag, a, b = self._places(key)
-        for row in (a, b):
-            if tag in self.rows[row]:
-                self.rows[row].remove(tag)
-                self.size -= 1
-                return True
-        if self.victim in ((a, tag), (b, tag)):
-            self.victim = None
-            self.size -= 1
-            return True
-        return False
+    def _clear(self, buckets: int) -> None:
+        self.n, self.size = buckets, 0
+        self.tags: list[list[int]] = [[] for _ in range(buckets)]
+        self.held: list[list[list]] = [[] for _ in range(buckets)]
 
+    def _places(self, digest: bytes) -> tuple[int, int, int]:
+        tag = int.from_bytes(digest[8:10], "big")
+        first = int.from_bytes(digest[:8], "big") & self.n - 1
+        return tag, first, self._other(first, tag)
 
-class LiveIndex:
-    """One shard: the filter, and the bucketed content it is verified against."""
-
-    def __init__(self) -> None:
-        self.filter = CuckooFilter()
-        self.content: dict[bytes, list] = {}  # digest -> [bytes of the text, smallest id, count]
-        self.hits = self.false_hits = self.resizes = 0
+    def _other(self, bucket: int, tag: int) -> int:
+        return (bucket ^ (tag + 1) * 0x5BD1E995) & self.n - 1
+
+    def may_hold(self, digest: bytes) -> bool:
+        """The filter's answer: False is certain."""
+        tag, a, b = self._places(digest)
+        return tag in self.tags[a] or tag in self.tags[b]
+
+    def _find(self, digest: bytes) -> tuple[int, int] | None:
+        """(bucket, slot) of a live key: tags first, then the content beside those that fit."""
+        tag, a, b = self._places(digest)
+        for bucket in (a, b) if a != b else (a,):
+            if tag not in self.tags[bucket]:
+                continue
+            for slot, t in enumerate(self.tags[bucket]):
+                if t == tag:
+                    self.hits += 1
+                    if self.held[bucket][slot][0] == digest:
+                        return bucket, slot
+                    self.false_hits += 1
+        return None
 
     def add(self, digest: bytes, n_bytes: int, smallest: int | None, count: int = 1) -> None:
-        if digest in self.filter:
-            self.hits += 1
-            held = self.content.get(digest)
-            if held is not None:
-                if held[0] != n_bytes:
-                    raise ValueError("one digest for texts of two lengths")
-                held[1] = held[1] if smallest is None else smallest if held[1] is None else min(held[1], smallest)
-                held[2] += count
-                return
-            self.false_hits += 1
-        self.content[digest] = [n_bytes, smallest, count]
-        if not self.filter.insert(digest):
-            self._resize()
-
-    def _resize(self) -> None:
-        self.resizes += 1
-        buckets = self.filter.n
-        while True:
+        at = self._find(digest)
+        if at is None:
+            self._insert([digest, n_bytes, smallest, count])
+            return
+        entry = self.held[at[0]][at[1]]
+        if entry[1] != n_bytes:
+            raise ValueError("one digest for texts of two lengths")
+        if smallest is not None:
+            entry[2] = smallest if entry[2] is None else min(entry[2], smallest)
+        entry[3] += count
+
+    def _insert(self, entry: list) -> None:
+        homeless = self._place(entry)
+        if homeless is None:
+            return
+        stored, buckets = [*self.entries(), homeless], self.n
+        while True:  # overflow: twice the buckets, filled again from the stored keys
+            self.resizes += 1
             buckets *= 2
-            self.filter = CuckooFilter(buckets)
-            if all(map(self.filter.insert, self.content)) and self.filter.victim is None:
+            self._clear(buckets)
+            if all(self._place(e) is None for e in stored):
                 return
 
+    def _place(self, entry: list) -> list | None:
+        """Put an entry into one of its buckets, moving others to their second; the entry left without a place, or None."""
+        if self.size >= LOAD * SLOTS * self.n:
+            return entry
+        tag, a, b = self._places(entry[0])
+        self.size += 1
+        bucket = a if len(self.tags[a]) < SLOTS else b
+        for turn in range(KICKS):
+            if len(self.tags[bucket]) < SLOTS:
+                self.tags[bucket].append(tag)
+                self.held[bucket].append(entry)
+                return None
+            slot = turn % SLOTS
+            self.tags[bucket][slot], tag = tag, self.tags[bucket][slot]
+            self.held[bucket][slot], entry = entry, self.held[bucket][slot]
+            bucket = self._other(bucket, tag)
+        self.size -= 1
+        return entry
+
     def remove(self, digest: bytes, count: int = 1) -> bool:
         """Take ``count`` copies out; False if the key isn't live."""
-        held = self.content.get(digest) if digest in self.filter else None
-        if held is None:
+        at = self._find(digest)
+        if at is None:
             return False
-        held[2] -= count
-        if held[2] <= 0:
-            del self.content[digest]
-            self.filter.delete(digest)
+        bucket, slot = at
+        self.held[bucket][slot][3] -= count
+        if self.held[bucket][slot][3] <= 0:
+            del self.held[bucket][slot], self.tags[bucket][slot]
+            self.size -= 1
         return True
 
+    def entries(self) -> Iterator[list]:
+        for bucket in self.held:
+            yield from bucket
+
 
 def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
@@ -148,21 +151,26 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, gone = LiveIndex(), []
     for batch in batches:
         for d, n_bytes, smallest, n, op in zip(*(batch[c].to_pylist() for c in ("digest", "n_bytes", "keep_id", "n", "op")), strict=True):
-            shard.add(d, n_bytes, smallest, n) if op > 0 else gone.append((d, n))
+            if op > 0:
+                shard.add(d, n_bytes, smallest, n)
+            else:
+                gone.append((d, n))
     for d, n in gone:
         shard.remove(d, n)
-    live = list(shard.content.items())
+    live = list(shard.entries())
     for i in range(0, len(live), 20_000):
-        part = live[i : i + 20_000]
-        yield pa.RecordBatch.from_pydict({
-            "digest": pa.array([d for d, _ in part], pa.binary()), "keep_id": pa.array([x[1] for _, x in part], pa.int64()),
-            "group_size": pa.array([x[2] for _, x in part], pa.int64()), "n_bytes": pa.array([x[0] for _, x in part], pa.int64())})
+        d, n_bytes, smallest, n = zip(*live[i : i + 20_000], strict=True)
+        yield pa.RecordBatch.from_pydict({"digest": pa.array(d, pa.binary()), "keep_id": pa.array(smallest, pa.int64()), "group_size": pa.array(n, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64())})
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normal(text), 256))
 
 
 def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, n_bytes) of every row; settled, so texts are read and hashed once."""
-    text = normal(F.col(text_col))
-    return settle(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
+    text = F.col(text_col)
+    return settle(docs.select(F.col(id_col).cast("long").alias("id"), digest_of(text).alias("digest"), F.octet_length(normal(text)).cast("long").alias("n_bytes")), "digests")
 
 
 def live_groups(inserted: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
@@ -173,23 +181,28 @@ def live_groups(inserted: DataFrame, deleted: DataFrame | None = None) -> DataFr
     ops = inserted.select("id", "digest", "n_bytes", F.lit(1).alias("op"))
     if deleted is not None:
         ops = ops.unionByName(deleted.select("id", "digest", "n_bytes", F.lit(-1).alias("op")))
-    folded = ops.mapInArrow(tidy(_fold), _KEY).withColumn("_shard", F.substring("digest", 1, 4))
-    return folded.repartition("_shard").drop("_shard").mapInArrow(tidy(_index), "digest binary, keep_id long, group_size long, n_bytes long")
+    shards = max(int(inserted.sparkSession.conf.get("spark.sql.shuffle.partitions")), inserted.count() // SHARD_KEYS + 1)
+    lead = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long")
+    dealt = ops.mapInArrow(tidy(_fold), _KEY).withColumn("_shard", F.pmod(lead, F.lit(shards)).cast("int")).repartitionById(shards, F.col("_shard"))
+    return dealt.drop("_shard").mapInArrow(tidy(_index), "digest binary, keep_id long, group_size long, n_bytes long")
+
+
+def _answered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, id, n_bytes, keep_id, group_size) of every row."""
+    keyed = keys(docs, id_col, text_col)
+    groups = settle(live_groups(keyed), "groups")
+    return skew_join(keyed, groups.select("digest", "keep_id", "group_size"), "digest", "inner")
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    keyed = keys(docs, id_col, text_col)
-    met = keyed.join(live_groups(keyed), "digest")
-    return met.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                      F.lower(F.hex("digest")).alias("text_sha256"))
+    return _answered(docs, id_col, text_col).select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each text: all columns."""
-    groups = live_groups(keys(docs, id_col, text_col)).select("keep_id", F.col("digest").alias("_digest"))
-    groups = settle(groups, "groups")
-    own = docs.withColumn("_own", F.unhex(F.sha2(normal(F.col(text_col)), 256)))
-    # dropped rows leave before anything moves: only texts that have copies need the join's answer
-    met = own.join(groups, (own["_own"] == groups["_digest"]) & own[id_col].eqNullSafe(groups["keep_id"]), "left_semi")
-    return met.select(*docs.columns)
+    met = _answered(docs, id_col, text_col)
+    gone = settle(met.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "gone")
+    gone = small(gone.toDF("_gone_id", "_gone_digest"))
+    same = docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (digest_of(docs[text_col]) == gone["_gone_digest"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
