@@ -8,8 +8,10 @@ may hold any text, blank lines and WARC headers too) and checks every payload di
 and metadata records to their capture through WARC-Concurrent-To and gives one nested row per capture; a revisit takes
 the payload's length from the response it refers to.
 
-Scale: pages are read twice and never shuffled while the table of repeated payloads is small enough to broadcast after
-a count, else they are joined by payload key; files hold at most ``RECORDS_PER_FILE`` records.
+Scale: pages are written once with their row numbers and payload keys, so that a repeated task finds the same numbers, and
+aren't shuffled while the table of repeated payloads is small enough to broadcast after a count; else they are joined by
+payload key, with frequent payloads by broadcast (``skew_join``), as are revisits with the response they refer to. Files
+are bounded in records and bytes.
 
 Defined cases: null html is an empty payload; null or blank urls leave the target header out; line breaks in a url are
 escaped; a null page id is kept as null; an empty table gives an empty result; other columns are ignored.
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, scratch_path, settle, small, tidy
+from .common import BROADCAST_ROWS, row_key, scratch_path, settle, skew_join, tidy
 
 CRLF = "\r\n"
-RECORDS_PER_FILE = 6000
+#: A file holds three records for each of so many pages at most, and so many bytes before compression, unless a single page has more.
+PAGES_PER_FILE, FILE_BYTES = 2000, 256 << 20
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
@@ -52,12 +55,15 @@ def _record(headers: list[tuple[str, Column | None]], block: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
                    id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = row_key(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body")), "_row")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     key = F.when(F.octet_length("body") >= min_bytes, F.sha2("body", 256))
-    groups = (rows.select("page_id", "_row", key.alias("_key")).filter("_key is not null").groupBy("_key")
-              .agg(F.max(F.struct("page_id", "_row")).alias("_last"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    # numbered as they are written, so every later job reads the same numbers
+    rows = settle(row_key(rows, "_row").withColumns({"_key": key, "_size": F.octet_length("body") + 2 * F.coalesce(F.octet_length("url"), F.lit(0))}), "pages")
+    groups = (rows.filter("_key is not null").groupBy("_key").agg(F.max(F.struct("page_id", "_row")).alias("_last"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
     groups = settle(groups, "repeats")
-    rows = rows.withColumn("_key", key).join(small(groups), "_key", "left")
+    largest = rows.agg(F.max("_size")).first()[0] or 0
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = (rows.join(F.broadcast(groups), "_key", "left") if few else skew_join(rows, groups, "_key")).drop("_size")
     revisit = F.col("_last").isNotNull() & (F.col("_last._row") != F.col("_row"))
     me = _record_id("capture", F.col("page_id"), F.col("_row"))
     target = F.when(F.trim("url") != "", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"))
@@ -75,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
                     ("WARC-Concurrent-To", me), ("Content-Type", F.lit("application/warc-fields"))],
                    F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(CRLF)))
     (rows.select(F.explode(F.array(ask, answer, note)).alias("value")).write.option("lineSep", CRLF * 2)
-     .option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, min(PAGES_PER_FILE, FILE_BYTES // (largest + 2000)))).text(path))
 
 
 _SCHEMA = "record_id string, kind string, concurrent_to string, refers_to string, target string, page_id long, payload_bytes long, payload_digest string, payload binary"
@@ -183,4 +189,4 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     own = met.select("record_id", F.col("metadata.page_id").alias("page_id"), "response.kind", F.col("response.refers_to").alias("ref"),
                      F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("payload_digest"))
     told = own.filter("kind = 'response'").select(F.col("record_id").alias("ref"), F.col("page_id").alias("refers_to"), F.col("n").alias("ref_n"))
-    return own.join(told, "ref", "left").select("page_id", F.coalesce("n", "ref_n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    return skew_join(own, told, "ref").select("page_id", F.coalesce("n", "ref_n").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to")
