@@ -2,8 +2,9 @@
 
 The longest ``HEAD`` vectors are fetched first (bounded). Their singular vectors give a rotation that moves most of an
 inner product into the leading coordinates, and scoring every query against them gives each query a lower bound for its
-k-th best score. Queries and candidates are then dealt in blocks of bounded size to the cells of a grid. In a cell the
-candidates are processed by descending length: a query stops at |q||c| below its bound, a block is skipped by partial sum
+k-th best score. Candidates are dealt in blocks by descending norm, and each query goes to those leading blocks only whose
+longest vector can reach its bound: whole cells of the grid fall away before anything is copied. In a cell the candidates
+are processed by descending length: a query stops at |q||c| below its bound, a block is skipped by partial sum
 plus Cauchy-Schwarz on the residual, and what survives is scored exactly in whole numbers. Each cell sends at most k
 rows of a query to a final ranking.
 
@@ -26,9 +27,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import numbered
 from .common import row_key, settle
 
 HEAD, QUERY_BLOCK, CANDIDATE_BLOCK, STEP, SLACK = 2048, 1024, 8192, 1024, 1e-9
+#: Cells on a side at most; beyond that cells grow.
+MOST_CELLS = 100_000
 TOP = 2**63 - 1
 _OUT = "query_row long, query_id long, vec_id long, score long"
 
@@ -110,41 +114,64 @@ def search_cell(q_rows, q_ids, q, bound, c_ids, c, turn, k: int) -> Iterator[tup
             yield np.full(len(ids), q_rows[i]), np.full(len(ids), q_ids[i]), ids, scores
 
 
-def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int = HEAD) -> DataFrame:
-    """vectors, queries: as ``integer_vectors`` gives; returns query_id, rank, vec_id, score."""
+def _sizes(n: int, block: int) -> int:
+    """Rows of a cell's side, such that there are at most MOST_CELLS of them."""
+    return max(block, -(-n // MOST_CELLS))
+
+
+def deal_cells(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int = HEAD) -> tuple[DataFrame, DataFrame, object]:
+    """(candidates with ci, qi; queries with ci, qi and low; broadcast of each dimension's rotation).
+
+    Candidates are dealt by norm rank, longest first, and a query needs the leading cells only: those whose longest vector
+    times its own length reaches its lower bound. Queries are dealt by how many cells they need, so cells that no query of
+    a block needs don't meet it. What isn't needed is never copied.
+    """
     spark = vectors.sparkSession
-    vectors, queries = settle(vectors, "vectors"), settle(row_key(queries, "query_row"), "queries")
-    longest = vectors.orderBy(F.desc("norm"), "vec_id").limit(head).toPandas()
+    ranked = settle(numbered(vectors, F.desc("norm"), F.asc("vec_id")).drop("norm").withColumn("pos", F.col("_pos") - 1).drop("_pos"), "ranked")
+    longest = ranked.filter(F.col("pos") < head).orderBy("pos").select("vec_id", "v", "dim").toPandas()
     heads = {int(d): (g["vec_id"].to_numpy(np.int64), np.array(g["v"].tolist(), dtype=np.float64)) for d, g in longest.groupby("dim")} if len(longest) else {}
     shared = spark.sparkContext.broadcast({d: (ids, m, rotation(m)) for d, (ids, m) in heads.items()})  # head vectors at most
+    n, m = ranked.count(), queries.count()
+    ranked = ranked.withColumn("ci", (F.col("pos") / _sizes(n, CANDIDATE_BLOCK)).cast("int"))
+    # the longest vector of each cell, longest cell first: MOST_CELLS numbers at most
+    norms = ranked.groupBy("ci").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).alias("norm")).toPandas().sort_values("ci")["norm"].to_numpy()
+    reach = spark.sparkContext.broadcast(norms)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             dims, ids = batch["dim"].to_numpy(), batch["vec_id"].to_numpy()
-            low = np.full(batch.num_rows, -np.inf)
+            low, length = np.full(batch.num_rows, -np.inf), np.zeros(batch.num_rows)
             for d in np.unique(dims):
-                if int(d) not in shared.value:
-                    continue
-                h_ids, h, _ = shared.value[int(d)]
                 at = np.flatnonzero(dims == d)
                 for s in range(0, len(at), 512):
                     rows = at[s : s + 512]
                     q = _matrix(batch["v"].take(pa.array(rows)), int(d))
+                    length[rows] = np.sqrt((q * q).sum(axis=1))
+                    if int(d) not in shared.value:
+                        continue
+                    h_ids, h, _ = shared.value[int(d)]
                     got = exact_products(q, h).astype(np.float64)
                     got[h_ids[None, :] == ids[rows, None]] = -np.inf
                     if got.shape[1] >= k:
                         low[rows] = np.partition(got, got.shape[1] - k, axis=1)[:, got.shape[1] - k]
-            yield pa.RecordBatch.from_arrays([batch["query_row"], batch["vec_id"], batch["v"], batch["dim"], pa.array(low)], ["query_row", "vec_id", "v", "dim", "low"])
-
-    n, m = vectors.count(), queries.count()
-    cells_c, cells_q = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    bounded = queries.select("query_row", "vec_id", "v", "dim").mapInArrow(bounds, "query_row long, vec_id long, v array<double>, dim int, low double")
-    # each side is copied to the cells of its row or column; rows are dealt by a hash of id and vector, equal ones spread by a random part
-    deal = lambda cells: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(cells)).cast("int")
-    right = bounded.withColumn("qi", deal(cells_q)).withColumn("ci", F.explode(F.sequence(F.lit(0), F.lit(cells_c - 1))))
-    left = vectors.select("vec_id", "v", "dim").withColumn("ci", deal(cells_c)).withColumn("qi", F.explode(F.sequence(F.lit(0), F.lit(cells_q - 1))))
+            need = [int(np.searchsorted(-reach.value, -(b - SLACK) / (x * (1 + 2 * SLACK)), side="right")) if x > 0 and np.isfinite(b) else len(reach.value) for x, b in zip(length, low, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("query_row", "vec_id", "v", "dim")), pa.array(low), pa.array(need, pa.int32())], ["query_row", "vec_id", "v", "dim", "low", "need"])
+
+    bounded = queries.select("query_row", "vec_id", "v", "dim").mapInArrow(bounds, "query_row long, vec_id long, v array<double>, dim int, low double, need int")
+    asks = settle(numbered(bounded, F.desc("need"), F.asc("query_row")).withColumn("qi", ((F.col("_pos") - 1) / _sizes(m, QUERY_BLOCK)).cast("int")).drop("_pos"), "asks")
+    most = asks.groupBy("qi").agg(F.max("need").alias("need")).toPandas().sort_values("qi")["need"].to_numpy()  # descending
+    meets = [(c, int((most > c).sum())) for c in range(len(norms))]
+    cells = spark.createDataFrame([x for x in meets if x[1]], "ci int, _blocks int")
+    left = ranked.join(F.broadcast(cells), "ci").withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("ci", "qi", "dim", "vec_id", "v")
+    right = asks.filter("need > 0").withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("need") - 1))).drop("need")
+    return left, right, shared
+
+
+def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int = HEAD) -> DataFrame:
+    """vectors, queries: as ``integer_vectors`` gives; returns query_id, rank, vec_id, score."""
+    left, right, shared = deal_cells(vectors, settle(row_key(queries, "query_row"), "queries"), k, head)
 
     def cell(cands: pa.Table, asks: pa.Table) -> pa.Table:
         out = []
