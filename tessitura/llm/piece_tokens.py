@@ -1,22 +1,24 @@
 """SentencePiece models on the tokenizers library: encoding and decoding.
 
-The model protobuf is parsed here (wire format only), and normaliser (character map, dummy prefix, space marker), scores
-or merges and byte fallback are rebuilt for the tokenizers library. Merge models get one rule for every split of a piece
-into two pieces, ranked by the piece's score; unigram models get their scores. Text is cut before each run of space
-markers, which changes nothing as long as no piece holds a marker after another letter (checked; else it isn't cut), and
-lets a worker remember the ids of up to ``MEMO`` words, so only new words are encoded, in batches over the library's
-threads. Work is done ``CHUNK`` characters at a time, so memory stays bounded by one text's ids.
+The model protobuf is parsed here (wire format only), and normaliser (character map, squeezed spaces, dummy prefix, space
+marker), scores or merges and byte fallback are rebuilt for the tokenizers library, which does all encoding, in batches
+over its threads. Unigram models get their scores; merge models get one rule for every split of a piece into two pieces,
+ranked by the piece's score. Where no piece holds a marker after another letter (checked), the library cuts text before
+each run of markers, which changes no result and keeps its words short. Texts of more than ``CHUNK`` characters go in
+parts that end at single spaces, so memory stays bounded by one text's ids.
 
 The model file is read on the driver and sent to the executors as bytes (``MAX_MODEL`` at most): executors need no
-path. Encoding is one pass without a shuffle.
+path. Encoding is one pass without a shuffle. ``parity`` holds ids against those of the sentencepiece library.
 
 Defined cases: null text has null ids, 0 tokens and a true round trip; an empty text has no ids; characters outside the
-vocabulary become bytes; a lone surrogate becomes U+FFFD first; an empty table gives an empty result; other columns are kept.
+vocabulary become bytes; a lone surrogate becomes U+FFFD first; round_trip tells whether decoding the ids gives the text
+itself, so it is false where the model's normaliser changes the text, where an id stands for unknown letters, and for
+texts that hold the marker letter; an empty table gives an empty result; other columns are kept. A text that spells the
+name of a byte piece in letters that a unigram model doesn't know is taken for that piece.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
@@ -33,9 +35,10 @@ from pyspark.sql import types as T
 
 from .common import lean, tidy
 
-CHUNK, WORDS, BATCH, MEMO, MAX_MODEL, THREADS = 400_000, 200_000, 4 << 20, 500_000, 64 << 20, 2
+CHUNK, BATCH, MAX_MODEL, THREADS = 400_000, 1 << 20, 64 << 20, 2
 MARK = "▁"
-_WORD = re.compile(" *[^ ]+| +")
+#: Before a single space: neither side is another space or a marker.
+_SINGLE = re.compile(f"[^ {MARK}](?= [^ {MARK}])")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
@@ -98,20 +101,20 @@ class PieceModel:
                     found.append((-score, ids[a], ids[b], a, b))
         return [x[3:] for x in sorted(found)]
 
-    def tokenizer(self, bare: bool = False):
-        """The library's tokenizer; bare: for words that are marked and cut already."""
+    def tokenizer(self):
+        """The library's tokenizer."""
         from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         if self.kind == 2:
             model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unk][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         elif self.kind == 1:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unk, self.byte_fallback)
+            # control, byte and unused pieces never match a text's letters: they score below any path of normal pieces
+            low = 8 * min([s for _, s, t in self.pieces if t == NORMAL], default=0.0) - 100
+            model = models.Unigram([(p, s if t in (NORMAL, USER, UNKNOWN) else low) for p, s, t in self.pieces], self.unk, self.byte_fallback)
         else:
             raise ValueError(f"model kind {self.kind} has neither scores nor merges")
         t = Tokenizer(model)
-        if bare:
-            return t
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
             steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
@@ -137,107 +140,45 @@ class PieceModel:
 
 
 class Codec:
-    """Encodes with one library tokenizer. Where words are independent, ids of words are remembered in a flat pool and
-    only unknown words go to the library (in batches over its threads); a text's ids are gathered from the pool."""
+    """Encodes with one library tokenizer and decodes by a table of the bytes that each id stands for."""
 
     def __init__(self, data: bytes, threads: int = THREADS):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        self.model, self.threads = PieceModel(data), threads
-        m = self.model
-        self.by_word = m.cuttable() and not m.squeeze and not m.charsmap
-        self.library = m.tokenizer(bare=self.by_word)
-        self.table = m.surface()
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.begin, self.end, self.good = (np.zeros(1 << 16, dtype=t) for t in (np.int64, np.int64, bool))
-        self.pool, self.used = np.zeros(1 << 18, dtype=np.int32), 0
-
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast([w.replace(" ", MARK) for w in words], add_special_tokens=False)]
-        ends = self.used + np.cumsum([len(f) for f in found])
-        begins = np.r_[self.used, ends[:-1]]
-        while ends[-1] > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : ends[-1]] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1]) - self.used)
-        n, m = len(self.memo), len(self.memo) + len(words)
-        while m > len(self.begin):
-            self.begin, self.end, self.good = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.end, self.good))
-        self.begin[n:m], self.end[n:m] = begins, ends
-        self.good[n:m] = self._same(found, words)
-        self.memo.update(zip(words, range(n, m), strict=True))
-        self.used = int(ends[-1])
-
-    def _same(self, found: list[list[int]], words: list[str]) -> list[bool] | bool:
-        """Which words their ids give again; one comparison tells if all do."""
-        if b"".join([self.table[x] for x in chain.from_iterable(found)]) == "".join(words).encode() and all(map(len, found)):
-            return True
-        return [b"".join([self.table[x] for x in f]) == w.encode() for f, w in zip(found, words, strict=True)]
-
-    def _words(self, text: str) -> Iterator[list[str]]:
-        """The text's words with the spaces before them, about CHUNK characters at a time."""
-        text = (" " if self.model.dummy_prefix and text else "") + text.replace(MARK, " ")
-        at = 0
+        self.model = PieceModel(data)
+        self.library = self.model.tokenizer()
+        self.table = self.model.surface()
+
+    def _parts(self, text: str) -> list[str]:
+        """Parts of a long text that encode one after another to what the whole does. They end before a single space, which
+        the dummy prefix of the next part stands for, so it is left out where there is one."""
+        if len(text) <= CHUNK or not self.model.cuttable():
+            return [text]
+        out, at = [], 0
         while at < len(text):
-            k = text.find(" ", at + CHUNK) if len(text) - at > CHUNK else -1
-            while k > 0 and text[k - 1] == " ":
-                k = text.find(" ", k + 1)
-            yield _WORD.findall(text, at, len(text) if k < 0 else k)
-            at = len(text) if k < 0 else k
-
-    def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, number of ids of each word, whether each word decodes to itself)"""
-        at = list(map(self.memo.get, words))
-        if None in at:
-            if len(self.memo) > MEMO:
-                self.forget()
-                at = [None] * len(words)
-            gaps = [k for k, x in enumerate(at) if x is None]
-            self._learn(list({words[k]: None for k in gaps}))
-            for k in gaps:
-                at[k] = self.memo[words[k]]
-        k = np.array(at, dtype=np.int64)
-        n = self.end[k] - self.begin[k]
-        ends = np.cumsum(n)
-        return self.pool[np.arange(ends[-1]) + np.repeat(self.begin[k] - ends + n, n)], n, self.good[k]
+            cut = _SINGLE.search(text, at + CHUNK)
+            end = cut.start() + 1 if cut else len(text)
+            out.append(text[at:end])
+            at = end + (1 if cut and self.model.dummy_prefix else 0)
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, the number of ids of each text, and whether decoding gives the text again (null: yes)."""
-        ids, counts, good = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=bool)
-        held: list[str] = []
-        of: list[tuple[int, int]] = []  # (text, words held of it)
-
-        def flush() -> None:
-            if held:
-                flat, n, fine = self._gather(held)
-                ids.append(flat)
-                text = np.repeat([t for t, _ in of], [k for _, k in of])
-                np.add.at(counts, text, n)
-                good[text[~fine]] = False
-                held.clear()
-                of.clear()
-
+        parts, of = [], []
         for i, t in enumerate(texts):
-            if t is None:
-                continue
-            try:
-                t.encode()
-            except UnicodeEncodeError:
-                t = t.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-            if self.by_word:
-                for words in self._words(t):
-                    held += words
-                    of.append((i, len(words)))
-                    if len(held) >= WORDS:
-                        flush()
-            else:
-                got = self.library.encode_batch_fast([t], add_special_tokens=False)[0].ids
-                ids.append(np.array(got, dtype=np.int32))
-                counts[i], good[i] = len(got), self.decode(got) == self.plain(t)
-        flush()
-        return np.concatenate(ids), counts, good
+            if t:
+                found = self._parts(_whole(t))
+                parts += found
+                of += [i] * len(found)
+        ids = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        counts, good = np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=bool)
+        np.add.at(counts, np.array(of, dtype=np.int64), np.array([len(x) for x in ids], dtype=np.int64))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(counts.sum()))
+        ends = np.cumsum(counts)
+        for i, t in enumerate(texts):
+            if t is not None:
+                good[i] = self.decode(flat[ends[i] - counts[i] : ends[i]].tolist()) == t
+        return flat, counts, good
 
     def decode(self, ids) -> str | None:
         if ids is None:
@@ -247,9 +188,14 @@ class Codec:
             out = out[1:]
         return out.decode("utf-8", "replace")
 
-    def plain(self, text: str | None) -> str | None:
-        """What decode(encode(text)) gives for a model that rewrites nothing but markers."""
-        return text.replace(MARK, " ") if text is not None and self.model.escape else text
+
+def _whole(text: str) -> str:
+    """text with lone surrogates replaced."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 @lru_cache(maxsize=2)
@@ -275,18 +221,13 @@ def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        gc.disable()  # lists of ids hold no cycles
-        try:
-            for batch in batches:
-                start, size = 0, 0
-                for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist()):
-                    size += n
-                    if size >= BATCH or i == batch.num_rows - 1:
-                        yield part(c, batch.slice(start, i + 1 - start))
-                        start, size = i + 1, 0
-        finally:
-            c.forget()  # workers are reused; the words of one task would stay in memory beside the next stage
-            gc.enable()
+        for batch in batches:
+            start, size = 0, 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_pylist()):
+                size += n
+                if size >= BATCH or i == batch.num_rows - 1:
+                    yield part(c, batch.slice(start, i + 1 - start))
+                    start, size = i + 1, 0
 
     def part(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, n, same = c.encode(batch.column("_text").to_pylist())
@@ -309,3 +250,22 @@ def decode_ids(df: DataFrame, keep: list[str], ids_col: str = "ids", model_path:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return df.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(tidy(run), df.select(*keep).schema.add("text", "string"))
+
+
+def parity(docs: DataFrame, keep: list[str], text_col: str = "text", model_path: str | None = None) -> DataFrame:
+    """``keep`` columns and same: whether the ids of a text equal those of the sentencepiece library (null text: yes)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+    lean(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        c, other = codec(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            flat, n, _ = c.encode(texts)
+            ids = np.split(flat, np.cumsum(n)[:-1])
+            same = [t is None or other.encode(_whole(t)) == i.tolist() for t, i in zip(texts, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(same, pa.bool_())], [*keep, "same"])
+
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(tidy(run), docs.select(*keep).schema.add("same", "boolean"))
