@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers over word classes are composed into one machine: insults (a lexicon of words and word beginnings),
-threats (a violent verb after an announcement), targets (persons near an insult), negation (within three words before)
-and reported speech (after a verb of saying, to the end of the clause). Clauses, not isolated words, are scored: a
+Transducers over word classes are composed into one machine: insults (a lexicon of words and word beginnings, stronger after
+an intensifier), threats (a violent verb after an announcement), targets (persons up to three words before an insult),
+negation (within three words before) and reported speech (after a verb of saying, to the end of the clause). Targets after
+an insult are found by the same transducer run from the clause's end, whose output the composed machine reads. Clauses,
+not isolated words, are scored: a
 clause's score is the sum of its rewritten symbols' weights, and a text's features are its strongest clause, the sum of
 its clauses, how many matched, how many different words matched and how dense they are. A logistic model turns those
 into the score.
 
-The insult lexicon is learned from labelled rows: words and beginnings of four to seven letters whose log odds between
-toxic and other rows are at least ``MIN_ODDS`` and that ``MIN_SHARE`` of the toxic rows hold, at most ``MAX_LEXICON``.
+The insult lexicon is a few fixed words and what labelled rows teach: words and beginnings of four to seven letters that
+``MIN_ROWS`` toxic rows hold, whose log odds between toxic and other rows are at least ``MIN_ODDS`` and, less ``Z``
+standard errors, at least ``SURE_ODDS``; at most ``MAX_LEXICON``, those in most toxic rows first.
 Lexicon and logistic model are fitted on at most ``ROWS_PER_CLASS`` labelled rows of each class drawn by a hash of the
 id (all where there are fewer); the intercept is corrected for the shares drawn. Scoring is one pass over every whole
 text without a shuffle; the label sample (bounded) is broadcast, so texts aren't shuffled for fitting either.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import lean, settle, tidy
 from .language_id import in_fold
 
-ROWS_PER_CLASS, MAX_LEXICON, MIN_ODDS, MIN_SHARE, MIN_ROWS = 8000, 5000, 3.0, 0.015, 3
+ROWS_PER_CLASS, MAX_LEXICON, MIN_ODDS, SURE_ODDS, Z, MIN_ROWS = 8000, 5000, 3.0, 1.0, 1.64, 3
 PREFIXES = range(4, 8)
 MEMO = 300_000
 _WORD, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]+")
@@ -42,11 +45,12 @@ NEGATIONS = "not no never neither nor without isn aren wasn don doesn nicht kein
 REPORTS = "said says say wrote writes claimed called quoted according sagte sagt schrieb laut dit écrit selon dijo dice escribió según"
 ANNOUNCES = "will gonna going shall must werde wirst vais allez voy vas"
 VIOLENCE = "kill hurt beat destroy stab shoot burn murder töten schlagen umbringen tuer frapper détruire matar golpear destruir"
+INTENSIFIERS = "such total totally complete completely utter utterly absolute so very really völlig total absolut sehr so tellement très vraiment muy tan totalmente"
 SEED_INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool bastard"
 
-O, I, H, T, N, R, A = range(7)  # other, insult, violence, target, negation, report, announcement
-PLAIN, AIMED, WEAK, THREAT = 7, 8, 9, 10  # rewritten: bare insult, insult at a target, negated or reported, announced violence
-_SYMBOLS = 11
+O, I, H, T, N, R, A, E = range(8)  # other, insult, violence, target, negation, report, announcement, intensifier
+STRONG, AIMED, WEAK, THREAT = range(8, 12)  # rewritten: intensified insult, insult at a target, negated or reported, announced violence
+_SYMBOLS = 12
 
 
 class Transducer:
@@ -78,25 +82,38 @@ class Transducer:
         return Transducer(step)
 
 
-def grammar() -> Transducer:
-    insult = Transducer.window(-1, 0, {})  # the lexicon has mapped words to I; bare insults stay what they are
+def grammar() -> tuple[Transducer, Transducer]:
+    """(machine that reads a clause from its end, machine that reads what the first wrote from its beginning)"""
+    insult = Transducer.window(E, 2, {I: STRONG})
     threat = Transducer.window(A, 3, {H: THREAT})
-    target = Transducer.window(T, 3, {I: AIMED})
-    negation = Transducer.window(N, 3, {I: WEAK, AIMED: WEAK, THREAT: WEAK})
-    report = Transducer.window(R, 0, {I: WEAK, AIMED: WEAK, THREAT: WEAK})
-    return insult @ threat @ target @ negation @ report
+    target = Transducer.window(T, 3, {I: AIMED, STRONG: AIMED})
+    weak = dict.fromkeys((I, STRONG, AIMED, THREAT), WEAK)
+    negation, report = Transducer.window(N, 3, weak), Transducer.window(R, 0, weak)
+    return target, insult @ threat @ target @ negation @ report
 
 
 #: What a rewritten symbol adds to its clause, times the word's lexicon weight for insults.
-WEIGHT = {I: 1.0, PLAIN: 1.0, AIMED: 1.25, WEAK: 0.5, THREAT: 3.0}
+WEIGHT = {I: 1.0, STRONG: 1.1, AIMED: 1.25, WEAK: 0.5, THREAT: 3.0}
 
 
 class Grammar:
     def __init__(self, lexicon: dict[str, float]):
         """lexicon: '=word' or the beginning of a word -> weight."""
         self.lexicon = lexicon
-        self.fixed = {w: c for c, ws in ((T, TARGETS), (N, NEGATIONS), (R, REPORTS), (A, ANNOUNCES), (H, VIOLENCE)) for w in ws.split()}
-        self.step = grammar().step
+        self.fixed = {w: c for c, ws in ((E, INTENSIFIERS), (T, TARGETS), (N, NEGATIONS), (R, REPORTS), (A, ANNOUNCES), (H, VIOLENCE)) for w in ws.split()}
+        self.back, self.ahead = (m.step for m in grammar())
+
+    @staticmethod
+    def _run(step: list[list[tuple[int, int]]], symbols: list[int]) -> list[int]:
+        state, out = 0, []
+        for x in symbols:
+            state, y = step[state][x]
+            out.append(y)
+        return out
+
+    def rewrite(self, symbols: list[int]) -> list[int]:
+        """A clause's symbols through both machines."""
+        return self._run(self.ahead, self._run(self.back, symbols[::-1])[::-1])
 
     def insult(self, word: str) -> float:
         return max([self.lexicon.get("=" + word, 0.0), *(self.lexicon.get(word[:n], 0.0) for n in PREFIXES if n <= len(word))])
@@ -125,12 +142,9 @@ class Grammar:
                 tokens = _WORD.findall(clause)
                 if hits.keys().isdisjoint(tokens):
                     continue
-                state, score = 0, 0.0
-                for w in tokens:
-                    x = hits.get(w, 0.0)
-                    state, out = self.step[state][I if x > 0 else self.fixed.get(w, O)]
-                    if out in WEIGHT:
-                        score += WEIGHT[out] * (x if x > 0 else 1.0)
+                found = [hits.get(w, 0.0) for w in tokens]
+                written = self.rewrite([I if x > 0 else self.fixed.get(w, O) for w, x in zip(tokens, found, strict=True)])
+                score = sum(WEIGHT[y] * (x if x > 0 else 1.0) for y, x in zip(written, found, strict=True) if y in WEIGHT)
                 if score > 0:
                     best, total, matched = max(best, score), total + score, matched + 1
             kinds = sum(x > 0 for x in hits.values())
@@ -174,13 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
         return Grammar(seeds), _UNFITTED
     words = (rows.select("y", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)"))).alias("w"))
              .groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).cache())
-    least = max(MIN_ROWS, MIN_SHARE * pos)
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
     found = words.select(F.concat(F.lit("="), "w").alias("k"), "p", "q")
     for k in PREFIXES:
         found = found.unionByName(words.filter(F.length("w") >= k).groupBy(F.substring("w", 1, k).alias("k")).agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
-    top = found.filter((F.col("p") >= least) & (odds >= MIN_ODDS)).select("k", odds.alias("w"), "p").orderBy(F.desc("p"), "k").limit(MAX_LEXICON).collect()
-    g = Grammar({r["k"]: min(r["w"], 6.0) for r in top} or seeds)
+    error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    top = found.filter((F.col("p") >= MIN_ROWS) & (odds >= MIN_ODDS) & (odds - Z * error >= SURE_ODDS)).select("k", odds.alias("w"), "p").orderBy(F.desc("p"), "k").limit(MAX_LEXICON).collect()
+    g = Grammar(seeds | {r["k"]: min(r["w"], 6.0) for r in top})
     made = _features(rows.select("y", "text"), g, "y int").toPandas()
     words.unpersist()
     rows.unpersist()
