@@ -10,23 +10,31 @@ replies to, answers by turn, an answer's own answers before the next one.
 
 Passages are looked up by the hash of their first words (a power of two, ANCHOR at most) and then compared as text.
 
-Defined cases: null text has no lines; null conv_id or turn rows link to nothing and have no position; an empty table
-gives an empty result; of several messages of a turn the first stands for it.
+Scale: texts are parsed where they are read; passages move with their hashes. What one conversation brings to one task are
+the messages that quote another than the one before them (their numbers), and what one passage of one conversation brings
+are the turns that hold or quote it; both are sorted streams or pairs of numbers, never texts.
+
+Defined cases: null text has no lines, an empty one an empty line; null conv_id or turn rows link to nothing and have no
+position; of several messages of a turn the first (as read) stands for it, each is placed by itself, and none replies to its
+own turn; of equal passages the latest earlier message is quoted; very long texts are parsed line by line, whole; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import numbered
 from .common import settle
 
-#: Words of the longest run that is hashed.
-ANCHOR = 16
+#: Words of the longest run that is hashed; messages that look up their run in one task.
+ANCHOR, BUCKET = 16, 10_000
 _MARKS = re.compile(r"((?:\s*>)*)", re.ASCII)
 _PASSAGES = pa.list_(pa.struct([("level", pa.int64()), ("words", pa.string())]))
 
@@ -51,24 +59,28 @@ def parse(text: str | None) -> tuple[int, int, str, list[tuple[int, str]]]:
     return most, quoted, "\n".join(own).strip(" "), passages
 
 
-def reply_order(turns: list[tuple[int, int, int | None]]) -> list[tuple[int, int | None, int, int]]:
-    """(turn, id, quoted turn) of one conversation to (id, reply_to, position, depth), in reply order."""
-    rows = sorted(turns, key=lambda r: r[:2])
-    first: dict[int, int] = {}
-    for i, r in enumerate(rows):
-        first.setdefault(r[0], i)
-    known, reply, below = list(first), [], [[] for _ in rows]
+def run_order(heads: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int, int]]:
+    """(first, end, message replied to) of one conversation's runs to (first, end, position, depth) in reply order.
+
+    A run is a stretch of messages each of which replies to the one before it, so it stays together. After its last message
+    come the runs that reply to that one, by number, then those that reply to the message before, and so on.
+    """
+    heads = sorted(heads)
+    firsts = [h[0] for h in heads]
+    below: list[list[tuple[int, int, int]]] = [[] for _ in heads]
     roots = []
-    for i, (turn, _, quoted) in enumerate(rows):
-        at = bisect_left(known, turn)
-        to = quoted if quoted is not None else known[at - 1] if at else None
-        reply.append(to)
-        (roots if to is None else below[first[to]]).append(i)
-    out, stack = [], [(i, 0) for i in reversed(roots)]
+    for i, (first, _, to) in enumerate(heads):
+        if to is None:
+            roots.append(i)
+        else:
+            below[bisect_right(firsts, to) - 1].append((-to, first, i))
+    out, at, stack = [], 0, [(i, 0) for i in reversed(roots)]
     while stack:
         i, depth = stack.pop()
-        out.append((rows[i][1], reply[i], len(out), depth))
-        stack += [(k, depth + 1) for k in reversed(below[i])]
+        first, end, _ = heads[i]
+        out.append((first, end, at, depth))
+        at += end - first
+        stack += [(k, depth - low - first + 1) for low, _, k in sorted(below[i], reverse=True)]
     return out
 
 
@@ -83,8 +95,8 @@ def _parse_batches(batches):
 
 def _order_batches(batches):
     for b in batches:
-        got = [x for rows in b.column("rows").to_pylist() for x in reply_order([(r["turn"], r["_m"], r["quoted"]) for r in rows])]
-        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], names=["_m", "reply_to", "position", "depth"])
+        got = [x for rows in b.column("heads").to_pylist() for x in run_order([(r["first"], r["end"], r["to"]) for r in rows])]
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], names=["first", "end", "position", "depth"])
 
 
 def _anchor(words: Column) -> Column:
@@ -128,6 +140,40 @@ def _linked(parsed: DataFrame) -> DataFrame | None:
     return votes.groupBy("_m").agg(F.max(F.struct((-F.col("level")).alias("up"), "n", "source"))["source"].alias("quoted"))
 
 
+def _placed(at: DataFrame) -> DataFrame:
+    """(_m, conv_id, turn, quoted) to (_m, reply_to, position, depth).
+
+    Messages are numbered over all conversations by a range sort. Messages that reply to the one before them make runs; only
+    the heads of runs, the messages that quote another one, meet by conversation. Messages then find their run in buckets of
+    BUCKET numbers, so a conversation with a third of all rows meets in no task.
+    """
+    rows = settle(numbered(at, F.asc("conv_id"), F.asc("turn"), F.asc("_m")), "ranked")
+    turns = rows.groupBy("conv_id", "turn").agg(F.min("_pos").alias("first"))
+    before = rows.select((F.col("_pos") + 1).alias("first"), F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"))
+    turns = settle(turns.join(before, "first", "left").select("conv_id", "turn", "first", F.when(F.col("conv_id") == F.col("_conv"), F.col("_turn")).alias("prev")), "turns")
+    told = rows.join(turns.select("conv_id", "turn", "prev"), ["conv_id", "turn"]).withColumn("reply_to", F.coalesce("quoted", "prev"))
+    parents = turns.select("conv_id", F.col("turn").alias("reply_to"), F.col("first").alias("to"))
+    told = settle(told.join(parents, ["conv_id", "reply_to"], "left").select("_m", "conv_id", "_pos", "reply_to", "to"), "replies")
+    heads = told.filter(F.col("to").isNull() | (F.col("to") != F.col("_pos") - 1))
+    ends = rows.groupBy("conv_id").agg((F.max("_pos") + 1).alias("last"))
+    grouped = heads.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("first"), "to"))).alias("h")).join(ends, "conv_id")
+    end = lambda x, i: F.coalesce(F.get(F.col("h"), i + 1)["first"], F.col("last"))
+    grouped = grouped.select(F.transform("h", lambda x, i: F.struct(x["first"].alias("first"), end(x, i).alias("end"), x["to"].alias("to"))).alias("heads"))
+    runs = grouped.mapInArrow(_order_batches, "first long, end long, position long, depth long")
+    bucket = lambda c: F.floor(c / BUCKET)
+    runs = runs.withColumn("bucket", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("end") - 1))))
+
+    def place(messages: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("first")
+        first, pos = found["first"].to_numpy(), messages["_pos"].to_numpy()
+        k = np.searchsorted(first, pos, side="right") - 1
+        gone = pos - first[k]
+        return pa.table({"_m": messages["_m"], "reply_to": messages["reply_to"], "position": pa.array(found["position"].to_numpy()[k] + gone), "depth": pa.array(found["depth"].to_numpy()[k] + gone)})
+
+    met = told.select("_m", "_pos", "reply_to", bucket(F.col("_pos")).alias("bucket"))
+    return met.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(place, "_m long, reply_to long, position long, depth long")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, max_level, n_quoted, content, position, depth; conversations in reply order."""
     m = messages.select("conv_id", "turn", "role", "text").withColumn("_m", F.monotonically_increasing_id())
@@ -137,7 +183,5 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quoted = _linked(parsed)
     at = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("_m", "conv_id", F.col("turn").cast("long").alias("turn"))
     at = at.withColumn("quoted", F.lit(None).cast("long")) if quoted is None else at.join(quoted, "_m", "left")
-    grouped = at.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "_m", "quoted")).alias("rows")).select("rows")
-    order = grouped.mapInArrow(_order_batches, "_m long, reply_to long, position long, depth long")
-    out = parsed.drop("passages").join(order, "_m", "left")
+    out = parsed.drop("passages").join(_placed(at), "_m", "left")
     return out.orderBy("conv_id", "position", "turn", "_m").select("conv_id", "turn", "role", "reply_to", "max_level", "n_quoted", "content", "position", "depth")
