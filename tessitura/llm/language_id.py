@@ -10,7 +10,8 @@ where there are fewer): a bound on the classifier's sample, counted over whole t
 Scoring is one pass over every whole text without a shuffle.
 
 Defined cases: null text, empty text or one without a letter: ``und`` with score 0; without training rows every text is
-``und``; a null id is never a training row; ties go to the first language by code point; extra columns are ignored.
+``und``; a null id is never a training row; ties go to the first language by code point; repeated rows are scored one by one; extra columns are ignored, or kept where
+``keep`` names them.
 """
 
 from __future__ import annotations
@@ -112,27 +113,31 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     known = top(by_word, "w", MIN_WORD, MAX_WORDS)
     marked = F.concat(F.lit("_"), F.col("w"), F.lit("_"))
-    cut = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (k - 1))), lambda i, k=k: F.substring(marked, i, F.lit(k))) for k in range(1, ORDER + 1)]))
+    starts = lambda k: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (k - 1)))
+    grams_of = lambda k: F.filter(F.transform(starts(k), lambda i: F.substring(marked, i, F.lit(k))), lambda g: F.length(g) == k)
+    cut = F.flatten(F.array(*map(grams_of, range(1, ORDER + 1))))
     by_gram = by_word.select("lang", "n", F.explode(cut).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
     grams = top(by_gram, "g", MIN_GRAM, MAX_GRAMS)
     by_word.unpersist()
     return Model(sorted(n), known, grams)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The ``keep`` columns with the predicted language and its score, under names that keep must not hold."""
+    if {pred, score} & set(keep):
+        raise ValueError(f"keep holds {pred} or {score}: give other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
     sent = [F.col(c) for c in keep] + ([] if text_col in keep else [F.col(text_col)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.scorer()
+        scored = shared.value.scorer()
         for batch in batches:
-            got = [score(t.as_py()) for t in batch.column(text_col)]
+            got = [scored(t.as_py()) for t in batch.column(text_col)]
             rest = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, pred, score])
 
-    out = schema.add("lang_pred", "string").add("score", "double")
+    out = schema.add(pred, "string").add(score, "double")
     lean(docs.sparkSession)
     return docs.select(*sent).mapInArrow(tidy(run), out)
 

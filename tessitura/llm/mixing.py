@@ -9,7 +9,8 @@ Scale: texts are read twice and never shuffled; only sums per source move, folde
 a third of all rows is no hot key. Sources are ranked by a range sort plus per-partition offsets, not in one task.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source whose words sum to
-zero has rate 0 and takes nothing; equal ids share their draw; an empty table gives an empty result.
+zero has rate 0 and takes nothing; equal ids share their draw; an empty table gives an empty result; other columns are kept
+whatever their names, but for those that ``mix`` returns itself.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, small
+from .common import WORD, fresh, settle, small
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEEDS = 1.5, 2, 10
@@ -80,23 +81,28 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     return settle(both.select("source", "source_size", "target", "_floor", "_limit", F.array_min(F.array(*miss))["k"].alias("_seed")), "plan")
 
 
-def _mixed(docs: DataFrame, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def _mixed(docs: DataFrame, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a struct of size (of the source), target and copies."""
     plan = mixing_plan(docs, seeds=seeds, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    plan = plan.select(F.col("source").alias("_s"), F.col("source_size").alias("_ss"), F.col("target").alias("_t"), "_floor", "_limit", "_seed")
-    met = docs.join(small(plan), docs[source_col].eqNullSafe(F.col("_s")), "left")
-    drawn = F.element_at(F.array(*[draw(docs[id_col], k) for k in range(seeds)]), F.col("_seed") + 1)
-    return met.withColumn("_copies", (F.col("_floor") + F.when(drawn < F.col("_limit"), 1).otherwise(0)).cast("long"))
+    name, key = fresh("mix", docs.columns), fresh("mix_source", docs.columns)
+    plan = plan.select(F.col("source").alias(key), F.struct("source_size", "target", "_floor", "_limit", "_seed").alias(name))
+    met = docs.join(small(plan), docs[source_col].eqNullSafe(plan[key]), "left").drop(key)
+    of = F.col(name)
+    drawn = F.element_at(F.array(*[draw(F.col(id_col), k) for k in range(seeds)]), of["_seed"] + 1)
+    copies = (of["_floor"] + F.when(drawn < of["_limit"], 1).otherwise(0)).cast("long")
+    return met.withColumn(name, F.struct(of["source_size"].alias("size"), of["target"].alias("target"), copies.alias("copies"))), name
 
 
 def mix(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The input's columns with size, source_size, target, copies and taken (which replace columns of those names)."""
-    met = _mixed(docs, text_col=text_col, **how)
+    met, name = _mixed(docs, text_col=text_col, **how)
     kept = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    met = met.select(*kept, size_of(F.col(text_col)).alias("size"), F.col("_ss").alias("source_size"), F.col("_t").alias("target"), F.col("_copies").alias("copies"))
-    return met.withColumn("taken", F.col("size") * F.col("copies"))
+    of, size = F.col(name), size_of(F.col(text_col))
+    return met.select(*kept, size.alias("size"), of["size"].alias("source_size"), of["target"].alias("target"), of["copies"].alias("copies"), (size * of["copies"]).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mixture itself: the input's columns, each row emitted ``copies`` times."""
-    rows = _mixed(docs, **how).filter("_copies > 0")
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    met, name = _mixed(docs, **how)
+    again = fresh("mix_copy", docs.columns)
+    return met.filter(F.col(name)["copies"] > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(name)["copies"].cast("int"))).alias(again)).drop(again)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import struct
 from collections import defaultdict
 
 import numpy as np
@@ -15,7 +16,8 @@ from fixtures import DOC, FOLDER, clashing, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, rows_of, rows_of_sql
-from tessitura.llm import exact_dedup, language_id, mixing, piece_tokens, queries, top_products, toxicity, url_filter, warc
+from pyspark.sql import functions as F
+from tessitura.llm import common, exact_dedup, language_id, mixing, piece_tokens, queries, top_products, toxicity, url_filter, warc
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_contract_matches_sql(spark, name):
@@ -28,11 +30,10 @@ def test_contract_matches_sql(spark, name):
 # --- 10: exact dedup --------------------------------------------------------------------------------
 
 
-@given(st.lists(st.tuples(st.sampled_from("+-"), st.integers(0, 60)), max_size=400))
+@given(st.lists(st.tuples(st.sampled_from("++-"), st.integers(0, 60)), max_size=400))
 @settings(max_examples=40, deadline=None)
 def test_live_index_is_a_multiset(ops):
-    index, held = exact_dedup.LiveIndex(), defaultdict(int)
-    index.filter = exact_dedup.CuckooFilter(2)
+    index, held = exact_dedup.LiveIndex(2), defaultdict(int)
     for op, k in ops:
         d = hashlib.sha256(str(k).encode()).digest()
         if op == "+":
@@ -41,17 +42,27 @@ def test_live_index_is_a_multiset(ops):
         else:
             assert index.remove(d) == (held[d] > 0)
             held[d] = max(0, held[d] - 1)
-    assert {d: n for d, n in held.items() if n} == {d: x[2] for d, x in index.content.items()}
-    assert all(d in index.filter for d in index.content) and index.filter.size == len(index.content)
+    live = {e[0]: e[3] for e in index.entries()}
+    assert {d: n for d, n in held.items() if n} == live and index.size == len(live)
+    assert all(index.may_hold(d) for d in live)
+    # content lies beside its tag, in one of the key's two buckets
+    for b, (tags, entries) in enumerate(zip(index.tags, index.held, strict=True)):
+        assert len(tags) == len(entries) <= exact_dedup.SLOTS
+        assert all(index._places(e[0])[0] == t and b in index._places(e[0])[1:] for t, e in zip(tags, entries, strict=True))
 
 
 def test_filter_overflow_and_false_hits():
     index = exact_dedup.LiveIndex()
     for i in range(20_000):
         index.add(hashlib.sha256(str(i).encode()).digest(), 1, i)
-    assert index.resizes >= 3 and len(index.content) == 20_000
-    miss = sum(hashlib.sha256(b"x%d" % i).digest() in index.filter for i in range(20_000))
-    assert miss < 40
+    assert index.resizes >= 3 and sum(1 for _ in index.entries()) == index.size == 20_000
+    assert sum(index.may_hold(hashlib.sha256(b"x%d" % i).digest()) for i in range(20_000)) < 40
+    # a key whose tag and buckets another key has is told apart by its content
+    twin = hashlib.sha256(b"7").digest()
+    other = twin[:10] + b"\0" * 22
+    index.add(other, 5, 99)
+    assert index.may_hold(other) and index.false_hits >= 1 and index.size == 20_001
+    assert index.remove(other) and not index.remove(other) and index.remove(twin)
 
 
 def test_dedup_edges(spark):
@@ -62,6 +73,29 @@ def test_dedup_edges(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs(spark, texts, [9, 1, 2, 3, 4, 5, 6, 7, 8, 0])).collect()) == [0, 1, 2, 3, 5]
 
 
+def test_hot_text_and_clashing_columns(spark, monkeypatch):
+    """A third of all rows hold one text: its key goes by broadcast; every column of the input stays."""
+    monkeypatch.setattr(common.skew_join, "__defaults__", ("left", 1000, 20))
+    texts = ["hot one"] * 100 + [f"cold {i % 90}" for i in range(200)]
+    ids = random.Random(1).sample(range(1000), 300)
+    df = clashing(docs(spark, texts, ids)).withColumns({"_gone_id": F.lit(1), "_gone_digest": F.lit("z"), "keep_id": F.lit(5)})
+    low = defaultdict(list)
+    for i, t in zip(ids, texts, strict=True):
+        low[t].append(i)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.find_copies(df.repartition(5)).collect()}
+    assert got == {i: (min(low[t]), len(low[t]), i == min(low[t])) for i, t in zip(ids, texts, strict=True)}
+    kept = exact_dedup.drop_copies(df.repartition(5))
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(map(min, low.values()))
+
+
+def test_skew_join(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 40}") for i in range(200)], "id long, key string")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, x int")
+    for how in ("left", "inner"):
+        got = common.skew_join(rows, right, "key", how, most=1000, least=10)
+        assert sorted(map(str, got.select("id", "key", "x").collect())) == sorted(map(str, rows.join(right, "key", how).select("id", "key", "x").collect()))
+
+
 def test_deletion_from_the_distributed_index(spark):
     k = exact_dedup.keys(docs(spark, ["a", "a", "b", "c"]))
     gone = exact_dedup.keys(docs(spark, ["a", "b", "zz"], [1, 2, 9]))
@@ -158,6 +192,24 @@ def test_top_products(spark, monkeypatch):
     assert top_products.contract_search(df.limit(0)).count() == 0
 
 
+def test_cells_that_cannot_reach_are_not_shipped(spark, monkeypatch):
+    monkeypatch.setattr(top_products, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(top_products, "CANDIDATE_BLOCK", 25)
+    rng = np.random.default_rng(0)
+    vs = [(i, [float(x) for x in rng.normal(size=8) * (20 if i % 10 == 0 else 1)]) for i in range(400)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    v = top_products.integer_vectors(df)
+    left, right, _ = top_products.deal_cells(v, common.settle(common.row_key(v.filter("vec_id % 20 = 0"), "query_row"), "q"), k=5, head=40)
+    blocks = 3  # 20 queries in blocks of 8
+    assert left.count() < 0.4 * 400 * blocks and right.count() < 0.4 * 20 * 16
+    a = {i: [int(np.floor(64 * x)) for x in e] for i, e in vs}
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_products.top_products(v, v.filter("vec_id % 20 = 0"), 5, 40).collect())
+    want = []
+    for q in range(0, 400, 20):
+        want += [(q, k, c, -m) for k, (m, c) in enumerate(sorted((-sum(x * y for x, y in zip(a[q], b, strict=True)), c) for c, b in a.items() if c != q)[:5], 1)]
+    assert got == want
+
+
 # --- 6: WARC ------------------------------------------------------------------------------------------
 
 HTML = ["<p>x</p>", "<p>x</p>", None, "", "WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\nWARC/1.1\r\n", "é😀\r\n\r\n", "<p>x</p>", "z" * 3_000_000, "\r\n\r\n", "lone"]
@@ -208,19 +260,81 @@ def test_parity_with_the_other_library(spark):
     got = {r["doc_id"]: r for r in piece_tokens.encode_texts(clashing(docs(spark, texts)), ["doc_id", "size"]).collect()}
     for i, t in enumerate(texts):
         assert got[i]["ids"] == (None if t is None else other.encode(t)), i
-        assert got[i]["round_trip"] and got[i]["n_tokens"] == len(got[i]["ids"] or [])
+        assert got[i]["round_trip"] == (t is None or other.decode(other.encode(t)) == t) and got[i]["n_tokens"] == len(got[i]["ids"] or [])
     back = piece_tokens.decode_ids(piece_tokens.encode_texts(docs(spark, texts), ["doc_id"]), ["doc_id"]).collect()
     assert {r["doc_id"]: r["text"] for r in back} == {i: None if t is None else other.decode(other.encode(t)) for i, t in enumerate(texts)}
     assert piece_tokens.encode_texts(docs(spark, ["a"]).limit(0), ["doc_id"]).count() == 0
 
 
-def test_codec_forgets(monkeypatch):
-    monkeypatch.setattr(piece_tokens, "MEMO", 3)
-    monkeypatch.setattr(piece_tokens, "WORDS", 2)
+def proto(*fields):
+    """A protobuf message of (number, value): bytes, ints, floats and bools."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, bytes):
+            out += varint(k << 3 | 2) + varint(len(v)) + v
+        elif isinstance(v, float):
+            out += varint(k << 3 | 5) + struct.pack("<f", v)
+        else:
+            out += varint(k << 3) + varint(int(v))
+    return out
+
+
+def unigram_model(byte_fallback=True, charsmap=b"", squeeze=False, dummy=True):
+    """A small unigram model, written by hand: letters, some words with overlapping pieces, bytes."""
+    rng = random.Random(3)
+    words = ["the", "th", "he", "hello", "hell", "lo", "▁the", "▁", "▁he", "ing", "in", "▁in", "ll", "is", "▁is", "▁a", "nd", "and", "▁and", "ver", "▁over", "▁▁", "é"]
+    pieces = [(1, proto((1, b"<unk>"), (2, 0.0), (3, 2))), (1, proto((1, b"<s>"), (2, 0.0), (3, 3))), (1, proto((1, b"</s>"), (2, 0.0), (3, 3)))]
+    if byte_fallback:
+        pieces += [(1, proto((1, b"<0x%02X>" % i), (2, 0.0), (3, 6))) for i in range(256)]
+    pieces += [(1, proto((1, w.encode()), (2, -rng.uniform(2, 12)), (3, 1))) for w in [*words, *"abcdefghijklmnopqrstuvwxyz,.<>/0x41"] if w]
+    seen, own = set(), []
+    for k, v in pieces:
+        name = dict(piece_tokens._fields(v))[1]
+        if name not in seen:
+            seen.add(name)
+            own.append((k, v))
+    return proto(*own, (2, proto((3, 1), (35, byte_fallback))), (3, proto((1, b"identity"), (2, charsmap), (3, dummy), (4, squeeze), (5, True))))
+
+
+UNIGRAM_TEXTS = ["", "hello the ing", "  the  hello ", "thehellois and over", "<s> </s> <0x41> x", "日本 hello é ö", "the " * 500 + "ing", "ÅÅ the", "Ⅷ ﬁ ｔｈｅ", "a\u0301 e", "x" * 3000, "   ", "the\thello\nand", "andandand,is.in/he"]
+
+
+@pytest.mark.parametrize("how", [{}, {"squeeze": True}, {"dummy": False}, {"byte_fallback": False}, {"charsmap": True, "squeeze": True}])
+def test_unigram_parity(spark, monkeypatch, tmp_path, how):
+    import sentencepiece
+
+    how = dict(how)
+    if how.get("charsmap"):
+        rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+        spec = dict(piece_tokens._fields(dict(piece_tokens._fields(rules))[3]))
+        how["charsmap"] = spec[2]
+    data = unigram_model(**how)
+    (tmp_path / "m.model").write_bytes(data)
+    other = sentencepiece.SentencePieceProcessor(model_proto=data)
+    c = piece_tokens.Codec(data)
+    flat, n, good = c.encode([*UNIGRAM_TEXTS, None])
+    got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == [*[other.encode(t) for t in UNIGRAM_TEXTS], []]
+    assert good.tolist() == [*[other.decode(other.encode(t)) == t for t in UNIGRAM_TEXTS], True]
+    monkeypatch.setattr(piece_tokens, "CHUNK", 7)  # long texts in parts
+    flat2, n2, _ = c.encode(UNIGRAM_TEXTS)
+    assert flat2.tolist() == flat.tolist() and n2.tolist() == n[:-1].tolist()
+    monkeypatch.undo()
+    assert all(r["same"] for r in piece_tokens.parity(docs(spark, [*UNIGRAM_TEXTS, None]), ["doc_id"], model_path=str(tmp_path / "m.model")).collect())
+
+
+def test_long_texts_in_parts(monkeypatch):
     c = piece_tokens.Codec(piece_tokens.model_bytes())
-    text = "one two three four five six one two"
-    flat, n, good = c.encode([text, None, text])
-    assert n[0] == n[2] == len(flat) // 2 and good.all() and c.decode(flat[: n[0]].tolist()) == text
+    texts = ["one two  three four five   six one two", " lead and ▁ mark ", "a b c d e f g h"]
+    want = c.encode(texts)
+    monkeypatch.setattr(piece_tokens, "CHUNK", 2)
+    assert len(c._parts(texts[2])) > 2 and all(np.array_equal(a, b) for a, b in zip(want, c.encode(texts), strict=True))
 
 
 # --- 1 and 4: learned operators ------------------------------------------------------------------------
@@ -243,11 +357,108 @@ def test_language_edges(spark):
     assert language_id.predict_languages(train.limit(0)).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Counts, backoff and posteriors worked out again in plain Python on a small table."""
+    rng = random.Random(2)
+    vocab = {x: ["".join(rng.choice(a) for _ in range(rng.randrange(1, 7))) for _ in range(30)] for x, a in (("aa", "abcdé"), ("bb", "bcdefü"), ("cc", "aefgh"))}
+    rows = [(i, " ".join(rng.choice(vocab[x]).capitalize() for _ in range(rng.randrange(1, 25))) + " 12!", x) for i, x in enumerate(sorted(vocab) * 25)]
+    train = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], DOC)
+    asked = ["Abc unseen gghh", rows[0][1], rows[1][1], "é", "zzz", "bcd fgh abc " * 3]
+    got = language_id.identify(docs(spark, asked), language_id.fit(train), ["doc_id"]).collect()
+
+    counts, grams = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
+    for _, t, x in rows:
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[word][x] += 1
+            for n in range(1, 5):
+                for i in range(len(word) + 3 - n):
+                    grams[f"_{word}_"[i : i + n]][x] += 1
+    counts = {k: v for k, v in counts.items() if sum(v.values()) >= language_id.MIN_WORD}
+    grams = {k: v for k, v in grams.items() if sum(v.values()) >= language_id.MIN_GRAM}
+
+    def logs(table):
+        total = {x: sum(v[x] for v in table.values()) + 0.5 * len(table) for x in vocab}
+        raw = {k: {x: np.log((v[x] + 0.5) / total[x]) for x in vocab} for k, v in table.items()}
+        return {k: {x: max(v[x] - max(v.values()), -language_id.CLIP) for x in vocab} for k, v in raw.items()}
+
+    word_logs, gram_logs = logs(counts), logs(grams)
+
+    def of(word):
+        if word in word_logs:
+            return word_logs[word]
+        w, met = f"_{word}_", []
+        for end in range(1, len(w) + 1):
+            known = [w[end - n : end] for n in range(min(4, end), 0, -1) if w[end - n : end] in gram_logs]
+            met += [gram_logs[known[0]]] if known else []
+        return {x: language_id.GRAM_WEIGHT * sum(m[x] for m in met) / len(met) if met else 0.0 for x in vocab}
+
+    for r in got:
+        z = {x: sum(of(w)[x] for w in re.findall(r"[^\W\d_]+", asked[r["doc_id"]].lower())) for x in sorted(vocab)}
+        best = max(z, key=lambda x: z[x])
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(np.exp(v - z[best]) for v in z.values()))
+
+
 def test_backoff_prefers_longer_grams():
     m = language_id.Model(["a", "b"], {"known": {"a": 9}}, {"ab": {"a": 50}, "a": {"b": 50}, "b": {"b": 50}, "_": {"a": 1, "b": 1}})
     assert m.unseen("ab")[0] > m.unseen("a")[0] and m.scorer()("known")[0] == "a"
 
 
+def rule_by_rule(symbols):
+    """What the grammar writes, by looking around each word instead of running machines."""
+    t = toxicity
+    out = []
+    for i, x in enumerate(symbols):
+        before = lambda kind, n: kind in symbols[max(0, i - n) : i]  # noqa: B023, E731
+        if x == t.I:
+            x = t.AIMED if t.T in symbols[i + 1 : i + 4] or before(t.T, 3) else t.STRONG if before(t.E, 2) else x
+        if x == t.H and before(t.A, 3):
+            x = t.THREAT
+        if x in (t.I, t.STRONG, t.AIMED, t.THREAT) and (before(t.N, 3) or before(t.R, len(symbols))):
+            x = t.WEAK
+        out.append(x)
+    return out
+
+
+@given(st.lists(st.integers(0, 7), max_size=25))
+@settings(max_examples=400, deadline=None)
+def test_grammar_against_brute_force(symbols):
+    assert toxicity.Grammar({}).rewrite(symbols) == rule_by_rule(symbols)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Features of whole texts, fitted scores included, worked out clause by clause in plain Python."""
+    rng = random.Random(8)
+    plain, bad = ["tree", "river", "you", "not", "said", "so", "kill", "will", "stone", "cloud"], ["vermin", "oaf", "oafish", "cretin"]
+    texts = [" ".join(rng.choice(plain) for _ in range(rng.randrange(3, 40))) for _ in range(160)]
+    toxic = [i % 4 == 0 for i in range(160)]
+    texts = [". ".join([t, "you " + rng.choice(bad), rng.choice(bad)]) if x else t for t, x in zip(texts, toxic, strict=True)]
+    df, lab = docs(spark, texts), spark.createDataFrame([(i, int(x)) for i, x in enumerate(toxic)], "doc_id long, toxic int")
+    g, w = toxicity.fit(df, lab)
+    held = {n: (sum(x and n in re.findall(r"[a-z]+", t) for t, x in zip(texts, toxic, strict=True)), sum(not x and n in t for t, x in zip(texts, toxic, strict=True))) for n in bad}
+    assert all(("=" + n in g.lexicon) == (p >= 12) and q == 0 for n, (p, q) in held.items()) and "=idiot" in g.lexicon and "=tree" not in g.lexicon
+    assert g.lexicon["=vermin"] == pytest.approx(min(6.0, np.log((held["vermin"][0] + 0.5) / 41) - np.log(0.5 / 121)))
+
+    def weight(x):
+        return max([g.lexicon.get("=" + x, 0.0), *[g.lexicon.get(x[:k], 0.0) for k in range(4, 8) if k <= len(x)]])
+
+    def features(text):
+        fixed = {x: c for c, xs in ((toxicity.T, "you"), (toxicity.N, "not"), (toxicity.R, "said"), (toxicity.E, "so"), (toxicity.H, "kill"), (toxicity.A, "will")) for x in xs.split()}
+        clauses, kinds = [], {x for x in re.findall("[a-z]+", text) if weight(x)}
+        for clause in re.split(r"[.!?;:\n]+", text):
+            found = re.findall("[a-z]+", clause)
+            wrote = rule_by_rule([toxicity.I if weight(x) else fixed.get(x, 0) for x in found])
+            clauses.append(sum(toxicity.WEIGHT.get(y, 0.0) * (weight(x) or 1.0) for x, y in zip(found, wrote, strict=True)))
+        matched = [c for c in clauses if c > 0]
+        if not matched and not kinds:
+            return [0.0] * 5
+        return [min(max(matched, default=0), 20) / 5, np.log1p(sum(matched)), np.log1p(len(matched)), min(len(kinds), 4) / 2, np.log1p(100 * len(kinds) / max(5, len(set(re.findall("[a-z]+", text))))) / 2]
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, (g, w)).collect()}
+    for i, t in enumerate(texts):
+        z = w[0] + np.dot(w[1:], features(t))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9), t
+
+
 def test_toxicity(spark):
     d, lab = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(clashing(d), lab).join(lab, "doc_id").filter("held_out")
@@ -260,6 +471,9 @@ def test_grammar():
     f = g.scorer()
     strongest = lambda t: f(t)[0]
     assert strongest("you idiot") > strongest("the idiot ball") > strongest("not an idiot") and strongest("he said the idiot ball") < strongest("the idiot ball")
+    assert strongest("idiot you are") == strongest("you idiot") > strongest("such idiot rules") > strongest("the idiot rules")
+    T, I, W, A, E, S, N = toxicity.T, toxicity.I, toxicity.WEAK, toxicity.AIMED, toxicity.E, toxicity.STRONG, toxicity.N
+    assert g.rewrite([I, 0, T]) == [A, 0, T] and g.rewrite([I, 0, 0, 0, T])[0] == I and g.rewrite([E, I]) == [E, S] and g.rewrite([N, 0, I, T])[2] == W and g.rewrite([T, N, 0, 0, 0, I])[5] == I
     assert strongest("we will kill it") > 0 and f(None) == f("") == f("a fine day") == [0.0] * 5
     assert strongest("scumbags") > 0 and g.insult("idiots") == 0
 

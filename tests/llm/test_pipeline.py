@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import sentencepiece
 from conftest import DATA
-from fixtures import DOC, brute_components
+from fixtures import DOC, brute_components, clashing
 
 import corpus_pipeline
 
@@ -67,8 +67,8 @@ def test_stages_on_odd_rows(spark, tmp_path):
     texts += texts[:20] + [t + " tail" for t in texts[20:40]] + [None, "", " ", "123 !!", "\n", "x" * 400_000]
     rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), None) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOC)
+    docs = df = clashing(df)
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    docs = df
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == df.columns
