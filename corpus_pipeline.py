@@ -10,18 +10,21 @@ Defined cases are those of the operators; an empty table passes through every st
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessitura.llm import exact_dedup, jaccard_join, language_id, mixing, piece_tokens
-from tessitura.llm.common import settle, table
+from tessitura.llm.common import fresh, settle, table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without an identifiable language (null, empty or letterless texts); all others stay as they are."""
     model = language_id.fit(docs)
-    return language_id.identify(docs, model, docs.columns).filter(f"lang_pred <> '{language_id.UNKNOWN}'").select(*docs.columns)
+    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    return language_id.identify(docs, model, docs.columns, pred=pred, score=score).filter(F.col(pred) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the row with the smallest doc_id stays; all columns."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -36,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, and the ids of each text with their number and whether they decode to it."""
     return piece_tokens.encode_texts(docs, ["doc_id", "lang", "source"])
 
 
