@@ -67,15 +67,13 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_
     for r in known:
         r["token"] = min(r["tokens"], key=lambda t: (freq.get(t, 0), t))
     if len(known) <= inline_rules:
-        by: dict[str, list[dict]] = {}
-        for r in known:
-            by.setdefault(r["token"], []).append(r)
-        entry = lambda r: F.struct(F.lit(len(r["rule"])).alias("len"), F.lit(r["host_len"]).alias("host_len"),
-                                   F.lit(r["rule"]).alias("rule"), F.lit(r["verdict"]).alias("verdict"))
-        # each branch runs its token's regular expressions only when the url holds that token
-        fits = [F.when(F.array_contains("tokens", t), F.array(*[F.when(F.concat("host", "path").rlike(r["pattern"]), entry(r)) for r in rs]))
-                .otherwise(F.array().cast("array<struct<len:int,host_len:int,rule:string,verdict:string>>")) for t, rs in by.items()]
-        return finish(urls.withColumn("best", F.array_max(F.concat(*fits))))
+        entry = lambda r: F.struct(F.lit(len(r["rule"])).alias("len"), F.lit(r["host_len"]).alias("host_len"), F.lit(r["rule"]).alias("rule"),
+                                   F.lit(r["verdict"]).alias("verdict"), F.lit(r["pattern"]).alias("pattern"))
+        filed = sorted({r["token"] for r in known})
+        index = F.create_map(*[x for t in filed for x in (F.lit(t), F.array(*[entry(r) for r in known if r["token"] == t]))])
+        fetched = F.flatten(F.transform(F.filter("tokens", lambda t: F.map_contains_key(index, t)), lambda t: F.element_at(index, t)))
+        fits = F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))
+        return finish(urls.withColumn("best", F.array_max(F.transform(fits, lambda r: F.struct(r["len"].alias("len"), r["host_len"].alias("host_len"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))))
     spark = df.sparkSession
     index = spark.createDataFrame([(r["token"], r["pattern"], len(r["rule"]), r["host_len"], r["rule"], r["verdict"]) for r in known],
                                   "token string, pattern string, len int, host_len int, rule string, verdict string")
