@@ -125,8 +125,8 @@ def _linked(parsed: DataFrame) -> DataFrame | None:
     if not sizes:
         return None
     split = F.split("words", " ")
-    runs = [_runs(split, k) for k in sizes]
-    held = F.array_distinct(F.concat(*runs))
+    # the split words are bound by an outer lambda: inside the inner one they would be split again for every run
+    held = F.transform(F.array(split), lambda w: F.array_distinct(F.concat(*[_runs(w, k) for k in sizes])))[0]
     source = said.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("source"), (F.col("level") + 1).alias("level"), F.col("words").alias("text"), F.explode(held).alias("r"))
     source = source.select("conv_id", "source", "level", "text", "r.*")
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))

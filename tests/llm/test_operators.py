@@ -232,6 +232,19 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_of_many_repeats_in_small_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "FILE_BYTES", 9000)
+    monkeypatch.setattr(common.skew_join, "__defaults__", ("left", 1000, 10))
+    html = ["hot" if i % 3 else f"page {i % 20}" * 50 for i in range(120)]
+    df = clashing(spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")).repartition(2)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive_pages(df).collect()}
+    last = {h: i for i, h in enumerate(html)}
+    assert got == {i: ("response", None, len(h)) if last[h] == i else ("revisit", last[h], len(h)) for i, h in enumerate(html)}
+    warc.write_archives(df, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 20
+
+
 def test_warc_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (2, None, None)], "page_id long, url string, html string")
     got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.archive_pages(df).collect())
