@@ -62,6 +62,17 @@ def first_per_content(df: DataFrame, content: str, order: str) -> DataFrame:
     return out.withColumns({"kept": F.col(order) == F.col("_first"), "duplicate_of": F.when(F.col(order) != F.col("_first"), F.col("_first"))}).drop("_first")
 
 
+def duplicate_report(files: DataFrame, known: DataFrame, now: DataFrame, key: str, content: str) -> DataFrame:
+    """SNK-07 as a report, for nothing is deleted here: files whose content is among the known ones or repeats an earlier
+    file, why, what they repeat, and whether their content is still what it was (now: key and content), without which
+    nobody may delete them. Files are taken in order of their key; the first of unknown content is no duplicate."""
+    used = files.join(known.select(content).distinct(), content, "left_semi").select(key, content, F.lit("already_used_or_original_exact_duplicate").alias("reason"), F.lit(None).cast(files.schema[key].dataType).alias("duplicate_of"))
+    fresh = first_per_content(files.join(known.select(content).distinct(), content, "left_anti").select(key, content), content, key)
+    internal = fresh.filter(~F.col("kept")).select(key, content, F.lit("internal_exact_duplicate").alias("reason"), "duplicate_of")
+    met = used.unionByName(internal).join(now.select(key, F.col(content).alias("_now")), key, "left")
+    return met.withColumn("still_equal", F.col(content).eqNullSafe(F.col("_now"))).drop("_now")
+
+
 def by_priority(key: str, *sources: DataFrame) -> DataFrame:
     """JN-07: union of sources where an earlier source's key hides later ones."""
     seen, out = sources[0].select(key), sources[0].withColumn("priority", F.lit(1).cast("long"))

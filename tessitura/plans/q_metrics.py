@@ -196,6 +196,17 @@ def first_wins(spark, d):
     return first_per_content(docs, "sha", "doc_id").select("doc_id", "kept", "duplicate_of")
 
 
+@query("snk_07_duplicate_report", """WITH h AS (SELECT doc_id, sha256(text) AS sha, CASE WHEN doc_id % 11 > 0 THEN sha256(text) ELSE 'changed' END AS now FROM documents WHERE text IS NOT NULL), k AS (SELECT sha FROM h WHERE doc_id % 17 = 0),
+ f AS (SELECT * FROM h WHERE doc_id % 17 <> 0), w AS (SELECT *, sha IN (SELECT sha FROM k) AS used, min(doc_id) OVER (PARTITION BY sha) AS first FROM f)
+ SELECT doc_id, sha, CASE WHEN used THEN 'already_used_or_original_exact_duplicate' ELSE 'internal_exact_duplicate' END AS reason, CASE WHEN NOT used THEN first END AS duplicate_of, now = sha AS still_equal FROM w WHERE used OR doc_id <> first""")
+def duplicate_report(spark, d):
+    from ..operators.matching import duplicate_report as report
+
+    h = read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha"))
+    now = h.withColumn("sha", F.when(F.col("doc_id") % 11 > 0, F.col("sha")).otherwise("changed"))
+    return report(h.filter("doc_id % 17 <> 0"), h.filter("doc_id % 17 = 0"), now, "doc_id", "sha")
+
+
 @query("agg_30_latest_per_key", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest_per_key(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
