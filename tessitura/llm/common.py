@@ -58,7 +58,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = 1000, least: int = 100_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = 1000, least: int = 1000) -> DataFrame:
     """left joined with right, which has one row for each key. Keys that hold more than ``least`` rows of left, and more
     than its ``most``-th part, meet right's rows by broadcast (``most`` rows at the utmost), so no task gathers such a
     key; rows without a key don't move at all. left is read up to four times: settle it first."""
