@@ -114,9 +114,10 @@ def search_cell(q_rows, q_ids, q, bound, c_ids, c, turn, k: int) -> Iterator[tup
             yield np.full(len(ids), q_rows[i]), np.full(len(ids), q_ids[i]), ids, scores
 
 
-def _sizes(n: int, block: int) -> int:
-    """Rows of a cell's side, such that there are at most MOST_CELLS of them."""
-    return max(block, -(-n // MOST_CELLS))
+def _sizes(n: int, block: int, tasks: int = 1) -> int:
+    """Rows of a cell's side: a task's fair share where that is less than ``block`` (but not below a quarter of it), and
+    such that there are at most MOST_CELLS of them."""
+    return max(min(block, max(block // 4, n // tasks)), -(-n // MOST_CELLS), 1)
 
 
 def deal_cells(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int = HEAD) -> tuple[DataFrame, DataFrame, object]:
@@ -132,7 +133,8 @@ def deal_cells(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int =
     heads = {int(d): (g["vec_id"].to_numpy(np.int64), np.array(g["v"].tolist(), dtype=np.float64)) for d, g in longest.groupby("dim")} if len(longest) else {}
     shared = spark.sparkContext.broadcast({d: (ids, m, rotation(m)) for d, (ids, m) in heads.items()})  # head vectors at most
     n, m = ranked.count(), queries.count()
-    ranked = ranked.withColumn("ci", (F.col("pos") / _sizes(n, CANDIDATE_BLOCK)).cast("int"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranked = ranked.withColumn("ci", (F.col("pos") / _sizes(n, CANDIDATE_BLOCK, tasks)).cast("int"))
     # the longest vector of each cell, longest cell first: MOST_CELLS numbers at most
     norms = ranked.groupBy("ci").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).alias("norm")).toPandas().sort_values("ci")["norm"].to_numpy()
     reach = spark.sparkContext.broadcast(norms)
