@@ -11,11 +11,13 @@ from .exact_dedup import find_copies
 from .jaccard_join import near_components
 from .language_id import predict_languages
 from .mixing import mix
+from .periodic_runs import run_digests
 from .piece_tokens import encode_texts
 from .top_products import contract_search
 from .toxicity import toxicity
 from .url_filter import judge_urls
 from .warc import archive_pages
+from .winnow import decontamination
 
 #: The rules of op7, (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -135,6 +137,30 @@ def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op2_quote_links": op2_quote_links, "op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+v AS (SELECT item_id, unnest(CASE WHEN len(w) < 10 THEN [w] ELSE list_transform(range(1, len(w) - 8), lambda k: w[k : k + 9]) END) AS x FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, len(x) AS m, array_to_string(x, ' ') AS t FROM v),
+lens AS (SELECT DISTINCT m FROM win),
+dw AS (SELECT doc_id, m, s, array_to_string(w[s : s + m - 1], ' ') AS t FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM d, lens)),
+h AS (SELECT doc_id, item_id, dw.m, s FROM dw JOIN win USING (t)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, item_id::varchar AS x FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(hit.n, 0)::bigint AS n_hit, coalesce(it.n, 0)::bigint AS n_items, sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+QUERIES = {"op12_periodic_runs": op12_periodic_runs, "op13_decontamination": op13_decontamination, "op2_quote_links": op2_quote_links, "op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
            "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op3_exact_topk": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL, "op13_decontamination": OP13_SQL}
