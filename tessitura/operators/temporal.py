@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,26 @@ def chains(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return c.groupBy(key).agg(F.max("_n").alias("longest"), F.round((F.sum("_n") - F.count("*")) / F.greatest(F.lit(1), F.sum("_n") - 1), 6).alias("ordered_fraction"))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x evaluated once a row: a column named inside a lambda is an expression that every element repeats."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _deltas(xs: Column) -> Column:
     return F.zip_with(F.slice(xs, 2, F.greatest(F.lit(0), F.size(xs) - 1)), F.slice(xs, 1, F.greatest(F.lit(0), F.size(xs) - 1)), lambda b, a: b - a)
 
 
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+
 def _mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+    return bound(xs, lambda xs: _sum(xs) / F.size(xs))
 
 
 def std0(xs: Column) -> Column:
-    m = _mean(xs)
-    return F.sqrt(F.aggregate(F.transform(xs, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.size(xs))
+    squares = lambda xs, m: _sum(F.transform(xs, lambda x: (x - m) * (x - m)))
+    return bound(xs, lambda xs: bound(_sum(xs) / F.size(xs), lambda m: F.sqrt(squares(xs, m) / F.size(xs))))
 
 
 def longest_run(xs: Column) -> Column:
@@ -39,21 +50,28 @@ def longest_run(xs: Column) -> Column:
     return F.aggregate(xs, zero, step)["best"]
 
 
-def features(segments: Column) -> dict[str, Column]:
-    """Temporal part of the pair vector from array<struct<q, r, shift>>, sorted here by q. Without segments the longest
-    chain still counts one window, so coverage is 1 and all else 0."""
-    seg = F.array_sort(segments)
-    q, r, shift = seg["q"], seg["r"], seg["shift"]  # a field of an array of structs is the array of that field
-    n = F.size(seg)
-    dq, dr = _deltas(q), _deltas(r)
-    ordered = F.size(F.filter(dr, lambda x: x >= 0)) / F.greatest(F.lit(1), n - 1)
-    mode = F.array_max(F.transform(F.array_distinct(shift), lambda v: F.size(F.filter(shift, lambda x: x == v))))
-    ratios = F.transform(_advancing(dq, dr), lambda z: F.log(z["r"] / z["q"]))
-    tempo = F.when(F.size(ratios) > 1, F.exp(-std0(ratios))).when(F.size(ratios) == 1, 1.0).otherwise(0.0)
-    run = F.greatest(F.lit(1), longest_run(r))
-    coverage = F.least(F.lit(1.0), 10.0 * run / F.greatest(F.lit(10.0), F.coalesce(F.array_max(q), F.lit(0.0)) + 10))
-    return {"ordered": F.coalesce(ordered, F.lit(0.0)), "shift_consistency": F.coalesce(mode, F.lit(0)) / F.greatest(F.lit(1), n), "tempo_consistency": tempo,
-            "longest": run.cast("long"), "coverage": coverage, "segments": n / 3.0}
+def _mode_count(xs: Column) -> Column:
+    """How often the commonest element occurs; null for an empty array."""
+    return F.array_max(F.transform(F.array_distinct(xs), lambda v: F.size(F.filter(xs, lambda x: x == v))))
+
+
+def features(segments: Column) -> Column:
+    """Temporal part of the pair vector from array<struct<q, r, shift>>, sorted here by q, as one struct. Without segments
+    the longest chain still counts one window, so coverage is 1 and all else 0."""
+    # a field of an array of structs is the array of that field
+    parts = lambda seg: bound(F.struct(seg["q"].alias("q"), seg["r"].alias("r"), seg["shift"].alias("shift"), _deltas(seg["q"]).alias("dq"), _deltas(seg["r"]).alias("dr")), _features)
+    return bound(F.array_sort(segments), parts)
+
+
+def _features(s: Column) -> Column:
+    n = F.size(s["r"])
+    ordered = F.size(F.filter(s["dr"], lambda x: x >= 0)) / F.greatest(F.lit(1), n - 1)
+    logs = F.transform(_advancing(s["dq"], s["dr"]), lambda z: F.log(z["r"] / z["q"]))
+    tempo = bound(logs, lambda logs: F.when(F.size(logs) > 1, F.exp(-std0(logs))).when(F.size(logs) == 1, 1.0).otherwise(0.0))
+    reach = F.greatest(F.lit(10.0), F.coalesce(F.array_max(s["q"]), F.lit(0.0)) + 10)
+    told = lambda run: F.struct(F.coalesce(ordered, F.lit(0.0)).alias("ordered"), (F.coalesce(_mode_count(s["shift"]), F.lit(0)) / F.greatest(F.lit(1), n)).alias("shift_consistency"), tempo.alias("tempo_consistency"),
+                                run.cast("long").alias("longest"), F.least(F.lit(1.0), 10.0 * run / reach).alias("coverage"), (n / 3.0).alias("segments"))
+    return bound(F.greatest(F.lit(1), longest_run(s["r"])), told)
 
 
 def _advancing(dq: Column, dr: Column) -> Column:
@@ -62,38 +80,43 @@ def _advancing(dq: Column, dr: Column) -> Column:
 
 
 def _median(xs: Column) -> Column:
-    z, n = F.array_sort(xs), F.size(xs)
-    return (F.get(z, F.floor((n - 1) / 2).cast("int")) + F.get(z, F.floor(n / 2).cast("int"))) / 2
+    middle = lambda z: (F.get(z, F.floor((F.size(z) - 1) / 2).cast("int")) + F.get(z, F.floor(F.size(z) / 2).cast("int"))) / 2
+    return bound(F.array_sort(xs), middle)
 
 
 def evidence_record(segments: Column, query_seconds: Column, window: float = 10.0) -> Column:
     """SCL-17: what a candidate's matched segments, array<struct<q, r, shift, pitch, rhythm, chroma>>, say together: their
     number, order, pitch shift, tempo, longest ordered chain, coverage of both sides and mean scores; null without segments."""
-    seg = F.array_sort(segments)
-    f = features(F.transform(seg, lambda x: F.struct(x["q"].alias("q"), x["r"].alias("r"), x["shift"].alias("shift"))))
-    n, dr = F.size(seg), _deltas(seg["r"])
-    ratios = F.transform(_advancing(_deltas(seg["q"]), dr), lambda z: z["q"] / z["r"])
-    matched = F.least(window * n, query_seconds)
-    mean = lambda k: _mean(seg[k])
-    record = F.struct(n.cast("long").alias("matched"), f["ordered"].alias("ordered_fraction"), F.forall(dr, lambda x: x >= 0).alias("ordered"), f["shift_consistency"].alias("shift_consistency"),
-                      F.when(F.size(ratios) > 0, _median(ratios)).otherwise(1.0).alias("tempo_median"), f["tempo_consistency"].alias("tempo_consistency"),
-                      F.least(window * f["longest"], query_seconds).alias("chain_s"), (matched / F.greatest(query_seconds, F.lit(1e-8))).alias("query_coverage"),
-                      F.least(F.lit(1.0), matched / F.greatest(F.get(seg["r"], n - 1) + window, F.lit(1e-8))).alias("reference_coverage"),
-                      mean("pitch").alias("pitch"), mean("rhythm").alias("rhythm"), mean("chroma").alias("chroma"))
-    return F.when(n > 0, record)
+
+    def record(seg: Column, f: Column, dr: Column) -> Column:
+        n = F.size(seg)
+        ratios = F.transform(_advancing(_deltas(seg["q"]), dr), lambda z: z["q"] / z["r"])
+        matched = F.least(window * n, query_seconds)
+        mean = lambda k: (_sum(seg[k]) / n).alias(k)
+        return F.struct(n.cast("long").alias("matched"), f["ordered"].alias("ordered_fraction"), F.forall(dr, lambda x: x >= 0).alias("ordered"), f["shift_consistency"].alias("shift_consistency"),
+                        bound(ratios, lambda r: F.when(F.size(r) > 0, _median(r)).otherwise(1.0)).alias("tempo_median"), f["tempo_consistency"].alias("tempo_consistency"),
+                        F.least(window * f["longest"], query_seconds).alias("chain_s"), (matched / F.greatest(query_seconds, F.lit(1e-8))).alias("query_coverage"),
+                        F.least(F.lit(1.0), matched / F.greatest(F.get(seg["r"], n - 1) + window, F.lit(1e-8))).alias("reference_coverage"), mean("pitch"), mean("rhythm"), mean("chroma"))
+
+    temporal = lambda seg: F.transform(seg, lambda x: F.struct(x["q"].alias("q"), x["r"].alias("r"), x["shift"].alias("shift")))
+    whole = lambda seg: bound(features(temporal(seg)), lambda f: bound(_deltas(seg["r"]), lambda dr: record(seg, f, dr)))
+    return bound(F.array_sort(segments), lambda seg: F.when(F.size(seg) > 0, whole(seg)))
 
 
 def pair_vector(score: Column, pitch: Column, rhythm: Column, chroma: Column, segments: Column) -> Column:
     """SCL-18: the 12 features of a candidate."""
-    f = features(segments)
-    return F.array(score, pitch, rhythm, chroma, pitch * rhythm, rhythm * chroma, F.least(pitch, rhythm, chroma), f["ordered"], f["shift_consistency"], f["tempo_consistency"], f["coverage"], f["segments"])
+    given = [score, pitch, rhythm, chroma, pitch * rhythm, rhythm * chroma, F.least(pitch, rhythm, chroma)]
+    return bound(features(segments), lambda f: F.array(*given, *[f[k] for k in ("ordered", "shift_consistency", "tempo_consistency", "coverage", "segments")]))
 
 
 def query_vector(vectors: Column) -> Column:
     """WIN-11: three pair vectors, by their first element descending, as 96 features; null unless there are three."""
-    z = F.sort_array(vectors, asc=False)
-    at = lambda i: F.element_at(z, i)
-    idx = F.sequence(F.lit(1), F.size(at(1)))
-    over = lambda f: F.transform(idx, lambda j: f(F.transform(z, lambda v: F.element_at(v, j))))
-    gap = lambda a, b: F.zip_with(at(a), at(b), lambda x, y: x - y)
-    return F.when(F.size(vectors) == 3, F.concat(F.flatten(z), over(F.array_max), over(_mean), over(std0), gap(1, 2), gap(2, 3)))
+
+    def whole(z: Column) -> Column:
+        at = lambda i: F.element_at(z, i)
+        idx = F.sequence(F.lit(1), F.size(at(1)))
+        over = lambda f: F.transform(idx, lambda j: bound(F.transform(z, lambda v: F.element_at(v, j)), f))
+        gap = lambda a, b: F.zip_with(at(a), at(b), lambda x, y: x - y)
+        return F.concat(F.flatten(z), over(F.array_max), over(_mean), over(std0), gap(1, 2), gap(2, 3))
+
+    return bound(F.sort_array(vectors, asc=False), lambda z: F.when(F.size(z) == 3, whole(z)))
