@@ -13,6 +13,7 @@ from .language_id import predict_languages
 from .mixing import mix
 from .periodic_runs import run_digests
 from .piece_tokens import encode_texts
+from .spelling import spelling_variants
 from .top_products import contract_search
 from .toxicity import toxicity
 from .url_filter import judge_urls
@@ -137,6 +138,10 @@ def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
@@ -161,6 +166,6 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
-QUERIES = {"op12_periodic_runs": op12_periodic_runs, "op13_decontamination": op13_decontamination, "op2_quote_links": op2_quote_links, "op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
+QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op12_periodic_runs": op12_periodic_runs, "op13_decontamination": op13_decontamination, "op2_quote_links": op2_quote_links, "op1_language_id": op1_language_id, "op3_exact_topk": op3_exact_topk, "op4_toxicity": op4_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_warc": op6_warc, "op7_url_filter": op7_url_filter,
            "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op3_exact_topk": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": _op8_sql(), "op10_exact_dedup": OP10_SQL, "op13_decontamination": OP13_SQL}
