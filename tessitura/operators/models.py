@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
+from ..scratch import settle
+from .trees import balanced, boost, fit_extra_trees, score_boosted, score_extra_trees
 from .vectors import dot, normalise
 
 #: Training matrices up to this number of rows are fitted on the driver.
@@ -48,26 +52,46 @@ def score_pairs(rows: DataFrame, model: dict, features: str = "v") -> DataFrame:
     return rows.withColumn("probability", linear_score(F.col(features), model["mean"], model["std"], model["weights"], model["bias"]))
 
 
-def classifiers(trees: int = 500, depth: int = 5, seed: int = 42, rounds: int = 250) -> dict:
-    """UDF-03/04. There is no extra-trees class in Spark ML: a forest without bootstrap on random feature thirds stands for it."""
-    common = {"featuresCol": "x", "labelCol": "y", "seed": seed}
-    return {"logistic": LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01), "forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, **common),
-            "extra": RandomForestClassifier(numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="onethird", **common), "boosted": GBTClassifier(maxIter=rounds, maxDepth=min(depth, 4), **common)}
-
+# The classifiers' parameters. Inverse ridge strength of the logistic model; number, depth, smallest leaf and
+# share of features of the forests' trees; rounds, rate, leaves, smallest leaf and ridge of boosting.
+PAIR_LEVEL = {"c": 0.5, "trees": 500, "forest_depth": None, "extra_depth": None, "leaf": 3, "share": 0.75, "rounds": 250, "rate": 0.04, "leaves": 12, "boosted_leaf": 10, "l2": 1.0}
+QUERY_LEVEL = {"c": 0.08, "trees": 800, "forest_depth": 5, "extra_depth": 6, "leaf": 3, "share": 0.45, "rounds": 250, "rate": 0.035, "leaves": 8, "boosted_leaf": 8, "l2": 2.0}
+#: Spark's own forests end at this depth.
+DEEPEST = 30
 
-def as_vectors(df: DataFrame, features: str = "v") -> DataFrame:
-    return df.withColumn("x", array_to_vector(features))
 
+def fit_all(train: DataFrame, test: DataFrame, how: dict, features: str = "v", seed: int = 42) -> DataFrame:
+    """UDF-03/04: probability of every test row under each of four classifiers (model, and test's columns), fitted on the
+    train rows with both classes weighing the same.
 
-def fit_all(train: DataFrame, test: DataFrame, features: str = "v", **how) -> DataFrame:
-    """Probability of every test row under each classifier: model, and test's columns."""
-    train, test = as_vectors(train, features).cache(), as_vectors(test, features)
-    out = None
-    for name, c in classifiers(**how).items():
-        scored = c.fit(train).transform(test).withColumn("probability", vector_to_array("probability")[1]).drop("x", "rawPrediction", "prediction").withColumn("model", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    train.unpersist()
-    return out
+    logistic: Spark ML's on standardised features, its penalty that of C / n. forest: Spark ML's, with class weights.
+    extra: extremely randomised trees, and boosted: histogram boosting, both of ``trees``.
+    """
+    train = settle(balanced(train.select(F.col(features).alias("v"), F.col("y").cast("double").alias("y"))), "train")
+    known = train.withColumn("x", array_to_vector("v"))
+    n = max(1, train.count())
+    logistic = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (how["c"] * n), maxIter=500, tol=1e-9)
+    forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", seed=seed, numTrees=how["trees"], maxDepth=how["forest_depth"] or DEEPEST, minInstancesPerNode=how["leaf"], featureSubsetStrategy=str(how["share"]), maxBins=64)
+    out = []
+    for name, c in (("logistic", logistic), ("forest", forest)):
+        scored = c.fit(known).transform(test.withColumn("x", array_to_vector(features)))
+        out.append((name, scored.withColumn("probability", vector_to_array("probability")[1]).select(*test.columns, "probability")))
+    extra = fit_extra_trees(train, how["trees"], how["leaf"], how["share"], how["extra_depth"], seed)
+    out.append(("extra", score_extra_trees(test, extra, features).select(*test.columns, "probability")))
+    out.append(("boosted", score_boosted(test, fit_boosted(train, how), features).select(*test.columns, "probability")))
+    return reduce(DataFrame.unionByName, [df.withColumn("model", F.lit(name)) for name, df in out])
+
+
+def fit_boosted(train: DataFrame, how: dict) -> dict:
+    """Histogram boosting of (v, y, w), on a hash-drawn sample of FIT_ROWS rows where there are more; rows are ordered, so
+    that the sums don't depend on partitions."""
+    n = train.count()
+    if n > FIT_ROWS:
+        train = train.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(FIT_ROWS / n * (1 << 30))))
+    t = train.filter("v IS NOT NULL").toPandas()
+    x = np.stack(t["v"].to_numpy())
+    order = np.lexsort(np.c_[t["y"].to_numpy(), x].T)
+    return boost(x[order], (t["y"].to_numpy()[order] > 0).astype(float), t["w"].to_numpy()[order], how["rounds"], how["rate"], how["leaves"], how["boosted_leaf"], how["l2"])
 
 
 def leave_one_family_out(rows: DataFrame, family: str, features: str = "v", steps: int = 6000) -> DataFrame:

@@ -153,8 +153,8 @@ def pair_verifier(spark, d):
 
 @query("udf_03_pair_classifiers")
 def pair_classifiers(spark, d):
-    rows = labelled(spark, d)
-    out = models.fit_all(rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 1"), trees=500)
+    rows = settle(labelled(spark, d), "pairs")
+    out = models.fit_all(rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 1"), models.PAIR_LEVEL)
     return out.select("model", "user_id", "y", F.round("probability", 4).alias("probability"))
 
 
@@ -164,7 +164,8 @@ def query_classifiers(spark, d):
 
     g = labelled(spark, d).groupBy(F.floor(F.col("user_id") / 3).alias("query_id")).agg(F.collect_list("v").alias("vs"), F.max("y").alias("y"))
     rows = g.withColumn("v", temporal.query_vector(F.col("vs"))).filter("v IS NOT NULL").drop("vs")
-    out = models.fit_all(rows.filter("query_id % 5 < 3"), rows.filter("query_id % 5 >= 3"), trees=800, depth=5)
+    rows = settle(rows, "queries")
+    out = models.fit_all(rows.filter("query_id % 5 < 3"), rows.filter("query_id % 5 >= 3"), models.QUERY_LEVEL)
     return out.select("model", "query_id", "y", F.round("probability", 4).alias("probability"))
 
 

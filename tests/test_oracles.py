@@ -8,8 +8,9 @@ from oracle import connect, rows_of, rows_of_sql
 
 from tessitura.plans import registry
 
-SLOW = ("udf_03", "udf_04", "udf_06")
 FOLDER = f"{DATA}/sf0.001"
+#: Run in test_trees.py, on more rows.
+ELSEWHERE = ("udf_03_pair_classifiers", "udf_04_query_classifiers")
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows_of(df) == want
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n not in registry.ORACLES and not n.startswith(SLOW)))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n not in registry.ORACLES and n not in ELSEWHERE))
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, FOLDER)
     assert df.columns and df.count() >= 1

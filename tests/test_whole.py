@@ -98,21 +98,6 @@ def test_verifiers_take_all_steps(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
 
 
-@pytest.mark.parametrize(("name", "trees"), [("udf_03_pair_classifiers", 500), ("udf_04_query_classifiers", 800)])
-def test_classifiers_have_all_trees(spark, monkeypatch, name, trees):
-    made = []
-
-    def stop(**how):
-        made.append(q_signal.models.as_made(**how))
-        raise InterruptedError
-
-    monkeypatch.setattr(q_signal.models, "as_made", q_signal.models.classifiers, raising=False)
-    monkeypatch.setattr(q_signal.models, "classifiers", stop)
-    with pytest.raises(InterruptedError):
-        registry.QUERIES[name](spark, FOLDER)
-    assert (made[0]["forest"].getNumTrees(), made[0]["extra"].getNumTrees(), made[0]["boosted"].getMaxIter()) == (trees, trees, 250)
-
-
 def test_features_of_every_event(spark):
     by = {}
     for r in table("events"):
