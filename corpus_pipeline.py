@@ -10,17 +10,16 @@ Defined cases are those of the operators; an empty table passes through every st
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessitura.llm import exact_dedup, jaccard_join, language_id, mixing, piece_tokens
-from tessitura.llm.common import fresh, settle, table
+from tessitura.llm.common import settle, table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without an identifiable language (null, empty or letterless texts); all others stay as they are."""
-    model = language_id.fit(docs)
-    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
-    return language_id.identify(docs, model, docs.columns, pred=pred, score=score).filter(F.col(pred) != language_id.UNKNOWN).select(*docs.columns)
+    """Rejects documents whose language can't be told: null, empty or letterless texts, and those whose prediction scores
+    below ``language_id.LEAST_SCORE`` (words of several languages or of none). A document without a language gets the
+    predicted one, which the tokenised rows carry; all else stays as it is."""
+    return language_id.keep_languages(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays."""
+    """Of each component of near duplicates the first row stays: the smallest doc_id, of equal ones the smallest class."""
     return jaccard_join.drop_near_copies(docs)
 
 

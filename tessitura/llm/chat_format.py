@@ -10,7 +10,7 @@ replies to, answers by turn, an answer's own answers before the next one.
 
 Passages are looked up by the hash of their first words (a power of two, ANCHOR at most) and then compared as text.
 
-Scale: texts are parsed where they are read; passages move with their hashes. What one conversation brings to one task are
+Scale: texts are parsed once, where they are read, and written as passages; these move with their hashes. What one conversation brings to one task are
 the messages that quote another than the one before them (their numbers), and what one passage of one conversation brings
 are the turns that hold or quote it; both are sorted streams or pairs of numbers, never texts.
 
@@ -177,11 +177,11 @@ def _placed(at: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, max_level, n_quoted, content, position, depth; conversations in reply order."""
     m = messages.select("conv_id", "turn", "role", "text").withColumn("_m", F.monotonically_increasing_id())
-    m = settle(m, "messages")  # numbered once: a second evaluation may deal rows otherwise
     kind = m.drop("text").schema.simpleString()[7:-1] + ",max_level:bigint,n_quoted:bigint,content:string,passages:array<struct<level:bigint,words:string>>"
-    parsed = m.mapInArrow(_parse_batches, f"struct<{kind}>")
+    # numbered and parsed once: a second evaluation may deal rows otherwise, and all later steps read columns
+    parsed = settle(m.mapInArrow(_parse_batches, f"struct<{kind}>"), "parsed")
     quoted = _linked(parsed)
-    at = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("_m", "conv_id", F.col("turn").cast("long").alias("turn"))
+    at = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("_m", "conv_id", F.col("turn").cast("long").alias("turn"))
     at = at.withColumn("quoted", F.lit(None).cast("long")) if quoted is None else at.join(quoted, "_m", "left")
     out = parsed.drop("passages").join(_placed(at), "_m", "left")
     return out.orderBy("conv_id", "position", "turn", "_m").select("conv_id", "turn", "role", "reply_to", "max_level", "n_quoted", "content", "position", "depth")

@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
@@ -483,13 +483,16 @@ def _filed(docs: DataFrame, width: int, shards: int, local: int, hot: int, late:
     return settle(filed.mapInArrow(tidy(gather), "block long, cls long, unit long, members long").distinct(), "blocks")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, local: int = LOCAL, hot: int = HOT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, and the row's class cls (null for an empty set)."""
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, local: int = LOCAL, hot: int = HOT, mark: Column | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, the row's class cls (null for an empty set), the class
+    keep_cls of the component's first row (smallest id, of equal ids the smallest class), and ``mark`` if one is given."""
     if percent != 80:
         raise ValueError("filing and size bands are worked out for a similarity of 0.8")
     spark = docs.sparkSession
     lean(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = rows if mark is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    more = [] if mark is None else ["mark"]
     docs = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,9 +500,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for part in _slices(batch, "text"):
                 flat, offsets = shingle_sets(part["text"], width)
                 n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(class_ids(flat, offsets), mask=n == 0)], ["doc_id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(class_ids(flat, offsets), mask=n == 0), *(part[c] for c in more)], ["doc_id", "n", "cls", *more])
 
-    known = settle(rows.mapInArrow(tidy(classify), "doc_id long, n long, cls long"), "classes")
+    kind = "" if mark is None else f", mark {marked.schema['mark'].dataType.simpleString()}"
+    known = settle(marked.mapInArrow(tidy(classify), "doc_id long, n long, cls long" + kind), "classes")
     points = known.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
     keys = known.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0  # about what is filed
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS_PER_SHARD)
@@ -524,13 +528,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ids = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(comps, "cls", "left")
     ids = settle(ids.withColumn("comp", F.coalesce("comp", "cls")), "ids")
-    of = settle(skew_join(ids, ids.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cls", "component_id"), "members")
+    # the first row of a component; rows without an id come last
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "cls"))
+    whole = ids.groupBy("comp").agg(first.alias("f")).select("comp", F.col("f.low").alias("component_id"), F.col("f.cls").alias("keep_cls"))
+    of = settle(skew_join(ids, whole, "comp").select("cls", "component_id", "keep_cls"), "members")
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return skew_join(known, of, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "cls")
+    return skew_join(known, of, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "cls", "keep_cls", *more)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; rows without words stay, and so do rows without an id."""
-    comp = near_components(docs, id_col, text_col)
-    gone = settle(comp.filter("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
+    """Of each component the first row: the smallest id, of equal ids the smallest class; all columns. Rows without words
+    stay. Rows are told apart by id and text, so a row that shares its id with a near copy stays; rows alike in both id
+    and words can't be told apart and share their fate."""
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    comp = near_components(docs, id_col, text_col, mark=digest).filter("cls IS NOT NULL")
+    dropped = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("cls") == F.col("keep_cls")))
+    gone = small(settle(comp.filter(dropped).select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_text")).distinct(), "gone"))
+    same = docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (F.unhex(F.sha2(docs[text_col], 256)) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

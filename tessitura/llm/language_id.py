@@ -5,7 +5,8 @@ its character n-grams (edge marks included), at each position by the longest kno
 letter. The posterior over languages (equal priors) gives the prediction and its score.
 
 The model is fitted on at most ``DOCS_PER_LANG`` labelled rows of each language, drawn by a hash of the id (all rows
-where there are fewer): a bound on the classifier's sample, counted over whole texts. It keeps the ``MAX_WORDS`` and
+where there are fewer): a bound on the classifier's sample, counted over whole texts; of the ``MAX_LANGS`` most frequent
+languages, without those whose rows hold no word. It keeps the ``MAX_WORDS`` and
 ``MAX_GRAMS`` most frequent entries, so what is broadcast has a fixed size; rarer words are scored by their n-grams.
 Scoring is one pass over every whole text without a shuffle.
 
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, tidy
+from .common import fresh, lean, tidy
 
 DOCS_PER_LANG, MAX_WORDS, MAX_GRAMS, ORDER = 1500, 60_000, 60_000, 4
 MIN_WORD, MIN_GRAM, GRAM_WEIGHT = 3, 5, 2.0
 CLIP, WORD_LETTERS = 4.0, 64
+#: Languages of a model: the most frequent labels; and the score below which no language stands out.
+MAX_LANGS, LEAST_SCORE = 1000, 0.4
 MEMO = 200_000
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]{1,%d}" % WORD_LETTERS)
@@ -99,12 +102,12 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """Count words and n-grams per language over the whole texts of the sample; rows without text or language don't count."""
     rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    n = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()}
     if not n:
         return Model([], {}, {})
     share = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, min(1.0, docs_per_lang / c))])
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) < F.element_at(share, F.col(lang_col)) * (1 << 30)
-    words = rows.filter(drawn).select(F.col(lang_col).alias("lang"), F.explode(F.expr(rf"regexp_extract_all(lower({text_col}), '[\\p{{L}}]{{1,{WORD_LETTERS}}}', 0)")).alias("w"))
+    words = rows.filter(F.col(lang_col).isin(list(n)) & drawn).select(F.col(lang_col).alias("lang"), F.explode(F.expr(rf"regexp_extract_all(lower({text_col}), '[\\p{{L}}]{{1,{WORD_LETTERS}}}', 0)")).alias("w"))
     by_word = words.groupBy("w", "lang").agg(F.count("*").alias("n")).repartition("w").persist()
 
     def top(df: DataFrame, key: str, least: int, most: int) -> dict[str, dict[str, int]]:
@@ -118,8 +121,9 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     cut = F.flatten(F.array(*map(grams_of, range(1, ORDER + 1))))
     by_gram = by_word.select("lang", "n", F.explode(cut).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
     grams = top(by_gram, "g", MIN_GRAM, MAX_GRAMS)
+    heard = sorted(r[0] for r in by_word.select("lang").distinct().collect())  # a language without a word can't be told
     by_word.unpersist()
-    return Model(sorted(n), known, grams)
+    return Model(heard, known, grams)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -142,6 +146,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     return docs.select(*sent).mapInArrow(tidy(run), out)
 
 
+def keep_languages(docs: DataFrame, least: float = LEAST_SCORE, languages: list[str] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows whose language can't be told (no letter, or a score below ``least``: none stands out) and,
+    with ``languages``, without those of another predicted language; a row without a language gets the predicted one."""
+    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    told = identify(docs, fit(docs, text_col=text_col, lang_col=lang_col), docs.columns, text_col, pred, score)
+    good = (F.col(pred) != UNKNOWN) & (F.col(score) >= least)
+    if languages is not None:
+        good &= F.col(pred).isin(languages)
+    return told.filter(good).withColumn(lang_col, F.coalesce(lang_col, pred)).select(*docs.columns)
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Contract form: doc_id, held_out, lang_pred, score; fitted on the rows that are not held out."""
     held = in_fold(F.col("doc_id"), 3, 1)

@@ -106,7 +106,7 @@ def test_deletion_from_the_distributed_index(spark):
 # --- 7: URL filter ------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http:///en/x", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/?q=://", "https://a.b.example.com/en/", "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/ES/1",
-        "ftp://net/fr/", "http://com/", "http://a.com", "http://a.com?x/en/", "http://a.com#/", "http://ex\nample.com/en/", "http://example.com:80/en/", "a://b://c.com/"]
+        "ftp://net/fr/", "http://com/", "http://a.com", "http://a.com?x/en/", "http://a.com#/", "http://ex\nample.com/en/", "http://example.com:80/en/", "a://b://c.com/", "http://company.com.org/x", "http://com.org", "http://my.org", "http://host.org:8080/x"]
 
 
 def judge(url, rules):
@@ -122,9 +122,13 @@ def judge(url, rules):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("inline", [64, 0])
-def test_url_rules(spark, inline):
-    rules = [*queries.URL_RULES, ("block", "b.example.com/"), ("allow", "com/en/a")]
+@pytest.mark.parametrize(("inline", "more", "shuffled"), [(64, 0, False), (0, 0, False), (64, 57, False), (64, 58, False), (64, 300, True)])
+def test_url_rules(spark, monkeypatch, inline, more, shuffled):
+    """Few rules, 64 and 65 of them, and many that are joined by shuffle; hosts without a path among them."""
+    rules = [*queries.URL_RULES, ("block", "b.example.com/"), ("allow", "com/en/a"), *[("block", r) for r in ("org", "com", "host.org:8080", *[f"site{i}.net/a{i}/" for i in range(max(0, more - 3))])][:more]]
+    assert not more or len(rules) == 7 + more
+    if shuffled:
+        monkeypatch.setattr(url_filter, "small", lambda df, rows=0: df)
     df = spark.createDataFrame([(i % 15, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, token string")
     got = sorted(tuple(map(str, r)) for r in url_filter.judge_urls(df, rules, inline_rules=inline).collect())
     assert got == sorted(tuple(map(str, (i % 15, *judge(u, rules)))) for i, u in enumerate(URLS))
