@@ -225,12 +225,6 @@ def content_hash(spark, d):
     return read(spark, d, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("audio_hash"))
 
 
-@query("str_03_admission", "SELECT user_id, count(*) FILTER (event_type <> 'purchase') AS active, CASE WHEN count(*) FILTER (event_type <> 'purchase') >= 8 THEN 429 ELSE 202 END AS status FROM events GROUP BY user_id")
-def admission(spark, d):
-    active = F.count_if(F.col("event_type") != "purchase")
-    return read(spark, d, "events").groupBy("user_id").agg(active.alias("active"), F.when(active >= 8, 429).otherwise(202).alias("status"))
-
-
 @query("src_09_durations", "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 3) * 3600 + (n_chars % 60) * 60 + (doc_id % 60) + 0.25::double END AS seconds FROM documents")
 def container_durations(spark, d):
     c = lambda x: x.cast("string")

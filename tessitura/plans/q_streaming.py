@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import scratch_path as scratch
 from ..sources import readers, sinks
-from ..streaming import gate
+from ..streaming import gate, jobs
 from .base import SCORED_SQL, query, read, scored
 
 S = "WITH " + SCORED_SQL
@@ -18,13 +18,15 @@ def uploads(spark, d):
 
 @query("str_04_upload_gate", "SELECT doc_id AS id, CASE WHEN doc_id = min(doc_id) OVER w THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, CASE WHEN doc_id <> min(doc_id) OVER w THEN min(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY text)")
 def upload_gate(spark, d):
+    """Uploads arrive in three parts; the gate is stopped after each and goes on from its checkpoint."""
     base = scratch(spark, "gate")
     src = uploads(spark, d)
-    third = src.agg(F.percentile_approx("id", [0.33, 0.67])).first()[0] or [0, 0]
-    for part, cond in enumerate((f"id <= {third[0]}", f"id > {third[0]} AND id <= {third[1]}", f"id > {third[1]}")):  # three arrivals, three batches
-        src.filter(cond).coalesce(1).write.parquet(f"{base}/in/{part}")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    gate.run_gate(stream, f"{base}/registry", f"{base}/log", f"{base}/checkpoint").awaitTermination()
+
+    def run(part):
+        stream = spark.readStream.schema(src.schema).parquet(f"{base}/in")
+        jobs.run_gate(stream, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+
+    jobs.in_parts(src, "id", 3, f"{base}/in", run)
     return spark.read.parquet(f"{base}/log").select("id", "status", "duplicate_of")
 
 
@@ -39,16 +41,34 @@ def job_log(spark, d):
  l AS (SELECT job_id, arg_max(s, i) AS s, arg_max(ignored, i) AS ignored FROM r GROUP BY job_id)
  SELECT job_id, CASE WHEN s IN (0, 1, 3) THEN 'FAILED' WHEN s = 2 THEN 'SUCCEEDED' END AS state, ignored FROM l""")
 def job_states(spark, d):
+    """Events arrive in three parts, and the machine goes on from its checkpoint after each; then the process is started
+    anew, which fails the jobs that aren't done."""
     base = scratch(spark, "jobs")
-    job_log(spark, d).coalesce(1).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("job_id long, state string, seq long").parquet(f"{base}/in")
+    log = job_log(spark, d)
+
+    def run(part=None):
+        jobs.run_jobs(spark.readStream.schema(log.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+
+    jobs.in_parts(log, "seq", 3, f"{base}/in", run)
+    live = jobs.job_table(spark, f"{base}/out").filter("state IN ('PENDING', 'RUNNING')")
+    live.select("job_id", F.lit(jobs.RESTART).alias("state"), F.lit(0).cast("long").alias("seq")).write.mode("append").parquet(f"{base}/in")
+    run()
+    return jobs.job_table(spark, f"{base}/out").select("job_id", "state", "ignored")
+
+
+def arrivals(spark, d):
+    """Jobs of each user's queue, in microseconds; they take so long that queues fill."""
+    takes = (F.round(F.col("value") * 100) * 9_000_000).cast("long")
+    return read(spark, d, "events").select("event_id", F.col("user_id").alias("queue"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), takes.alias("takes"))
 
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    gate.stream_job_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{base}/out").groupBy("job_id").agg(F.max_by(F.struct("state", "ignored"), "batch").alias("l"))
-    return gate.restart(last.select("job_id", "l.*"))
+@query("str_03_admission", """WITH RECURSIVE a AS (SELECT event_id, user_id AS queue, epoch_us(ts) AS at, (round(value * 100) * 9000000)::bigint AS takes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ r AS (SELECT DISTINCT queue, 0::bigint AS i, NULL::bigint AS event_id, []::bigint[] AS ends, 0 AS active, 0 AS status FROM a
+  UNION ALL SELECT a.queue, a.i, a.event_id, CASE WHEN len(e) < 8 THEN list_append(e, greatest(a.at, coalesce(list_last(e), a.at)) + a.takes) ELSE e END, len(e)::int, CASE WHEN len(e) < 8 THEN 202 ELSE 429 END
+  FROM r JOIN a ON a.queue = r.queue AND a.i = r.i + 1, LATERAL (SELECT list_filter(r.ends, lambda x: x > a.at) AS e))
+ SELECT event_id, queue, active, status, CASE WHEN status = 202 THEN list_last(ends) END AS ends FROM r WHERE i > 0""")
+def admission(spark, d):
+    return jobs.admissions(arrivals(spark, d), job="event_id").select("event_id", "queue", "active", "status", "ends")
 
 
 @query("str_07_resumable", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
@@ -57,7 +77,7 @@ def resumable(spark, d):
     src = read(spark, d, "events").select("event_id", "user_id", "value")
     work = lambda s: s.withColumn("scored", F.round(F.col("value") * 2, 6))
     for part in range(2):
-        src.filter(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        src.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
         gate.resume(spark, f"{base}/in", src.schema, f"{base}/out", f"{base}/checkpoint", work)
     return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 

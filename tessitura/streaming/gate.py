@@ -1,10 +1,8 @@
-"""Streaming: the upload gate, the job state machine and resumable evaluation."""
+"""The upload gate and the job state machine over whole tables, event-time windows and resumable evaluation; ``jobs`` has
+the gate and the machine as streams with keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,27 +17,6 @@ def gate_batch(batch: DataFrame, registry: DataFrame, key: str = "fingerprint",
     return d.withColumns({"duplicate_of": of, "status": F.when(of.isNull(), "ACCEPTED").otherwise("REJECTED")}).drop("_known", "_first")
 
 
-def run_gate(uploads: DataFrame, registry_path: str, log_path: str, checkpoint: str):
-    """A stream of uploads (id, fingerprint, seq) against a registry that accepted ones join. Each batch writes its own
-    folders, so a repeated batch replaces what it wrote before."""
-    spark = uploads.sparkSession
-    schema = uploads.schema
-
-    def step(batch: DataFrame, number: int) -> None:
-        try:
-            registry = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(registry_path).filter(F.col("batch") < number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            registry = spark.createDataFrame([], schema)
-        out = gate_batch(batch, registry.select(*batch.columns)).persist()
-        out.filter("status = 'ACCEPTED'").select(*batch.columns).write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
-        out.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        out.unpersist()
-
-    return uploads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 # The states of a job and what may follow each.
 NEXT = {None: ["PENDING"], "PENDING": ["RUNNING", "FAILED"], "RUNNING": ["SUCCEEDED", "FAILED"], "SUCCEEDED": [], "FAILED": []}
 
@@ -57,22 +34,6 @@ def job_states(events: DataFrame) -> DataFrame:
     return log.select("job_id", F.aggregate("log", zero, step).alias("r")).select("job_id", F.nullif("r.state", F.lit("")).alias("state"), "r.ignored")
 
 
-def stream_job_states(events: DataFrame) -> DataFrame:
-    """STR-02 on a stream: the same machine with its state kept per job between batches."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state, bad = held.get if held.exists else (None, 0)
-        for s in pd.concat(list(frames)).sort_values("seq")["state"]:
-            if s in NEXT[state]:
-                state = s
-            else:
-                bad += 1
-        held.update((state, bad))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [state], "ignored": [bad]})
-
-    return events.groupBy("job_id").applyInPandasWithState(update, "job_id long, state string, ignored long", "state string, ignored long", "update", "NoTimeout")
-
-
 def restart(states: DataFrame) -> DataFrame:
     """After a restart, jobs that weren't done have failed."""
     return states.withColumn("state", F.when(F.col("state").isin("PENDING", "RUNNING"), "FAILED").otherwise(F.col("state")))
