@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import scratch_path as scratch
 from ..sources import readers, sinks
+from ..sources.npz import NpzSource
+from ..sources.report import ReportSource, append_report
 from ..streaming import gate, jobs
 from .base import SCORED_SQL, query, read, scored
 
@@ -125,6 +127,31 @@ def catalog(spark, d):
     return readers.catalog(spark, sinks.current(spark, base), e.select("track_id").distinct())
 
 
+@query("src_06_npz_catalog", "SELECT vec_id, label::bigint AS track_id, len(embedding) AS dims, round(embedding[1]::double, 6) AS first, round(embedding[-1]::double, 6) AS last FROM embeddings")
+def npz_catalog(spark, d):
+    """Vectors written as NumPy archives and read again by stretches of rows."""
+    spark.dataSource.register(NpzSource)
+    base = scratch(spark, "npz")
+    e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("track_id"), "vec_id", F.col("embedding").cast("array<float>").alias("vectors"))
+    e.write.format("npz").mode("append").save(base)
+    back = readers.catalog(spark, base, e.select("track_id").distinct(), kind="npz")
+    at = lambda i: F.round(F.element_at("vectors", i).cast("double"), 6)
+    return back.select("vec_id", "track_id", F.size("vectors").cast("long").alias("dims"), at(1).alias("first"), at(-1).alias("last"))
+
+
+@query("snk_01_report", S + " SELECT group_id, count(*) AS n, round(max(score), 4) AS top FROM scored GROUP BY group_id")
+def report(spark, d):
+    """A report of one file with a byte order mark and one header, appended to once, read again."""
+    spark.dataSource.register(ReportSource)
+    path = scratch(spark, "report.csv")
+    m = scored(spark, d).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "score"))).alias("matches"))
+    part = F.pmod(F.xxhash64("group_id"), F.lit(2))
+    m.filter(part == 0).write.format("report").mode("overwrite").save(path)
+    append_report(m.filter(part == 1), path, "group_id")
+    back = readers.csv_table(spark, path, "group_id string, matches string").withColumn("m", F.from_json("matches", "array<struct<doc_id:long,score:double>>"))
+    return back.select("group_id", F.size("m").cast("long").alias("n"), F.round(F.array_max(F.transform("m", lambda x: x["score"])), 4).alias("top"))
+
+
 @query("snk_03_keyed_cache", "SELECT s_suppkey, s_suppkey * 2 AS feature FROM supplier")
 def keyed_cache(spark, d):
     base = scratch(spark, "cache")
@@ -171,8 +198,8 @@ def append_manifest(spark, d):
     base = scratch(spark, "manifest")
     n = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
     for part in range(2):
-        sinks.csv_report(n.filter(F.col("pos") % 2 == part), base, "append")
-    return readers.csv_table(spark, base, "name string, pos int")
+        append_report(n.filter(F.col("pos") % 2 == part), f"{base}/manifest.csv", "name")
+    return readers.csv_table(spark, f"{base}/manifest.csv", "name string, pos int")
 
 
 @query("snk_08_model_table", S + " SELECT doc_id, round(1 / (1 + exp(-(-0.4::double + (score - 0.5) / 0.25 * 1.2))), 6) AS probability FROM scored")

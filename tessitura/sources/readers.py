@@ -36,9 +36,10 @@ def json_registry(spark: SparkSession, path: str, value: str, key: str = "track_
     return doc.select(F.explode("m").alias(key, "_v")).select(key, "_v.*")
 
 
-def catalog(spark: SparkSession, path: str, expected: DataFrame | None = None, key: str = "track_id") -> DataFrame:
-    """SRC-06: the catalog of (track_id, offset_s, v); stale if its ids aren't the expected ones."""
-    df = spark.read.parquet(path)
+def catalog(spark: SparkSession, path: str, expected: DataFrame | None = None, key: str = "track_id", kind: str = "parquet") -> DataFrame:
+    """SRC-06: the catalog of (track_id, offset_s, v), Parquet or (registered) npz archives; stale if its ids aren't the
+    expected ones."""
+    df = spark.read.format(kind).load(path)
     if expected is not None:
         from ..operators.matching import same_ids
 

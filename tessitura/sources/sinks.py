@@ -13,7 +13,8 @@ def _nested(df: DataFrame) -> DataFrame:
 
 
 def csv_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK-01/06: header CSV; nested columns become JSON cells. Append mode adds files."""
+    """SNK-01: header CSV in as many files as there are tasks; nested columns become JSON cells. ``report`` writes one file
+    with a byte order mark."""
     _nested(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
