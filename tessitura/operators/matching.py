@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import settle
+from .bits import bit_map, bound, held
 
 
 def contains_run(hay: Column, needle: Column) -> Column:
@@ -16,30 +17,36 @@ def contains_run(hay: Column, needle: Column) -> Column:
 
 
 def _grams(seq: Column, k: int) -> Column:
-    """Hashes of the runs of k elements (of the whole, where it is shorter)."""
-    last = F.greatest(F.lit(1), F.size(seq) - k + 1)
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(seq, i, k)))
+    """Distinct hashes of the runs of k elements; none of a shorter sequence."""
+    starts = lambda h: F.when(F.size(h) >= k, F.sequence(F.lit(0), F.size(h) - k)).otherwise(F.array().cast("array<int>"))
+    whole = lambda h: F.transform(starts(h), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    return F.array_distinct(bound(F.transform(seq, lambda x: F.xxhash64(x)), whole))
 
 
 def contained(needles: DataFrame, hays: DataFrame, gram: int = 8) -> DataFrame:
     """JN-02: (needle_id, hay_id) with needle contiguously inside hay. needles: needle_id, needle; hays: hay_id, hay.
 
     Each needle is looked up by its rarest gram (document frequency over the hays that hold any needle's gram), so a
-    frequent run makes no bucket of candidates. Only ids and grams move until the candidates are known; sequences then join
-    them once, and survivors are verified. Needles shorter than ``gram`` use their own length. Ids must be distinct.
+    frequent run makes no bucket of candidates. A bit map of the needles' grams is looked up inside each hay's array, so
+    other grams never become rows. Only ids and grams move until the candidates are known; sequences then join them once,
+    and survivors are verified. Needles shorter than ``gram`` use their own length. Ids must be distinct.
     """
     short = needles.filter(F.size("needle").between(1, gram - 1))
 
     def candidates(ask: DataFrame, k: int) -> DataFrame:
-        own = ask.select("needle_id", F.explode(F.array_distinct(_grams(F.col("needle"), k))).alias("g"))
-        held = hays.select("hay_id", F.explode(F.array_distinct(_grams(F.col("hay"), k))).alias("g"))
-        hits = settle(held.join(own.select("g").distinct(), "g", "left_semi"), "hits")
+        own = settle(ask.select("needle_id", F.explode(_grams(F.col("needle"), k)).alias("g")), "grams")
+        wanted = settle(own.select("g").distinct(), "wanted")
+        bits, n = bit_map(wanted, "g", wanted.count())
+        found = bound(F.col("_map"), lambda b: F.filter(_grams(F.col("hay"), k), lambda g: held(b, n, g)))
+        hits = hays.select("hay_id", "hay", bits.alias("_map")).select("hay_id", found.alias("gs")).select("hay_id", F.explode("gs").alias("g"))
+        hits = settle(hits.join(wanted, "g", "left_semi"), "hits")
         rarest = own.join(hits.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("needle_id").agg(F.min(F.struct("df", "g"))["g"].alias("g"))
         return rarest.join(hits, "g").select("needle_id", "hay_id")
 
     met = candidates(needles.filter(F.size("needle") >= gram), gram)
     for k in [r[0] for r in short.select(F.size("needle")).distinct().collect()]:  # at most gram - 1 lengths
         met = met.union(candidates(short.filter(F.size("needle") == k), k))
+    met = settle(met.distinct(), "met")
     both = met.join(needles.select("needle_id", "needle"), "needle_id").join(hays.select("hay_id", "hay"), "hay_id")
     return both.filter(contains_run(F.col("hay"), F.col("needle"))).select("needle_id", "hay_id")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import numbered
+
 Z = 1.959963984540054
 
 
@@ -69,3 +71,19 @@ def recall_at(ranks: DataFrame, rank: Column, *ks: int) -> DataFrame:
     cuts = [share(F.coalesce(rank <= k, F.lit(False))).alias(f"recall_{k}") for k in ks]
     hits = [F.count_if(rank <= k).alias(f"hits_{k}") for k in ks]
     return ranks.agg(F.count("*").alias("n"), *hits, *cuts, F.round(F.percentile(rank, F.lit(0.5)), 6).alias("median_rank"), F.max(rank).alias("max_rank"))
+
+
+#: A node of a digest tree joins so many digests; with LEVELS levels a tree holds FAN to the power of LEVELS of them.
+FAN, LEVELS = 1024, 4
+
+
+def digest_tree(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """AGG-26: (key, digest) of all digests of each key, whatever their order and partitions: sorted, then every FAN of
+    them joined and hashed, LEVELS times. A range sort numbers them, so no task holds more than a node's digests."""
+    n = numbered(rows.select(key, digest), F.asc(key), F.asc(digest))
+    first = n.groupBy(F.col(key).alias("_k")).agg(F.min("_pos").alias("_first"))
+    at = n.join(first, n[key].eqNullSafe(first["_k"])).select(key, digest, (F.col("_pos") - F.col("_first")).alias("_i"))
+    for _ in range(LEVELS):
+        node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", digest))), lambda x: x[digest]), ""), 256)
+        at = at.groupBy(key, F.floor(F.col("_i") / FAN).alias("_n")).agg(node.alias(digest)).withColumnRenamed("_n", "_i")
+    return at.select(key, digest)

@@ -9,12 +9,15 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dsp import resample
+
 
 def apply_kernel(df: DataFrame, keep: list[str], inputs: list[str], kernel: Callable, result_type: str) -> DataFrame:
     """``keep`` columns, ``value`` (result_type) and ``error`` (type and message, null if fine)."""
@@ -62,7 +65,7 @@ def decode_wav(data: bytes, rate: int = 22_050) -> np.ndarray:
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     x = x.reshape(-1, channels).mean(axis=1)
     if own != rate and len(x):
-        x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
+        x = resample(x, Fraction(rate, own))
     return x
 
 

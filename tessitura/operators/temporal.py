@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bits import bound
+
 
 def chains(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """WIN-06: longest non-decreasing run and share of non-decreasing steps per key (gaps and islands)."""
@@ -17,11 +17,6 @@ def chains(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return c.groupBy(key).agg(F.max("_n").alias("longest"), F.round((F.sum("_n") - F.count("*")) / F.greatest(F.lit(1), F.sum("_n") - 1), 6).alias("ordered_fraction"))
 
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of x with x evaluated once a row: a column named inside a lambda is an expression that every element repeats."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _deltas(xs: Column) -> Column:
     return F.zip_with(F.slice(xs, 2, F.greatest(F.lit(0), F.size(xs) - 1)), F.slice(xs, 1, F.greatest(F.lit(0), F.size(xs) - 1)), lambda b, a: b - a)
 

@@ -169,10 +169,17 @@ def joined_names(spark, d):
     return n.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list("n_name")), " | ").alias("matched"))
 
 
-@query("agg_26_corpus_digest", "SELECT lang, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY sha256(coalesce(text, '')))) AS digest FROM documents GROUP BY lang")
+def _tree_sql(levels: int = 4, fan: int = 1024) -> str:
+    out = "WITH t0 AS (SELECT lang, sha256(coalesce(text, '')) AS h, row_number() OVER (PARTITION BY lang ORDER BY sha256(coalesce(text, ''))) - 1 AS i FROM documents)"
+    for k in range(levels):
+        out += f", t{k + 1} AS (SELECT lang, sha256(string_agg(h, '' ORDER BY i)) AS h, i // {fan} AS i FROM t{k} GROUP BY lang, i // {fan})"
+    return out + f" SELECT lang, h AS digest FROM t{levels}"
+
+
+@query("agg_26_corpus_digest", _tree_sql())
 def corpus_digest(spark, d):
     own = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return read(spark, d, "documents").groupBy("lang").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(own)), ""), 256).alias("digest"))
+    return metrics.digest_tree(read(spark, d, "documents").select("lang", own.alias("h")), "lang", "h").withColumnRenamed("h", "digest")
 
 
 @query("agg_27_mode_share", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, round(max(n) / sum(n)::double, 6) AS share FROM c GROUP BY user_id")

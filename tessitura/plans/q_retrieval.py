@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, retrieval, vectors
+from ..scratch import settle
 from .base import BEST_SQL, CPAIRS_SQL, GREEDY_SQL, MEAN_SQL, PAIRS_GAPS_SQL, PAIRS_SQL, WIN_SQL, queries_of, query, read, references_of, windows
 
 
@@ -74,7 +75,7 @@ g3 AS (SELECT g2.query_id, g2.track_id, any_value(a) AS a, any_value(b) AS b, ma
 SELECT query_id, track_id, round((a[1] + coalesce(b[1], 0) + coalesce(c[1], 0)) / (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int), 8) AS score,
  (1 + (b IS NOT NULL)::int + (c IS NOT NULL)::int)::bigint AS n FROM g3""")
 def greedy_two_axes(spark, d):
-    return retrieval.greedy_pairs(pairs(spark, d))
+    return retrieval.greedy_pairs(settle(pairs(spark, d), "pairs"))  # three rounds read them
 
 
 _CONT = """, qs AS (SELECT query_id, q_off, lead(q_off, 1) OVER w AS q1, lead(q_off, 2) OVER w AS q2 FROM (SELECT DISTINCT query_id, q_off FROM pairs) WINDOW w AS (PARTITION BY query_id ORDER BY q_off)),

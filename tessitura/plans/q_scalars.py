@@ -239,16 +239,23 @@ def _within(name: str, span: tuple[float, float], digits: int) -> str:
     return f"(round({span[0]}::double + {_DRAW.format(name)} * ({span[1]}::double - {span[0]}::double), {digits}) + 0.0::double)"
 
 
-@query("scl_28_edit_manifest", f"""WITH p AS (SELECT p_partkey, p_partkey % 3 AS c, 2 + p_size % 5 AS n FROM part),
+EDITS_SQL = f"""p AS (SELECT p_partkey, p_partkey % 3 AS c, 2 + p_size % 5 AS n FROM part),
  o AS (SELECT *, list_transform(list_sort(list_transform(range(0, n), lambda i: struct_pack(h := sha256(p_partkey || ':' || i), i := i))), lambda k: k.i) AS o, floor({_DRAW.format("place")} * (n + 1))::bigint AS place, floor({_DRAW.format("repeat")} * n)::bigint AS rep FROM p),
- m AS (SELECT p_partkey, c, list_concat(list_slice(o, 1, place), [list_extract(o, rep + 1)], list_slice(o, place + 1, n)) AS o, {_within("ratio", fn.RATIO, 4)} AS ratio, {_within("eq", fn.EQ_DB, 1)} AS eq, {_within("tempo", fn.TEMPO, 4)} AS tempo, {_within("bass", fn.BASS_DB, 1)} AS bass FROM o)
- SELECT p_partkey, CASE c WHEN 0 THEN 24 END AS section_seconds, CASE c WHEN 0 THEN array_to_string(o, ',') END AS section_order, CASE c WHEN 1 THEN ratio END AS ratio, CASE c WHEN 1 THEN eq END AS eq, CASE c WHEN 2 THEN tempo END AS tempo, CASE c WHEN 2 THEN bass END AS bass,
+ m AS (SELECT p_partkey, c, list_concat(list_slice(o, 1, place), [list_extract(o, rep + 1)], list_slice(o, place + 1, n)) AS o, {_within("ratio", fn.RATIO, 4)} AS ratio, {_within("eq", fn.EQ_DB, 1)} AS eq, {_within("tempo", fn.TEMPO, 4)} AS tempo, {_within("bass", fn.BASS_DB, 1)} AS bass FROM o)"""
+
+
+@query("scl_28_edit_manifest", "WITH " + EDITS_SQL + """ SELECT p_partkey, CASE c WHEN 0 THEN 24 END AS section_seconds, CASE c WHEN 0 THEN array_to_string(o, ',') END AS section_order, CASE c WHEN 1 THEN ratio END AS ratio, CASE c WHEN 1 THEN eq END AS eq, CASE c WHEN 2 THEN tempo END AS tempo, CASE c WHEN 2 THEN bass END AS bass,
    CASE c WHEN 2 THEN 'mild' END AS echo, CASE c WHEN 1 THEN 'asetrate=22050*' || ratio || ',aresample=22050,equalizer=f=1200:t=q:w=1:g=' || eq WHEN 2 THEN 'atempo=' || tempo || ',equalizer=f=180:t=q:w=1:g=' || bass || ',aecho=0.8:0.75:70:0.12' END AS filters FROM m""")
 def edit_manifest(spark, d):
+    j = edits(spark, d)
+    return j.select("p_partkey", "j.section_seconds", F.array_join(F.col("j.section_order").cast("array<string>"), ",").alias("section_order"), F.col("j.speed_and_pitch_ratio").alias("ratio"), F.col("j.eq_1200hz_db").alias("eq"),
+                    F.col("j.tempo_rate").alias("tempo"), F.col("j.bass_eq_db").alias("bass"), "j.echo", "filters")
+
+
+def edits(spark, d):
+    """Parts with their edit's parameters j and filter chain."""
     k = F.col("p_partkey")
     case = F.when(k % 3 == 0, "section_edit").when(k % 3 == 1, "tempo_pitch_eq").otherwise("remix_fx")
     parameters, filters = fn.edit_manifest(case, k, 2 + F.col("p_size") % 5)
     schema = "section_seconds int, section_order array<int>, speed_and_pitch_ratio double, eq_1200hz_db double, tempo_rate double, bass_eq_db double, echo string"
-    j = read(spark, d, "part").select("p_partkey", F.from_json(parameters, schema).alias("j"), filters.alias("filters"))
-    return j.select("p_partkey", "j.section_seconds", F.array_join(F.col("j.section_order").cast("array<string>"), ",").alias("section_order"), F.col("j.speed_and_pitch_ratio").alias("ratio"), F.col("j.eq_1200hz_db").alias("eq"),
-                    F.col("j.tempo_rate").alias("tempo"), F.col("j.bass_eq_db").alias("bass"), "j.echo", "filters")
+    return read(spark, d, "part").select("p_partkey", F.from_json(parameters, schema).alias("j"), filters.alias("filters"))

@@ -9,11 +9,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import models, signal, vectors
+from ..operators import dsp, models, signal, vectors
 from ..scratch import settle
+from ..sources import containers
 from .base import SCORED_SQL, query, read, scored
 from .q_metrics import D, decided
-from .q_scalars import pair_vectors
+from .q_scalars import EDITS_SQL, edits, pair_vectors
 
 S = "WITH " + SCORED_SQL
 RATE = 8000
@@ -131,6 +132,45 @@ def layered(spark, d):
     return signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], mixed, "double").filter("error IS NULL").select("n_nationkey", F.round("value", 6).alias("peak"))
 
 
+@query("scl_28_filtered", """WITH """ + EDITS_SQL + """, n AS (SELECT *, 3000 + 17 * (p_partkey % 50) AS n FROM m WHERE c > 0)
+ SELECT p_partkey, CASE c WHEN 1 THEN (n * 10000 + round(ratio * 10000)::bigint - 1) // round(ratio * 10000)::bigint ELSE round_even(n / tempo, 0)::bigint + 1544 END AS samples, true AS audible FROM n""")
+def filtered(spark, d):
+    """The edit manifest's chains run on a tone for each part; what comes out has the length that its edit gives."""
+    p = edits(spark, d).filter("filters IS NOT NULL").select("p_partkey", "filters")
+
+    def run(key, chain):
+        x = signal.tone(440.0, 1.0, 22_050)[: 3000 + 17 * (key % 50)]
+        y = dsp.apply_filters(x, 22_050, chain)
+        return [float(len(y)), float(np.abs(y).max())]
+
+    out = signal.apply_kernel(p, ["p_partkey"], ["p_partkey", "filters"], run, "array<double>")
+    return out.select("p_partkey", F.col("value")[0].cast("long").alias("samples"), (F.col("value")[1] > 0.05).alias("audible"))
+
+
+def made_file(key):
+    """The head of an audio file of 1 + key / 8 seconds: by key one of four containers, every eleventh cut off."""
+    n = 8000 + 1000 * key
+    if key % 4 == 0:
+        data = signal.wav_bytes(np.zeros(n), 8000)
+    elif key % 4 == 1:
+        packed = 8000 << 44 | 15 << 36 | n
+        data = b"fLaC" + b"\0\0\0\x22" + bytes(10) + packed.to_bytes(8, "big") + bytes(16)
+    elif key % 4 == 2:
+        page = lambda flags, at, body: b"OggS\0" + bytes([flags]) + at.to_bytes(8, "little") + bytes(12) + b"\1" + bytes([len(body)]) + body
+        data = page(2, 0, b"\x01vorbis" + bytes(4) + b"\1" + (8000).to_bytes(4, "little") + bytes(14)) + page(4, n, b"x")
+    else:
+        data = b"ID3\4\0\0" + bytes(3) + b"\5" + bytes(5) + b"\xff\xfb\x10\xc0" + bytes(1000 * (8 + key) // 2 - 4)  # 32 kbit/s, one channel
+    return data[: len(data) // 2] if key % 11 == 10 else data
+
+
+@query("src_09_headers", """SELECT s_suppkey, CASE WHEN s_suppkey % 11 < 10 THEN 1 + s_suppkey / 8.0::double WHEN s_suppkey % 4 = 3 THEN (1000 * (8 + s_suppkey) // 2 + 15) // 2 / 4000.0::double - 15 / 4000.0::double END AS seconds,
+ CASE WHEN s_suppkey % 11 = 10 AND s_suppkey % 4 < 3 THEN 'ValueError' END AS error FROM supplier""")
+def headers(spark, d):
+    files = signal.apply_kernel(read(spark, d, "supplier"), ["s_suppkey"], ["s_suppkey"], made_file, "binary").select("s_suppkey", F.col("value").alias("content"))
+    out = signal.apply_kernel(files, ["s_suppkey"], ["content"], lambda c: containers.duration(c[: containers.HEAD], c[-containers.TAIL :], len(c)), "double")
+    return out.select("s_suppkey", F.col("value").alias("seconds"), F.split("error", ":")[0].alias("error"))
+
+
 @query("udf_01_embed", f"SELECT n_nationkey, 64 AS dim, 1.0::double AS norm {_FINE}")
 def embedded(spark, d):
     x = signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], lambda c: [float(v) for v in signal.decode(c, RATE)], "array<double>").filter("error IS NULL")
