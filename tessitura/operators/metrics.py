@@ -42,11 +42,34 @@ def auc(df: DataFrame, positive: Column, score: Column, *keys: str) -> DataFrame
     return g.select(*keys, ratio(F.col("_won"), (F.col("_p") * F.col("_n")).cast("double")).alias("auc"))
 
 
+def quantiles(df: DataFrame, value: Column, shares: list[float], *keys: str) -> DataFrame:
+    """(keys, q): exact quantiles of the non-null values of each group, with linear interpolation, in the order of
+    ``shares``. A range sort numbers the values and only the ranks wanted are fetched, so memory doesn't follow the number
+    of distinct values or the size of a group; a group without values has no row."""
+    rows = numbered(df.select(*keys, value.cast("double").alias("_v")).filter("_v IS NOT NULL"), *[F.asc(k) for k in keys], F.asc("_v"))
+    sizes = rows.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    rank = lambda p: F.lit(p) * (F.col("_n") - 1)
+    low = lambda p: F.floor(rank(p))
+    ends = lambda i, p: [F.struct(F.lit(i).alias("i"), (F.col("_first") + low(p)).alias("_pos"), (1 - (rank(p) - low(p))).alias("w")), F.struct(F.lit(i).alias("i"), (F.col("_first") + low(p) + 1).alias("_pos"), (rank(p) - low(p)).alias("w"))]
+    wanted = sizes.select(F.explode(F.filter(F.array(*[e for i, p in enumerate(shares) for e in ends(i, p)]), lambda e: e["w"] > 0)).alias("e")).select("e.*")
+    got = rows.join(wanted, "_pos").groupBy(*keys, "i").agg(F.sum(F.col("_v") * F.col("w")).alias("x"))
+    return got.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+
+
+def _with_quantiles(groups: DataFrame, q: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """groups with each group's quantiles as columns, null where it has no values."""
+    right = q.select(*[F.col(k).alias(f"_{k}") for k in keys], "q")
+    same = F.lit(True)
+    for k in keys:
+        same &= groups[k].eqNullSafe(right[f"_{k}"])
+    return groups.join(right, same, "left").select(*groups.columns, *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
+
+
 def distribution(df: DataFrame, value: Column, *keys: str) -> DataFrame:
     """AGG-11: count, mean, sample deviation (0 for one value), median, p10, p90 with linear interpolation."""
     sd = F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(sd, 4).alias("std"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
-                                 F.round(F.percentile(value, F.lit(0.1)), 6).alias("p10"), F.round(F.percentile(value, F.lit(0.9)), 6).alias("p90"))
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(sd, 4).alias("std"))
+    return _with_quantiles(g, quantiles(df, value, [0.5, 0.1, 0.9], *keys), ["median", "p10", "p90"], *keys)
 
 
 def cohens_d(df: DataFrame, positive: Column, value: Column, *keys: str) -> DataFrame:
@@ -70,7 +93,8 @@ def recall_at(ranks: DataFrame, rank: Column, *ks: int) -> DataFrame:
     """AGG-09/10: recall at each k over all queries (a missing rank is a miss), median and largest rank."""
     cuts = [share(F.coalesce(rank <= k, F.lit(False))).alias(f"recall_{k}") for k in ks]
     hits = [F.count_if(rank <= k).alias(f"hits_{k}") for k in ks]
-    return ranks.agg(F.count("*").alias("n"), *hits, *cuts, F.round(F.percentile(rank, F.lit(0.5)), 6).alias("median_rank"), F.max(rank).alias("max_rank"))
+    g = ranks.agg(F.count("*").alias("n"), *hits, *cuts, F.max(rank).alias("max_rank"))
+    return _with_quantiles(g, quantiles(ranks, F.col(rank) if isinstance(rank, str) else rank, [0.5]), ["median_rank"])
 
 
 #: A node of a digest tree joins so many digests; with LEVELS levels a tree holds FAN to the power of LEVELS of them.

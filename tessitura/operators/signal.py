@@ -146,6 +146,60 @@ def evidence(x: np.ndarray, rate: int = 22_050, size: int = 2048, hop: int = 512
     return _unit(pitch), _unit(mean), onset
 
 
+# --- fingerprints ----------------------------------------------------------------------------------
+
+#: Frames and classes that a fingerprint's filters span, and the cuts of their responses: two bits for each filter.
+SPAN, CLASSES, CUTS = 16, 12, (-0.15, 0.0, 0.15)
+
+
+def box_filters() -> list[tuple[int, int, int, int]]:
+    """(kind, first class, classes, frames) of 16 filters by rule. Kind 0: later less earlier half; 1: upper less lower half of
+    the classes; 2: quarters crosswise; 3: the middle less both ends."""
+    return [(i % 4, 5 * i % 8, 3 + i // 4 % 2, 4 + 4 * (i * 7 // 4 % 4)) for i in range(16)]
+
+
+def box_responses(frames: np.ndarray) -> np.ndarray:
+    """The response of every filter at every frame from which SPAN frames are left, by sums of boxes taken from a summed-area
+    table: the log of one part's sum over the other's."""
+    area = np.zeros((len(frames) + 1, CLASSES + 1))
+    area[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
+    n = max(0, len(frames) - SPAN + 1)
+    t = np.arange(n)
+    box = lambda a, b, low, high: area[t + b][:, high] - area[t + a][:, high] - area[t + b][:, low] + area[t + a][:, low]
+    out = np.zeros((n, 16))
+    for k, (kind, y, h, w) in enumerate(box_filters()):
+        top, half, mid = min(CLASSES, y + h), w // 2, y + max(1, h // 2)
+        if kind == 0:
+            a, b = box(half, w, y, top), box(0, half, y, top)
+        elif kind == 1:
+            a, b = box(0, w, mid, top), box(0, w, y, mid)
+        elif kind == 2:
+            a, b = box(half, w, mid, top) + box(0, half, y, mid), box(0, half, mid, top) + box(half, w, y, mid)
+        else:
+            a, b = box(w // 4, w - w // 4, y, top), box(0, w // 4, y, top) + box(w - w // 4, w, y, top)
+        out[:, k] = np.log((1e-3 + np.maximum(a, 0)) / (1e-3 + np.maximum(b, 0)))
+    return out
+
+
+def fingerprint(x: np.ndarray, rate: int, size: int = 4096, hop: int = 1365, least_s: float = 10.0, most_s: float = 1800.0) -> list[int]:
+    """SRC-10: 32-bit words, one for each chroma frame from which SPAN frames are left; between 10 and 1,800 seconds of audio.
+    Frames are of unit length, so gain doesn't count; a clip that begins at a frame has a run of its source's words."""
+    if not least_s <= len(x) / rate <= most_s:
+        raise ValueError("TOO_SHORT" if len(x) / rate < least_s else "TOO_LONG")
+    bits = np.zeros(0, dtype=np.int64)
+    step = 4096 * hop  # frames are made in stretches, each with the SPAN - 1 frames that its last words need
+    for a in range(0, max(1, len(x) - size + 1), step):
+        piece = x[a : a + step + (SPAN - 2) * hop + size]
+        if len(piece) >= size:
+            r = box_responses(_unit(chroma(piece, rate, size, hop, centred=False)))
+            level = sum((r >= c).astype(np.int64) for c in CUTS)
+            gray = level ^ (level >> 1)
+            bits = np.concatenate([bits, (gray << (2 * np.arange(16))).sum(axis=1)])
+    if not len(bits):
+        raise ValueError("EMPTY_FINGERPRINT")
+    return bits.tolist()
+
+
 def rolled_cosine(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     """SCL-12: best cosine of a with b rolled by 0..11, and the first shift that gives it."""
     scores = [float(np.dot(a, np.roll(b, s))) for s in range(12)]

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import dsp, models, signal, vectors
+from ..operators import dsp, matching, models, signal, vectors
 from ..scratch import settle
 from ..sources import containers
 from .base import SCORED_SQL, query, read, scored
@@ -132,6 +132,28 @@ def layered(spark, d):
     return signal.apply_kernel(pcm(spark, d), ["n_nationkey"], ["content"], mixed, "double").filter("error IS NULL").select("n_nationkey", F.round("value", 6).alias("peak"))
 
 
+def melody(key):
+    """Eleven seconds of notes that follow the key."""
+    return np.concatenate([signal.tone(440.0 * 2 ** (((7 * key + i * i * (key + 3)) % 12) / 12), 0.55, RATE) for i in range(20)])
+
+
+@query("src_10_fingerprints", f"WITH n AS (SELECT n_nationkey AS k {_FINE}) SELECT a.k AS clip, b.k AS source FROM n a JOIN n b ON a.k % 12 = b.k % 12")
+def fingerprints(spark, d):
+    """Which melodies hold a clip of a melody, found by their fingerprints' words; the clip is quieter and begins later. Keys
+    that are twelve apart have one melody."""
+    n = read(spark, d, "nation").filter("n_nationkey % 7 < 6").select("n_nationkey")
+
+    def words(key, part):
+        x = melody(key)
+        return signal.fingerprint(0.5 * x[3 * 1365 :] if part else x, RATE, least_s=10.0)
+
+    both = n.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = settle(signal.apply_kernel(both, ["n_nationkey", "part"], ["n_nationkey", "part"], words, "array<bigint>").filter("error IS NULL"), "words")
+    side = lambda k, key, name: out.filter(F.col("part") == k).select(F.col("n_nationkey").alias(key), F.col("value").alias(name))
+    met = matching.contained(side(1, "needle_id", "needle"), side(0, "hay_id", "hay"))
+    return met.select(F.col("needle_id").alias("clip"), F.col("hay_id").alias("source"))
+
+
 @query("scl_28_filtered", """WITH """ + EDITS_SQL + """, n AS (SELECT *, 3000 + 17 * (p_partkey % 50) AS n FROM m WHERE c > 0)
  SELECT p_partkey, CASE c WHEN 1 THEN (n * 10000 + round(ratio * 10000)::bigint - 1) // round(ratio * 10000)::bigint ELSE round_even(n / tempo, 0)::bigint + 1544 END AS samples, true AS audible FROM n""")
 def filtered(spark, d):

@@ -111,3 +111,29 @@ def test_digest_tree(spark, monkeypatch):
         for r in metrics.digest_tree(spark.createDataFrame(rows, "k string, h string").repartition(parts), "k", "h").collect():
             got.setdefault(r["k"], []).append(r["h"])
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_fingerprint_filters_and_invariance():
+    rng = np.random.default_rng(5)
+    frames = np.abs(rng.normal(size=(40, 12)))
+    got = signal.box_responses(frames)
+    assert got.shape == (40 - signal.SPAN + 1, 16)
+    for t in (0, 7, 24):
+        for k, (kind, y, h, w) in enumerate(signal.box_filters()):
+            box, mid = frames[t : t + w, y : min(12, y + h)], max(1, h // 2)
+            late, up = np.arange(w)[:, None] >= w // 2, np.arange(box.shape[1])[None, :] >= mid
+            plus = (late & (up | ~up), (late | ~late) & up, late == up, (np.arange(w)[:, None] >= w // 4) & (np.arange(w)[:, None] < w - w // 4) & (up | ~up))[kind]
+            assert abs(got[t, k] - np.log((1e-3 + box[plus].sum()) / (1e-3 + box[~plus].sum()))) < 1e-9
+    x = np.concatenate([signal.tone(hz, 0.7, 8000) for hz in rng.uniform(100, 1500, 20)])
+    words = signal.fingerprint(x, 8000)
+    assert all(0 <= w < 1 << 32 for w in words) and len(set(words)) > 20
+    assert signal.fingerprint(0.25 * x, 8000) == words and signal.fingerprint(x[5 * 1365 :], 8000) == words[5:]
+    away = signal.fingerprint(x[300:], 8000)
+    assert sum((a ^ b).bit_count() for a, b in zip(words, away, strict=False)) < 0.2 * 32 * len(away)  # most bits stay
+    other = signal.fingerprint(rng.normal(size=len(x)), 8000)
+    assert sum((a ^ b).bit_count() for a, b in zip(words, other, strict=False)) > 0.3 * 32 * len(other)
+    long = np.tile(x, 60)
+    assert len(signal.fingerprint(long, 8000)) == (len(long) - 4096) // 1365 + 1 - signal.SPAN + 1
+    for n, why in ((100, "TOO_SHORT"), (8000 * 1801, "TOO_LONG")):
+        with pytest.raises(ValueError, match=why):
+            signal.fingerprint(np.zeros(n), 8000)

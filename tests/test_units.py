@@ -343,3 +343,20 @@ def test_seeded_sample_draws_from_all_keys(spark, monkeypatch):
         assert [r[0] for r in sampling.seeded_sample(df.union(df).repartition(parts), "k", 7, 40).collect()] == want
     assert sorted(r[0] for r in sampling.seeded_sample(df.limit(5), "k", 7, 9).collect()) == [0, 3, 6, 9, 12]
     assert sampling.seeded_sample(df.limit(0), "k", 7, 9).count() == 0
+
+
+def test_exact_quantiles(spark):
+    from tessitura.operators import metrics
+
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b", None][int(k)], float(x)) for k, x in zip(rng.integers(0, 3, 500), rng.normal(size=500).round(1), strict=True)] + [("one", 2.5), ("none", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    shares = [0.5, 0.1, 0.9, 0.0, 1.0]
+    got = {r["k"]: r["q"] for r in metrics.quantiles(df, F.col("x"), shares, "k").collect()}
+    want = {k: np.quantile([x for j, x in rows if j == k], shares) for k in ("a", "b", None, "one")}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+    whole = metrics.quantiles(df, F.col("x"), [0.5]).collect()
+    assert len(whole) == 1 and abs(whole[0]["q"][0] - np.median([x for _, x in rows if x is not None])) < 1e-12
+    assert metrics.quantiles(df.limit(0), F.col("x"), [0.5], "k").count() == 0
+    none = [r for r in metrics.distribution(df, F.col("x"), "k").collect() if r["k"] == "none"][0]
+    assert none["n"] == 0 and none["median"] is None
