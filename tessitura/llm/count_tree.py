@@ -8,6 +8,8 @@ the bits that any of its points has. Vectors of 2 G groups fold into G by adding
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from .shingles import U
@@ -121,6 +123,51 @@ def reaching_pairs(vectors: list, n: np.ndarray, label: np.ndarray, part: np.nda
     return tuple(np.concatenate([none[k], *(o[k] for o in out)]) for k in range(3))
 
 
+def by_pivots(label: np.ndarray, least: int, near: Callable[[int, np.ndarray], np.ndarray], rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(component, its first position, of each; whether a label's members are one component) from comparisons with a few
+    pivots: near(i, others) tells which of others reach i. Labels of ``least`` members and more; label must be sorted.
+
+    A label whose members all join needs no pairs: a pair of joined members can't change a component. A pivot that joins
+    few ends its label's rounds, which leaves all pairs of it open.
+    """
+    comp, whole = np.arange(len(label)), np.zeros(len(label), dtype=bool)
+    begin = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, dtype=np.int64)
+    for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(label)], strict=True):
+        if e - s < least:
+            continue
+        own = comp[s:e]  # a view
+        for turn in range(rounds):
+            pivot = 0 if turn == 0 else int(np.flatnonzero(own != own[0])[0])  # the first outside the first one's component
+            others = np.flatnonzero(own != own[pivot])
+            hit = others[near(s + pivot, s + others)]
+            joined = np.isin(own, np.r_[own[pivot], own[hit]])
+            own[joined] = own[joined].min()
+            if (own == own[0]).all():
+                whole[s:e] = True
+                break
+            if 8 * len(hit) < len(others):
+                break
+    return comp, whole
+
+
+def bounds_reach(vectors: list, n: np.ndarray, percent: int = 80) -> Callable[[int, np.ndarray], np.ndarray]:
+    """near() of ``by_pivots`` by summed minima of count vectors, folded to the coarser of the two."""
+    g = group_count(n)
+    counts = lambda i: np.frombuffer(vectors[i], dtype=np.uint8 if len(vectors[i]) == g[i] else "<u2").astype(np.int64)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        p, out = counts(i), np.zeros(len(others), dtype=bool)
+        fit = 100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])
+        for k in np.flatnonzero(fit).tolist():
+            j = int(others[k])
+            res = min(len(p), g[j])
+            both = np.minimum(p.reshape(-1, res).sum(axis=0), counts(j).reshape(-1, res).sum(axis=0)).sum()
+            out[k] = (100 + percent) * both >= percent * (n[i] + n[j])
+        return out
+
+    return near
+
+
 def roots(k: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest node that the edges a-b reach from each of k nodes, starting from an earlier answer if there is one."""
     label = np.arange(k) if label is None else label.copy()

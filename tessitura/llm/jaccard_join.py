@@ -15,6 +15,8 @@ Steps (two texts link when 100 * |A & B| >= 80 * |A | B| over their sets of five
 4. Families are the components of all these edges. Every link lies inside a family. A family's sets meet in a task, where
    the R-tree gives its pairs again, best bound first; a pair is verified on the sets themselves unless both are joined
    already, and again only edges to a component's first class leave.
+   Large blocks and families are compared with a few pivots first, by their bounds or by the sets themselves: where all
+   members join, as those of one text's near copies do, no pair is bounded at all, and work follows the members.
 5. Components of the verified edges are the answer.
 
 A single R-tree over all texts was not kept: unrelated texts of one size are all about equally far apart in count space,
@@ -47,10 +49,12 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered
 from .common import lean, settle, skew_join, small, tidy
-from .count_tree import count_vectors, reaching_pairs, roots
+from .count_tree import bounds_reach, by_pivots, count_vectors, reaching_pairs, roots
 from .shingles import U, mix, shingle_sets
 
 LOCAL, SMALL, LEAST_PART, BITS, FLUSH = 32, 64, 128, 1 << 25, 1_000_000
+#: Members from which a block of a cell, or a family, is compared with a few pivots before its pairs are bounded.
+PIVOT_BLOCK, PIVOT_FAMILY = 256, 64
 SLOT_ROWS, CELL_ROWS, PART_LOAD = 20_000, 1_000, 8_000_000
 #: Keys held by more than HOT classes are filed last; so many such keys (8 bytes each) are known to every task at most.
 HOT, HOT_KEYS, KEYS_PER_SHARD = 20_000, 1_000_000, 4_000_000
@@ -288,8 +292,11 @@ def candidates(blocks: DataFrame, vectors: DataFrame, shards: int) -> DataFrame:
     members; vectors: cls, n, vec."""
     def run(t: pa.Table) -> pa.Table:
         t, label, cls, n, part = _sorted(t, "block")
-        a, b, _ = reaching_pairs(t["vec"].to_pylist(), n, label, part)
-        return _stars(cls, roots(len(cls), a, b))
+        vec = t["vec"].to_pylist()
+        start, whole = by_pivots(label, PIVOT_BLOCK, bounds_reach(vec, n))
+        rest = np.flatnonzero(~whole)
+        a, b, _ = reaching_pairs([vec[i] for i in rest.tolist()], n[rest], label[rest], part[rest])
+        return _stars(cls, roots(len(cls), rest[a], rest[b], start))
 
     cells = settle(_cells(blocks.select("block", "cls", "members"), "block", vectors, shards), "cells")
     return _in_cells(cells.join(vectors, "cls"), run, _slots(cells.count(), shards))
@@ -349,11 +356,21 @@ def _elements(raw: bytes) -> np.ndarray:
 def link_sets(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, part: np.ndarray, percent: int = 80) -> np.ndarray:
     """Component (its first position) of each set by links inside a cell. Pairs come in order of their bound; one whose
     sets are joined already is not verified, for it can't change a component."""
-    flat = np.concatenate([np.zeros(0, dtype=U), *sets])
-    a, b, score = reaching_pairs(count_vectors(flat, np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)), n, label, part, percent)
+    def linked(i: int, j: int) -> bool:
+        both = np.concatenate([sets[i], sets[j]])
+        both.sort(kind="stable")
+        return links(int(n[i]), int(n[j]), int((both[1:] == both[:-1]).sum()), percent)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        fit = 100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])
+        return np.array([f and linked(i, j) for f, j in zip(fit.tolist(), others.tolist(), strict=True)], dtype=bool)
+
+    root, whole = by_pivots(label, PIVOT_FAMILY, near)
+    rest = np.flatnonzero(~whole)
+    flat = np.concatenate([np.zeros(0, dtype=U), *[sets[i] for i in rest.tolist()]])
+    a, b, score = reaching_pairs(count_vectors(flat, np.r_[0, np.cumsum([len(sets[i]) for i in rest.tolist()])].astype(np.int64)), n[rest], label[rest], part[rest], percent)
     order = np.argsort(-score, kind="stable")
-    a, b = a[order], b[order]
-    root = np.arange(len(sets))
+    a, b = rest[a[order]], rest[b[order]]
     for s in range(0, len(a), 1024):
         x, y = a[s : s + 1024], b[s : s + 1024]
         apart = root[x] != root[y]
@@ -369,9 +386,7 @@ def link_sets(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, part: np
             p, q = find(i), find(j)
             if p == q:
                 continue
-            both = np.concatenate([sets[i], sets[j]])
-            both.sort(kind="stable")
-            if links(int(n[i]), int(n[j]), int((both[1:] == both[:-1]).sum()), percent):
+            if linked(i, j):
                 joined[max(p, q)] = min(p, q)
         if joined:
             root = roots(len(sets), np.array(list(joined)), np.array(list(joined.values())), root)

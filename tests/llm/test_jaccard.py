@@ -143,3 +143,32 @@ def test_packing():
     keys, cls = rng.integers(0, 1 << 56, 5000, dtype=np.uint64), rng.integers(-(1 << 62), 1 << 62, 40)[rng.integers(0, 40, 5000)]
     got = [jaccard_join._unpack(b) for _, b in jaccard_join._pack(keys, cls, 7)]
     assert sorted(zip(np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist(), strict=True)) == sorted(zip(keys.tolist(), cls.tolist(), strict=True))
+
+
+def test_pivots_join_large_families(monkeypatch):
+    """Components are those of all pairs, with families that pivots join whole, in part or not at all; a family of near
+    copies has no pair bounded."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 48, 200).astype(np.uint64) for _ in range(4)]
+
+    def changed(b, k):
+        s = b.copy()
+        s[rng.integers(0, 200, k)] = rng.integers(0, 1 << 48, k).astype(np.uint64)
+        return np.unique(s)
+
+    sets = [changed(base[0], 3) for _ in range(150)] + [changed(base[1 + i % 2], 15) for i in range(120)] + [changed(base[3], 3 * i) for i in range(66)]
+    label = np.repeat([0, 1, 2], [150, 120, 66])
+    n = np.array([len(s) for s in sets])
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if label[i] == label[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    want = count_tree.roots(len(sets), *(np.array(x) for x in zip(*links, strict=True)))
+    bounded = []
+    real = jaccard_join.reaching_pairs
+    monkeypatch.setattr(jaccard_join, "reaching_pairs", lambda v, n, label, *more: bounded.append(set(label.tolist())) or real(v, n, label, *more))
+    assert np.array_equal(jaccard_join.link_sets(sets, n, label, np.zeros(len(sets), dtype=np.int64)), want)
+    assert len(set(want[:150].tolist())) == 1 and 0 not in bounded[0] and {1, 2} <= bounded[0]
+    vec = count_tree.count_vectors(np.concatenate(sets), np.r_[0, np.cumsum(n)])
+    comp, whole = count_tree.by_pivots(label, 64, count_tree.bounds_reach(vec, n))
+    assert whole[:150].all() and set(comp[:150].tolist()) == {0}
+    a, b, _ = real(vec, n, label, np.zeros(len(sets), dtype=np.int64))
+    reach = count_tree.roots(len(sets), a, b)
+    assert all(reach[i] == reach[c] for i, c in enumerate(comp.tolist()))
