@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import temporal, vectors
+from ..operators.bits import bound
 from .base import SCORED_SQL, WIN_SQL, MEAN_SQL, query, read, scored, windows
 
 S = "WITH " + SCORED_SQL
@@ -70,12 +71,21 @@ def midi_to_hz(spark, d):
     return read(spark, d, "nation").select(F.col("n_nationkey").alias("note"), F.round(fn.midi_hz(F.col("n_nationkey") * 4), 4).alias("hz"))
 
 
-_CHROMA = """ch AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 12), lambda x: abs(x::double)) AS a, list_transform(list_slice(embedding, 13, 24), lambda x: abs(x::double)) AS b FROM embeddings)"""
+def _fold_sql(first: str, last: str) -> str:
+    """Components first to last (excluded), their sizes summed by their number modulo 12."""
+    return f"list_transform(range(0, 12), lambda i: list_sum(list_transform(range({first}, {last}), lambda j: CASE WHEN j % 12 = i THEN abs(embedding[j + 1]::double) ELSE 0 END)))"
+
+
+_CHROMA = f"ch AS (SELECT vec_id, {_fold_sql('0', 'len(embedding) // 2')} AS a, {_fold_sql('len(embedding) // 2', 'len(embedding)')} AS b FROM embeddings)"
 
 
 def chroma(spark, d):
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x))
-    return read(spark, d, "embeddings").select("vec_id", F.slice(v, 1, 12).alias("a"), F.slice(v, 13, 12).alias("b"))
+    """Both halves of every vector as 12 classes: the sizes of all components, by their number modulo 12."""
+    v = F.col("embedding").cast("array<double>")
+    half = F.floor(F.size(v) / 2).cast("int")
+    own = lambda v, inside, i: F.filter(v, lambda x, j: (j % 12 == i) & inside(j))
+    fold = lambda inside: bound(v, lambda v: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.aggregate(own(v, inside, i), F.lit(0.0), lambda s, x: s + F.abs(x))))
+    return read(spark, d, "embeddings").select("vec_id", fold(lambda j: j < half).alias("a"), fold(lambda j: j >= half).alias("b"))
 
 
 @query("scl_12_best_roll", "WITH " + _CHROMA + """, r AS (SELECT vec_id, s, round(list_inner_product(a, list_concat(list_slice(b, 13 - s, 12), list_slice(b, 1, 12 - s))), 6) AS x FROM ch, (SELECT unnest(range(0, 12)) AS s))
@@ -157,10 +167,11 @@ def linear_score(spark, d):
 _PROFILES = "prof(key, p) AS (VALUES " + ", ".join(f"('{k}', {p}::double[])" for k, p in fn.key_profiles()) + ")"
 
 
-@query("scl_21_key_estimate", f"WITH {_CHROMA}, {_PROFILES}, " + """dv AS (SELECT vec_id, list_transform(a, lambda x: x - list_avg(a)) AS v FROM ch), c AS (SELECT vec_id, key, round(list_inner_product(v, p) / sqrt(list_inner_product(v, v)), 6) AS r FROM dv, prof)
+@query("scl_21_key_estimate", f"WITH {_CHROMA}, {_PROFILES}, " + """cw AS (SELECT vec_id, list_transform(list_zip(a, b), lambda p: p[1] + p[2]) AS a FROM ch), dv AS (SELECT vec_id, list_transform(a, lambda x: x - list_avg(a)) AS v FROM cw), c AS (SELECT vec_id, key, round(list_inner_product(v, p) / sqrt(list_inner_product(v, v)), 6) AS r FROM dv, prof)
  SELECT vec_id, arg_min(key, (-r, key)) AS key FROM c GROUP BY vec_id""")
 def key_estimate(spark, d):
-    return chroma(spark, d).select("vec_id", fn.estimate_key(F.col("a")).alias("key"))
+    whole = chroma(spark, d).select("vec_id", F.zip_with("a", "b", lambda x, y: x + y).alias("c"))
+    return whole.select("vec_id", fn.estimate_key(F.col("c")).alias("key"))
 
 
 _NAME = "p_name || '_seg' || p_partkey || '_' || lpad((p_partkey % 5000)::varchar, 6, '0') || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE 'x' END"
