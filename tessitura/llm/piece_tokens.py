@@ -13,7 +13,7 @@ path. Encoding is one pass without a shuffle. ``parity`` holds ids against those
 Defined cases: null text has null ids, 0 tokens and a true round trip; an empty text has no ids; characters outside the
 vocabulary become bytes; a lone surrogate becomes U+FFFD first; round_trip tells whether decoding the ids gives the text
 itself, so it is false where the model's normaliser changes the text, where an id stands for unknown letters, and for
-texts that hold the marker letter; an empty table gives an empty result; other columns are kept. A text that spells the
+texts that hold the marker letter; repeated ids are separate rows; an empty table gives an empty result; other columns are kept. A text that spells the
 name of a byte piece in letters that a unigram model doesn't know is taken for that piece.
 """
 
