@@ -137,3 +137,19 @@ def test_fingerprint_filters_and_invariance():
     for n, why in ((100, "TOO_SHORT"), (8000 * 1801, "TOO_LONG")):
         with pytest.raises(ValueError, match=why):
             signal.fingerprint(np.zeros(n), 8000)
+
+
+def test_headers_never_hold_a_file():
+    """The ends are those of the whole file, and a file of a large key costs two blocks."""
+    import tracemalloc
+
+    from tessitura.plans.q_signal import made_ends
+
+    for key in [*range(1, 60), 395, 396, 399, 2000, 2004]:
+        data = made_file(key)
+        assert made_ends(key) == (data[: containers.HEAD], data[-containers.TAIL :], len(data))
+    assert made_file(40) == signal.wav_bytes(np.zeros(48_000), 8000)
+    tracemalloc.start()
+    assert containers.duration(*made_ends(60_000)) == 1 + 60_000 / 8
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
