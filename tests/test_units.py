@@ -327,6 +327,20 @@ def test_best_scores_reduce_pairs(spark, monkeypatch):
         assert best.count() < 20 * 50 and sorted(map(tuple, retrieval.best_per_window(best).collect())) == want
 
 
+@pytest.mark.parametrize("name", ["jn_01_all_pairs", "agg_01_best_pair", "agg_02_best_per_window", "agg_06_greedy_pairs", "agg_07_continuity", "jn_16_aligned_windows", "win_01_rank_seg_top3_centered", "win_02_rerank_in_pool"])
+def test_blocks_of_one_table(spark, monkeypatch, name):
+    """Beyond one block, sides that come from one table give what SQL gives."""
+    from conftest import DATA
+    from oracle import connect, rows_of, rows_of_sql
+
+    from tessitura.operators import vectors
+    from tessitura.plans import registry
+
+    for k, v in {"QUERY_ROWS": 5, "QUERY_BLOCK": 60, "REF_BLOCK": 150, "STRETCH": 8, "PAIRS": 2000, "LISTED": 6000}.items():
+        monkeypatch.setattr(vectors, k, v)
+    assert rows_of(registry.QUERIES[name](spark, f"{DATA}/sf0.001")) == rows_of_sql(connect(f"{DATA}/sf0.001"), registry.ORACLES[name])[1]
+
+
 def test_conflicts(spark):
     known = spark.createDataFrame([("k", "p"), ("n", None)], "request_key string, payload string")
     req = spark.createDataFrame([("k", "p"), ("k2", "p"), ("n", None), ("n", "q")], "request_key string, payload string")
