@@ -32,7 +32,7 @@ def _struct(fields: str) -> str:
 def frames(spark, d):
     """Chroma frames of 12 made of each vector, padded with zeros, and of its neighbour within the label."""
     e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    return e.withColumn("other", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("other IS NOT NULL")
+    return signal.spread(e.withColumn("other", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("other IS NOT NULL").drop("label"))
 
 
 def kernel(spark, d, f, kind="double"):
@@ -158,11 +158,12 @@ def fingerprints(spark, d):
  SELECT p_partkey, CASE c WHEN 1 THEN (n * 10000 + round(ratio * 10000)::bigint - 1) // round(ratio * 10000)::bigint ELSE round_even(n / tempo, 0)::bigint + 1544 END AS samples, true AS audible FROM n""")
 def filtered(spark, d):
     """The edit manifest's chains run on a tone for each part; what comes out has the length that its edit gives."""
-    p = edits(spark, d).filter("filters IS NOT NULL").select("p_partkey", "filters")
+    p = signal.spread(edits(spark, d).filter("filters IS NOT NULL").select("p_partkey", "filters"))
+
+    note = signal.tone(440.0, 1.0, 22_050)
 
     def run(key, chain):
-        x = signal.tone(440.0, 1.0, 22_050)[: 3000 + 17 * (key % 50)]
-        y = dsp.apply_filters(x, 22_050, chain)
+        y = dsp.apply_filters(note[: 3000 + 17 * (key % 50)], 22_050, chain)
         return [float(len(y)), float(np.abs(y).max())]
 
     out = signal.apply_kernel(p, ["p_partkey"], ["p_partkey", "filters"], run, "array<double>")

@@ -153,3 +153,30 @@ def test_headers_never_hold_a_file():
     assert containers.duration(*made_ends(60_000)) == 1 + 60_000 / 8
     assert tracemalloc.get_traced_memory()[1] < 1 << 20
     tracemalloc.stop()
+
+
+def test_kernels_are_dealt_to_all_tasks(spark):
+    """A table of one small partition, or one label, doesn't leave the kernels to one task."""
+    from conftest import DATA
+
+    from tessitura.plans import q_signal
+
+    note = q_signal.frames(spark, f"{DATA}/sf0.001")
+    assert note.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_fast_filters_equal_plain_ones():
+    """The bank, the recurrence's responses and all window pairs at a time against one by one."""
+    place, near = np.array([0.0, 0.25, 1e-5, 0.999]), np.arange(-23, 25)
+    offset = place[:, None] - near[None, :]
+    plain = np.sinc(offset * 0.8) * np.cos(offset / 25 * np.pi / 2) ** 2
+    assert np.allclose(dsp._bank(place, near, 0.8, 24), plain / plain.sum(axis=1, keepdims=True), atol=1e-10)
+    b, a, x = (0.3, 0.2, 0.1), (-0.5, 0.25), np.random.default_rng(5).normal(size=200)
+    want, s1, s2 = [], 0.0, 0.0
+    for u in x:
+        want.append(b[0] * u + s1)
+        s1, s2 = b[1] * u - a[0] * want[-1] + s2, b[2] * u - a[1] * want[-1]
+    assert np.allclose(dsp.Biquad(b, a)(x), want) and dsp._responses.cache_info().hits + dsp._responses.cache_info().misses
+    w = [np.abs(np.random.default_rng(k).normal(size=(108, 12))) for k in range(5)]
+    plain = [[signal.aligned_score(p, q)[0] for q in w[2:]] for p in w[:3]]
+    assert np.allclose(signal.aligned_scores(w[:3], w[2:]), plain, atol=1e-11)
