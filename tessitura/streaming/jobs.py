@@ -149,27 +149,46 @@ def job_table(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("job_id").agg(F.max_by(F.struct("state", "ignored", "error"), "batch").alias("l")).select("job_id", "l.*")
 
 
+#: Keys of the gate's state. A call of the processor costs far more than a row, so fingerprints share one.
+BUCKETS = 1024
+
+
 class Gate(StatefulProcessor):
     """STR-04: the first upload of a fingerprint, by seq within a batch; all others, of this batch or a later one, are its
-    copies."""
+    copies. The state of a bucket maps its fingerprints to their first uploads and is asked for those that a batch brings."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "id long")
+        self.first = handle.getMapState("first", "fingerprint string", "id long")
+
+    @staticmethod
+    def _key(fingerprint: str | None) -> tuple[str]:
+        return ("" if fingerprint is None else f"={fingerprint}",)  # a null is a fingerprint of its own
+
+    def _known(self, fingerprint: str | None) -> int | None:
+        held = self.first.getValue(self._key(fingerprint))
+        return None if held is None else int(held[0])
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        self.first.update((int(initialState["id"].min()),))
+        for fingerprint, id_ in zip(initialState["fingerprint"].tolist(), initialState["id"].tolist(), strict=True):
+            held = self._known(fingerprint)
+            if held is None or id_ < held:
+                self.first.updateValue(self._key(fingerprint), (int(id_),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        own = pd.concat(list(rows)).sort_values(["seq", "id"])["id"].astype("int64")  # a batch's copies: two numbers each
-        if self.first.exists():
-            known, new = int(self.first.get()[0]), False
-        else:
-            known, new = int(own.iloc[0]), True
-            self.first.update((known,))
-        of = pd.Series(known, index=range(len(own)), dtype="Int64")
-        if new:
-            of.iloc[0] = pd.NA
-        yield pd.DataFrame({"id": own.to_numpy(), "fingerprint": key[0], "status": of.isna().map({True: "ACCEPTED", False: "REJECTED"}), "duplicate_of": of})
+        own = pd.concat([r[["id", "fingerprint", "seq"]] for r in rows]).sort_values(["seq", "id"])  # no more than these of a batch's copies
+        first: dict[str | None, int] = {}
+        of: list[int | None] = []
+        for id_, fingerprint in zip(own["id"].tolist(), own["fingerprint"].tolist(), strict=True):
+            if fingerprint not in first:
+                known = self._known(fingerprint)
+                first[fingerprint] = id_ if known is None else known
+                if known is None:
+                    self.first.updateValue(self._key(fingerprint), (int(id_),))
+                    of.append(None)
+                    continue
+            of.append(first[fingerprint])
+        status = ["ACCEPTED" if x is None else "REJECTED" for x in of]
+        yield pd.DataFrame({"id": own["id"].to_numpy(), "fingerprint": own["fingerprint"].to_numpy(), "status": status, "duplicate_of": pd.array(of, dtype="Int64")})
 
     def close(self) -> None:
         pass
@@ -179,8 +198,9 @@ def run_gate(uploads: DataFrame, log: str, checkpoint: str, registry: DataFrame
     """A stream of uploads (id, fingerprint, seq) against a registry (id, fingerprint) that accepted ones join. The
     registry is read once, as the state that the first batch begins with; after that a batch costs what it brings.
     ``log`` gets a row for every upload."""
-    known = registry.select(F.col("id").cast("long"), "fingerprint").groupBy("fingerprint") if registry is not None else None
-    told = uploads.groupBy("fingerprint").transformWithStateInPandas(Gate(), "id long, fingerprint string, status string, duplicate_of long", "Append", "None", known)
+    bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS)).alias("bucket")
+    known = registry.select(F.col("id").cast("long"), "fingerprint", bucket).groupBy("bucket") if registry is not None else None
+    told = uploads.select("id", "fingerprint", "seq", bucket).groupBy("bucket").transformWithStateInPandas(Gate(), "id long, fingerprint string, status string, duplicate_of long", "Append", "None", known)
     return _keep(told, log, checkpoint, "append", availableNow=True)
 
 

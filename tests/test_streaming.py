@@ -72,3 +72,16 @@ def test_gate_keeps_its_state(spark, tmp_path):
     assert read() == want
     run()
     assert read() == want
+
+
+def test_gate_takes_many_fingerprints_a_call():
+    """One call of the processor decides all fingerprints of its bucket, and asks the state for each of them once."""
+    import pandas as pd
+
+    held, asked = {("=z",): (2,)}, []
+    made = jobs.Gate()
+    made.first = type("State", (), {"getValue": lambda self, k: asked.append(k) or held.get(k), "updateValue": lambda self, k, v: held.__setitem__(k, v)})()
+    rows = pd.DataFrame({"id": [13, 11, 12, 14, 15, 16, 17], "fingerprint": ["a", "b", "a", "z", None, None, ""], "seq": [3, 1, 2, 4, 5, 6, 7]})
+    out = pd.concat(made.handleInputRows((5,), iter([rows[:3], rows[3:]]), None))
+    assert {r.id: None if pd.isna(r.duplicate_of) else r.duplicate_of for r in out.itertuples()} == {11: None, 12: None, 13: 12, 14: 2, 15: None, 16: 15, 17: None}
+    assert len(asked) == 5 and held[("=a",)] == (12,)
