@@ -1,6 +1,7 @@
 """Tree ensembles that Spark ML lacks: extremely randomised trees and histogram gradient boosting.
 
-Extra-trees are grown level by level by DataFrame aggregates, all trees at once. A row is held once for each tree and
+Extra-trees are grown level by level by DataFrame aggregates, all trees at once, until a node holds ``SUBTREE`` rows or
+fewer: what lies below such a node is grown by the same draws in one group. Above, a row is held once for each tree and
 node it stands in. One aggregate gives every node's counts and the range of every feature, from which each node's
 features and cuts are drawn by a hash of (seed, tree, node, feature); a second gives the weighted class counts on both
 sides of every drawn cut, and the best cut parts the rows. There is no bootstrap and nothing is sampled, so a forest
@@ -29,6 +30,8 @@ from ..scratch import settle
 #: Nodes that a task holds at a time when a model is applied, and nodes up to which a level's draws are broadcast.
 NODES, DEPTH = 1_000_000, 60
 BROADCAST_NODES = 20_000
+#: Rows of a node up to which all that lies below it is grown in one group.
+SUBTREE = 8192
 
 
 def balanced(rows: DataFrame, label: str = "y", weight: str = "w") -> DataFrame:
@@ -74,7 +77,21 @@ def fit_extra_trees(rows: DataFrame, trees: int, leaf: int = 3, share: float = 0
     left = F.expr("array(" + ", ".join(f"struct(count_if(_l{j}) AS n, sum(if(_l{j}, w, 0D)) AS w, sum(if(_l{j} AND y, w, 0D)) AS p)" for j in range(most)) + ") AS left")
     draw = _drawn(F.col("low"), F.col("high"), width, most, seed)
     out = []
+    nodes = "tree int, node long, f int, cut double, value double, n long"
     for level in range(deepest + 1):
+        sizes = settle(held.groupBy("tree", "node").agg(F.count("*").alias("n")), "sizes")
+        total, large = sizes.count(), sizes.filter(F.col("n") > SUBTREE).count()
+        if total > large:
+            small = sizes.filter(F.col("n") <= SUBTREE).select("tree", "node")
+            part = held if not large else held.join(F.broadcast(small) if total - large <= BROADCAST_NODES else small, ["tree", "node"], "left_semi")
+            dealt = part.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "tree", "node").groupBy("tree", "node")
+            out.append(settle(dealt.applyInArrow(_subtrees(width, most, leaf, level, deepest, seed), nodes), "subtrees"))
+            if not large:
+                break
+            some = sizes.filter(F.col("n") > SUBTREE).select("tree", "node")
+            held = held.join(F.broadcast(some) if large <= BROADCAST_NODES else some, ["tree", "node"], "left_semi")
+        elif not total:
+            break
         stats = held.groupBy("tree", "node").agg(*counts, *ends)
         open_ = (F.col("n") >= 2 * leaf) & (F.col("ones") > 0) & (F.col("ones") < F.col("n")) & F.lit(level < deepest)
         drawn = F.when(open_, draw).alias("drawn")
@@ -86,7 +103,83 @@ def fit_extra_trees(rows: DataFrame, trees: int, leaf: int = 3, share: float = 0
             break
         to = F.col("node") * 2 + F.when(F.get("v", F.col("f")) <= F.col("cut"), 1).otherwise(2)
         held = settle(held.join(few(splits), ["tree", "node"]).select("v", "y", "w", "tree", to.alias("node")), "held")
-    return settle(reduce(DataFrame.unionByName, out), "forest")
+    return settle(reduce(DataFrame.unionByName, out), "forest") if out else rows.sparkSession.createDataFrame([], nodes)
+
+
+_MASK = (1 << 64) - 1
+# Fixed values of XXH64, which Spark's xxhash64 is.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def _mixed(value: int, h: int) -> int:
+    """Spark's xxhash64 of a long that follows columns of hash ``h``, as an unsigned number."""
+    x = value * _P2 & _MASK
+    h = (h + _P5 + 8 & _MASK) ^ ((x << 31 | x >> 33) & _MASK) * _P1 & _MASK
+    h = ((h << 27 | h >> 37) & _MASK) * _P1 + _P4 & _MASK
+    h = (h ^ h >> 33) * _P2 & _MASK
+    h = (h ^ h >> 29) * _P3 & _MASK
+    return h ^ h >> 32
+
+
+def _mixed_all(values: np.ndarray, h: int) -> np.ndarray:
+    """``_mixed`` of each of many unsigned numbers."""
+    p1, p2, p3, p4 = (np.uint64(x) for x in (_P1, _P2, _P3, _P4))
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    x = np.uint64(h + _P5 + 8 & _MASK) ^ turn(values * p2, 31) * p1
+    x = turn(x, 27) * p1 + p4
+    x = (x ^ x >> np.uint64(33)) * p2
+    x = (x ^ x >> np.uint64(29)) * p3
+    return x ^ x >> np.uint64(32)
+
+
+def _features(t: pa.Table, width: int) -> np.ndarray:
+    """The arrays of column v as rows of a matrix; NaN for a null or missing element."""
+    v = t["v"].combine_chunks()
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = np.diff(v.offsets.to_numpy())
+    x = np.full((len(t), width), np.nan)
+    x[np.arange(width)[None, :] < lengths[:, None]] = flat
+    return x
+
+
+def _subtrees(width: int, most: int, leaf: int, level: int, deepest: int, seed: int) -> Callable:
+    """Grows what lies at and below the node of a group, by the draws and the choice of ``fit_extra_trees``."""
+    every = np.arange(width, dtype=np.uint64)
+    purity = lambda p, w: (p * p + (w - p) * (w - p)) / w
+
+    def draws(tree: int, node: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, order = (_mixed_all(every, _mixed(node, _mixed(tree, _mixed(s, 42)))) for s in (seed, seed + 1))
+        cut = low + (at & np.uint64((1 << 53) - 1)).astype(np.float64) / float(1 << 53) * (high - low)
+        cut = np.where(cut < high, cut, low)
+        open_ = np.flatnonzero(low < high)
+        f = open_[np.argsort(order.view(np.int64)[open_], kind="stable")][:most]
+        return f, cut[f]
+
+    def grow(t: pa.Table) -> pa.Table:
+        x, y, w = _features(t, width), t["y"].to_numpy(), t["w"].to_numpy()
+        p = w * y
+        tree, found = t["tree"][0].as_py(), []
+        todo = [(t["node"][0].as_py(), level, np.arange(len(t)))]
+        while todo:
+            node, depth, rows = todo.pop()
+            n, ones, whole, positive = len(rows), int(y[rows].sum()), w[rows].sum(), p[rows].sum()
+            best = None
+            if n >= 2 * leaf and 0 < ones < n and depth < deepest:
+                own = x[rows]
+                f, cut = draws(tree, node, np.fmin.reduce(own, axis=0), np.fmax.reduce(own, axis=0))
+                left = own[:, f] <= cut
+                ln, lw, lp = left.sum(axis=0), w[rows] @ left, p[rows] @ left
+                fits = np.flatnonzero((ln >= leaf) & (n - ln >= leaf))
+                if len(fits):
+                    j = fits[np.round(purity(lp[fits], lw[fits]) + purity(positive - lp[fits], whole - lw[fits]), 9).argmax()]
+                    best = int(f[j]), float(cut[j])
+                    todo += [(2 * node + 1, depth + 1, rows[left[:, j]]), (2 * node + 2, depth + 1, rows[~left[:, j]])]
+            found.append((tree, node, *(best or (None, None)), float(positive / whole), n))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["tree", "node", "f", "cut", "value", "n"])
+
+    return grow
 
 
 def _best(held: DataFrame, drawn: DataFrame, most: int, leaf: int, few: Callable, sides: list[Column], left: Column) -> DataFrame:

@@ -65,6 +65,16 @@ def plain_extra_tree(rows, t, leaf, share, depth, seed):
     return out
 
 
+@pytest.mark.parametrize(("depth", "subtree"), [(None, 0), (3, 0), (None, 40), (3, 40), (None, 8192), (3, 8192)])
+def test_extra_trees_equal_a_plain_version_by_subtrees(spark, monkeypatch, depth, subtree):
+    """By levels alone, by levels and then in groups, in groups alone; in groups a forest takes few jobs, however deep."""
+    monkeypatch.setattr(trees, "SUBTREE", subtree)
+    tables = []
+    monkeypatch.setattr(trees, "settle", lambda df, tag, f=trees.settle: tables.append(tag) or f(df, tag))
+    test_extra_trees_equal_a_plain_version(spark, depth)
+    assert len(tables) == 4 if subtree == 8192 else len(tables) > 8
+
+
 @pytest.mark.parametrize("depth", [None, 3])
 def test_extra_trees_equal_a_plain_version(spark, depth):
     rows = some_rows(300, 7, 1)
