@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..scratch import settle
 
-#: Query windows up to this number are broadcast as one matrix; beyond it both sides are dealt in blocks.
-QUERY_ROWS, QUERY_BLOCK, REF_BLOCK = 20_000, 4096, 8192
-#: Pairs of one matrix product, and of a block that lists all its pairs.
-PAIRS, LISTED = 2_000_000, 4_000_000
+#: Where all pairs are listed, query windows up to this number are broadcast as one matrix; beyond it, and where blocks are
+#: folded, both sides are dealt in blocks. Folded blocks grow where there are more than CELLS, up to GROW times a side.
+QUERY_ROWS, QUERY_BLOCK, REF_BLOCK, CELLS, GROW = 20_000, 4096, 8192, 256, 8
+#: Pairs of one matrix product (of a cache's size), and rows of a block that lists all its pairs or best windows.
+PAIRS, LISTED = 500_000, 4_000_000
 #: Windows of a query or track that stay together where neighbours count.
 STRETCH = 256
+#: Tasks of a grid at most.
+TASKS = 2000
 #: Seconds by which neighbouring windows are apart, and by how much that may be off.
 STEP, TOLERANCE = 5.0, 0.51
 
@@ -63,7 +67,7 @@ def _all(q: pa.Table, r: pa.Table, digits: int) -> pa.Table:
     if not len(q) or not len(r):
         none = np.zeros(0, dtype=np.int64)
         return _table(q, r, none, none, np.zeros(0))
-    left, right, step = _matrix(q).T, _matrix(r), max(1, PAIRS // 4 // len(q))
+    left, right, step = _matrix(q).T, _matrix(r), max(1, PAIRS // len(q))
     parts = ((a, np.round(right[a : a + step] @ left, digits)) for a in range(0, len(r), step))
     return pa.concat_tables(_table(q, r, np.tile(np.arange(len(q)), len(s)), a + np.repeat(np.arange(len(s)), len(q)), s.ravel()) for a, s in parts)
 
@@ -73,16 +77,28 @@ def _best(q: pa.Table, r: pa.Table, digits: int) -> pa.Table:
     if not len(q) or not len(r):
         return _all(q, r, digits)
     r = r.sort_by([("track_id", "ascending"), ("r_off", "ascending")])
-    begin = _starts(r["track_id"])
-    left, right, step, column = _matrix(q).T, _matrix(r), max(1, PAIRS // len(q)), np.arange(len(q))
-    at, best = np.zeros((len(begin), len(q)), dtype=np.int64), np.full((len(begin), len(q)), -np.inf)
-    for k, (first, last) in enumerate(zip(begin, np.r_[begin[1:], len(r)], strict=True)):
-        for a in range(first, last, step):
-            s = np.round(right[a : min(last, a + step)] @ left, digits)
-            i = s.argmax(axis=0)
-            better = s[i, column] > best[k]
-            best[k], at[k] = np.where(better, s[i, column], best[k]), np.where(better, a + i, at[k])
-    return _table(q, r, np.tile(column, len(begin)), at.ravel(), best.ravel())
+    left, right, begin, out = _matrix(q), _matrix(r).T, _starts(r["track_id"]), []
+    rows = max(1, math.isqrt(PAIRS // 2))
+    for c in range(0, len(q), rows):
+        side = left[c : c + rows]
+        line = np.arange(len(side))
+        at, best = np.zeros((len(begin), len(side)), dtype=np.int64), np.full((len(begin), len(side)), -np.inf)
+        for a in range(0, len(r), 2 * rows):
+            s = side @ right[:, a : a + 2 * rows]
+            b = a + s.shape[1]
+            tracks = range(np.searchsorted(begin, a, side="right") - 1, np.searchsorted(begin, b))
+            for k in tracks:
+                first, end = max(a, begin[k]), min(b, begin[k + 1]) if k + 1 < len(begin) else b
+                part = s[:, first - a : end - a]
+                top = np.round(part.max(axis=1), digits)
+                # the first score that lies close enough to round to the top; where it doesn't, its row is rounded whole
+                i = (part >= (top - 0.51 * 10.0**-digits - 1e-12 * np.abs(top))[:, None]).argmax(axis=1)
+                for j in np.flatnonzero(np.round(part[line, i], digits) != top):
+                    i[j] = (np.round(part[j], digits) == top[j]).argmax()
+                better = top > best[k]
+                best[k], at[k] = np.where(better, top, best[k]), np.where(better, first + i, at[k])
+        out.append(_table(q, r, np.tile(c + line, len(begin)), at.ravel(), best.ravel()))
+    return pa.concat_tables(out)
 
 
 def _starts(*columns: pa.ChunkedArray) -> np.ndarray:
@@ -96,8 +112,13 @@ def _starts(*columns: pa.ChunkedArray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _cells(df: DataFrame, size: int) -> int:
-    return max(1, -(-df.count() // size))
+def _sides(q: int, r: int, tracks: float = 0.0) -> tuple[int, int]:
+    """Blocks a side so that few cells copy either side. tracks: rows that a pair's cell gives for each window squared, by
+    which blocks are kept so small that a cell gives at most LISTED rows."""
+    grow = min(max(1.0, math.sqrt(q / QUERY_BLOCK * r / REF_BLOCK / CELLS)), GROW)
+    if tracks:
+        grow = min(grow, math.sqrt(LISTED / (QUERY_BLOCK * REF_BLOCK * tracks)))
+    return max(1, math.ceil(q / (QUERY_BLOCK * grow))), max(1, math.ceil(r / (REF_BLOCK * grow)))
 
 
 def _deal(cells: int, *columns: str) -> Column:
@@ -108,123 +129,141 @@ def _every(cells: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
 
 
-def _grid(left: DataFrame, right: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """kernel over each cell (qi, ri) of the grid. Sides come from tables of their own, for columns that both have from one
-    plan would reach the kernel on one side only."""
-    return left.groupBy("qi", "ri").cogroup(right.groupBy("qi", "ri")).applyInArrow(kernel, schema)
+def _grid(left: DataFrame, right: DataFrame, kernel: Callable, schema: str, cells: int) -> DataFrame:
+    """kernel over each cell (qi, ri) of the grid, dealt to as many tasks. Sides come from tables of their own, for columns
+    that both have from one plan would reach the kernel on one side only."""
+    left, right = (x.repartition(min(cells, TASKS), "qi", "ri").groupBy("qi", "ri") for x in (left, right))
+    return left.cogroup(right).applyInArrow(kernel, schema)
 
 
-def _blocks(queries: DataFrame, refs: DataFrame, kernel, digits: int) -> DataFrame:
-    """kernel over blocks that together hold every pair of a query window with a reference window once."""
-    q, r = queries.select("query_id", "q_off", "v"), refs.select("track_id", "r_off", "v")
+def _schema(q: DataFrame, r: DataFrame) -> str:
     kinds = {**dict(q.dtypes), **dict(r.dtypes)}
-    schema = f"query_id {kinds['query_id']}, q_off double, track_id {kinds['track_id']}, r_off double, score double"
+    return f"query_id {kinds['query_id']}, q_off double, track_id {kinds['track_id']}, r_off double, score double"
+
+
+def pair_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
+    """JN-01: dot product of every query window (query_id, q_off, v) with every reference window (track_id, r_off, v)."""
+    q, r = queries.select("query_id", "q_off", "v"), refs.select("track_id", "r_off", "v")
+    schema = _schema(q, r)
     n = q.limit(QUERY_ROWS + 1).count()
     if n <= QUERY_ROWS:
         shared = q.sparkSession.sparkContext.broadcast(q.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, PAIRS // max(1, len(shared.value)))
+            step = max(1, 4 * PAIRS // max(1, len(shared.value)))
             for batch in batches:
                 for a in range(0, batch.num_rows, step):
-                    yield from kernel(shared.value, pa.Table.from_batches([batch.slice(a, step)]), digits).combine_chunks().to_batches()
-
-        out = r.repartition(r.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
-    else:
-        size = (max(1, LISTED // REF_BLOCK * 2), REF_BLOCK // 2) if kernel is _all else (QUERY_BLOCK, REF_BLOCK)
-        left, right = settle(q, "queries"), settle(r, "references")
-        nq, nr = _cells(left, size[0]), _cells(right, size[1])
-        left, right = left.withColumn("qi", _deal(nq, "query_id", "q_off")), right.withColumn("ri", _deal(nr, "track_id", "r_off"))
-        out = _grid(left.withColumn("ri", _every(nr)), right.withColumn("qi", _every(nq)), lambda a, b: kernel(a, b, digits), schema)
-    return out
+                    yield from _all(shared.value, pa.Table.from_batches([batch.slice(a, step)]), digits).combine_chunks().to_batches()
 
-
-def pair_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
-    """JN-01: dot product of every query window (query_id, q_off, v) with every reference window (track_id, r_off, v)."""
-    return _blocks(queries, refs, _all, digits)
+        return r.repartition(r.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    left, right = settle(q, "queries"), settle(r, "references")
+    nq, nr = max(1, -(-left.count() // max(1, LISTED // REF_BLOCK * 2))), max(1, -(-right.count() // max(1, REF_BLOCK // 2)))
+    left, right = left.withColumn("qi", _deal(nq, "query_id", "q_off")), right.withColumn("ri", _deal(nr, "track_id", "r_off"))
+    return _grid(left.withColumn("ri", _every(nr)), right.withColumn("qi", _every(nq)), lambda a, b: _all(a, b, digits), schema, nq * nr)
 
 
 def best_scores(queries: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
-    """The rows of ``pair_scores`` that a block can't rule out as best of their query window and track, so that what moves
-    follows windows times tracks and not pairs of windows."""
-    return _blocks(queries, refs, _best, digits)
+    """The rows of ``pair_scores`` that a block can't rule out as best of their query window and track. Blocks hold what is
+    next to each other in order of tracks, so that what moves follows windows times (tracks + blocks), not pairs of windows."""
+    q, r = settle(queries.select("query_id", "q_off", "v"), "queries"), settle(refs.select("track_id", "r_off", "v"), "references")
+    n, tracks = r.agg(F.count("*"), F.countDistinct(F.struct("track_id"))).first()
+    nq, nr = _sides(q.count(), n, tracks / max(1, n))
+    r = settle(r.repartitionByRange(nr, "track_id", "r_off").withColumn("ri", F.spark_partition_id().cast("long")), "blocks")
+    nr = (r.agg(F.max("ri")).first()[0] or 0) + 1
+    left = q.withColumn("qi", _deal(nq, "query_id", "q_off")).withColumn("ri", _every(nr))
+    return _grid(left, r.withColumn("qi", _every(nq)), lambda a, b: _best(a, b, digits), _schema(q, r), nq * nr)
 
 
 # --- best of whole queries and tracks -----------------------------------------------------------------------
 
 
-def _numbered(df: DataFrame, key: str, off: str, cell: str, size: int, tag: str) -> tuple[DataFrame, int]:
+def _numbered(df: DataFrame, key: str, off: str, tag: str) -> DataFrame:
     """A side's windows in stretches of their key, each with the two windows that come next (not ``core`` there), the
-    number ``n``, whether the next one (``one``) and the next two (``two``) follow by regular steps, and the stretch's cell."""
+    number ``n``, whether the next one (``one``) and the next two (``two``) follow by regular steps, and the windows of the
+    longest such run of the key (``reach``)."""
     w = Window.partitionBy(key).orderBy(off)
     ok = F.coalesce(F.abs(F.lead(off).over(w) - F.col(off) - STEP) <= TOLERANCE, F.lit(False))
     d = df.select(key, off, "v").withColumns({"n": F.row_number().over(w) - 1, "one": ok})
     d = d.withColumn("two", F.col("one") & F.coalesce(F.lead("one").over(w), F.lit(False)))
+    d = d.withColumn("reach", F.max(1 + F.col("one").cast("int") + F.col("two").cast("int")).over(Window.partitionBy(key)))
     own = F.floor(F.col("n") / STRETCH)
     parts = F.when((F.col("n") % STRETCH < 2) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    d = settle(d.withColumn("part", F.explode(parts)).withColumn("core", F.col("part") == own), tag)
-    cells = _cells(d, size)
-    return d.withColumn(cell, _deal(cells, key, "part")), cells
+    return settle(d.withColumn("part", F.explode(parts)).withColumn("core", F.col("part") == own), tag)
+
+
+def _pieces(begin: np.ndarray, n: int, step: int) -> list[tuple[int, int]]:
+    """n rows in pieces of about ``step`` that end where one of the stretches that begin so does."""
+    cuts = [0]
+    for a, b in zip(begin, np.r_[begin[1:], n], strict=True):
+        if b - cuts[-1] > step and a > cuts[-1]:
+            cuts.append(int(a))
+    return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
-def _fold(s: np.ndarray, r_at: np.ndarray, q_at: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The largest value of each stretch of rows and columns, with its column and row: the first by column, then row, or the
-    last."""
-    top = np.maximum.reduceat(np.maximum.reduceat(s, r_at, axis=0), q_at, axis=1)
-    r_n, q_n = np.diff(np.r_[r_at, len(s)]), np.diff(np.r_[q_at, s.shape[1]])
-    met = s == np.repeat(np.repeat(top, r_n, axis=0), q_n, axis=1)
-    place = np.where(met, np.arange(s.shape[1])[None, :] * len(s) + np.arange(len(s))[:, None], -1 if last else s.size)
-    pick = np.maximum if last else np.minimum
-    found = pick.reduceat(pick.reduceat(place, r_at, axis=0), q_at, axis=1)
-    return top, found // len(s), found % len(s)
+def _within(begin: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where the groups that begin so start in the piece from a to b, counted from a."""
+    return np.r_[0, begin[(begin > a) & (begin < b)] - a]
 
 
-def _exclude(s: np.ndarray, taken: list[dict], q_off: np.ndarray, r_off: np.ndarray, q_side: dict, r_side: dict, gap: float) -> None:
+def _exclude(s: np.ndarray, taken: dict, queries: list, tracks: list, q_at: np.ndarray, r_at: np.ndarray, q_off: np.ndarray, r_off: np.ndarray, gap: float) -> None:
     """Lower to -inf what lies less than ``gap`` from a taken pair of its query and track on either axis."""
-    for t in taken:
-        if (c := q_side.get(t["query_id"])) is None or (a := r_side.get(t["track_id"])) is None:
-            continue
-        for q, r in zip(t["q_taken"], t["r_taken"], strict=True):
-            block = s[a[0] : a[1], c[0] : c[1]]
-            block[np.abs(r_off[a[0] : a[1]] - r) < gap, :] = -np.inf
-            block[:, np.abs(q_off[c[0] : c[1]] - q) < gap] = -np.inf
+    for t, a, b in zip(tracks, r_at, np.r_[r_at[1:], len(s)], strict=True):
+        for u, c, d in zip(queries, q_at, np.r_[q_at[1:], s.shape[1]], strict=True):
+            block = s[a:b, c:d]
+            for q, r in taken.get((u, t), ()):
+                block[np.abs(r_off[a:b] - r) < gap, :] = -np.inf
+                block[:, np.abs(q_off[c:d] - q) < gap] = -np.inf
 
 
 def _runs(q: pa.Table, r: pa.Table, digits: int, most: int, last: bool, gap: float, schema: pa.Schema) -> pa.Table:
-    """Of each query and track of a cell the best runs of 1 to ``most`` pairs of windows that advance together."""
-    flags = lambda t, *names: [t[c].to_numpy().astype(bool) for c in names]
+    """Of each query and track of a cell the best run of windows that advance together, of the most that both sides reach
+    anywhere up to ``most``. Rounding keeps order, so maxima by window are rounded, and only their columns after them."""
     taken = q.filter(q["track_id"].is_valid()).select(["query_id", "track_id", "q_taken", "r_taken"]).to_pylist() if len(q) else []
+    taken = {(t["query_id"], t["track_id"]): list(zip(t["q_taken"], t["r_taken"], strict=True)) for t in taken}
     q = q.filter(q["track_id"].is_null()) if len(q) else q
     if not len(q) or not len(r):
         return schema.empty_table()
     q = q.sort_by([(c, "ascending") for c in ("query_id", "part", "n")])
     r = r.sort_by([(c, "ascending") for c in ("track_id", "part", "n")])
     left, right, q_off, r_off = _matrix(q).T, _matrix(r), q["q_off"].to_numpy(), r["r_off"].to_numpy()
-    q_at, begin, out = _starts(q["query_id"]), _starts(r["track_id"], r["part"]), []
-    q_ok, r_ok = (np.array(flags(t, "core", "one", "two")) for t in (q, r))
-    q_side = dict(zip(q["query_id"].take(pa.array(q_at)).to_pylist(), zip(q_at, np.r_[q_at[1:], len(q)], strict=True), strict=True))
-    cuts, step = [0], max(1, PAIRS // len(q))
-    for a, b in zip(begin, np.r_[begin[1:], len(r)], strict=True):  # products end where a stretch does
-        if b - cuts[-1] > step and a > cuts[-1]:
-            cuts.append(int(a))
-    for a, b in zip(cuts, [*cuts[1:], len(r)], strict=True):
-        track = r["track_id"].slice(a, b - a)
-        r_at, s = _starts(track), np.round(right[a:b] @ left, digits)
-        if taken:
-            r_side = dict(zip(track.take(pa.array(r_at)).to_pylist(), zip(r_at, np.r_[r_at[1:], b - a], strict=True), strict=True))
-            _exclude(s, taken, q_off, r_off[a:b], q_side, r_side, gap)
-        for k in range(1, most + 1):
-            x = s.copy()
-            for j in range(1, k):
-                x[: len(s) - j, : s.shape[1] - j] += s[j:, j:]
-            # a run begins at a core window, and its windows follow by regular steps
-            ok = [f[0] & (f[k - 1] if k > 1 else True) for f in (r_ok[:, a:b], q_ok)]
-            x[~ok[0], :], x[:, ~ok[1]] = -np.inf, -np.inf
-            top, qi, ri = (y.ravel() for y in _fold(np.round(x / k, 8), r_at, q_at, last))
-            use = np.isfinite(top)
-            qi, ri = pa.array(qi[use]), pa.array(ri[use] + a)
-            out.append(pa.table([q["query_id"].take(qi), r["track_id"].take(ri), pa.array(np.full(len(qi), k, dtype=np.int64)), pa.array(top[use]), q["q_off"].take(qi), r["r_off"].take(ri)], schema=schema))
-    return pa.concat_tables(out)
+    q_ok, r_ok = ({k: t["core"].to_numpy().astype(bool) & t[c].to_numpy().astype(bool) for k, c in ((2, "one"), (3, "two"))} for t in (q, r))
+    q_reach, r_reach, q_new, r_new = q["reach"].to_numpy(), r["reach"].to_numpy(), _starts(q["query_id"]), _starts(r["track_id"])
+    rows, found = max(1, math.isqrt(PAIRS // 2)), [[], [], [], []]
+    q_pieces, r_pieces = _pieces(_starts(q["query_id"], q["part"]), len(q), 2 * rows), _pieces(_starts(r["track_id"], r["part"]), len(r), rows)
+    for a, b in r_pieces:
+        r_at = _within(r_new, a, b)
+        r_end = np.r_[r_at[1:], b - a]
+        for c, d in q_pieces:
+            q_at = _within(q_new, c, d)
+            s = right[a:b] @ left[:, c:d]
+            if taken:
+                ids = (t.take(pa.array(x)).to_pylist() for t, x in ((q["query_id"], c + q_at), (r["track_id"], a + r_at)))
+                _exclude(s, taken, *ids, q_at, r_at, q_off[c:d], r_off[a:b], gap)
+            windows = np.minimum(np.minimum.outer(r_reach[a + r_at], q_reach[c + q_at]), most)
+            for k in np.unique(windows):
+                x = s
+                mean = lambda y, k=k: np.round((np.round(y, digits) if k == 1 else y) / k, 8)
+                if k > 1:  # a run begins at a core window, and its windows follow by regular steps
+                    one = np.round(s, digits)
+                    x = one.copy()
+                    for j in range(1, k):
+                        x[: len(s) - j, : s.shape[1] - j] += one[j:, j:]
+                    x[~r_ok[k][a:b]] = -np.inf
+                top = mean(np.maximum.reduceat(x, r_at, axis=0))
+                if k > 1:
+                    top[:, ~q_ok[k][c:d]] = -np.inf
+                best = np.maximum.reduceat(top, q_at, axis=1)
+                met = top == np.repeat(best, np.diff(np.r_[q_at, d - c]), axis=1)
+                column = (np.maximum if last else np.minimum).reduceat(np.where(met, np.arange(d - c), -1 if last else d - c), q_at, axis=1)
+                for t in range(len(r_at)):
+                    g = np.flatnonzero(np.isfinite(best[t]) & (windows[t] == k))
+                    same = mean(x[r_at[t] : r_end[t], column[t, g]]) == best[t, g]
+                    row = len(same) - 1 - same[::-1].argmax(axis=0) if last else same.argmax(axis=0)
+                    for whole, part in zip(found, (np.full(len(g), k), best[t, g], c + column[t, g], a + r_at[t] + row), strict=True):
+                        whole.append(part)
+    k, top, qi, ri = (np.concatenate(x) for x in found)
+    qi, ri = pa.array(qi), pa.array(ri)
+    return pa.table([q["query_id"].take(qi), r["track_id"].take(ri), pa.array(k.astype(np.int64)), pa.array(top), q["q_off"].take(qi), r["r_off"].take(ri)], schema=schema)
 
 
 class Sides:
@@ -233,8 +272,9 @@ class Sides:
 
     def __init__(self, queries: DataFrame, refs: DataFrame, digits: int = 6):
         self.digits = digits
-        self.left, self.nq = _numbered(queries, "query_id", "q_off", "qi", QUERY_BLOCK, "queries")
-        self.right, self.nr = _numbered(refs, "track_id", "r_off", "ri", REF_BLOCK, "references")
+        left, right = _numbered(queries, "query_id", "q_off", "queries"), _numbered(refs, "track_id", "r_off", "references")
+        self.nq, self.nr = _sides(left.count(), right.count())
+        self.left, self.right = left.withColumn("qi", _deal(self.nq, "query_id", "part")), right.withColumn("ri", _deal(self.nr, "track_id", "part"))
 
     def runs(self, most: int = 1, last: bool = False, taken: DataFrame | None = None, gap: float = 0.0) -> DataFrame:
         """query_id, track_id, windows, score, q_off, r_off: of each query and track the best run of the largest number of
@@ -250,7 +290,7 @@ class Sides:
             cells = taken.join(self.left.select("query_id", "qi").distinct(), "query_id").join(self.right.select("track_id", "ri").distinct(), "track_id")
             left = left.unionByName(cells, allowMissingColumns=True)
         digits = self.digits
-        found = _grid(left, self.right.withColumn("qi", _every(self.nq)), lambda a, b: _runs(a, b, digits, most, last, gap, schema), spec)
+        found = _grid(left, self.right.withColumn("qi", _every(self.nq)), lambda a, b: _runs(a, b, digits, most, last, gap, schema), spec, self.nq * self.nr)
         sign = (lambda c: F.col(c)) if last else (lambda c: -F.col(c))
         top = F.max(F.struct("windows", "score", sign("q_off").alias("q"), sign("r_off").alias("r"))).alias("t")
         return found.groupBy("query_id", "track_id").agg(top).select("query_id", "track_id", "t.windows", "t.score", sign("t.q").alias("q_off"), sign("t.r").alias("r_off"))
