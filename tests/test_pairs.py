@@ -15,6 +15,7 @@ BLOCKS = {"QUERY_BLOCK": 60, "REF_BLOCK": 150, "STRETCH": 8, "PAIRS": 2000, "LIS
 NAMES = [
     "agg_02_best_per_window",
     "agg_07_continuity",
+    "agg_05_greedy_top3",
 ]
 
 
