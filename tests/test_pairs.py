@@ -16,6 +16,7 @@ NAMES = [
     "agg_02_best_per_window",
     "agg_07_continuity",
     "agg_05_greedy_top3",
+    "agg_10_top_counts",
 ]
 
 
