@@ -17,6 +17,7 @@ NAMES = [
     "agg_07_continuity",
     "agg_05_greedy_top3",
     "agg_10_top_counts",
+    "agg_33_top1_and_ceiling",
 ]
 
 
