@@ -18,6 +18,7 @@ NAMES = [
     "agg_05_greedy_top3",
     "agg_10_top_counts",
     "agg_33_top1_and_ceiling",
+    "jn_11_expected_source",
 ]
 
 
