@@ -19,6 +19,7 @@ NAMES = [
     "agg_10_top_counts",
     "agg_33_top1_and_ceiling",
     "jn_11_expected_source",
+    "jn_16_aligned_windows",
 ]
 
 
