@@ -20,6 +20,7 @@ NAMES = [
     "agg_33_top1_and_ceiling",
     "jn_11_expected_source",
     "jn_16_aligned_windows",
+    "win_01_rank_max_centered",
 ]
 
 
