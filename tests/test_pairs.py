@@ -21,6 +21,7 @@ NAMES = [
     "jn_11_expected_source",
     "jn_16_aligned_windows",
     "win_01_rank_max_centered",
+    "win_01_rank_max_raw",
 ]
 
 
