@@ -22,6 +22,7 @@ NAMES = [
     "jn_16_aligned_windows",
     "win_01_rank_max_centered",
     "win_01_rank_max_raw",
+    "win_01_rank_seg_top3_centered",
 ]
 
 
