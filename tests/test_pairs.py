@@ -24,6 +24,7 @@ NAMES = [
     "win_01_rank_max_raw",
     "win_01_rank_seg_top3_centered",
     "win_01_rank_seg_top3_raw",
+    "win_03_rerank_pools",
 ]
 
 
