@@ -26,6 +26,7 @@ NAMES = [
     "win_01_rank_seg_top3_raw",
     "win_03_rerank_pools",
     "win_12_rank_offset",
+    "win_02_rerank_in_pool",
 ]
 
 
