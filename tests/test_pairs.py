@@ -56,6 +56,15 @@ def test_what_moves_follows_tracks_plus_blocks(spark, monkeypatch):
     assert retrieval.best_per_window(best).count() == 40 * 8
 
 
+def test_more_partitions_than_blocks_move_no_more(spark, monkeypatch):
+    rows = [(int(i % 3), float(5 * (i // 3)), [float(i % 3), float(i % 7)]) for i in range(200)]
+    q, r = spark.createDataFrame(rows[:20], "query_id long, q_off double, v array<double>"), spark.createDataFrame(rows, "track_id long, r_off double, v array<double>")
+    want = sorted(map(tuple, retrieval.best_per_window(vectors.pair_scores(q, r)).collect()))
+    monkeypatch.setattr(type(r), "repartitionByRange", lambda self, n, *columns, f=type(r).repartitionByRange: f(self, 50, *columns))
+    best = vectors.best_scores(q, r)
+    assert best.count() == 20 * 3 and sorted(map(tuple, retrieval.best_per_window(best).collect())) == want
+
+
 def side(rng, key, off, groups, **more):
     """Windows of few values in one stretch a group, some steps irregular, with the marks that a side carries."""
     out = []
