@@ -216,9 +216,64 @@ def _exclude(s: np.ndarray, taken: dict, queries: list, tracks: list, q_at: np.n
                 block[:, np.abs(q_off[c:d] - q) < gap] = -np.inf
 
 
-def _runs(q: pa.Table, r: pa.Table, digits: int, most: int, last: bool, gap: float, schema: pa.Schema) -> pa.Table:
+def _tops(s: np.ndarray, ok: dict, k: int, r_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the k windows that lie on a diagonal of products s, -inf in rows where no run begins, and the columns' maxima
+    by group of rows."""
+    x = s
+    if k > 1:
+        x = s.copy()
+        for j in range(1, k):
+            x[: len(s) - j, : s.shape[1] - j] += s[j:, j:]
+        x[~ok[k]] = -np.inf
+    return x, np.maximum.reduceat(x, r_at, axis=0)
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, q_new: np.ndarray, r_new: np.ndarray, q_ok: dict, r_ok: dict, q_reach: np.ndarray, r_reach: np.ndarray, q_pieces: list, r_pieces: list, digits: int, mosts: tuple) -> dict | None:
+    """By ``most`` and piece of rows, the columns in which the best run of a query and track may begin; None where they
+    wouldn't be few or products can't be bounded. Products in float32 give every column's best but for their rounding; a
+    column stays if, with all rounding against it, it may still reach the best of its query and track, ties included."""
+    norm = math.sqrt(np.einsum("ij,ij->j", left, left).max() * np.einsum("ij,ij->i", right, right).max())
+    groups = [_within(r_new, a, b) for a, b in r_pieces]
+    n = left.shape[1]
+    if not norm < 1e30 or 4 * len(q_new) * len(r_new) > n * len(r_pieces) or sum(map(len, groups)) * n > 4 * LISTED:
+        return None
+    loose = (len(left) + 2 + max(mosts)) * 1.05 * 2.0**-24 * norm + 0.51 * 10.0**-digits + 1e-8
+    left, right, found = left.astype(np.float32), right.astype(np.float32), {m: [] for m in mosts}
+    for (a, b), r_at in zip(r_pieces, groups, strict=True):
+        tops = {m: np.full((len(r_at), n), -np.inf, dtype=np.float32) for m in mosts}
+        for c, d in q_pieces:
+            s, q_at = right[a:b] @ left[:, c:d], _within(q_new, c, d)
+            wide = np.diff(np.r_[q_at, d - c])
+            reach = np.minimum.outer(r_reach[a + r_at], q_reach[c + q_at])
+            made = {}
+            for m in mosts:
+                windows = np.minimum(reach, m)
+                for k in np.unique(windows):
+                    if k not in made:
+                        made[k] = _tops(s, {k: r_ok[k][a:b]} if k > 1 else {}, k, r_at)[1] / np.float32(k)
+                        if k > 1:
+                            made[k][:, ~q_ok[k][c:d]] = -np.inf
+                    np.copyto(tops[m][:, c:d], made[k], where=np.repeat(windows == k, wide, axis=1))
+        for m in mosts:
+            found[m].append(tops[m])
+    track = np.searchsorted(r_new, np.concatenate([a + g for (a, _), g in zip(r_pieces, groups, strict=True)]), side="right") - 1
+    ends, wide, out = np.cumsum([0, *map(len, groups)]), np.diff(np.r_[q_new, n]), {}
+    for m in mosts:
+        tops = np.concatenate(found.pop(m))
+        best = np.full((len(r_new), len(q_new)), -np.inf)
+        np.maximum.at(best, track, np.maximum.reduceat(tops, q_new, axis=1))
+        out[m] = []
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            stays = (tops[i:j] >= np.repeat(best[track[i:j]] - 2 * loose, wide, axis=1)) & (tops[i:j] > -np.inf)
+            out[m].append(np.flatnonzero(stays.any(axis=0)))
+    return out
+
+
+def _runs(q: pa.Table, r: pa.Table, digits: int, most: int | tuple, last: bool, gap: float, schema: pa.Schema) -> pa.Table:
     """Of each query and track of a cell the best run of windows that advance together, of the most that both sides reach
-    anywhere up to ``most``. Rounding keeps order, so maxima by window are rounded, and only their columns after them."""
+    anywhere up to ``most`` (of several, each for itself). Rounding keeps order, so maxima by window are rounded, and only
+    their columns after them."""
+    mosts = most if isinstance(most, tuple) else (most,)
     taken = q.filter(q["track_id"].is_valid()).select(["query_id", "track_id", "q_taken", "r_taken"]).to_pylist() if len(q) else []
     taken = {(t["query_id"], t["track_id"]): list(zip(t["q_taken"], t["r_taken"], strict=True)) for t in taken}
     q = q.filter(q["track_id"].is_null()) if len(q) else q
@@ -229,42 +284,42 @@ def _runs(q: pa.Table, r: pa.Table, digits: int, most: int, last: bool, gap: flo
     left, right, q_off, r_off = _matrix(q).T, _matrix(r), q["q_off"].to_numpy(), r["r_off"].to_numpy()
     q_ok, r_ok = ({k: t["core"].to_numpy().astype(bool) & t[c].to_numpy().astype(bool) for k, c in ((2, "one"), (3, "two"))} for t in (q, r))
     q_reach, r_reach, q_new, r_new = q["reach"].to_numpy(), r["reach"].to_numpy(), _starts(q["query_id"]), _starts(r["track_id"])
-    rows, found = max(1, math.isqrt(PAIRS // 2)), [[], [], [], []]
+    rows, found = max(1, math.isqrt(PAIRS // 2)), [[], [], [], [], []]
     q_pieces, r_pieces = _pieces(_starts(q["query_id"], q["part"]), len(q), 2 * rows), _pieces(_starts(r["track_id"], r["part"]), len(r), rows)
-    for a, b in r_pieces:
-        r_at = _within(r_new, a, b)
+    few = None if taken else _candidates(left, right, q_new, r_new, q_ok, r_ok, q_reach, r_reach, q_pieces, r_pieces, digits, mosts)
+    for m, i, (c, d) in ((m, i, p) for m in mosts for i in range(len(r_pieces)) for p in q_pieces):
+        a, b = r_pieces[i]
+        begins = np.arange(c, d) if few is None else few[m][i][slice(*np.searchsorted(few[m][i], (c, d)))]
+        if not len(begins):
+            continue
+        at = begins if few is None else np.unique(np.minimum(np.add.outer(begins, np.arange(m)), d - 1))
+        r_at, q_at = _within(r_new, a, b), np.flatnonzero(np.r_[True, np.diff(np.searchsorted(q_new, at, side="right")) > 0])
         r_end = np.r_[r_at[1:], b - a]
-        for c, d in q_pieces:
-            q_at = _within(q_new, c, d)
-            s = right[a:b] @ left[:, c:d]
-            if taken:
-                ids = (t.take(pa.array(x)).to_pylist() for t, x in ((q["query_id"], c + q_at), (r["track_id"], a + r_at)))
-                _exclude(s, taken, *ids, q_at, r_at, q_off[c:d], r_off[a:b], gap)
-            windows = np.minimum(np.minimum.outer(r_reach[a + r_at], q_reach[c + q_at]), most)
-            for k in np.unique(windows):
-                x = s
-                mean = lambda y, k=k: np.round((np.round(y, digits) if k == 1 else y) / k, 8)
-                if k > 1:  # a run begins at a core window, and its windows follow by regular steps
-                    one = np.round(s, digits)
-                    x = one.copy()
-                    for j in range(1, k):
-                        x[: len(s) - j, : s.shape[1] - j] += one[j:, j:]
-                    x[~r_ok[k][a:b]] = -np.inf
-                top = mean(np.maximum.reduceat(x, r_at, axis=0))
-                if k > 1:
-                    top[:, ~q_ok[k][c:d]] = -np.inf
-                best = np.maximum.reduceat(top, q_at, axis=1)
-                met = top == np.repeat(best, np.diff(np.r_[q_at, d - c]), axis=1)
-                column = (np.maximum if last else np.minimum).reduceat(np.where(met, np.arange(d - c), -1 if last else d - c), q_at, axis=1)
-                for t in range(len(r_at)):
-                    g = np.flatnonzero(np.isfinite(best[t]) & (windows[t] == k))
-                    same = mean(x[r_at[t] : r_end[t], column[t, g]]) == best[t, g]
-                    row = len(same) - 1 - same[::-1].argmax(axis=0) if last else same.argmax(axis=0)
-                    for whole, part in zip(found, (np.full(len(g), k), best[t, g], c + column[t, g], a + r_at[t] + row), strict=True):
-                        whole.append(part)
-    k, top, qi, ri = (np.concatenate(x) for x in found)
-    qi, ri = pa.array(qi), pa.array(ri)
-    return pa.table([q["query_id"].take(qi), r["track_id"].take(ri), pa.array(k.astype(np.int64)), pa.array(top), q["q_off"].take(qi), r["r_off"].take(ri)], schema=schema)
+        s = right[a:b] @ left[:, at]
+        if taken:
+            ids = (t.take(pa.array(x)).to_pylist() for t, x in ((q["query_id"], at[q_at]), (r["track_id"], a + r_at)))
+            _exclude(s, taken, *ids, q_at, r_at, q_off[at], r_off[a:b], gap)
+        windows = np.minimum(np.minimum.outer(r_reach[a + r_at], q_reach[at[q_at]]), m)
+        for k in np.unique(windows):
+            mean = lambda y, k=k: np.round((np.round(y, digits) if k == 1 else y) / k, 8)
+            # a run begins at a core window, and its windows follow by regular steps
+            x, top = _tops(s if k == 1 else np.round(s, digits), {k: r_ok[k][a:b]} if k > 1 else {}, k, r_at)
+            top = mean(top)
+            if k > 1:
+                top[:, ~(q_ok[k][at] & np.isin(at, begins))] = -np.inf
+            best = np.maximum.reduceat(top, q_at, axis=1)
+            met = top == np.repeat(best, np.diff(np.r_[q_at, len(at)]), axis=1)
+            column = (np.maximum if last else np.minimum).reduceat(np.where(met, np.arange(len(at)), -1 if last else len(at)), q_at, axis=1)
+            for t in range(len(r_at)):
+                g = np.flatnonzero(np.isfinite(best[t]) & (windows[t] == k))
+                same = mean(x[r_at[t] : r_end[t], column[t, g]]) == best[t, g]
+                row = len(same) - 1 - same[::-1].argmax(axis=0) if last else same.argmax(axis=0)
+                for whole, part in zip(found, (np.full(len(g), m), np.full(len(g), k), best[t, g], at[column[t, g]], a + r_at[t] + row), strict=True):
+                    whole.append(part)
+    m, k, top, qi, ri = (np.concatenate(x) if x else np.zeros(0) for x in found)
+    qi, ri = pa.array(qi.astype(np.int64)), pa.array(ri.astype(np.int64))
+    of = [pa.array(m.astype(np.int64))] if "most" in schema.names else []
+    return pa.table([q["query_id"].take(qi), r["track_id"].take(ri), pa.array(k.astype(np.int64)), pa.array(top.astype(np.float64)), q["q_off"].take(qi), r["r_off"].take(ri), *of], schema=schema)
 
 
 class Sides:
@@ -277,12 +332,10 @@ class Sides:
         self.nq, self.nr = _sides(left.count(), right.count())
         self.left, self.right = left.withColumn("qi", _deal(self.nq, "query_id", "part")), right.withColumn("ri", _deal(self.nr, "track_id", "part"))
 
-    def runs(self, most: int = 1, last: bool = False, taken: DataFrame | None = None, gap: float = 0.0) -> DataFrame:
-        """query_id, track_id, windows, score, q_off, r_off: of each query and track the best run of the largest number of
-        windows up to ``most``, by the mean of its scores; ties: lowest query, then reference offset (``last``: highest).
-        taken (query_id, track_id, q_taken, r_taken) are pairs from which all pairs must be ``gap`` apart on both axes."""
+    def _cells(self, mosts: tuple, last: bool, taken: DataFrame | None, gap: float) -> DataFrame:
+        """The best runs of each cell, for each of ``mosts``."""
         kinds = {**dict(self.left.dtypes), **dict(self.right.dtypes)}
-        spec = f"query_id {kinds['query_id']}, track_id {kinds['track_id']}, windows long, score double, q_off double, r_off double"
+        spec = f"query_id {kinds['query_id']}, track_id {kinds['track_id']}, windows long, score double, q_off double, r_off double, most long"
         schema = self.left.sparkSession.createDataFrame([], spec).toArrow().schema
         none = lambda c, kind: F.lit(None).cast(kind).alias(c)
         extra = [("track_id", kinds["track_id"]), ("q_taken", "array<double>"), ("r_taken", "array<double>")]
@@ -291,7 +344,18 @@ class Sides:
             cells = taken.join(self.left.select("query_id", "qi").distinct(), "query_id").join(self.right.select("track_id", "ri").distinct(), "track_id")
             left = left.unionByName(cells, allowMissingColumns=True)
         digits = self.digits
-        found = _grid(left, self.right.withColumn("qi", _every(self.nq)), lambda a, b: _runs(a, b, digits, most, last, gap, schema), spec, self.nq * self.nr)
+        return _grid(left, self.right.withColumn("qi", _every(self.nq)), lambda a, b: _runs(a, b, digits, mosts, last, gap, schema), spec, self.nq * self.nr)
+
+    def runs(self, most: int = 1, last: bool = False, taken: DataFrame | None = None, gap: float = 0.0) -> DataFrame:
+        """query_id, track_id, windows, score, q_off, r_off: of each query and track the best run of the largest number of
+        windows up to ``most``, by the mean of its scores; ties: lowest query, then reference offset (``last``: highest).
+        taken (query_id, track_id, q_taken, r_taken) are pairs from which all pairs must be ``gap`` apart on both axes."""
         sign = (lambda c: F.col(c)) if last else (lambda c: -F.col(c))
         top = F.max(F.struct("windows", "score", sign("q_off").alias("q"), sign("r_off").alias("r"))).alias("t")
-        return found.groupBy("query_id", "track_id").agg(top).select("query_id", "track_id", "t.windows", "t.score", sign("t.q").alias("q_off"), sign("t.r").alias("r_off"))
+        found = self._cells((most,), last, taken, gap).groupBy("query_id", "track_id").agg(top)
+        return found.select("query_id", "track_id", "t.windows", "t.score", sign("t.q").alias("q_off"), sign("t.r").alias("r_off"))
+
+    def scores(self, *mosts: int) -> DataFrame:
+        """query_id, track_id and by ``most`` a struct (windows, score) of the best run, named ``most_<n>``: one pass for all."""
+        tops = [F.max(F.when(F.col("most") == m, F.struct("windows", "score"))).alias(f"most_{m}") for m in mosts]
+        return self._cells(mosts, False, None, 0.0).groupBy("query_id", "track_id").agg(*tops)

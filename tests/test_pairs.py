@@ -112,3 +112,49 @@ def test_folds_of_one_cell(monkeypatch, tile, most, last):
             x = (float(np.round(np.dot(a["v"], b["v"]), 1)), -b["r_off"])
             every[key] = max(every.get(key, x), x)
     assert {k: (s, -o) for k, (s, o) in best.items()} == every
+
+
+def cell(rng, groups, width, scale, key, off, **more):
+    """A side of one cell: windows with steps that are regular most times, in stretches of 8."""
+    rows = []
+    for x in side(rng, key, off, groups, **more):
+        rows.append({**x, "v": [float(y) * scale for y in rng.integers(-3, 4, width) / 7 + rng.choice([0.0, 1e-4], width)]})
+    return rows
+
+
+@pytest.mark.parametrize(("scale", "digits", "screened"), [(1.0, 6, True), (1.0, 1, True), (0.01, 6, True), (3e4, 6, True), (1e16, 6, False), (float("nan"), 6, False)])
+@pytest.mark.parametrize("most", [1, 3, (1, 3)])
+@pytest.mark.parametrize("last", [False, True])
+def test_screened_columns_hold_the_best(monkeypatch, scale, digits, screened, most, last):
+    """Products in float32 say which columns are taken whole; what a cell finds is the same as without them."""
+    monkeypatch.setattr(vectors, "PAIRS", 200)
+    rng = np.random.default_rng(5)
+    marks = [("n", pa.int64()), ("part", pa.int64()), ("core", pa.bool_()), ("one", pa.bool_()), ("two", pa.bool_()), ("reach", pa.int32())]
+    none = [("track_id", pa.int64()), ("q_taken", pa.list_(pa.float64())), ("r_taken", pa.list_(pa.float64()))]
+    table = lambda rows, key, off, more: pa.Table.from_pylist(rows, pa.schema([(key, pa.int64()), (off, pa.float64()), ("v", pa.list_(pa.float64())), *marks, *more]))
+    q = table(cell(rng, [60, 40, 3], 6, scale, "query_id", "q_off", track_id=None), "query_id", "q_off", none)
+    r = cell(rng, [1, 90, 70], 6, scale, "track_id", "r_off")
+    r = table([{**x, "part": x["n"] // 10, "one": x["one"] and x["n"] % 10 < 9, "two": x["two"] and x["n"] % 10 < 8} for x in r], "track_id", "r_off", [])
+    fields = ["query_id", "track_id", "windows", "score", "q_off", "r_off", "most"]
+    schema = pa.schema([(f, pa.float64() if f in ("score", "q_off", "r_off") else pa.int64()) for f in fields])
+    seen, real = [], vectors._candidates
+
+    def watched(*args):
+        seen.append((real(*args), args[0].shape[1]))
+        return seen[-1][0]
+
+    def best(found):
+        out, sign = {}, 1 if last else -1
+        for x in found.to_pylist():
+            key = (x["query_id"], x["track_id"], x["most"])
+            out[key] = max(out.get(key, ()), (x["windows"], x["score"], sign * x["q_off"], sign * x["r_off"]))
+        return out
+
+    monkeypatch.setattr(vectors, "_candidates", watched)
+    got = best(vectors._runs(q, r, digits, most, last, 0.0, schema))
+    (few, n), = seen
+    assert (few is not None) == screened
+    if digits == 6 and screened and scale == 1.0:
+        assert all(2 * sum(map(len, x)) < n * len(x) for x in few.values())
+    monkeypatch.setattr(vectors, "_candidates", lambda *args: None)
+    assert got == best(vectors._runs(q, r, digits, most, last, 0.0, schema)) and (got or scale != scale)
