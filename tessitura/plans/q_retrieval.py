@@ -147,9 +147,8 @@ rr AS (SELECT rk.query_id, rk.track_id, rk.rank, rk.score, continuity_score, win
 
 
 def reranked(spark, d, k=5):
-    p = sides(spark, d)
-    top = retrieval.rank(retrieval.best_pair(p).select("query_id", "track_id", "score"), *retrieval.by_score())
-    met = top.filter(F.col("rank") <= k).join(retrieval.continuity(p).select("query_id", "track_id", "continuity_score", "windows"), ["query_id", "track_id"])
+    both_scores = sides(spark, d).scores(1, 3).select("query_id", "track_id", "most_1.score", F.col("most_3.score").alias("continuity_score"), "most_3.windows")
+    met = retrieval.rank(both_scores, *retrieval.by_score()).select("query_id", "track_id", "rank", "score", "continuity_score", "windows")
     return retrieval.rerank(met, k, F.desc("continuity_score"), F.desc("windows"), F.desc("score"))
 
 

@@ -158,3 +158,11 @@ def test_screened_columns_hold_the_best(monkeypatch, scale, digits, screened, mo
         assert all(2 * sum(map(len, x)) < n * len(x) for x in few.values())
     monkeypatch.setattr(vectors, "_candidates", lambda *args: None)
     assert got == best(vectors._runs(q, r, digits, most, last, 0.0, schema)) and (got or scale != scale)
+
+
+@pytest.mark.parametrize("name", ["win_02_rerank_in_pool", "win_12_rank_offset"])
+def test_reranking_makes_products_once(spark, monkeypatch, name):
+    made, real = [], vectors._grid
+    monkeypatch.setattr(vectors, "_grid", lambda *args: made.append(1) or real(*args))
+    rows = rows_of(registry.QUERIES[name](spark, f"{DATA}/sf0.001"))
+    assert len(made) == 1 and rows == rows_of_sql(connect(f"{DATA}/sf0.001"), registry.ORACLES[name])[1]
