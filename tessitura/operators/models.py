@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
 from ..scratch import settle
-from .trees import balanced, boost, fit_extra_trees, score_boosted, score_extra_trees
+from .trees import balanced, boost, grow_and_score, score_boosted, told_apart
 from .vectors import dot, normalise
 
 #: Training matrices up to this number of rows are fitted on the driver.
@@ -56,28 +56,23 @@ def score_pairs(rows: DataFrame, model: dict, features: str = "v") -> DataFrame:
 # share of features of the forests' trees; rounds, rate, leaves, smallest leaf and ridge of boosting.
 PAIR_LEVEL = {"c": 0.5, "trees": 500, "forest_depth": None, "extra_depth": None, "leaf": 3, "share": 0.75, "rounds": 250, "rate": 0.04, "leaves": 12, "boosted_leaf": 10, "l2": 1.0}
 QUERY_LEVEL = {"c": 0.08, "trees": 800, "forest_depth": 5, "extra_depth": 6, "leaf": 3, "share": 0.45, "rounds": 250, "rate": 0.035, "leaves": 8, "boosted_leaf": 8, "l2": 2.0}
-#: Spark's own forests end at this depth.
-DEEPEST = 30
 
 
 def fit_all(train: DataFrame, test: DataFrame, how: dict, features: str = "v", seed: int = 42) -> DataFrame:
     """UDF-03/04: probability of every test row under each of four classifiers (model, and test's columns), fitted on the
     train rows with both classes weighing the same.
 
-    logistic: Spark ML's on standardised features, its penalty that of C / n. forest: Spark ML's, with class weights.
-    extra: extremely randomised trees, and boosted: histogram boosting, both of ``trees``.
+    logistic: Spark ML's on standardised features, its penalty that of C / n. forest: trees of bags of the rows, with the
+    classes of each bag weighing the same. extra: extremely randomised trees, and boosted: histogram boosting; all three of
+    ``trees``.
     """
-    train = settle(balanced(train.select(F.col(features).alias("v"), F.col("y").cast("double").alias("y"))), "train")
-    known = train.withColumn("x", array_to_vector("v"))
+    train = settle(balanced(told_apart(train.select(F.col(features).alias("v"), F.col("y").cast("double").alias("y")))), "train")
     n = max(1, train.count())
     logistic = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (how["c"] * n), maxIter=500, tol=1e-9)
-    forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", seed=seed, numTrees=how["trees"], maxDepth=how["forest_depth"] or DEEPEST, minInstancesPerNode=how["leaf"], featureSubsetStrategy=str(how["share"]), maxBins=64)
-    out = []
-    for name, c in (("logistic", logistic), ("forest", forest)):
-        scored = c.fit(known).transform(test.withColumn("x", array_to_vector(features)))
-        out.append((name, scored.withColumn("probability", vector_to_array("probability")[1]).select(*test.columns, "probability")))
-    extra = fit_extra_trees(train, how["trees"], how["leaf"], how["share"], how["extra_depth"], seed)
-    out.append(("extra", score_extra_trees(test, extra, features).select(*test.columns, "probability")))
+    scored = logistic.fit(train.withColumn("x", array_to_vector("v"))).transform(test.withColumn("x", array_to_vector(features)))
+    out = [("logistic", scored.withColumn("probability", vector_to_array("probability")[1]).select(*test.columns, "probability"))]
+    for name, bagged in (("forest", True), ("extra", False)):
+        out.append((name, grow_and_score(train, test, how["trees"], how["leaf"], how["share"], how[f"{name}_depth"], seed, bagged, features).select(*test.columns, "probability")))
     out.append(("boosted", score_boosted(test, fit_boosted(train, how), features).select(*test.columns, "probability")))
     return reduce(DataFrame.unionByName, [df.withColumn("model", F.lit(name)) for name, df in out])
 

@@ -1,4 +1,4 @@
-"""Tree ensembles that Spark ML lacks: extremely randomised trees and histogram gradient boosting.
+"""Tree ensembles that Spark ML lacks or can't hold: forests, extremely randomised trees and histogram gradient boosting.
 
 Extra-trees are grown level by level by DataFrame aggregates, all trees at once, until a node holds ``SUBTREE`` rows or
 fewer: what lies below such a node is grown by the same draws in one group. Above, a row is held once for each tree and
@@ -7,6 +7,13 @@ features and cuts are drawn by a hash of (seed, tree, node, feature); a second g
 sides of every drawn cut, and the best cut parts the rows. There is no bootstrap and nothing is sampled, so a forest
 depends on its rows and its seed alone, not on their partitions.
 
+The trees of a random forest are grown likewise on bags of the rows: each row is in a tree's bag as often as a Poisson draw
+of mean 1 by the hash of (seed, tree, row's id) says, both classes of a bag weigh the same, and of a drawn feature every
+cut halfway between two neighbouring values is tried.
+
+Where the numbers of train and test rows are ``HELD`` together or fewer, both are broadcast and the trees are dealt to
+tasks, which grow a tree, score the test rows and drop it; so no model is ever gathered (``grow_and_score``).
+
 Boosting goes through its rounds one after another, each over all rows, so it fits a matrix on the driver, of
 ``FIT_ROWS`` rows at most (a hash-drawn sample beyond; the bound is ``models.FIT_ROWS``, as for the pair verifier).
 
@@ -16,12 +23,13 @@ A model is a table of nodes; it is applied in Arrow batches, a bounded number of
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +40,10 @@ NODES, DEPTH = 1_000_000, 60
 BROADCAST_NODES = 20_000
 #: Rows of a node up to which all that lies below it is grown in one group.
 SUBTREE = 8192
+#: Numbers (rows times features) of train and test rows up to which they are broadcast and trees are grown whole.
+HELD = 16_000_000
+#: Shares of a Poisson draw of mean 1 that are at most 0, 1, ...
+BAG = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
 
 def balanced(rows: DataFrame, label: str = "y", weight: str = "w") -> DataFrame:
@@ -66,10 +78,32 @@ def fit_extra_trees(rows: DataFrame, trees: int, leaf: int = 3, share: float = 0
     """The forest's nodes: tree, node (children of i are 2i + 1 and 2i + 2), f and cut (null in a leaf; v[f] <= cut goes
     left), value (weighted share of positive rows), n. The best of ``share`` of the features by weighted Gini impurity, of
     equal ones the first drawn; sides hold ``leaf`` rows at least. Rows without features are left out."""
-    width = rows.select(F.max(F.size(features))).first()[0] or 0
-    most, deepest = max(1, int(share * width)), min(DEPTH, DEPTH if depth is None else depth)
     held = rows.filter(F.col(features).isNotNull()).select(F.col(features).alias("v"), (F.col(label) > 0).alias("y"), F.col(weight).cast("double").alias("w"))
-    held = settle(held.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(0).cast("long")), "held")
+    return _levels(held.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))), leaf, share, depth, seed, False)
+
+
+def told_apart(rows: DataFrame, features: str = "v", label: str = "y") -> DataFrame:
+    """Rows that have features as (v, y, id), where copies of a row have ids of their own that don't depend on partitions."""
+    copies = rows.filter(F.col(features).isNotNull()).groupBy(F.col(features).alias("v"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
+    return copies.select("v", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("v", "y", F.xxhash64("y", "v", "copy").alias("id"))
+
+
+def fit_forest(rows: DataFrame, trees: int, leaf: int = 3, share: float = 0.75, depth: int | None = None, seed: int = 42) -> DataFrame:
+    """Nodes, as ``fit_extra_trees`` gives them, of a random forest of rows (v, y, id)."""
+    held = rows.select("v", (F.col("y") > 0).alias("y"), "id").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    u = _hash(seed + 2, F.col("tree"), F.col("id")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    held = held.withColumn("u", u).withColumn("k", F.expr(" + ".join(f"int(u >= {c!r}D)" for c in BAG.tolist()))).filter("k > 0")
+    sizes = held.groupBy("tree").agg(F.sum("k").alias("all"), F.sum(F.expr("if(y, k, 0)")).alias("ones"))
+    weigh = F.col("k") * F.col("all") / (2.0 * F.when(F.col("y"), F.col("ones")).otherwise(F.col("all") - F.col("ones")))
+    return _levels(held.join(F.broadcast(sizes), "tree").select("v", "y", weigh.alias("w"), "tree"), leaf, share, depth, seed, True)
+
+
+def _levels(held: DataFrame, leaf: int, share: float, depth: int | None, seed: int, exact: bool) -> DataFrame:
+    """The nodes of the trees of rows (v, y, w, tree). exact: of a drawn feature the best cut, not a drawn one."""
+    spark = held.sparkSession
+    width = held.select(F.max(F.size("v"))).first()[0] or 0
+    most, deepest = max(1, int(share * width)), min(DEPTH, DEPTH if depth is None else depth)
+    held = settle(held.withColumn("node", F.lit(0).cast("long")), "held")
     # columns are made once, not for each level
     ends = [F.expr(f"array({', '.join(f'{k}(get(v, {f}))' for f in range(width))}) AS {name}") for k, name in (("min", "low"), ("max", "high"))]
     counts = [F.expr(x) for x in ("count(*) AS n", "sum(w) AS w", "sum(if(y, w, 0D)) AS p", "count_if(y) AS ones")]
@@ -84,8 +118,8 @@ def fit_extra_trees(rows: DataFrame, trees: int, leaf: int = 3, share: float = 0
         if total > large:
             small = sizes.filter(F.col("n") <= SUBTREE).select("tree", "node")
             part = held if not large else held.join(F.broadcast(small) if total - large <= BROADCAST_NODES else small, ["tree", "node"], "left_semi")
-            dealt = part.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "tree", "node").groupBy("tree", "node")
-            out.append(settle(dealt.applyInArrow(_subtrees(width, most, leaf, level, deepest, seed), nodes), "subtrees"))
+            dealt = part.repartition(4 * spark.sparkContext.defaultParallelism, "tree", "node").groupBy("tree", "node")
+            out.append(settle(dealt.applyInArrow(_subtrees(width, most, leaf, level, deepest, seed, exact), nodes), "subtrees"))
             if not large:
                 break
             some = sizes.filter(F.col("n") > SUBTREE).select("tree", "node")
@@ -97,13 +131,14 @@ def fit_extra_trees(rows: DataFrame, trees: int, leaf: int = 3, share: float = 0
         drawn = F.when(open_, draw).alias("drawn")
         stats = settle(stats.select("tree", "node", "n", "w", "p", drawn), "stats")
         few = (lambda nodes: F.broadcast(nodes)) if stats.count() <= BROADCAST_NODES else (lambda nodes: nodes)
-        splits = settle(_best(held, stats.filter("drawn IS NOT NULL"), most, leaf, few, sides, left), "splits")
+        known = stats.filter("drawn IS NOT NULL")
+        splits = settle(_halfway(held, known, leaf, few) if exact else _best(held, known, most, leaf, few, sides, left), "splits")
         out.append(stats.select("tree", "node", (F.col("p") / F.col("w")).alias("value"), "n").join(few(splits), ["tree", "node"], "left").select("tree", "node", "f", "cut", "value", "n"))
         if splits.count() == 0:
             break
         to = F.col("node") * 2 + F.when(F.get("v", F.col("f")) <= F.col("cut"), 1).otherwise(2)
         held = settle(held.join(few(splits), ["tree", "node"]).select("v", "y", "w", "tree", to.alias("node")), "held")
-    return settle(reduce(DataFrame.unionByName, out), "forest") if out else rows.sparkSession.createDataFrame([], nodes)
+    return settle(reduce(DataFrame.unionByName, out), "forest") if out else spark.createDataFrame([], nodes)
 
 
 _MASK = (1 << 64) - 1
@@ -121,11 +156,11 @@ def _mixed(value: int, h: int) -> int:
     return h ^ h >> 32
 
 
-def _mixed_all(values: np.ndarray, h: int) -> np.ndarray:
-    """``_mixed`` of each of many unsigned numbers."""
+def _mixed_all(values: np.ndarray, h: int | np.ndarray) -> np.ndarray:
+    """``_mixed`` of each of many unsigned numbers, after columns of one hash or of one hash each."""
     p1, p2, p3, p4 = (np.uint64(x) for x in (_P1, _P2, _P3, _P4))
     turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    x = np.uint64(h + _P5 + 8 & _MASK) ^ turn(values * p2, 31) * p1
+    x = np.array(h, dtype=np.uint64, ndmin=1) + np.uint64(_P5 + 8 & _MASK) ^ turn(values * p2, 31) * p1
     x = turn(x, 27) * p1 + p4
     x = (x ^ x >> np.uint64(33)) * p2
     x = (x ^ x >> np.uint64(29)) * p3
@@ -143,41 +178,136 @@ def _features(t: pa.Table, width: int) -> np.ndarray:
     return x
 
 
-def _subtrees(width: int, most: int, leaf: int, level: int, deepest: int, seed: int) -> Callable:
-    """Grows what lies at and below the node of a group, by the draws and the choice of ``fit_extra_trees``."""
-    every = np.arange(width, dtype=np.uint64)
-    purity = lambda p, w: (p * p + (w - p) * (w - p)) / w
-
-    def draws(tree: int, node: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, order = (_mixed_all(every, _mixed(node, _mixed(tree, _mixed(s, 42)))) for s in (seed, seed + 1))
-        cut = low + (at & np.uint64((1 << 53) - 1)).astype(np.float64) / float(1 << 53) * (high - low)
-        cut = np.where(cut < high, cut, low)
-        open_ = np.flatnonzero(low < high)
-        f = open_[np.argsort(order.view(np.int64)[open_], kind="stable")][:most]
-        return f, cut[f]
+def _purity(p: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The purer both sides, the larger the sum over sides of this."""
+    return (p * p + (w - p) * (w - p)) / w
+
+
+def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, begin)
+
+
+def _grow(x: np.ndarray, y: np.ndarray, of: tuple[np.ndarray, np.ndarray], scale: tuple[float, float], tree: int, node: int, level: int, most: int, leaf: int, deepest: int, seed: int, exact: bool) -> dict:
+    """Arrays of all nodes at and below one node of a tree, by level: node, f (-1 in a leaf), cut, value, n and left (where
+    the left child lies; the right one is next). Rows x of class y count as of[0] times scale[0] among the positive and
+    of[1] times scale[1] among the other rows. All nodes of a level are worked on at once: rows lie node by node, where cuts
+    are exact by each feature in its order."""
+    columns, width = np.ascontiguousarray(x.T), x.shape[1]
+    every, draws = np.arange(width, dtype=np.uint64), [_mixed(tree, _mixed(s, 42)) for s in (seed, seed + 1)]
+    orders = [np.argsort(c, kind="stable").astype(np.int32) for c in columns] if exact and width else [np.arange(len(x), dtype=np.int32)]
+    nodes, begin, done, out = np.array([node], dtype=np.int64), np.zeros(1, dtype=np.int64), 0, []
+    ones, y = y.astype(np.int64), None
+    while len(nodes):
+        n = np.diff(np.r_[begin, len(orders[0])])
+        counts = [_sums(c[orders[0]], begin) for c in (ones, *of)]
+        positive, whole = counts[1] * scale[0], counts[1] * scale[0] + counts[2] * scale[1]
+        found = {"node": nodes, "f": np.full(len(nodes), -1, dtype=np.int32), "cut": np.zeros(len(nodes)), "value": positive / whole, "n": n, "left": np.full(len(nodes), -1, dtype=np.int64)}
+        out.append(found)
+        done += len(nodes)
+        open_ = (n >= 2 * leaf) & (counts[0] > 0) & (counts[0] < n) & (level < deepest)
+        if not width or not open_.any():
+            break
+        at, held = np.flatnonzero(open_), np.repeat(open_, n)
+        orders, n, nodes, positive, whole = [o[held] for o in orders], n[at], nodes[at], positive[at], whole[at]
+        begin = np.r_[0, np.cumsum(n)[:-1]]
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        f, cut = (_exact if exact else _random)(columns, of, scale, orders, begin, owner, n, positive, whole, *(_mixed_all(every[None, :], _mixed_all(nodes.view(np.uint64), h)[:, None]) for h in draws), most, leaf)
+        split = np.flatnonzero(f >= 0)
+        found["f"][at], found["cut"][at], found["left"][at[split]] = f, cut, done + 2 * np.arange(len(split))
+        if not len(split):
+            break
+        # rows of nodes that are split, left ones of each node first, in the order they have
+        held = np.repeat(f >= 0, n)
+        orders, n, nodes = [o[held] for o in orders], n[split], nodes[split]
+        begin = np.r_[0, np.cumsum(n)[:-1]]
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        goes = np.zeros(len(x), dtype=bool)
+        goes[orders[0]] = columns[f[split][owner], orders[0]] <= cut[split][owner]
+        lefts = _sums(goes[orders[0]].astype(np.int64), begin)
+        base, place = begin[owner], np.arange(len(owner))
+        for i, o in enumerate(orders):
+            l = goes[o]  # noqa: E741
+            before = np.cumsum(l)
+            before = before - (before[begin] - l[begin])[owner]
+            new = np.empty_like(o)
+            new[np.where(l, base + before - 1, place + lefts[owner] - before)] = o
+            orders[i] = new
+        begin = np.stack([begin, begin + lefts], axis=1).ravel()
+        nodes = np.stack([2 * nodes + 1, 2 * nodes + 2], axis=1).ravel()
+        level += 1
+    return {k: np.concatenate([o[k] for o in out]) for k in out[0]}
+
+
+def _order(order: np.ndarray, open_: np.ndarray, most: int) -> np.ndarray:
+    """By node and feature the place in the order of draws, ``most`` or more where it isn't drawn."""
+    rank = np.argsort(np.argsort(np.where(open_, order.view(np.int64), np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1)
+    return np.where(open_, rank, most)
+
+
+def _random(columns, of, scale, orders, begin, owner, n, positive, whole, at, order, most, leaf) -> tuple[np.ndarray, np.ndarray]:
+    """(f, cut) of each node's best drawn cut, -1 where none leaves ``leaf`` rows on both sides."""
+    rows = orders[0]
+    low, high = (np.stack([k.reduceat(c[rows], begin) for c in columns], axis=1) for k in (np.fmin, np.fmax))
+    cut = low + (at & np.uint64((1 << 53) - 1)).astype(np.float64) / float(1 << 53) * (high - low)
+    cut = np.where(cut < high, cut, low)
+    rank = _order(order, low < high, most)
+    pos, neg = (c[rows] for c in of)
+    best, f, at_cut = np.full(len(n), -np.inf), np.full(len(n), -1, dtype=np.int32), np.zeros(len(n))
+    line = np.arange(len(n))
+    for j in range(min(most, len(columns))):
+        g = (rank == j).argmax(axis=1)
+        left = columns[g[owner], rows] <= cut[line, g][owner]
+        ln, lp = _sums(left.astype(np.int64), begin), _sums(pos * left, begin) * scale[0]
+        lw = lp + _sums(neg * left, begin) * scale[1]
+        fits = np.flatnonzero((ln >= leaf) & (n - ln >= leaf) & (rank[line, g] == j))
+        gain = np.round(_purity(lp[fits], lw[fits]) + _purity(positive[fits] - lp[fits], whole[fits] - lw[fits]), 9)
+        more = gain > best[fits]
+        fits = fits[more]
+        best[fits], f[fits], at_cut[fits] = gain[more], g[fits], cut[fits, g[fits]]
+    return f, at_cut
+
+
+def _exact(columns, of, scale, orders, begin, owner, n, positive, whole, at, order, most, leaf) -> tuple[np.ndarray, np.ndarray]:
+    """(f, cut) of each node's best cut of its drawn features, halfway between values; of equal ones the first drawn, then
+    the lowest. -1 where none leaves ``leaf`` rows on both sides."""
+    low, high = (np.stack([k.reduceat(c[orders[0]], begin) for c in columns], axis=1) for k in (np.fmin, np.fmax))
+    rank = _order(order, low < high, most)
+    best, f, cut, first = np.full(len(n), -np.inf), np.full(len(n), -1, dtype=np.int32), np.zeros(len(n)), np.full(len(n), most)
+    place = np.arange(len(owner)) - begin[owner] + 1
+    inside = (place >= leaf) & (n[owner] - place >= leaf)
+    for g, c in enumerate(columns):
+        rows, v = orders[g], c[orders[g]]
+        i = np.flatnonzero(inside[:-1] & (v[:-1] < v[1:]) & (rank[:, g] < most)[owner[:-1]])
+        if not len(i):
+            continue
+        own = owner[i]
+        sums = []
+        for a, s in zip(of, scale, strict=True):
+            whole_sum = np.cumsum(a[rows])
+            sums.append((whole_sum[i] - (whole_sum[begin] - a[rows[begin]])[own]) * s)
+        lp, lw = sums[0], sums[0] + sums[1]
+        gain = np.round(_purity(lp, lw) + _purity(positive[own] - lp, whole[own] - lw), 9)
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        k, top = own[new], np.maximum.reduceat(gain, new)
+        met = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[new, len(own)])))
+        i = i[met[np.searchsorted(own[met], k)]]
+        more = (top > best[k]) | ((top == best[k]) & (rank[k, g] < first[k]))
+        k, top, i = k[more], top[more], i[more]
+        half = (v[i] + v[i + 1]) / 2
+        best[k], first[k], f[k], cut[k] = top, rank[k, g], g, np.where(half < v[i + 1], half, v[i])
+    return f, cut
+
+
+def _subtrees(width: int, most: int, leaf: int, level: int, deepest: int, seed: int, exact: bool) -> Callable:
+    """Grows what lies at and below the node of a group, by the draws and the choice of ``_levels``."""
 
     def grow(t: pa.Table) -> pa.Table:
         x, y, w = _features(t, width), t["y"].to_numpy(), t["w"].to_numpy()
-        p = w * y
-        tree, found = t["tree"][0].as_py(), []
-        todo = [(t["node"][0].as_py(), level, np.arange(len(t)))]
-        while todo:
-            node, depth, rows = todo.pop()
-            n, ones, whole, positive = len(rows), int(y[rows].sum()), w[rows].sum(), p[rows].sum()
-            best = None
-            if n >= 2 * leaf and 0 < ones < n and depth < deepest:
-                own = x[rows]
-                f, cut = draws(tree, node, np.fmin.reduce(own, axis=0), np.fmax.reduce(own, axis=0))
-                left = own[:, f] <= cut
-                ln, lw, lp = left.sum(axis=0), w[rows] @ left, p[rows] @ left
-                fits = np.flatnonzero((ln >= leaf) & (n - ln >= leaf))
-                if len(fits):
-                    j = fits[np.round(purity(lp[fits], lw[fits]) + purity(positive - lp[fits], whole - lw[fits]), 9).argmax()]
-                    best = int(f[j]), float(cut[j])
-                    todo += [(2 * node + 1, depth + 1, rows[left[:, j]]), (2 * node + 2, depth + 1, rows[~left[:, j]])]
-            found.append((tree, node, *(best or (None, None)), float(positive / whole), n))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["tree", "node", "f", "cut", "value", "n"])
+        tree = t["tree"][0].as_py()
+        found = _grow(x, y, (w * y, w * ~y), (1.0, 1.0), tree, t["node"][0].as_py(), level, most, leaf, deepest, seed, exact)
+        ends = found["f"] < 0
+        columns = (pa.array(np.full(len(ends), tree, dtype=np.int32)), pa.array(found["node"]), pa.array(found["f"], mask=ends), pa.array(found["cut"], mask=ends), pa.array(found["value"]), pa.array(found["n"]))
+        return pa.table(columns, names=["tree", "node", "f", "cut", "value", "n"])
 
     return grow
 
@@ -198,6 +328,22 @@ def _best(held: DataFrame, drawn: DataFrame, most: int, leaf: int, few: Callable
     return sided.withColumn("best", best).filter("best IS NOT NULL").select("tree", "node", F.get("drawn", -F.col("best.j")).alias("d")).select("tree", "node", "d.f", "d.cut")
 
 
+def _halfway(held: DataFrame, drawn: DataFrame, leaf: int, few: Callable) -> DataFrame:
+    """(tree, node, f, cut) of each node's best cut of its drawn features, as ``_exact`` chooses it."""
+    node = ["tree", "node"]
+    each = held.join(few(drawn.select(*node, "drawn")), node).select(*node, "y", "w", "v", F.posexplode("drawn").alias("j", "d"))
+    each = each.groupBy(*node, "j", F.col("d.f").alias("f"), F.expr("get(v, d.f)").alias("x")).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.expr("if(y, w, 0D)")).alias("p"))
+    by = Window.partitionBy(*node, "j").orderBy(F.col("x").asc_nulls_last())
+    to = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = each.select(*node, "j", "f", "x", F.lead("x").over(by).alias("next"), *[F.sum(c).over(to).alias(f"l{c}") for c in ("n", "w", "p")])
+    sides = sides.filter("x < next").join(few(drawn.select(*node, "n", "w", "p")), node).filter((F.col("ln") >= leaf) & (F.col("n") - F.col("ln") >= leaf))
+    purity = lambda p, w: (p * p + (w - p) * (w - p)) / w
+    gain = F.round(purity(F.col("lp"), F.col("lw")) + purity(F.col("p") - F.col("lp"), F.col("w") - F.col("lw")), 9)
+    half = (F.col("x") + F.col("next")) / 2
+    best = F.max(F.struct(gain.alias("gain"), (-F.col("j")).alias("j"), (-F.col("x")).alias("x"), "f", F.when(half < F.col("next"), half).otherwise(F.col("x")).alias("cut"))).alias("best")
+    return sides.groupBy(*node).agg(best).select(*node, "best.f", "best.cut")
+
+
 # --- histogram gradient boosting -----------------------------------------------------------------------
 
 
@@ -317,10 +463,11 @@ def _chunks(sizes: list[tuple[int, int]], most: int) -> Iterator[tuple[int, int]
 
 
 def score_extra_trees(rows: DataFrame, forest: DataFrame, features: str = "v", out: str = "probability") -> DataFrame:
-    """rows with the mean of the values their features meet in all trees; a bounded number of nodes is broadcast at a time."""
+    """rows with the mean of the values their features meet in all trees; a bounded number of nodes is broadcast at a time,
+    and where there are more the sums are written down after each time, so that a task serves one at a time."""
     sizes = [tuple(r) for r in forest.groupBy("tree").agg(F.count("*")).orderBy("tree").collect()]
-    scored = rows
-    for first, last in _chunks(sizes, NODES):
+    scored, parts = rows, list(_chunks(sizes, NODES))
+    for first, last in parts:
         t = forest.filter(F.col("tree").between(first, last)).orderBy("tree", "node").toPandas()
         tree, node, f = t["tree"].to_numpy(np.int64), t["node"].to_numpy(np.int64), t["f"].fillna(-1).to_numpy(np.int32)
         starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
@@ -329,8 +476,56 @@ def score_extra_trees(rows: DataFrame, forest: DataFrame, features: str = "v", o
             left[a:b] = a + np.searchsorted(node[a:b], 2 * node[a:b] + 1)
         model = {"roots": starts, "f": f, "cut": t["cut"].fillna(0.0).to_numpy(), "left": left, "right": left + 1, "value": t["value"].to_numpy()}
         scored = add_values(scored, model, features, out)
+        scored = settle(scored, "scored") if len(parts) > 1 else scored
     return scored.withColumn(out, F.col(out) / float(max(1, len(sizes)))) if sizes else rows.withColumn(out, F.lit(None).cast("double"))
 
 
+def _walk(columns: np.ndarray, model: dict) -> np.ndarray:
+    """The value that each row meets in one tree; rows are columns here."""
+    at, rows = np.zeros(columns.shape[1], dtype=np.int64), np.arange(columns.shape[1])
+    while len(rows):
+        inner = model["f"][at[rows]] >= 0
+        rows = rows[inner]
+        k = at[rows]
+        at[rows] = model["left"][k] + ~(columns[model["f"][k], rows] <= model["cut"][k])
+    return model["value"][at]
+
+
+def grow_and_score(train: DataFrame, test: DataFrame, trees: int, leaf: int, share: float, depth: int | None, seed: int, bagged: bool, features: str = "v", out: str = "probability") -> DataFrame:
+    """test rows with the mean of the values that their features meet in all trees: those of ``fit_forest`` (bagged) or of
+    ``fit_extra_trees`` on train rows (v, y, w, id), which have features."""
+    spark = train.sparkSession
+    width, n = train.agg(F.max(F.size("v")), F.count("*")).first()
+    rows = settle(test.withColumn("_row", F.monotonically_increasing_id()), "test")
+    if not n or not width or (n + rows.count()) * width > HELD:
+        forest = fit_forest(train, trees, leaf, share, depth, seed) if bagged else fit_extra_trees(train, trees, leaf, share, depth, seed)
+        return score_extra_trees(test, forest, features, out)
+    most, deepest = max(1, int(share * width)), min(DEPTH, DEPTH if depth is None else depth)
+    t = train.select("v", (F.col("y") > 0).alias("y"), "w", "id").toArrow().sort_by("id")
+    known = rows.filter(F.col(features).isNotNull()).select(F.col(features).alias("v"), "_row").toArrow()
+    matrix = lambda t: np.ascontiguousarray(_features(t, width)) if len(t) else np.zeros((0, width))
+    shared = spark.sparkContext.broadcast((matrix(t), *(t[c].to_numpy() for c in ("y", "w", "id")), np.ascontiguousarray(matrix(known).T), known["_row"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, w, ids, asked, row = shared.value
+        total, any_ = np.zeros(len(row)), False
+        for tree in (i for batch in batches for i in batch.column(0).to_pylist()):
+            of, own, scale, any_ = (w * y, w * ~y), slice(None), (1.0, 1.0), True
+            if bagged:
+                u = (_mixed_all(ids.view(np.uint64), _mixed(tree, _mixed(seed + 2, 42))) & np.uint64((1 << 53) - 1)).astype(np.float64) / float(1 << 53)
+                k = np.searchsorted(BAG, u, side="right")
+                k = k if k.any() else np.ones(len(k), dtype=np.int64)
+                own, ones = k > 0, int(k[y].sum())
+                of, scale = (k[own] * y[own], k[own] * ~y[own]), tuple(k.sum() / (2.0 * c) if c else 0.0 for c in (ones, int(k.sum()) - ones))
+            total += _walk(asked, _grow(x[own], y[own], of, scale, tree, 0, 0, most, leaf, deepest, seed, bagged))
+        if any_:
+            for a in range(0, len(row), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(row[a : a + 100_000]), pa.array(total[a : a + 100_000])], names=["_row", "_sum"])
+
+    tasks = min(trees, 2 * spark.sparkContext.defaultParallelism)
+    sums = spark.range(0, trees, 1, tasks).mapInArrow(run, "_row long, _sum double").groupBy("_row").agg((F.sum("_sum") / trees).alias(out))
+    return rows.join(settle(sums, "sums"), "_row", "left").select(*test.columns, out)
+
+
 def score_boosted(rows: DataFrame, model: dict, features: str = "v", out: str = "probability") -> DataFrame:
     return add_values(rows, model, features, out).withColumn(out, 1 / (1 + F.exp(-(F.col(out) + model["start"]))))
