@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
 from ..scratch import settle
-from .trees import balanced, boost, grow_and_score, score_boosted, told_apart
+from . import trees
+from .trees import balanced, grow_and_score, score_boosted, told_apart
 from .vectors import dot, normalise
 
-#: Training matrices up to this number of rows are fitted on the driver.
+#: Matrices of the pair verifier up to this number of rows are fitted on the driver.
 FIT_ROWS = 200_000
 
 
@@ -78,15 +79,8 @@ def fit_all(train: DataFrame, test: DataFrame, how: dict, features: str = "v", s
 
 
 def fit_boosted(train: DataFrame, how: dict) -> dict:
-    """Histogram boosting of (v, y, w), on a hash-drawn sample of FIT_ROWS rows where there are more; rows are ordered, so
-    that the sums don't depend on partitions."""
-    n = train.count()
-    if n > FIT_ROWS:
-        train = train.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(FIT_ROWS / n * (1 << 30))))
-    t = train.filter("v IS NOT NULL").toPandas()
-    x = np.stack(t["v"].to_numpy())
-    order = np.lexsort(np.c_[t["y"].to_numpy(), x].T)
-    return boost(x[order], (t["y"].to_numpy()[order] > 0).astype(float), t["w"].to_numpy()[order], how["rounds"], how["rate"], how["leaves"], how["boosted_leaf"], how["l2"])
+    """Histogram boosting of all rows (v, y, w)."""
+    return trees.fit_boosted(train, how["rounds"], how["rate"], how["leaves"], how["boosted_leaf"], how["l2"])
 
 
 def leave_one_family_out(rows: DataFrame, family: str, features: str = "v", steps: int = 6000) -> DataFrame:

@@ -14,8 +14,8 @@ cut halfway between two neighbouring values is tried.
 Where the numbers of train and test rows are ``HELD`` together or fewer, both are broadcast and the trees are dealt to
 tasks, which grow a tree, score the test rows and drop it; so no model is ever gathered (``grow_and_score``).
 
-Boosting goes through its rounds one after another, each over all rows, so it fits a matrix on the driver, of
-``FIT_ROWS`` rows at most (a hash-drawn sample beyond; the bound is ``models.FIT_ROWS``, as for the pair verifier).
+Boosting goes through its rounds one after another, each over all rows: in one task where these hold ``BOOST_HELD`` numbers
+or fewer, beyond that by jobs that fold the rows' gradients by node, feature and bin. It takes all rows either way.
 
 A model is a table of nodes; it is applied in Arrow batches, a bounded number of nodes at a time.
 """
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import settle
+from .sampling import numbered
 
 #: Nodes that a task holds at a time when a model is applied, and nodes up to which a level's draws are broadcast.
 NODES, DEPTH = 1_000_000, 60
@@ -42,6 +43,8 @@ BROADCAST_NODES = 20_000
 SUBTREE = 8192
 #: Numbers (rows times features) of train and test rows up to which they are broadcast and trees are grown whole.
 HELD = 16_000_000
+#: Numbers (rows times features) that one task boosts at most, and rounds after which rows keep what the trees say.
+BOOST_HELD, FOLD = 4_000_000, 10
 #: Shares of a Poisson draw of mean 1 that are at most 0, 1, ...
 BAG = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
@@ -416,6 +419,170 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int, rate: float,
     return {"start": start, "roots": np.array(roots, dtype=np.int64), **{k: np.array(v, dtype=kinds[k]) for k, v in nodes.items()}}
 
 
+def all_bin_edges(rows: DataFrame, bins: int = 255) -> list[np.ndarray]:
+    """``bin_edges`` of the arrays v of all rows: distinct values are counted, and where there are more than bins, ranks are
+    picked from a range sort. The driver gets twice as many values as there are bins for each feature."""
+    each = rows.select(F.posexplode("v").alias("f", "x"))
+    kept = settle(each.groupBy("f", "x").agg(F.count("*").alias("n")), "values")
+    sizes = {r["f"]: r for r in kept.groupBy("f").agg(F.count("*").alias("values"), F.sum("n").alias("n")).collect()}
+    few, out = [f for f, r in sizes.items() if r["values"] <= bins], {f: np.zeros(0) for f in sizes}
+    values: dict = {f: [] for f in few}
+    for f, x in kept.filter(F.col("f").isin(few)).select("f", "x").collect():
+        values[f].append(x)
+    for f, x in values.items():
+        x = np.sort(np.array(x, dtype=np.float64))
+        out[f] = (x[1:] + x[:-1]) / 2
+    many = sorted(sizes.keys() - set(few))
+    if many:
+        begin = dict(zip(many, np.cumsum([1, *[sizes[f]["n"] for f in many]]).tolist(), strict=False))  # where features start in the sort
+        ranks = {f: np.linspace(0, sizes[f]["n"] - 1, bins + 1)[1:-1] for f in many}
+        ends = {f: (begin[f] + np.floor(ranks[f]).astype(np.int64), begin[f] + np.ceil(ranks[f]).astype(np.int64)) for f in many}
+        wanted = sorted({int(i) for pair in ends.values() for side in pair for i in side})
+        picked = numbered(each.filter(F.col("f").isin(many)), F.asc("f"), F.asc("x")).join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in wanted], "_pos long")), "_pos")
+        at = {r["_pos"]: r["x"] for r in picked.select("_pos", "x").collect()}
+        for f, (low, high) in ends.items():
+            pick = lambda side: np.array([at[i] for i in side.tolist()])
+            out[f] = np.unique((pick(low) + pick(high)) / 2)
+    return [out[f] for f in sorted(out)]
+
+
+def fit_boosted(rows: DataFrame, rounds: int, rate: float, leaves: int, leaf: int, l2: float, bins: int = 255) -> dict:
+    """``boost`` of all rows (v, y, w): in one task where they hold ``BOOST_HELD`` numbers or fewer, by jobs beyond. Rows are
+    sorted there by what they hold, so the sums don't depend on earlier partitions."""
+    rows = rows.filter("v IS NOT NULL").select("v", (F.col("y") > 0).cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+    width, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    if n * (width or 0) > BOOST_HELD:
+        return _boost_by_jobs(rows, rounds, rate, leaves, leaf, l2, bins)
+    schema = "start double, roots array<long>, f array<int>, cut array<double>, left array<long>, right array<long>, value array<double>"
+    kinds = rows.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        model = boost(_features(t, width), t["y"].to_numpy(), t["w"].to_numpy(), rounds, rate, leaves, leaf, l2, bins)
+        yield pa.RecordBatch.from_pylist([{"start": model["start"], **{k: v.tolist() for k, v in model.items() if k != "start"}}], schema=kinds)
+
+    (model,) = rows.repartition(1).sortWithinPartitions("v", "y").mapInArrow(run, schema).collect() if n else (None,)
+    return _model(*model) if n else _model(0.0, [], [], [], [], [], [])
+
+
+def _model(start: float, *arrays: list) -> dict:
+    kinds = {"roots": np.int64, "f": np.int32, "cut": np.float64, "left": np.int64, "right": np.int64, "value": np.float64}
+    return {"start": start, **{k: np.array(v, dtype=t) for (k, t), v in zip(kinds.items(), arrays, strict=True)}}
+
+
+def _best_first(known: dict, leaves: int) -> tuple[dict | None, list[int]]:
+    """The tree that ``boost`` grows, of nodes by path (children of i are 2i and 2i + 1) known as (gain, f, bin, value); or,
+    where it isn't known that far, the paths to be known: children of all nodes that would be cut if none came before them."""
+    if 1 not in known:
+        return None, [1]
+    tree: dict[str, list] = {"f": [-1], "bin": [-1], "left": [-1], "right": [-1], "value": [known[1][3]]}
+    queue, ended = [(-known[1][0], 0, 1)], 0
+    while queue:
+        top = gain, at, path = heapq.heappop(queue)
+        room = leaves - (len(queue) + 1 + ended)
+        if gain >= 0 or room < 1:
+            ended += 1
+            continue
+        if 2 * path not in known:
+            return None, [k for g, _, i in sorted([top, *queue])[:room] if g < 0 and 2 * i not in known for k in (2 * i, 2 * i + 1)]
+        tree["f"][at], tree["bin"][at] = known[path][1:3]
+        for side, k in (("left", 2 * path), ("right", 2 * path + 1)):
+            tree[side][at] = len(tree["f"])
+            heapq.heappush(queue, (-known[k][0], len(tree["f"]), k))
+            for name, v in (("f", -1), ("bin", -1), ("left", -1), ("right", -1), ("value", known[k][3])):
+                tree[name].append(v)
+    return tree, []
+
+
+def _to_paths(known: dict, asked: list[int]) -> dict:
+    """A tree whose leaves hold the place of their path in ``asked``, -1 where it isn't."""
+    paths, inner = [1], set()
+    for i in paths:
+        if i not in asked and any(k.bit_length() > i.bit_length() and k >> (k.bit_length() - i.bit_length()) == i for k in asked):
+            inner.add(i)
+            paths += [2 * i, 2 * i + 1]
+    at = {i: k for k, i in enumerate(paths)}
+    of = lambda j: np.array([known[i][j] if i in inner else -1 for i in paths])
+    return {"f": of(1), "cut": of(2), "left": np.array([at.get(2 * i, -1) for i in paths]), "value": np.array([asked.index(i) if i in asked else -1 for i in paths])}
+
+
+def _boost_by_jobs(rows: DataFrame, rounds: int, rate: float, leaves: int, leaf: int, l2: float, bins: int) -> dict:
+    """``boost`` of rows that stay in their partitions: a job gives the sums of gradients by node, feature and bin for all
+    nodes that can be cut next, so a tree takes about as many jobs as it is deep. Rows hold their bins and what all trees but
+    the last few say; the driver holds one tree's sums."""
+    edges = all_bin_edges(rows, bins)
+    width, wide = len(edges), max([len(e) for e in edges], default=0) + 1
+    positive, whole = rows.agg(F.sum(F.col("y") * F.col("w")), F.sum("w")).first()
+    mean = positive / whole
+    start = float(np.log(mean / (1 - mean))) if 0 < mean < 1 else 0.0
+    kinds = pa.schema([("bins", pa.binary()), ("y", pa.float64()), ("w", pa.float64()), ("raw", pa.float64())])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _features(pa.Table.from_batches([b]), width)
+            places = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in places], pa.binary()), b["y"], b["w"], pa.array(np.full(len(x), start))], schema=kinds)
+
+    def columns(b: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(b["bins"].to_pylist()), dtype=np.uint8).reshape(-1, width).T
+
+    def raws(b: pa.RecordBatch, x: np.ndarray, last: list[dict]) -> np.ndarray:
+        return b["raw"].to_numpy() + sum((_walk(x, t) for t in last), np.zeros(b.num_rows))
+
+    def added(last: list[dict]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b["bins"], b["y"], b["w"], pa.array(raws(b, columns(b), last))], schema=kinds)
+
+        return run
+
+    def sums(last: list[dict], tree: dict, asked: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = asked * width * wide
+            total = np.zeros((3, cells))
+            for b in batches:
+                x, y, w = columns(b), b["y"].to_numpy(), b["w"].to_numpy()
+                node = _walk(x, tree)
+                at = np.flatnonzero(node >= 0)
+                p = 1 / (1 + np.exp(-raws(b, x, last)))
+                for f in range(width):
+                    cell = (node[at] * width + f) * wide + x[f, at]
+                    for k, v in enumerate((w * (p - y), w * p * (1 - p), np.ones(len(y)))):
+                        total[k] += np.bincount(cell, v[at], cells)
+            met = np.flatnonzero(total[2])
+            yield pa.RecordBatch.from_arrays([pa.array(met), *[pa.array(t[met]) for t in total]], names=["cell", "g", "h", "n"])
+
+        return run
+
+    spec = "bins binary, y double, w double, raw double"
+    held = settle(rows.mapInArrow(binned, spec), "binned")
+    out: list[list] = [[], [], [], [], [], []]
+    last: list[dict] = []
+    for _ in range(rounds if 0 < mean < 1 else 0):
+        known: dict = {}
+        tree, asked = _best_first(known, leaves)
+        while asked:
+            each = held.mapInArrow(sums(last, _to_paths(known, asked), len(asked)), "cell long, g double, h double, n double")
+            found = each.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
+            cells = np.zeros((len(asked) * width * wide, 3))
+            cells[found["cell"].to_numpy()] = np.stack([found[c].to_numpy() for c in ("g", "h", "n")], axis=1)
+            for path, own in zip(asked, cells.reshape(len(asked), width, wide, 3), strict=True):
+                gradient, hessian, _n = own[0].sum(axis=0)
+                known[path] = (*_cut(own, l2, leaf), -gradient / (hessian + l2) * rate)
+            tree, asked = _best_first(known, leaves)
+        first = len(out[1])
+        out[0].append(first)
+        out[1] += tree["f"]
+        out[2] += [float(edges[f][b]) if f >= 0 else 0.0 for f, b in zip(tree["f"], tree["bin"], strict=True)]
+        for k, side in ((3, "left"), (4, "right")):
+            out[k] += [first + i if i >= 0 else -1 for i in tree[side]]
+        out[5] += tree["value"]
+        last.append({"f": np.array(tree["f"]), "cut": np.array(tree["bin"]), "left": np.array(tree["left"]), "value": np.array(tree["value"])})
+        if len(last) == FOLD:
+            held, last = settle(held.mapInArrow(added(last), spec), "binned"), []
+    return _model(start, *out)
+
+
 # --- application -----------------------------------------------------------------------------------------
 
 
